@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskframe.llm import bpe, quality_rules, suffix_dedup, token_counts
+from maskframe.llm import bpe, decontaminate, ngram_lm, quality_rules, simhash, suffix_dedup, token_counts
+from maskframe.llm._common import held_out
 from maskframe.llm.sql import ORACLE_SQL as ORACLE_SQL
 
 
@@ -14,12 +15,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probabilities of each text under single words and under the backoff automaton."""
+    held = held_out(F.col("doc_id"), 5, 1)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = ngram_lm.scores(docs, ~held)
+    return rows.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals, truncated totals and quantiles at every context limit, under a byte-level vocabulary."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return token_counts.limits(token_counts.histogram(token_counts.lengths(_table(spark, sf_dir, "documents"), path)))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of texts whose fingerprints over four-word shingles differ in four bits at most."""
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What 200-byte strings that repeat anywhere leave of each text."""
     return suffix_dedup.repeated(_table(spark, sf_dir, "documents"))
@@ -30,6 +44,14 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each text inside windows of benchmark items."""
+    rows = decontaminate.mark(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    n_hit, n_items = F.size("hit_words").cast("long"), F.size("items").cast("long")
+    digest = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
+    return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), n_items.alias("n_items"), digest.alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger of each text under policy v1."""
     rows = quality_rules.ledger(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -37,4 +59,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~base).alias("base_failed"), quality_rules.passes(F.col("failed"), "v1").alias("kept"), "failed")
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op5_suffix_dedup, op8_bpe, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_ngram_lm, op3_token_counts, op4_simhash, op5_suffix_dedup, op8_bpe, op9_decontaminate, op10_quality_rules)}

@@ -60,4 +60,30 @@ SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed,
 FROM texts LEFT JOIN removed USING (r) LEFT JOIN heads USING (r)
 """
 
-ORACLE_SQL = {"op5_suffix_dedup": OP5, "op10_quality_rules": OP10}
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Lower case for A-Z alone.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP9 = rf"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, list_slice(w, i, i + least(10, len(w)) - 1) AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 8))) AS i FROM items WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT n FROM windows), hits AS (
+  SELECT r, item_id, i, x.n FROM (
+    SELECT r, n, i, list_slice(w, i, i + n - 1) AS g
+    FROM (SELECT r, w, n, unnest(range(1, CAST(len(w) - n + 2 AS BIGINT))) AS i FROM texts, sizes)
+  ) AS x JOIN windows AS y ON x.g = y.g
+), hit_words AS (
+  SELECT r, count(DISTINCT i + k) AS n_hit FROM (SELECT r, i, unnest(range(n)) AS k FROM hits) GROUP BY r
+), hit_items AS (
+  SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS s FROM hits WHERE item_id IS NOT NULL) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM texts LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
+"""
+
+ORACLE_SQL = {"op9_decontaminate": OP9, "op5_suffix_dedup": OP5, "op10_quality_rules": OP10}
