@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskframe.llm import bpe, decontaminate, ngram_lm, quality_rules, simhash, suffix_dedup, token_counts
-from maskframe.llm._common import held_out
+from maskframe.llm import bpe, classifier, decontaminate, ngram_lm, pseudonyms, quality_rules, shards, simhash, suffix_dedup, token_counts
+from maskframe.llm._common import held_out, shared_dir
 from maskframe.llm.sql import ORACLE_SQL as ORACLE_SQL
 
 
@@ -15,6 +17,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The key of the registered queries; a real one comes from a secret store.
+DEMO_KEY = "not-a-secret"
+ARRIVALS = 5
+
+
+def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text with its personal data replaced, and how many values that were."""
+    return pseudonyms.pseudonymize(_table(spark, sf_dir, "documents").select("doc_id", "text"), DEMO_KEY, count="n_replaced")
+
+
 def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log10 probabilities of each text under single words and under the backoff automaton."""
     held = held_out(F.col("doc_id"), 5, 1)
@@ -39,6 +51,23 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated(_table(spark, sf_dir, "documents"))
 
 
+def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents after they came in as several arrivals: what the last manifest's shards hold."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.pmod("doc_id", F.lit(ARRIVALS)), F.lit(0)).cast("int").alias("arrival"))
+    table = shards.ShardTable(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+    for i in range(ARRIVALS):
+        table.append(docs.filter(F.col("arrival") == i))
+    table.vacuum()
+    return table.read().select("doc_id", "arrival", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated quality of each text, learnt from three labels in four."""
+    held = held_out(F.col("doc_id"), 4, 2)
+    rows = classifier.quality(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"), ~held)
+    return rows.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of each text's token ids and of what they decode to."""
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -59,4 +88,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~base).alias("base_failed"), quality_rules.passes(F.col("failed"), "v1").alias("kept"), "failed")
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_lm, op3_token_counts, op4_simhash, op5_suffix_dedup, op8_bpe, op9_decontaminate, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_pseudonyms, op2_ngram_lm, op3_token_counts, op4_simhash, op5_suffix_dedup, op6_shards, op7_quality_classifier, op8_bpe, op9_decontaminate, op10_quality_rules)}

@@ -86,4 +86,8 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM texts LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
 """
 
-ORACLE_SQL = {"op9_decontaminate": OP9, "op5_suffix_dedup": OP5, "op10_quality_rules": OP10}
+OP6 = """
+SELECT doc_id, CAST(coalesce(((doc_id % 5) + 5) % 5, 0) AS INTEGER) AS arrival, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256 FROM documents
+"""
+
+ORACLE_SQL = {"op6_shards": OP6, "op9_decontaminate": OP9, "op5_suffix_dedup": OP5, "op10_quality_rules": OP10}
