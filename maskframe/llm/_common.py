@@ -68,17 +68,19 @@ def map_texts(df: DataFrame, text: str, work: Callable, new: T.StructType, keep:
     use a ``__`` prefix where they keep foreign columns.
     """
     source = df if keep is None else df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])])
-    drop_text = keep is not None and text not in keep
-    out = T.StructType([f for f in source.schema.fields if not (drop_text and f.name == text)] + new.fields)
+    at = source.columns.index(text)
+    stay = [i for i, c in enumerate(source.columns) if keep is None or c != text or text in keep]
+    plain = source.toDF(*[f"c{i}" for i in range(len(source.columns))])  # any name may hold a dot
+    out = T.StructType([plain.schema.fields[i] for i in stay] + [T.StructField(f"n{i}", f.dataType) for i, f in enumerate(new.fields)])
     arrow = [_arrow_type(f.dataType) for f in new.fields]
 
     def run(batches):
-        for batch in chunks(batches, text, limit):
-            columns = work(texts_of(batch.column(text)))
-            names = [n for n in batch.schema.names if not (drop_text and n == text)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *[c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, arrow, strict=True)]], names=[*names, *[f.name for f in new.fields]])
+        for batch in chunks(batches, f"c{at}", limit):
+            columns = work(texts_of(batch.column(at)))
+            made = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, arrow, strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in stay], *made], names=out.names)
 
-    return source.mapInArrow(run, out)
+    return plain.mapInArrow(run, out).toDF(*[source.columns[i] for i in stay], *new.names)
 
 
 def _arrow_type(kind: T.DataType) -> pa.DataType:
