@@ -1,0 +1,118 @@
+"""Chat requests as tables: text segments out of messages and JSON, and back."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+PARTS = ("text", "image_url", "tool_use", "tool_result", "input_audio", "file", "refusal")
+#: Top-level keys of a request that are understood.
+REQUEST_KEYS = ["model", "messages", "stream", "system", "max_tokens", "temperature", "tools", "user", "metadata"]
+
+
+def runs(rows: DataFrame, keys: list[str], order: str, same: Column) -> DataFrame:
+    """Numbers the maximal runs of neighbouring rows with an equal ``same``."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    fresh = F.coalesce((same != F.lag(same).over(w)), F.lit(True)).cast("int")
+    return rows.withColumn("__fresh", fresh).withColumn("run", F.sum("__fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__fresh")
+
+
+def coalesce_text(parts: DataFrame, keys: list[str], order: str = "pos") -> DataFrame:
+    """Neighbouring text parts as one segment (its place is the first one's); other parts are left out."""
+    marked = runs(parts, keys, order, F.col("type") == "text").filter("type = 'text'")
+    pieces = marked.groupBy(*keys, "run").agg(F.min(order).alias("first_pos"), F.array_sort(F.collect_list(F.struct(order, "text"))).alias("p"))
+    return pieces.select(*keys, "first_pos", F.array_join(F.transform("p", lambda x: x["text"]), "").alias("text"))
+
+
+def unsupported(parts: DataFrame) -> DataFrame:
+    """Parts of unknown type: these requests fail closed."""
+    return parts.filter(~F.coalesce(F.col("type").isin(*PARTS), F.lit(False)))
+
+
+def unknown_keys(body: Column, allowed: list[str] | None = None) -> Column:
+    return F.array_except(F.json_object_keys(body), F.array(*[F.lit(k) for k in allowed or REQUEST_KEYS]))
+
+
+def _walk(value, path: str, out: list[tuple[str, str]]) -> None:
+    if isinstance(value, str):
+        out.append((path, value))
+    elif isinstance(value, dict):
+        for k, v in value.items():
+            _walk(v, f"{path}.{k}" if path else k, out)
+    elif isinstance(value, list):
+        for i, v in enumerate(value):
+            _walk(v, f"{path}.{i}" if path else str(i), out)
+
+
+def json_strings(document: Column) -> Column:
+    """Every string of a JSON document with its path; null for invalid JSON."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        rows = []
+        for t in texts:
+            try:
+                found: list[tuple[str, str]] = []
+                _walk(json.loads(t), "", found)
+                rows.append([{"path": p, "text": s} for p, s in found])
+            except (TypeError, ValueError):
+                rows.append(None)
+        return pd.Series(rows, dtype=object)
+
+    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "array<struct<path:string,text:string>>")(document)
+
+
+def _replace(value, change: Callable[[str], str]):
+    if isinstance(value, str):
+        return change(value)
+    if isinstance(value, dict):
+        return {k: _replace(v, change) for k, v in value.items()}
+    return [_replace(v, change) for v in value] if isinstance(value, list) else value
+
+
+def restore_json(document: Column, values: Column) -> Column:
+    """Puts values back into the strings of a JSON document, never into its raw text."""
+    from maskframe.operators.mask import restore
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, maps in batches:
+            rows = []
+            for t, m in zip(texts, maps, strict=True):
+                known = dict(m) if m is not None else {}
+                try:
+                    rows.append(json.dumps(_replace(json.loads(t), lambda s, k=known: restore(s, k)), ensure_ascii=False, separators=(",", ":")))
+                except (TypeError, ValueError):
+                    rows.append(None)
+            yield pd.Series(rows, dtype=object)
+
+    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "string")(document, values)
+
+
+MESSAGES = "struct<model:string,system:string,messages:array<struct<role:string,name:string,content:string>>>"
+
+
+def request_segments(requests: DataFrame, key: str = "req_id", body: str = "body") -> DataFrame:
+    """Text segments (req_id, path, text) of chat requests: system, names, plain contents, and neighbouring text parts joined."""
+    parsed = requests.select(key, F.from_json(body, MESSAGES).alias("r"))
+    system = parsed.filter("r.system is not null").select(key, F.lit("system").alias("path"), F.col("r.system").alias("text"))
+    messages = parsed.select(key, F.posexplode("r.messages").alias("m", "msg"))
+    names = messages.filter("msg.name is not null").select(key, F.format_string("messages.%d.name", "m").alias("path"), F.col("msg.name").alias("text"))
+    is_list = F.coalesce(F.col("msg.content").startswith("["), F.lit(False))
+    plain = messages.filter(~is_list & F.col("msg.content").isNotNull()).select(key, F.format_string("messages.%d.content", "m").alias("path"), F.col("msg.content").alias("text"))
+    parts = messages.filter(is_list).select(key, "m", F.posexplode(F.from_json("msg.content", "array<struct<type:string,text:string>>")).alias("pos", "part")).select(key, "m", "pos", "part.*")
+    joined = coalesce_text(parts, [key, "m"]).select(key, F.format_string("messages.%d.content.part.%d", "m", "first_pos").alias("path"), "text")
+    return system.unionByName(names).unionByName(plain).unionByName(joined)
+
+
+def delta_fields(frames: DataFrame, data: str = "data") -> DataFrame:
+    """Content and tool-argument fields of stream frames, as chunks (resp_id, field_key, seq, text, fmt)."""
+    shape = "struct<id:string,choices:array<struct<index:int,delta:struct<content:string,tool_calls:array<struct<index:int,`function`:struct<arguments:string>>>>>>>"
+    rows = frames.select(F.col("seq"), F.from_json(data, shape).alias("f")).select("seq", F.col("f.id").alias("resp_id"), F.explode("f.choices").alias("c"))
+    text = rows.filter("c.delta.content is not null").select("resp_id", F.format_string("choice.%d.content", "c.index").alias("field_key"), "seq", F.col("c.delta.content").alias("text"), F.lit("text").alias("fmt"))
+    calls = rows.select("resp_id", "seq", F.col("c.index").alias("i"), F.explode("c.delta.tool_calls").alias("t")).select("resp_id", F.format_string("choice.%d.tool.%d", "i", "t.index").alias("field_key"), "seq", F.col("t.function.arguments").alias("text"), F.lit("json").alias("fmt"))
+    return text.unionByName(calls)

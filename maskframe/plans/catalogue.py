@@ -2,5 +2,311 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from maskframe import taxonomy as tax
+from maskframe.functions import checksums as C
+from maskframe.operators import chat, corpus, detect, mask, policy, spans
+from maskframe.plans import evaluation, relational, streams
+from maskframe.plans.tables import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_EMAIL = r"(?i)[A-Z0-9.!#$%&''*+/=?^_`{|}~-]+@(?:[A-Z0-9](?:[A-Z0-9-]{0,61}[A-Z0-9])?\.)+[A-Z]{2,63}"
+EMAIL_SQL = rf"""email AS (
+  SELECT doc_id, v FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_EMAIL}')) AS v FROM documents)
+  WHERE length(v) <= 254 AND instr(v, '@') <= 65 AND NOT contains(v, '..')
+)"""
+LUHN = "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 0 THEN CAST(d[i] AS INT) ELSE CAST(d[i] AS INT) * 2 - CASE WHEN CAST(d[i] AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+CARD_SQL = rf"""card AS (
+  SELECT doc_id, v FROM (SELECT doc_id, v, regexp_replace(v, '[^0-9]', '', 'g') AS d FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\b(?:\d[ -]?){{12,18}}\d\b')) AS v FROM documents))
+  WHERE length(d) BETWEEN 13 AND 19 AND {LUHN}
+)"""
+
+
+def _docs(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    return table(spark, sf_dir, name)
+
+
+def _found(spark: SparkSession, sf_dir: str, types: list[str] | None = None) -> DataFrame:
+    """One row for each resolved span of the documents."""
+    rows = detect.analyze(_docs(spark, sf_dir).select("doc_id", "text"), types=types)
+    return detect.exploded(rows, "doc_id")
+
+
+@query(f"WITH {EMAIL_SQL} SELECT doc_id, v AS value, 0.95::DOUBLE AS confidence FROM email")
+def detect_email(spark, sf_dir):
+    return _found(spark, sf_dir, ["EMAIL"]).select("doc_id", "value", "confidence")
+
+
+@query(f"WITH {CARD_SQL} SELECT doc_id, v AS value FROM card")
+def detect_card_luhn(spark, sf_dir):
+    return _found(spark, sf_dir, ["CREDIT_CARD"]).select("doc_id", "value")
+
+
+_LANDLINES = ", ".join(f"'{x}'" for x in C.LANDLINES)
+_NATIONAL = "CASE WHEN d LIKE '0090%' THEN substr(d, 5) WHEN d LIKE '90%' AND (plus OR length(d) = 12) THEN substr(d, 3) WHEN d LIKE '0%' THEN substr(d, 2) ELSE d END"
+
+
+@query(rf"""SELECT doc_id, ltrim(v, '+') AS value FROM (
+  SELECT *, {_NATIONAL} AS n FROM (SELECT doc_id, v, regexp_replace(v, '[^0-9]', '', 'g') AS d, v LIKE '+90%' AS plus FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\b(?:\d[ .()-]*){{9,13}}\d\b')) AS v FROM documents))
+) WHERE length(n) = 10 AND (n LIKE '5%' OR n[1:3] IN ({_LANDLINES}))""")
+def detect_tr_phone(spark, sf_dir):
+    return _found(spark, sf_dir, ["TR_PHONE"]).select("doc_id", F.ltrim("value", F.lit("+")).alias("value"))
+
+
+@query()
+def detect_all_spans(spark, sf_dir):
+    return _found(spark, sf_dir)
+
+
+@query("SELECT doc_id, 0::BIGINT AS n FROM documents WHERE false")
+def span_slice_check(spark, sf_dir):
+    """Documents with a span whose offsets don't cut out what the recognizer saw (none)."""
+    rows = detect.analyze(_docs(spark, sf_dir).select("doc_id", "text"))
+    masked = mask.mask(rows)
+    bad = F.filter("mappings", lambda m: m["value"] != F.substring("text", m["start"] + 1, m["end"] - m["start"]))
+    return masked.filter(F.size(bad) > 0).select("doc_id", F.size(bad).cast("long").alias("n"))
+
+
+def _digit_sql(i: int) -> str:
+    return f"CAST(s[{i}] AS INT)"
+
+
+_ODD, _EVEN = " + ".join(_digit_sql(i) for i in (1, 3, 5, 7, 9)), " + ".join(_digit_sql(i) for i in (2, 4, 6, 8))
+
+
+@query(f"""SELECT key, (s[1] <> '0' AND ((({_ODD}) * 7 - ({_EVEN})) % 10 + 10) % 10 = {_digit_sql(10)} AND ({_ODD} + {_EVEN} + {_digit_sql(10)}) % 10 = {_digit_sql(11)}) AS valid
+FROM (SELECT o_orderkey AS key, lpad(CAST(o_orderkey * 7919 + 10000000000 AS VARCHAR), 11, '0') AS s FROM orders)""")
+def checksum_tckn(spark, sf_dir):
+    s = F.lpad((F.col("o_orderkey") * 7919 + 10_000_000_000).cast("string"), 11, "0")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), C.tckn_valid(s).alias("valid"))
+
+
+def _vkn_sql(i: int) -> str:
+    s = f"(({_digit_sql(i + 1)} + {9 - i}) % 10)"
+    return f"CASE WHEN {s} <> 0 AND {s} * {1 << (9 - i)} % 9 = 0 THEN 9 ELSE {s} * {1 << (9 - i)} % 9 END"
+
+
+@query(f"""SELECT key, (10 - ({' + '.join(_vkn_sql(i) for i in range(9))}) % 10) % 10 = {_digit_sql(10)} AS valid
+FROM (SELECT o_orderkey AS key, lpad(CAST(o_orderkey * 104729 AS VARCHAR), 10, '0') AS s FROM orders)""")
+def checksum_vkn(spark, sf_dir):
+    s = F.lpad((F.col("o_orderkey") * 104_729).cast("string"), 10, "0")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), C.vkn_valid(s).alias("valid"))
+
+
+_IBAN_COLUMN = "'TR' || lpad(CAST(c_custkey % 97 AS VARCHAR), 2, '0') || '00061' || lpad(CAST(c_custkey * 31337 AS VARCHAR), 17, '0')"
+
+
+@query(f"""SELECT key, CAST(CAST(substr(s, 5) || '2927' || s[3:4] AS HUGEINT) % 97 AS INTEGER) AS remainder, CAST(substr(s, 5) || '2927' || s[3:4] AS HUGEINT) % 97 = 1 AS valid
+FROM (SELECT c_custkey AS key, {_IBAN_COLUMN} AS s FROM customer)""")
+def checksum_iban_mod97(spark, sf_dir):
+    k = F.col("c_custkey")
+    s = F.concat(F.lit("TR"), F.lpad((k % 97).cast("string"), 2, "0"), F.lit("00061"), F.lpad((k * 31_337).cast("string"), 17, "0"))
+    return table(spark, sf_dir, "customer").select(k.alias("key"), C.mod97(s).alias("remainder"), C.iban_valid(s).alias("valid"))
+
+
+_PHONE_COLUMN = "CASE c_custkey % 4 WHEN 0 THEN '0' WHEN 1 THEN '90' WHEN 2 THEN '0090' ELSE '' END || CAST(2120000000 + c_custkey * 1000003 % 4000000000 AS VARCHAR)"
+
+
+@query(f"""SELECT key, n AS national, length(n) = 10 AND (n LIKE '5%' OR n[1:3] IN ({_LANDLINES})) AS valid
+FROM (SELECT *, {_NATIONAL} AS n FROM (SELECT c_custkey AS key, {_PHONE_COLUMN} AS d, false AS plus FROM customer))""")
+def phone_normalize(spark, sf_dir):
+    k = F.col("c_custkey")
+    prefix = F.when(k % 4 == 0, "0").when(k % 4 == 1, "90").when(k % 4 == 2, "0090").otherwise("")
+    national = C.phone_national(F.concat(prefix, (F.lit(2_120_000_000) + k * 1_000_003 % 4_000_000_000).cast("string")))
+    return table(spark, sf_dir, "customer").select(k.alias("key"), national.alias("national"), C.phone_valid(national).alias("valid"))
+
+
+@query("""SELECT p_partkey AS key, CASE WHEN p_partkey % 100 BETWEEN 1 AND 81 THEN CAST(p_partkey % 100 AS INTEGER) END AS province FROM part""")
+def plate_province(spark, sf_dir):
+    k = F.col("p_partkey")
+    plate = F.concat(F.lpad((k % 100).cast("string"), 2, "0"), F.lit(" AB "), F.lpad((k % 1000).cast("string"), 3, "0"))
+    return table(spark, sf_dir, "part").select(k.alias("key"), C.plate_province(plate).alias("province"))
+
+
+def _line_spans(spark, sf_dir):
+    """A span for each line of an order."""
+    start = (F.col("l_partkey") % 60).cast("int")
+    span = F.struct(
+        F.when(F.col("l_linenumber") % 2 == 0, "EMAIL").otherwise("PERSON").alias("type"),
+        start.alias("start"),
+        (start + 1 + (F.col("l_suppkey") % 20).cast("int")).alias("end"),
+        (F.col("l_quantity") / 100).alias("confidence"),
+        F.when(F.col("l_linenumber") % 3 == 0, "deterministic").otherwise("ner").alias("layer"),
+    )
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", span.alias("s"))
+
+
+_LINE_SPANS = """spans AS (
+  SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN 'EMAIL' ELSE 'PERSON' END AS type, CAST(l_partkey % 60 AS INTEGER) AS a,
+    CAST(l_partkey % 60 + 1 + l_suppkey % 20 AS INTEGER) AS b, l_quantity / 100 AS confidence, CASE WHEN l_linenumber % 3 = 0 THEN 'deterministic' ELSE 'ner' END AS layer FROM lineitem
+)"""
+
+
+@query(f"""WITH RECURSIVE {_LINE_SPANS}, ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE layer WHEN 'deterministic' THEN 0 ELSE 1 END, a - b, -confidence, a, type) AS n FROM spans
+), folded AS (
+  SELECT l_orderkey, CAST(1 AS BIGINT) AS n, [{{'a': a, 'b': b, 'type': type, 'layer': layer}}] AS kept FROM ranked WHERE n = 1
+  UNION ALL
+  SELECT f.l_orderkey, r.n, CASE WHEN len(list_filter(f.kept, lambda k: k.a < r.b AND r.a < k.b)) > 0 THEN f.kept ELSE list_append(f.kept, {{'a': r.a, 'b': r.b, 'type': r.type, 'layer': r.layer}}) END
+  FROM folded f JOIN ranked r ON r.l_orderkey = f.l_orderkey AND r.n = f.n + 1
+), last AS (SELECT l_orderkey, arg_max(kept, n) AS kept FROM folded GROUP BY l_orderkey)
+SELECT l_orderkey, k.a AS "start", k.b AS "end", k.type AS type, k.layer AS layer FROM (SELECT l_orderkey, unnest(kept) AS k FROM last)""")
+def overlap_resolve(spark, sf_dir):
+    rows = _line_spans(spark, sf_dir).groupBy("l_orderkey").agg(F.collect_list("s").alias("spans"))
+    return rows.select("l_orderkey", F.explode(spans.resolve_overlaps(F.col("spans"))).alias("s")).select("l_orderkey", "s.start", "s.end", "s.type", "s.layer")
+
+
+@query(f"""WITH {_LINE_SPANS} SELECT x.l_orderkey, x.l_linenumber AS line_a, y.l_linenumber AS line_b
+FROM spans x JOIN spans y ON x.l_orderkey = y.l_orderkey AND x.l_linenumber < y.l_linenumber AND x.a < y.b AND y.a < x.b""")
+def overlap_pairs(spark, sf_dir):
+    rows = _line_spans(spark, sf_dir)
+    a, b = rows.alias("a"), rows.alias("b")
+    meets = (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_linenumber") < F.col("b.l_linenumber")) & spans.overlaps(F.col("a.s"), F.col("b.s"))
+    return a.join(b, meets).select("a.l_orderkey", F.col("a.l_linenumber").alias("line_a"), F.col("b.l_linenumber").alias("line_b"))
+
+
+@query()
+def residual_gate(spark, sf_dir):
+    rows = _docs(spark, sf_dir, "conversations").withColumn("spans", detect.candidates(F.col("text")))
+    return rows.groupBy(spans.needs_model(F.col("text"), F.col("spans")).alias("needs_model")).agg(F.count("*").alias("n"))
+
+
+_TAX = ", ".join(str(t) for t in tax.ENTITY_TYPES)
+TAX_SQL = f"tax(type, layer, kvkk_class, z_class, default_action, label) AS (VALUES {_TAX})"
+
+
+@query(f"""WITH {EMAIL_SQL}, {CARD_SQL}, {TAX_SQL}, found AS (SELECT 'EMAIL' AS type FROM email UNION ALL SELECT 'CREDIT_CARD' FROM card)
+SELECT type, kvkk_class, count(*) AS n FROM found JOIN tax USING (type) GROUP BY ALL""")
+def type_histogram(spark, sf_dir):
+    found = _found(spark, sf_dir, ["EMAIL", "CREDIT_CARD"])
+    return found.groupBy("type").agg(F.count("*").alias("n")).join(F.broadcast(tax.taxonomy(spark).select("type", "kvkk_class")), "type").select("type", "kvkk_class", "n")
+
+
+@query()
+def mask_documents(spark, sf_dir):
+    rows = mask.mask(detect.analyze(_docs(spark, sf_dir).select("doc_id", "text")))
+    return rows.select("doc_id", "masked_text", F.size("mappings").alias("n_mappings"), "error_code")
+
+
+@query(f"""WITH {EMAIL_SQL}, placed AS (SELECT e.doc_id, e.v, min(instr(text, e.v)) AS place FROM email e JOIN documents d USING (doc_id) GROUP BY ALL)
+SELECT doc_id, v AS value, '[EPOSTA_' || row_number() OVER (PARTITION BY doc_id ORDER BY place, v) || ']' AS placeholder FROM placed""")
+def placeholder_numbering(spark, sf_dir):
+    rows = _found(spark, sf_dir, ["EMAIL"]).withColumn("label", F.lit(tax.LABELS["EMAIL"]))
+    return mask.numbering(rows, "doc_id").select("doc_id", "value", "placeholder")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS documents, CAST(0 AS BIGINT) AS mismatches FROM documents")
+def unmask_roundtrip(spark, sf_dir):
+    rows = mask.unmask(mask.mask(detect.analyze(_docs(spark, sf_dir).select("doc_id", "text"))))
+    return rows.agg(F.count("*").alias("documents"), F.count_if(~F.col("text").eqNullSafe(F.col("text_restored"))).alias("mismatches"))
+
+
+@query(r"""SELECT 'documents' AS source, count(*) AS n FROM documents WHERE regexp_matches(text, '\[[A-Z]{2,12}_[1-9][0-9]{0,4}\](#[0-9a-f]{16})?')
+UNION ALL SELECT 'conversations', count(*) FROM conversations WHERE regexp_matches(text, '\[[A-Z]{2,12}_[1-9][0-9]{0,4}\](#[0-9a-f]{16})?')""")
+def collision_scan(spark, sf_dir):
+    one = lambda name: _docs(spark, sf_dir, name).filter(mask.has_placeholder(F.col("text"))).agg(F.count("*").alias("n")).select(F.lit(name).alias("source"), "n")
+    return one("documents").unionByName(one("conversations"))
+
+
+@query("SELECT conv_id, turn, translate(text, 'çÇğĞıİöÖşŞüÜ', 'cCgGiIoOsSuU') AS folded FROM conversations")
+def diacritic_fold(spark, sf_dir):
+    return _docs(spark, sf_dir, "conversations").select("conv_id", "turn", corpus.fold_diacritics(F.col("text")).alias("folded"))
+
+
+_ACTIONS = f"""acted AS (
+  SELECT type, CASE WHEN type IN ('TR_TCKN','TR_VKN','TR_IBAN','IBAN_OTHER','CREDIT_CARD','TR_PHONE','TR_PLATE','TR_SGK','PERSON','ADDRESS','EMAIL') THEN 'mask'
+    WHEN type = 'ORG' THEN 'allow' ELSE 'block' END AS action FROM tax
+)"""
+
+
+@query(f"WITH {TAX_SQL}, {_ACTIONS} SELECT type, action FROM acted")
+def policy_actions(spark, sf_dir):
+    return policy.actions(tax.taxonomy(spark), policy.rules_table(spark)).select("type", "action")
+
+
+_POLICIES = [("p1", 10, None, ["admin"]), ("p2", 100, None, None), ("p3", 100, [1, 2, 3], ["admin", "user"]), ("p4", 100, [2], None), ("p0", 100, [2], None), ("p9", 500, [], None)]
+_SEGMENTS = {"BUILDING": "admin", "MACHINERY": "user"}
+
+
+@query("""WITH p(policy_id, priority, ids, roles) AS (VALUES ('p1', 10, NULL, ['admin']), ('p2', 100, NULL, NULL), ('p3', 100, [1, 2, 3], ['admin', 'user']), ('p4', 100, [2], NULL), ('p0', 100, [2], NULL), ('p9', 500, [], NULL)),
+c AS (SELECT c_custkey AS context_id, c_nationkey AS key, CASE c_mktsegment WHEN 'BUILDING' THEN 'admin' WHEN 'MACHINERY' THEN 'user' END AS role FROM customer),
+m AS (SELECT context_id, policy_id, priority, (ids IS NOT NULL)::INT + (roles IS NOT NULL)::INT AS specificity FROM c JOIN p ON (ids IS NULL OR list_contains(ids, key)) AND (roles IS NULL OR coalesce(list_contains(roles, role), false)))
+SELECT context_id, policy_id, priority, specificity FROM m QUALIFY row_number() OVER (PARTITION BY context_id ORDER BY priority DESC, specificity DESC, policy_id) = 1""")
+def policy_select_top1(spark, sf_dir):
+    policies = spark.createDataFrame(_POLICIES, "policy_id string, priority int, api_key_ids array<int>, roles array<string>")
+    role = F.when(F.col("c_mktsegment") == "BUILDING", "admin").when(F.col("c_mktsegment") == "MACHINERY", "user")
+    return policy.select(policies, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("context_id"), F.col("c_nationkey").alias("api_key_id"), role.alias("role")))
+
+
+@query(f"""WITH {EMAIL_SQL}, {CARD_SQL}, {TAX_SQL}, {_ACTIONS}, found AS (SELECT 'EMAIL' AS type FROM email UNION ALL SELECT 'CREDIT_CARD' FROM card)
+SELECT type, action, count(*) AS "count" FROM found JOIN acted USING (type) GROUP BY ALL""")
+def mask_event_counts(spark, sf_dir):
+    return policy.event_counts(_found(spark, sf_dir, ["EMAIL", "CREDIT_CARD"]), policy.actions(tax.taxonomy(spark), policy.rules_table(spark)))
+
+
+@query(f"WITH {CARD_SQL} SELECT doc_id, 'CREDIT_CARD' AS types FROM card GROUP BY doc_id")
+def blocked_documents(spark, sf_dir):
+    """Documents that a policy of default actions blocks."""
+    strict = tax.taxonomy(spark).withColumn("action", F.col("default_action"))
+    rows = policy.blocked_types(_found(spark, sf_dir, ["EMAIL", "CREDIT_CARD"]), strict, "doc_id")
+    return rows.select("doc_id", F.array_join("types", ",").alias("types"))
+
+
+@query(rf"""SELECT page_id, v AS value FROM (SELECT page_id, unnest(regexp_extract_all(html, '{_EMAIL}')) AS v FROM pages) WHERE length(v) <= 254 AND instr(v, '@') <= 65 AND NOT contains(v, '..')""")
+def html_scan(spark, sf_dir):
+    rows = detect.analyze(table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text")), types=["EMAIL"])
+    return detect.exploded(rows, "page_id").select("page_id", "value")
+
+
+@query()
+def tokenize_offsets(spark, sf_dir):
+    rows = _docs(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(detect.tokens(F.col("text"))).alias("t"))
+    return rows.select("conv_id", "turn", "t.token", "t.start", "t.end")
+
+
+@query()
+def token_span_align(spark, sf_dir):
+    rows = detect.analyze(_docs(spark, sf_dir).select("doc_id", "text"), types=["EMAIL", "CREDIT_CARD"]).filter(F.size("spans") > 0)
+    return corpus.prepare(rows, entities="spans").select("doc_id", "ner", "ner_labels", "misaligned")
+
+
+@query("SELECT n, f AS first, l AS last FROM (SELECT o_orderkey % 9 AS n FROM orders GROUP BY 1), range(9) AS x(f), range(9) AS y(l) WHERE f < n AND l < n AND l >= f AND l < f + 4")
+def candidate_spans(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 9).alias("n")).distinct()
+    made = rows.select("n", F.explode(spans.candidate_spans(F.col("n").cast("int"), 4)).alias("s"))
+    return made.select("n", F.col("s.first").cast("long").alias("first"), F.col("s.last").cast("long").alias("last"))
+
+
+@query("SELECT conv_id, min(turn) AS first_pos, string_agg(text, '' ORDER BY turn) AS text FROM (SELECT *, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM conversations WHERE role <> 'system') GROUP BY conv_id, g")
+def chat_coalesce_turns(spark, sf_dir):
+    parts = _docs(spark, sf_dir, "conversations").withColumn("type", F.when(F.col("role") == "system", "other").otherwise("text"))
+    return chat.coalesce_text(parts, ["conv_id"], "turn").select("conv_id", "first_pos", "text")
+
+
+def _joined() -> None:
+    for module in (relational, evaluation, streams):
+        for name, (f, sql) in module.REGISTERED.items():
+            QUERIES[name] = f
+            if sql:
+                ORACLE_SQL[name] = sql
+
+
+_joined()
+
