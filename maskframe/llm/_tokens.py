@@ -90,8 +90,23 @@ def whole(batches) -> pa.Table | None:
     return pa.Table.from_batches(got).combine_chunks() if got else None
 
 
-def split_parts(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order of ``keys`` (uint64) by part and key, and where each part starts in it (parts + 1)."""
-    part = (keys >> _U(33)) % _U(parts)
-    order = np.lexsort((keys, part))
+def split_parts(keys: np.ndarray, parts: int, ranges: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """An order of ``keys`` (uint64) by part and key, and where each part starts in it (parts + 1).
+
+    ``ranges``: parts are ranges of keys, for keys that are spread evenly.
+    """
+    part = ((keys >> _U(32)) * _U(parts)) >> _U(32) if ranges else (keys >> _U(33)) % _U(parts)
+    order = np.argsort(keys, kind="stable") if ranges else np.lexsort((keys, part))
     return order, np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
+
+
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers of 8 bytes, their first bytes together, then the second ones and so on, compressed."""
+    planes = np.ascontiguousarray(numbers.astype(np.uint64, copy=False).view(np.uint8).reshape(-1, 8).T)
+    return len(numbers).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=8 * n, codec="zstd"), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view(np.uint64).ravel()

@@ -13,9 +13,9 @@ array lookups, since the state before a token is known from the text alone.
 
 The automaton grows with the corpus, so no task gets the whole of it. Texts are dealt into
 blocks. A block sends each word and pair that it has, with its own training count, to the part
-that owns the hash; the part adds up and answers only where other blocks add to the count. So a
-block holds just the states and arcs that its texts can reach, and no key meets more rows than
-there are blocks. Words are compared by 64-bit hash.
+that owns the hash; the part adds up and answers what other blocks add to each count, in the
+order in which it was asked. So a block holds just the states and arcs that its texts can
+reach, and no key meets more rows than there are blocks. Words are compared by 64-bit hash.
 
 Null and empty texts are the end token alone. Repeated rows count each time.
 """
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskframe.llm._common import chunks, texts_of
-from maskframe.llm._tokens import Words, _U, mix, split_parts, whole, with_block
+from maskframe.llm._tokens import Words, _U, mix, pack, split_parts, unpack, whole, with_block
 
 #: Weight of the root's distribution in each state, in tokens.
 MASS = 400.0
@@ -37,7 +37,7 @@ PART_BYTES = 8 << 20
 #: Hash of the end token, which is also the state at the start of a text.
 END = _U(0x5851F42D4C957F2D)
 SENT = "part int, block int, keys binary, n binary"
-BACK = "block int, keys binary, n binary"
+BACK = "block int, part int, others binary"
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -73,6 +73,15 @@ def _tally(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(weight, first)
 
 
+def _deltas(keys: np.ndarray) -> bytes:
+    """Ascending keys as packed differences."""
+    return pack(np.diff(keys, prepend=_U(0)))
+
+
+def _sums(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data), dtype=np.uint64)
+
+
 def _totals(docs: DataFrame, text: str, learn: str, parts: int) -> tuple[int, int]:
     """N and V: training tokens, and how many different ones."""
 
@@ -80,16 +89,14 @@ def _totals(docs: DataFrame, text: str, learn: str, parts: int) -> tuple[int, in
         for batch in chunks(batches, text, 8 << 20):
             hashes, _ = tokens(texts_of(batch.column(0)))
             keys, n = _tally(hashes, np.ones(len(hashes), np.int64))
-            order, at = split_parts(keys, parts)
-            keys = keys[order]
-            for p in range(parts):
-                if at[p + 1] > at[p]:
-                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([keys[at[p] : at[p + 1]].tobytes()], pa.binary()), pa.array([int(n[order][at[p] : at[p + 1]].sum())], pa.int64())], names=["part", "keys", "n"])
+            _, at = split_parts(keys, parts, ranges=True)
+            full = np.flatnonzero(np.diff(at))
+            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([_deltas(keys[at[p] : at[p + 1]]) for p in full], pa.binary()), pa.array(np.add.reduceat(n, at[full]), pa.int64())], names=["part", "keys", "n"])
 
     def distinct(batches):
         table = whole(batches)
         if table is not None:
-            keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64)
+            keys = np.concatenate([_sums(x) for x in table.column("keys").to_pylist()])
             yield pa.RecordBatch.from_arrays([pa.array([int(sum(table.column("n").to_pylist()))], pa.int64()), pa.array([len(np.unique(keys))], pa.int64())], names=["n", "v"])
 
     sent = docs.filter(learn).select(text).mapInArrow(count, "part int, keys binary, n long")
@@ -109,15 +116,15 @@ class Arcs:
     """What one block knows: its own training counts, corrected by what the parts answered."""
 
     def __init__(self, hashes: np.ndarray, pair: np.ndarray, learnt: np.ndarray):
-        self.word_keys, self.word_n = _tally(hashes, learnt)
-        self.pair_keys, self.pair_n = _tally(pair, learnt)
+        self.word_keys, word_n = _tally(hashes, learnt)
+        self.pair_keys, pair_n = _tally(pair, learnt)
+        self.n = np.concatenate([word_n, pair_n])
+        self.word_n, self.pair_n = self.n[: len(word_n)], self.n[len(word_n) :]
 
-    def correct(self, keys: np.ndarray, n: np.ndarray) -> None:
-        for own, counts in ((self.word_keys, self.word_n), (self.pair_keys, self.pair_n)):
-            if len(own):
-                at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
-                hit = own[at] == keys
-                counts[at[hit]] = n[hit]
+    def by_part(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All keys, an order of them by part, and where parts start in it."""
+        keys = np.concatenate([self.word_keys, self.pair_keys])
+        return keys, *split_parts(keys, parts, ranges=True)
 
 
 def scores(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", mass: float = MASS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -147,35 +154,36 @@ def scores(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "
         block = table.column("__block").to_numpy()
         for x in np.unique(block):
             arcs = read(table.filter(pa.array(block == x)))[4]
-            keys, n = np.concatenate([arcs.word_keys, arcs.pair_keys]), np.concatenate([arcs.word_n, arcs.pair_n]).astype(np.uint32)
-            order, at = split_parts(keys, parts)
-            keys, n = keys[order], n[order]
+            keys, order, at = arcs.by_part(parts)
+            keys, n = keys[order], arcs.n[order]
             full = np.flatnonzero(np.diff(at))
-            cut = lambda a: pa.array([a[at[i] : at[i + 1]].tobytes() for i in full], pa.binary())  # noqa: E731,B023
-            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), x, np.int32)), cut(keys), cut(n)], names=["part", "block", "keys", "n"])
+            cut = lambda a, f: pa.array([f(a[at[i] : at[i + 1]]) for i in full], pa.binary())  # noqa: E731,B023
+            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), x, np.int32)), cut(keys, _deltas), cut(n, pack)], names=["part", "block", "keys", "n"])
 
     def answer(batches):
         table = whole(batches)
         if table is None:
             return
-        sizes = np.array([len(x) // 8 for x in table.column("keys").to_pylist()], dtype=np.int64)
-        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64)
-        n = np.frombuffer(b"".join(table.column("n").to_pylist()), np.uint32).astype(np.int64)
+        asked = [_sums(x) for x in table.column("keys").to_pylist()]
+        n = np.concatenate([unpack(x) for x in table.column("n").to_pylist()]).astype(np.int64)
+        ends = np.cumsum([len(x) for x in asked])
+        keys = np.concatenate(asked)
+        del asked
         order = np.argsort(keys)
-        block, keys, n = np.repeat(table.column("block").to_numpy(), sizes)[order], keys[order], n[order]
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        total_n = np.repeat(np.add.reduceat(n, first), np.diff(np.r_[first, len(keys)]))
-        other = np.flatnonzero(total_n != n)
-        order = other[np.argsort(block[other], kind="stable")]
-        block, keys, total_n = block[order], keys[order], total_n[order]
-        cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, np.int64)
-        for a, b in zip(cut, np.r_[cut[1:], len(block)], strict=False):
-            yield pa.RecordBatch.from_arrays([pa.array([int(block[a])], pa.int32()), pa.array([keys[a:b].tobytes()], pa.binary()), pa.array([total_n[a:b].tobytes()], pa.binary())], names=["block", "keys", "n"])
+        first = np.flatnonzero(np.r_[True, np.diff(keys[order]) != 0])
+        others = np.empty(len(n), dtype=np.int64)
+        others[order] = np.repeat(np.add.reduceat(n[order], first), np.diff(np.r_[first, len(keys)]))
+        others -= n
+        for i, end in enumerate(ends):
+            begin = ends[i - 1] if i else 0
+            if others[begin:end].any():
+                yield pa.RecordBatch.from_arrays([pa.array([table.column("block")[i].as_py()], pa.int32()), pa.array([table.column("part")[i].as_py()], pa.int32()), pa.array([pack(others[begin:end])], pa.binary())], names=["block", "part", "others"])
 
     def traverse(left, right):
         hashes, first, state, pair, arcs = read(left)
-        for keys, n in zip(right.column("keys").to_pylist(), right.column("n").to_pylist(), strict=True):
-            arcs.correct(np.frombuffer(keys, np.uint64), np.frombuffer(n, np.int64))
+        _, order, at = arcs.by_part(parts)
+        for part, others in zip(right.column("part").to_pylist(), right.column("others").to_pylist(), strict=True):
+            arcs.n[order[at[part] : at[part + 1]]] += unpack(others).astype(np.int64)
         c = _find(arcs.word_keys, arcs.word_n, hashes)
         root = (c + 0.5) / scale
         before = np.empty_like(c)
