@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +40,8 @@ def read_prepared(spark: SparkSession, path: str, strict: bool = True) -> DataFr
 
 def read_examples(spark: SparkSession, path: str) -> DataFrame:
     """Gold or token rows, whichever the file has, as (id, text, entities)."""
-    columns = spark.read.option("samplingRatio", 0.01).json(path).columns
-    if "tokenized_text" not in columns:
+    first = spark.read.text(path).limit(1).collect()
+    if not first or "tokenized_text" not in json.loads(first[0].value):
         return read_gold(spark, path).select("id", "text", "entities")
     rows = read_prepared(spark, path).withColumns({"text": rebuild_text(F.col("tokenized_text")), "__at": token_offsets(F.col("tokenized_text"))})
     start = lambda s: F.get("__at", s["first"])
@@ -76,7 +78,7 @@ def head(checkpoints: DataFrame) -> DataFrame:
 def read_frames(spark: SparkSession, path: str) -> DataFrame:
     """Event-stream files: a row for each frame (blank lines part frames, CRLF too), with its event name and data."""
     text = F.regexp_replace("value", "\r\n?", "\n")
-    frames = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split(text, "\n\n+")).alias("seq", "frame")).filter("trim(frame) <> ''")
+    frames = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split(text, "\n\n+")).alias("seq", "frame")).filter("trim(frame) <> ''")
     lines = F.split("frame", "\n")
     field = lambda name: F.array_join(F.transform(F.filter(lines, lambda x: x.startswith(f"{name}:")), lambda x: F.regexp_replace(x, f"^{name}: ?", "")), "\n")
     return frames.select("file", "seq", field("event").alias("event"), field("data").alias("data"))

@@ -73,8 +73,12 @@ def _restore_document(text: str, values: dict[str, str]) -> str:
         return text
 
 
-def limit_stream(hits: DataFrame, key: str, at: str, limit: int, window_ms: int) -> DataFrame:
-    """Hits with ``allowed``, as a stream: windows open with the first hit after the last has ended; idle keys expire."""
+def limit_stream(hits: DataFrame, key: str, at: str, limit: int, window_ms: int, expire: bool = True) -> DataFrame:
+    """Hits with ``allowed``, as a stream: windows open with the first hit after the last has ended.
+
+    With ``expire``, keys that were idle for a window are forgotten, which needs a running clock:
+    leave it off for a stream that is drained and ends.
+    """
     schema = f"{key} string, at timestamp, allowed boolean"
 
     def step(name, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -91,10 +95,11 @@ def limit_stream(hits: DataFrame, key: str, at: str, limit: int, window_ms: int)
             n += 1
             out.append((str(name[0]), t, n <= limit))
         state.update((ends, n))
-        state.setTimeoutDuration(max(1, window_ms))
+        if expire:
+            state.setTimeoutDuration(max(1, window_ms))
         yield pd.DataFrame(out, columns=[key, "at", "allowed"])
 
-    return hits.groupBy(key).applyInPandasWithState(step, schema, "ends bigint, n bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return hits.groupBy(key).applyInPandasWithState(step, schema, "ends bigint, n bigint", "append", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)
 
 
 def audit_rollup(records: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
