@@ -97,7 +97,7 @@ def isotonic(at: np.ndarray, n: np.ndarray, ones: np.ndarray) -> tuple[np.ndarra
 def fit(rows: DataFrame, label: str = "label", features: int = FEATURES, width: float = WIDTH, ridge: float = RIDGE, seed: int = 7) -> Model:
     """A model from rows of statistics ``x``, 0/1 labels and a fold number ``fold``."""
     size = rows.select(F.size("x").alias("n")).limit(1).collect()
-    k = size[0].n if size else 1
+    k = size[0].n if size else len(statistics(b""))
     got = rows.agg(F.count("*").alias("n"), *[f(F.get("x", F.lit(i))).alias(f"{name}{i}") for i in range(k) for name, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     if not got.n:
         return Model(np.zeros(k), np.ones(k), features, width, seed)

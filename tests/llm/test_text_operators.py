@@ -1,0 +1,273 @@
+"""Operators that judge or rewrite texts, against brute force."""
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from maskframe.llm import bpe, classifier, ngram_lm, pseudonyms, quality_rules, token_counts
+from maskframe.llm._common import crc_of, held_out
+
+SF = "/root/testdata/sf0.001"
+BPE = public_tokenizers.path("byte_bpe_50k.json")
+ODD = [None, "", " ", "one", "two words", "x" * 3000, "a b " * 2000, "\n\n\n", "İ 👩‍💻 ß é", "<|endoftext|> y", "tie tie tie tie", "tie tie tie tie"]
+
+
+def frame(spark, texts, **more):
+    """Texts with ids, a foreign column that clashes and one of nulls."""
+    rows = [(i, t, "x", None) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, `n.words` string, failed int")
+
+
+def sample(spark, n=60):
+    return [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(n).collect()] + ODD
+
+
+# --- quality rules -------------------------------------------------------------------------
+
+
+def brute_measures(text):
+    t = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", t)
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    grams = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    hit = {i + k for i in range(len(words) - 7) if grams[tuple(words[i : i + 8])] > 1 for k in range(8)}
+    return {
+        "n_words": len(words),
+        "word_chars": sum(map(len, words)),
+        "n_symbols": sum(c in "#*$%&|<>" for c in t),
+        "n_dup_lines": len(lines) - len(set(lines)),
+        "n_repeat_words": len(hit),
+    }
+
+
+def test_ledger(spark):
+    texts = sample(spark)
+    rows = quality_rules.ledger(frame(spark, texts), prefix="q_").orderBy("doc_id").collect()
+    assert len(rows) == len(texts)
+    for text, r in zip(texts, rows, strict=True):
+        want = brute_measures(text)
+        assert {k: r[f"q_{k}"] for k in want} == want
+        base = want["n_words"] < 20 or 100 * want["n_repeat_words"] > 30 * want["n_words"]
+        assert bool(r.q_failed & quality_rules.mask_of(quality_rules.BASE)) == base
+    assert rows[0]["n.words"] == "x" and rows[0]["failed"] is None
+
+
+def test_policies_and_ablation(spark):
+    rows = quality_rules.ledger(frame(spark, sample(spark)).drop("failed"))
+    kept = rows.filter(quality_rules.passes(F.col("failed"), "v1")).count()
+    total = rows.count()
+    table = {r.rule: r for r in quality_rules.ablation(rows).collect()}
+    bits = [r.failed for r in rows.collect()]
+    for i, name in enumerate(quality_rules.RULES):
+        assert table[name].n_failed == sum(b >> i & 1 for b in bits) if name in table else all(not b >> i & 1 for b in bits)
+    assert kept == sum(b == 0 for b in bits) < total
+    empty = quality_rules.ledger(frame(spark, []).drop("failed"))
+    assert empty.count() == 0 and "failed" in empty.columns
+
+
+# --- byte pairs and token counts ------------------------------------------------------------
+
+
+def library():
+    t = Tokenizer.from_file(BPE)
+    t.no_padding()
+    t.no_truncation()
+    return t
+
+
+def test_bpe_digests_equal_the_library(spark):
+    texts = [*sample(spark), "a" * 5000, "  x  \n\n y", "tokens<|endoftext|>", "\u0000\u0001", "don't we'll I'm"]
+    lib = library()
+    for text, r in zip(texts, bpe.digests(frame(spark, texts), BPE).orderBy("doc_id").collect(), strict=True):
+        ids = lib.encode(text or "", add_special_tokens=False).ids
+        assert r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(max_size=60))
+def test_bpe_any_text(text):
+    pairs = test_bpe_any_text.__dict__.setdefault("pairs", bpe.BytePairs(BPE))
+    lib = test_bpe_any_text.__dict__.setdefault("lib", library())
+    ids = pairs.encode([text])[0]
+    assert ids.tolist() == lib.encode(text, add_special_tokens=False).ids
+    assert pairs.decode(ids).decode() == text
+
+
+def test_bpe_ids_column(spark):
+    rows = bpe.encode(frame(spark, ["hello hello", None]), BPE).orderBy("doc_id").collect()
+    assert rows[0].ids == library().encode("hello hello").ids and rows[1].ids == []
+    assert bpe.digests(frame(spark, []), BPE).count() == 0
+
+
+def test_length_histogram(spark):
+    texts = sample(spark)
+    lengths = token_counts.lengths(frame(spark, texts), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    n = [r.n_tokens for r in lengths.orderBy("doc_id").collect()]
+    assert n[0] == len(library().encode(texts[0], add_special_tokens=False).ids)
+    h = token_counts.histogram(lengths)
+    for r in token_counts.limits(h).collect():
+        limit = r.context_limit
+        assert r.n_docs == n.count(limit) and r.n_docs_over == sum(x > limit for x in n) and r.tokens_over == sum(x for x in n if x > limit)
+        assert r.truncated_total == sum(min(x, limit) for x in n) and r.lost_tokens == sum(max(0, x - limit) for x in n) and r.total_tokens == sum(n)
+        assert r["quantile"] == pytest.approx(sum(x <= limit for x in n) / len(n))
+    assert token_counts.quantile(h, 0.5).first()[0] == sorted(n)[math.ceil(0.5 * len(n)) - 1]
+    assert token_counts.limits(token_counts.histogram(lengths.limit(0))).count() == 0
+
+
+# --- language model ---------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 23, 20_000])
+def test_automaton_equals_counting(spark, block_bytes):
+    texts = sample(spark, 40)
+    rows = {r.doc_id: r for r in ngram_lm.scores(frame(spark, texts), ~held_out(F.col("doc_id"), 5, 1), mass=7.0, block_bytes=block_bytes).collect()}
+    lower = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+    tokens = {i: [*(t or "").encode().translate(lower).split(), None] for i, t in enumerate(texts)}
+    one, two = Counter(), Counter()
+    for i, t in tokens.items():
+        if crc_of(i) % 5 != 1:
+            one.update(t)
+            two.update(zip([None, *t[:-1]], t))
+    n, v = sum(one.values()), len(one)
+    p = lambda w: (one[w] + 0.5) / (n + 0.5 * (v + 1))
+    for i, t in tokens.items():
+        r = rows[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(one[w] > 0 for w in t), n)
+        assert r.base_score == pytest.approx(sum(math.log10(p(w)) for w in t))
+        assert r.score == pytest.approx(sum(math.log10((two[h, w] + 7 * p(w)) / (one[h] + 7)) for h, w in zip([None, *t[:-1]], t)))
+    assert ngram_lm.scores(frame(spark, []), F.lit(True)).count() == 0
+
+
+def test_automaton_beats_single_words_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = held_out(F.col("doc_id"), 5, 1)
+    r = ngram_lm.scores(docs, ~held).filter(held).agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert r.s > r.b
+
+
+# --- classifier -------------------------------------------------------------------------------
+
+
+def test_classifier_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    held = held_out(F.col("doc_id"), 4, 2)
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, "")], "doc_id long, text string"))
+    out = classifier.quality(docs, labels, ~held)
+    assert out.count() == docs.count() and out.filter("score is null or score < 0 or score > 1 or predicted <> int(score >= 0.7)").count() == 0
+    rows = out.filter(held).join(labels, "doc_id").collect()
+    assert sum(r.predicted == r.quality for r in rows) / len(rows) > 0.95
+    flipped = classifier.quality(docs, labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality"))), ~held)
+    assert sorted(map(tuple, flipped.collect())) == sorted(map(tuple, out.collect()))
+
+
+def test_classifier_without_labels(spark):
+    labels = spark.createDataFrame([(0, None)], "doc_id long, quality int")
+    assert {r.score for r in classifier.quality(frame(spark, ["a", None]), labels, F.lit(True)).collect()} == {0.5}
+    assert classifier.quality(frame(spark, []), labels, F.lit(True)).count() == 0
+
+
+def test_isotonic_pools_violators():
+    at, share = classifier.isotonic([0, 1, 2, 3], [1, 1, 1, 1], [0, 1, 0, 1])
+    assert list(at) == [0, 1.5, 3] and list(share) == [0, 0.5, 1]
+
+
+# --- pseudonyms -------------------------------------------------------------------------------
+
+
+def feistel(key, tag, left, right, n_left, n_right):
+    for i in range(pseudonyms.ROUNDS):
+        other = right if i % 2 == 0 else left
+        digest = hashlib.sha256(f"{key}|{tag}|{i}|{n_left}x{n_right}|{other}|{key}".encode()).hexdigest()
+        shift = int(digest[:15], 16)
+        left, right = ((left + shift) % n_left, right) if i % 2 == 0 else (left, (right + shift) % n_right)
+    return left, right
+
+
+def many(spark, texts, key="k"):
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    return [r.text for r in pseudonyms.pseudonymize(rows, key).orderBy("i").collect()]
+
+
+def luhn(s):
+    d = [int(c) for c in s]
+    return (sum(d[-1::-2]) + sum(sum(divmod(2 * x, 10)) for x in d[-2::-2])) % 10 == 0
+
+
+def test_card_equals_the_written_out_network(spark):
+    rng = random.Random(1)
+    cards = []
+    for _ in range(30):
+        body = "".join(rng.choice("0123456789") for _ in range(15))
+        cards.append(next(body + str(c) for c in range(10) if luhn(body + str(c))))
+    got = pseudonyms.pseudonymize(spark.createDataFrame([(c,) for c in cards], "text string"), "k").collect()
+    for c, r in zip(cards, got, strict=True):
+        left, right = feistel("k", "card", int(c[:7]), int(c[7:15]), 10**7, 10**8)
+        assert r.text[:15] == f"{left:07d}{right:08d}" and luhn(r.text)
+
+
+def test_small_domains_are_permuted(spark):
+    pairs = spark.range(12 * 7).select((F.col("id") % 12).alias("l"), F.floor(F.col("id") / 12).alias("r"))
+    made = pairs.select(pseudonyms.feistel(F.lit("k"), "t", F.col("l"), F.col("r"), 12, 7).alias("p")).select("p.*")
+    assert made.distinct().count() == 84 and made.filter("l < 0 or l >= 12 or r < 0 or r >= 7").count() == 0
+    threes = spark.range(1000).select(pseudonyms.permute_digits(F.lit("k"), "t", F.format_string("%03d", "id")).alias("d"))
+    assert threes.distinct().count() == 1000 and threes.filter("length(d) <> 3").count() == 0
+    words = spark.range(676).select(pseudonyms.permute_letters(F.lit("k"), "t", F.concat(F.chr((97 + F.floor(F.col("id") / 26)).cast("long")), F.chr((97 + F.col("id") % 26).cast("long")))).alias("w"))
+    assert words.distinct().count() == 676
+
+
+FORMS = [
+    ("4111 1111 1111 1111", r"\d{4} \d{4} \d{4} \d{4}"),
+    ("DE89 3704 0044 0532 0130 00", r"DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d"),
+    ("GB82WEST12345698765432", r"GB\d\d[A-Z]{4}\d{14}"),
+    ("10.0.255.7", r"\d{1,3}(\.\d{1,3}){3}"),
+    ("+1 (017) 555-7713", r"\+1 \(\d{3}\) \d{3}-\d{4}"),
+    ("123-45-6789", r"\d{3}-\d{2}-\d{4}"),
+    ("2024-02-29", r"(19|20)\d\d-\d\d-\d\d"),
+    ("31.12.1999", r"\d\d\.\d\d\.(19|20)\d\d"),
+    ("12/31/1999", r"\d\d/\d\d/(19|20)\d\d"),
+    ("und.34@mail7.example.com", r"[a-z]{3}\.\d\d@mail7\.example\.com"),
+    ("Ö.12@mail7.example.com", r"Ö\.\d\d@mail7\.example\.com"),
+    ("04dbebab91ab85687d33eeaaf9ac699e1188f962", r"[0-9a-f]{40}"),
+]
+
+
+def test_forms_are_preserved_and_values_linked(spark):
+    got = many(spark, [f"é👩 {t}, {t}. 4.0. {t}###" for t, _ in FORMS])
+    other = many(spark, [t for t, _ in FORMS], "other")
+    for (text, form), g, o in zip(FORMS, got, other, strict=True):
+        values = re.fullmatch(r"é👩 (.*?), (.*?)\. 4\.0\. (.*?)###", g).groups()
+        assert len(set(values)) == 1 and re.fullmatch(form, values[0]) and values[0] not in (text, o)
+
+
+def test_what_fails_validation_stays(spark):
+    texts = ["4111 1111 1111 1112", "DE00 3704 0044 0532 0130 00", "256.1.1.1", "01.2.3.4", "2023-02-29", "000-12-3456", "666-12-3456", "Version 2.0.", "CC BY 4.0.", "1234567", "x@y", "", " ", None]
+    assert many(spark, texts) == texts
+
+
+def test_pseudonyms_of_tables(spark):
+    texts = sample(spark)
+    df = frame(spark, texts)
+    out = pseudonyms.pseudonymize(df, "k", count="n")
+    assert out.columns == [*df.columns, "n"] and out.count() == len(texts)
+    for t, r in zip(texts, out.orderBy("doc_id").collect(), strict=True):
+        assert (r.n == 0) == (t == r.text)
+        if t is not None:
+            for card in re.findall(r"(?<!\d)\d{16}(?!\d)", t):
+                assert not luhn(card) or card not in r.text
+            for mail in re.findall(r"[a-z]+\.\d\d@mail\d\.example\.com", t):
+                assert mail not in r.text
+    assert pseudonyms.pseudonymize(frame(spark, []), "k").count() == 0
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
