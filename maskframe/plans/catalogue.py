@@ -11,7 +11,7 @@ from maskframe import taxonomy as tax
 from maskframe.functions import checksums as C
 from maskframe.operators import chat, corpus, detect, mask, policy, spans
 from maskframe.plans import evaluation, relational, streams
-from maskframe.plans.tables import table
+from maskframe.plans.tables import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -45,7 +45,7 @@ def _docs(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
 
 def _found(spark: SparkSession, sf_dir: str, types: list[str] | None = None) -> DataFrame:
     """One row for each resolved span of the documents."""
-    rows = detect.analyze(_docs(spark, sf_dir).select("doc_id", "text"), types=types)
+    rows = detect.analyze(spread(_docs(spark, sf_dir).select("doc_id", "text")), types=types)
     return detect.exploded(rows, "doc_id")
 
 
@@ -78,7 +78,7 @@ def detect_all_spans(spark, sf_dir):
 @query("SELECT doc_id, 0::BIGINT AS n FROM documents WHERE false")
 def span_slice_check(spark, sf_dir):
     """Documents with a span whose offsets don't cut out what the recognizer saw (none)."""
-    rows = detect.analyze(_docs(spark, sf_dir).select("doc_id", "text"))
+    rows = detect.analyze(spread(_docs(spark, sf_dir).select("doc_id", "text")))
     masked = mask.mask(rows)
     bad = F.filter("mappings", lambda m: m["value"] != F.substring("text", m["start"] + 1, m["end"] - m["start"]))
     return masked.filter(F.size(bad) > 0).select("doc_id", F.size(bad).cast("long").alias("n"))
@@ -201,7 +201,7 @@ def type_histogram(spark, sf_dir):
 
 @query()
 def mask_documents(spark, sf_dir):
-    rows = mask.mask(detect.analyze(_docs(spark, sf_dir).select("doc_id", "text")))
+    rows = mask.mask(detect.analyze(spread(_docs(spark, sf_dir).select("doc_id", "text"))))
     return rows.select("doc_id", "masked_text", F.size("mappings").alias("n_mappings"), "error_code")
 
 
@@ -214,7 +214,7 @@ def placeholder_numbering(spark, sf_dir):
 
 @query("SELECT CAST(count(*) AS BIGINT) AS documents, CAST(0 AS BIGINT) AS mismatches FROM documents")
 def unmask_roundtrip(spark, sf_dir):
-    rows = mask.unmask(mask.mask(detect.analyze(_docs(spark, sf_dir).select("doc_id", "text"))))
+    rows = mask.unmask(mask.mask(detect.analyze(spread(_docs(spark, sf_dir).select("doc_id", "text")))))
     return rows.agg(F.count("*").alias("documents"), F.count_if(~F.col("text").eqNullSafe(F.col("text_restored"))).alias("mismatches"))
 
 
@@ -283,7 +283,7 @@ def tokenize_offsets(spark, sf_dir):
 
 @query()
 def token_span_align(spark, sf_dir):
-    rows = detect.analyze(_docs(spark, sf_dir).select("doc_id", "text"), types=["EMAIL", "CREDIT_CARD"]).filter(F.size("spans") > 0)
+    rows = detect.analyze(spread(_docs(spark, sf_dir).select("doc_id", "text")), types=["EMAIL", "CREDIT_CARD"]).filter(F.size("spans") > 0)
     return corpus.prepare(rows, entities="spans").select("doc_id", "ner", "ner_labels", "misaligned")
 
 

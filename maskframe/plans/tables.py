@@ -12,6 +12,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, for passes that cost far more than moving the rows.
+
+    Only a table of fewer file splits than cores is dealt out anew; larger ones, which is every
+    table at scale, are read as they lie and shuffle nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as audit records (seq, ts, kind, actor, entities, k)."""
     k = F.get_json_object("props", "$.k").cast("int")
