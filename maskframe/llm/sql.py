@@ -39,11 +39,11 @@ FROM judged
 OP5 = """
 WITH texts AS (
   SELECT row_number() OVER () AS r, doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents
-), starts AS (
+), starts AS MATERIALIZED (
   SELECT r, p, md5_number(substr(h, 2 * p + 1, 400)) AS s
   FROM (SELECT r, h, unnest(range(0, CAST(len(h) // 2 AS BIGINT) - 199)) AS p FROM texts)
 ), twice AS (
-  SELECT r, p FROM starts WHERE s IN (SELECT s FROM starts GROUP BY s HAVING count(*) > 1)
+  SELECT r, p FROM starts SEMI JOIN (SELECT s FROM starts GROUP BY s HAVING count(*) > 1) USING (s)
 ), marked AS (
   SELECT r, p, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + 200 THEN 0 ELSE 1 END AS fresh FROM twice
 ), runs AS (
