@@ -14,14 +14,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskframe.llm import bpe, decontaminate, pseudonyms, quality_rules, simhash
+from maskframe.llm import bpe, decontaminate, pseudonyms, quality_rules, similar
 from maskframe.llm._common import materialize, shared_dir
 
 POLICY = "v1"
 #: The key of the registered pipeline; a real one comes from a secret store.
 KEY = "not-a-secret"
-#: Near-duplicates: five words; 256 bits, of which similar texts (0.8) differ in about 39, and a margin of one and a half standard errors.
-WORDS, LANES, RADIUS, RATIO = 5, 4, 47, 0.8
+#: Near-duplicates: five words, a Jaccard similarity of 0.8. Candidates: 256 bits, of which such texts differ in about 39, and a margin of five and a half standard errors.
+WORDS, LANES, RADIUS, LEAST = 5, 4, 72, 0.8
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -32,15 +32,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One text of each group of near-duplicates: the row with the smallest doc_id.
+    """One text of each group of near-duplicates, joined by pairs of LEAST similarity or more: the row with the smallest doc_id.
 
     Of rows that share that id, repeated rows included, one stays; rows without an id stay, as
     nothing names them.
     """
     rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    marks = simhash.near_duplicates(rows.select("doc_id", "text"), words=WORDS, radius=RADIUS, lanes=LANES, ratio=RATIO)
+    marks = similar.near_duplicates(rows.select("__row", "doc_id", "text"), "__row", words=WORDS, radius=RADIUS, lanes=LANES, least=LEAST)
     # A component's name is the id of the row that stays, so names pick rows without a join on the groups.
-    names = marks.filter("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct()
+    names = marks.select(F.col("component_id").alias("doc_id")).distinct()
     named = rows.join(names, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("__row").alias("__row")).select("__row")
     return rows.join(named, "__row", "left_semi").unionByName(rows.filter("doc_id is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -49,11 +49,10 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
     return np.array([digest(flat[a:b], SEED) for a, b in zip(start, (end[words - 1 :] - 1).tolist(), strict=True)], dtype=np.uint64)
 
 
-def fingerprint(text: bytes, words: int, lanes: int) -> tuple[str, int]:
-    """Hexadecimal digits of the majority bits (64 a lane) and the number of shingles."""
-    h = shingle_hashes(text, words)
+def majority(h: np.ndarray, lanes: int) -> str:
+    """Hexadecimal digits of the majority bits (64 a lane) of some hashes."""
     if not len(h):
-        return "0" * 16 * lanes, 0
+        return "0" * 16 * lanes
     out = []
     for lane in range(lanes):
         value = mix(h + _U(lane)) if lane else h
@@ -61,7 +60,13 @@ def fingerprint(text: bytes, words: int, lanes: int) -> tuple[str, int]:
         for i in range(0, len(value), 1 << 16):
             ones += np.unpackbits(value[i : i + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
         out.append(np.packbits(2 * ones > len(h)).tobytes().hex())
-    return "".join(out), len(h)
+    return "".join(out)
+
+
+def fingerprint(text: bytes, words: int, lanes: int) -> tuple[str, int]:
+    """Hexadecimal digits of the majority bits (64 a lane) and the number of shingles."""
+    h = shingle_hashes(text, words)
+    return majority(h, lanes), len(h)
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, lanes: int = 1) -> DataFrame:
