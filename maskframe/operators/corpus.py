@@ -163,6 +163,37 @@ def contained(docs: DataFrame, items: DataFrame, key: str, text: str, item: str,
     return docs.select(F.col(key), F.col(text).alias("__t")).join(F.broadcast(phrases), F.contains("__t", "phrase")).select("item", key)
 
 
+def contained_any(docs: DataFrame, items: DataFrame, key: str, text: str, item: str, item_text: str, phrase_bytes: int = 4 << 20, most: int = 500) -> DataFrame:
+    """``contained`` for items of any size and number.
+
+    A word between two blanks of an item is a word between blanks of every text that holds the
+    item. So beyond ``most`` items (or ``phrase_bytes``), items meet the texts that have their
+    rarest such word, and those pairs are compared; items without such a word go to every task in
+    slices of about ``phrase_bytes``. A row for each pair of rows, as ``contained`` has it.
+    """
+    n, size = items.agg(F.count("*"), F.sum(F.octet_length(item_text))).first()
+    if n <= most and (size or 0) <= phrase_bytes:
+        return contained(docs, items, key, text, item, item_text, phrase_bytes)
+    rows = items.select(F.col(item).alias("item"), F.col(item_text).alias("phrase")).filter("phrase is not null")
+    texts = docs.select(F.col(key).alias("__key"), F.col(text).alias("__t")).filter("__t is not null").withColumn("__d", F.xxhash64("__t"))
+    parts = F.split("phrase", " ", -1)
+    inner = F.filter(F.array_distinct(F.slice(parts, 2, F.greatest(F.lit(0), F.size(parts) - 2))), lambda w: w != "")
+    split = rows.select("phrase").distinct().withColumn("words", inner)
+    wanted = split.select("phrase", F.explode("words").alias("word"))
+    # Equal hashes of different texts only add pairs to compare.
+    held = texts.select("__d", F.explode(F.array_distinct(F.split("__t", " ", -1))).alias("word")).join(wanted.select("word").distinct(), "word", "left_semi").distinct()
+    rarest = wanted.join(held.groupBy("word").count(), "word").groupBy("phrase").agg(F.min(F.struct("count", "word"))["word"].alias("word"))
+    near = rarest.join(held, "word").select("phrase", "__d").join(texts, "__d").filter(F.contains("__t", "phrase")).select("phrase", "__key")
+    found = [near.join(rows, "phrase").select("item", "__key")]
+    short = rows.join(split.filter(F.size("words") == 0).select("phrase"), "phrase", "left_semi")
+    total = short.agg(F.sum(F.octet_length("phrase"))).first()[0]
+    slices = 0 if total is None else max(1, -(-total // phrase_bytes))
+    for i in range(slices):
+        part = short.filter(F.pmod(F.xxhash64("phrase"), F.lit(slices)) == i)
+        found.append(texts.join(F.broadcast(part), F.contains("__t", "phrase")).select("item", "__key"))
+    return reduce(DataFrame.unionByName, found).withColumnRenamed("__key", key)
+
+
 def split_ranges(rows: DataFrame, row: str, bounds: dict[str, tuple[int, int]]) -> DataFrame:
     """Names the split of each row number; rows outside all ranges go."""
     name = reduce(lambda out, kv: F.when(F.col(row).between(kv[1][0], kv[1][1] - 1), kv[0]).otherwise(out), bounds.items(), F.lit(None).cast("string"))
