@@ -20,43 +20,48 @@ from maskframe.llm._common import materialize, shared_dir
 POLICY = "v1"
 #: The key of the registered pipeline; a real one comes from a secret store.
 KEY = "not-a-secret"
-#: Near-duplicates: five words, a Jaccard similarity of 0.8. Candidates: 256 bits, of which such texts differ in about 39, and a margin of five and a half standard errors.
+#: Near-duplicates: five words, a Jaccard similarity of 0.8. Candidates: bands of least hashes, then 256 bits, of which such texts differ in about 39, and a margin of five and a half standard errors.
 WORDS, LANES, RADIUS, LEAST = 5, 4, 72, 0.8
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def _plain(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with columns c0, c1 and so on, which clash with no operator's, and the name of its text."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), f"c{docs.columns.index('text')}"
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that pass the rule policy."""
-    rows = quality_rules.ledger(docs, prefix="__q_")
-    return rows.filter(quality_rules.passes(F.col("__q_failed"), POLICY)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    plain, text = _plain(docs)
+    rows = quality_rules.ledger(plain, text)
+    return rows.filter(quality_rules.passes(F.col("failed"), POLICY)).select(*plain.columns).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One text of each group of near-duplicates, joined by pairs of LEAST similarity or more: the row with the smallest doc_id.
+    """One row of each group of near-duplicates, joined by pairs of LEAST similarity or more.
 
-    Of rows that share that id, repeated rows included, one stays; rows without an id stay, as
-    nothing names them.
+    Rows group by their texts, whatever their ids: the row with the smallest doc_id stays, rows
+    without one only where no other has one, and of equal ones the first. Texts without words,
+    null ones too, are one group.
     """
-    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    marks = similar.near_duplicates(rows.select("__row", "doc_id", "text"), "__row", words=WORDS, radius=RADIUS, lanes=LANES, least=LEAST)
-    # A component's name is the id of the row that stays, so names pick rows without a join on the groups.
-    names = marks.select(F.col("component_id").alias("doc_id")).distinct()
-    named = rows.join(names, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("__row").alias("__row")).select("__row")
-    return rows.join(named, "__row", "left_semi").unionByName(rows.filter("doc_id is null")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    plain, text = _plain(docs)
+    rows = materialize(plain.withColumn("row", F.monotonically_increasing_id()), "rows")
+    marks = similar.near_duplicates(rows, "row", doc_id=f"c{docs.columns.index('doc_id')}", text=text, words=WORDS, radius=RADIUS, lanes=LANES, least=LEAST)
+    stay = marks.select(F.col("component").alias("row")).distinct()
+    return rows.join(stay, "row", "left_semi").select(*plain.columns).toDF(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that hold no window of a benchmark item."""
-    rows = docs.withColumn("__text", F.col("text"))
-    clash = {c: f"__c_{c}" for c in ("n_words", "hit_words", "items") if c in docs.columns}
-    marked = decontaminate.mark(rows.withColumnsRenamed(clash), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), text="__text")
-    clean = marked.filter(F.size("hit_words") == 0).drop("n_words", "hit_words", "items", "__text")
-    return clean.withColumnsRenamed({v: k for k, v in clash.items()}).select(*[F.col(f"`{c}`") for c in docs.columns])
+    plain, text = _plain(docs)
+    marked = decontaminate.mark(plain, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), text=text)
+    return marked.filter(F.size("hit_words") == 0).select(*plain.columns).toDF(*docs.columns)
 
 
 def pseudonymized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data replaced by keyed pseudonyms."""
-    return pseudonyms.pseudonymize(docs, KEY)
+    plain, text = _plain(docs)
+    return pseudonyms.pseudonymize(plain, KEY, text).toDF(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ ASCII white space, which is what ``bytes.split()`` yields on UTF-8.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -24,9 +25,15 @@ CHUNK_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a session in one process (tests) gets a temporary folder; a cluster has no
+    folder of that kind, so there it is an error.
+    """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         known = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")
@@ -34,10 +41,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: lineage ends here, and lost executors cost no recomputation."""
+    return materialize_at(df, label)[0]
+
+
+def materialize_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``materialize``, and the folder, for callers that remove it once nothing reads it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of ``materialize_at``."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def texts_of(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
@@ -98,42 +116,17 @@ def crc_of(doc_id) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, share: int = 1000, how: str = "left") -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total: int | None = None, share: int = 1000, how: str = "left") -> DataFrame:
     """Equi-join with ``right`` (one row for each key; ``weight``: rows of that key on the left) that no hot key can skew.
 
-    Keys with over 1/share of all the weight are fewer than ``share``, so those are broadcast;
-    the rest are joined by shuffle. ``weight`` is dropped.
+    Keys with over 1/share of all the weight (``total``, if known) are fewer than ``share``, so
+    those are broadcast; the rest are joined by shuffle. ``weight`` is dropped.
     """
-    total = right.agg(F.sum(weight)).first()[0] or 0
+    if total is None:
+        total = right.agg(F.sum(weight)).first()[0] or 0
     hot = right.filter(F.col(weight) * share > total)
     cold = right.filter(F.col(weight) * share <= total).drop(weight)
     marked = left.join(F.broadcast(hot.select(key, F.lit(True).alias("__hot"))), key, "left")
     a = marked.filter(F.col("__hot")).drop("__hot").join(F.broadcast(hot.drop(weight)), key, "inner")
     b = marked.filter(F.col("__hot").isNull()).drop("__hot").join(cold, key, how)
     return a.unionByName(b)
-
-
-class Bitmap:
-    """A Bloom filter of one bit an entry whose size is fixed beforehand, gathered as bit words."""
-
-    @staticmethod
-    def bits_for(entries: int, most: int = 1 << 27) -> int:
-        n = 1 << 16
-        while n < most and n < 64 * max(1, entries):
-            n <<= 1
-        return n
-
-    @staticmethod
-    def gather(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
-        """``bits`` / 64 words at most reach the driver, whatever the number of hashes."""
-        at = F.col(column).bitwiseAND(F.lit(bits - 1))
-        words = hashes.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-        out = np.zeros(bits // 64, dtype=np.uint64)
-        got = words.toPandas()
-        out[got["w"].to_numpy(dtype=np.int64)] = got["b"].to_numpy(dtype=np.int64).view(np.uint64)
-        return out
-
-    @staticmethod
-    def holds(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        at = hashes.view(np.uint64) & np.uint64(len(words) * 64 - 1)
-        return (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) != 0

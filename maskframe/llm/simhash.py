@@ -1,20 +1,25 @@
 """SimHash near-duplicates by tiled exact comparison.
 
-Equal fingerprints are one node. Nodes are compared in tiles: numpy exclusive-or and bit
-counts over a tile pair, which is skipped where the population counts of its tiles differ by
-more than the radius. For a small radius the nodes are first dealt into buckets by bands of
-their bits: of ``radius + 1`` bands one at least is untouched by ``radius`` differing bits, so
-every link meets in a bucket. For a large one every tile meets every other whose texts may be
-similar in length. Either way a task returns a spanning forest of what it has linked, never all
-pairs, and components come from rounds of star contraction over those edges.
+Equal fingerprints are one node. Nodes are dealt into buckets by bands of their bits: of ``k``
+bands, ``radius`` differing bits leave ``k - radius`` at least untouched, so every link meets in
+the bucket of some ``k - radius`` bands; ``k`` follows from the number of nodes, as more bands
+make more but narrower buckets. Within a bucket nodes are compared in tiles: numpy exclusive-or
+and bit counts over a tile pair, which is skipped where the population counts of its tiles differ
+by more than the radius. A task returns a spanning forest of what it has linked, never all pairs,
+and components come from rounds of star contraction over those edges.
 
 Null texts, empty ones and those without words have fingerprint zero, which links like any
-other. A null id never becomes a component's name; rows that share an id are one document.
-Repeated rows keep their number. Other columns are not read.
+other. Rows link as rows, whatever their ids: a row without an id links others and gets their
+component, rows that share an id may lie in different components. A component is named by the
+smallest id of its rows, by null if none has one. Repeated rows keep their number. Other columns
+are not read.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -22,17 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskframe.llm._common import join_hot, map_texts, materialize
+from maskframe.llm._common import join_hot, map_texts, materialize, materialize_at, remove
 from maskframe.llm._tokens import SPACED, _U, mix, whole
 
 SEED = 42
 TILE = 1024
-#: Nodes of one tile of the comparison of all with all.
-WIDE_TILE = 4096
 #: Nodes of a bucket above which it is compared in parts by several tasks.
 BUCKET = 16384
-#: Narrowest band that still makes small buckets.
-LEAST_BAND = 10
+#: Bits of a bucket's key below which buckets would be too large to compare.
+LEAST_BITS = 10
+#: Comparisons of two nodes that cost as much as dealing one node into one more bucket.
+ROW_COST = 400
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -70,13 +75,8 @@ def fingerprint(text: bytes, words: int, lanes: int) -> tuple[str, int]:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, lanes: int = 1) -> DataFrame:
-    """id, fingerprint, n_shingles of each text."""
-
-    def work(texts):
-        got = [fingerprint(t, words, lanes) for t in texts]
-        return [[x[0] for x in got], [x[1] for x in got]]
-
-    return map_texts(docs, text, work, T.StructType([T.StructField("fingerprint", T.StringType()), T.StructField("n_shingles", T.LongType())]), [doc_id])
+    """id and fingerprint of each text."""
+    return map_texts(docs, text, lambda texts: [[fingerprint(t, words, lanes)[0] for t in texts]], T.StructType([T.StructField("fingerprint", T.StringType())]), [doc_id])
 
 
 def _bits(column: list[str]) -> np.ndarray:
@@ -98,33 +98,60 @@ def _join(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = jump
 
 
-def link_tiles(left: np.ndarray, right: np.ndarray | None, radius: int, size: np.ndarray | None = None, ratio: float = 0, tile: int = TILE) -> np.ndarray:
-    """Least linked place for each of ``left`` (and then ``right``): within ``left`` if there is no ``right``, else across.
+def link_tiles(bits: np.ndarray, half: int | None, radius: int, size: np.ndarray | None = None, ratio: float = 0, tile: int = TILE) -> np.ndarray:
+    """Least linked place for each row of ``bits``: within all, or with ``half`` across rows before and from it.
 
-    With ``size``, of both, only places whose sizes lie within a factor of ``ratio`` are linked.
+    With ``size``, only places whose sizes lie within a factor of ``ratio`` are linked. What lies
+    near one row in the middle is linked through it first and not compared among itself, so a
+    large group of near copies costs no square of its size.
     """
-    both = left if right is None else np.concatenate([left, right])
-    label = np.arange(len(both))
-    ones = np.bitwise_count(both).sum(axis=1, dtype=np.int64)
-    order_l = np.argsort(ones[: len(left)], kind="stable")
-    order_r = order_l if right is None else len(left) + np.argsort(ones[len(left) :], kind="stable")
-    for a in range(0, len(order_l), tile):
-        rows = order_l[a : a + tile]
-        for b in range(a if right is None else 0, len(order_r), tile):
-            columns = order_r[b : b + tile]
-            if ones[columns[0]] - ones[rows[-1]] > radius:
-                break  # and so do all tiles beyond
-            if ones[rows[0]] - ones[columns[-1]] > radius:
-                continue
-            differ = np.zeros((len(rows), len(columns)), dtype=np.uint16)
-            for lane in range(both.shape[1]):
-                differ += np.bitwise_count(both[rows, lane][:, None] ^ both[columns, lane][None, :])
-            i, j = np.nonzero(differ <= radius)
-            i, j = rows[i], columns[j]
-            if size is not None:
-                alike = np.minimum(size[i], size[j]) >= ratio * np.maximum(size[i], size[j])
-                i, j = i[alike], j[alike]
-            _join(label, i, j)
+    label, n = np.arange(len(bits)), len(bits)
+    ones = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    cut = n if half is None else half
+    loose = np.ones(n, dtype=bool)
+
+    def alike(i, j):
+        return True if size is None else np.minimum(size[i], size[j]) >= ratio * np.maximum(size[i], size[j])
+
+    def near(i: int, places: np.ndarray) -> np.ndarray:
+        return places[(np.bitwise_count(bits[places] ^ bits[i]).sum(axis=1, dtype=np.int64) <= radius) & alike(places, i)]
+
+    if n > 2 * tile and cut:
+        middle = int(np.argsort(ones[:cut], kind="stable")[cut // 2])
+        far = near(middle, np.arange(0 if half is None else cut, n))
+        own = far[:0] if half is None or not len(far) else near(int(far[0]), np.arange(cut))
+        _join(label, np.full(len(far), middle), far)
+        _join(label, own, np.full(len(own), far[0] if len(own) else 0))
+        loose[far] = loose[own] = False
+
+    def compare(left: np.ndarray, right: np.ndarray, same: bool) -> None:
+        left = left[np.argsort(ones[left], kind="stable")]
+        right = left if same else right[np.argsort(ones[right], kind="stable")]
+        for a in range(0, len(left), tile):
+            rows = left[a : a + tile]
+            for b in range(a if same else 0, len(right), tile):
+                columns = right[b : b + tile]
+                if ones[columns[0]] - ones[rows[-1]] > radius:
+                    break  # and so do all tiles beyond
+                if ones[rows[0]] - ones[columns[-1]] > radius:
+                    continue
+                differ = np.zeros((len(rows), len(columns)), dtype=np.uint16)
+                for lane in range(bits.shape[1]):
+                    differ += np.bitwise_count(bits[rows, lane][:, None] ^ bits[columns, lane][None, :])
+                i, j = np.nonzero(differ <= radius)
+                i, j = rows[i], columns[j]
+                if size is not None:
+                    good = alike(i, j)
+                    i, j = i[good], j[good]
+                _join(label, i, j)
+
+    place = np.arange(n)
+    if half is None:
+        compare(place[loose], place[loose], True)
+        compare(place[loose], place[~loose], False)
+    else:
+        compare(place[:cut][loose[:cut]], place[cut:], False)
+        compare(place[:cut][~loose[:cut]], place[cut:][loose[cut:]], False)
     return label
 
 
@@ -134,96 +161,93 @@ def _forest(node: np.ndarray, label: np.ndarray):
     return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b), pa.int64()), pa.array(np.minimum(a, b), pa.int64())], names=["a", "b"])
 
 
-def _banded(nodes: DataFrame, radius: int) -> DataFrame:
-    """Edges between nodes (node, fingerprint of 64 bits) that share a band and differ in ``radius`` bits at most."""
-    cut = [round(64 * i / (radius + 1)) for i in range(radius + 2)]
-    value = F.conv("fingerprint", 16, -10).cast("long")
-    bands = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(value, 64 - cut[i + 1]).bitwiseAND(F.lit((1 << (cut[i + 1] - cut[i])) - 1)).alias("value")) for i in range(radius + 1)])
-    rows = nodes.select("node", "fingerprint", F.explode(bands).alias("x")).select("node", "fingerprint", F.expr("x.band * 4294967296L + x.value").alias("bucket"))
-    rows = materialize(rows, "bands")
+def bands_for(n: int, radius: int, bits: int) -> int:
+    """The number of bands that makes dealing and comparing ``n`` nodes cheapest, exact for ``radius`` in any case."""
+
+    def cost(k: int) -> float:
+        return comb(k, radius) * (n * ROW_COST + n * n / 2.0 ** (bits * (k - radius) // k))
+
+    able = [k for k in range(radius + 1, radius + 6) if bits * (k - radius) // k >= LEAST_BITS]
+    if not able:
+        raise ValueError(f"a radius of {radius} in {bits} bits leaves no band of {LEAST_BITS} bits")
+    return min(able, key=cost)
+
+
+def band_keys(bits: np.ndarray, radius: int, bands: int) -> np.ndarray:
+    """The bucket of each row (first axis) for each choice of ``bands - radius`` bands."""
+    flat = np.unpackbits(bits.astype(">u8").view(np.uint8).reshape(len(bits), -1), axis=1)
+    cut = [round(flat.shape[1] * i / bands) for i in range(bands + 1)]
+    value = [mix((flat[:, a:b].astype(_U) << np.arange(b - a, dtype=_U)).sum(axis=1, dtype=_U)) for a, b in zip(cut, cut[1:], strict=False)]
+    keys = []
+    for i, chosen in enumerate(combinations(range(bands), bands - radius)):
+        key = np.full(len(bits), i, dtype=_U)
+        for band in chosen:
+            key = mix(key * _U(0x9E3779B97F4A7C15) ^ value[band])
+        keys.append(key.view(np.int64))
+    return np.stack(keys, axis=1) if len(bits) else np.zeros((0, comb(bands, radius)), np.int64)
+
+
+def in_bands(nodes: DataFrame, radius: int, n: int, bits: int) -> DataFrame:
+    """(bucket, node, fingerprint) of ``n`` nodes for each bucket that they fall into."""
+    bands = bands_for(n, radius, bits)
+
+    def run(batches):
+        for batch in batches:
+            keys = band_keys(_bits(batch.column("fingerprint").to_pylist()) if batch.num_rows else np.zeros((0, bits // 64), _U), radius, bands)
+            at = np.repeat(np.arange(len(keys)), keys.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel(), pa.int64()), batch.column("node").take(pa.array(at)), batch.column("fingerprint").take(pa.array(at))], names=["bucket", "node", "fingerprint"])
+
+    return nodes.select("node", "fingerprint").mapInArrow(run, "bucket long, node long, fingerprint string")
+
+
+def link_buckets(rows: DataFrame, radius: int, ratio: float = 0) -> DataFrame:
+    """Edges (a, b) between nodes of a bucket (bucket, node, fingerprint, and n_shingles with a ``ratio``) that differ in ``radius`` bits at most."""
+    size = ["n_shingles"] if ratio else []
+    rows = materialize(rows.select("bucket", "node", "fingerprint", *size), "buckets")
+    n = max(1, rows.count() // 50_000)
     large = rows.groupBy("bucket").count().filter(F.col("count") > BUCKET).select("bucket", F.ceil(F.col("count") / BUCKET).cast("int").alias("cuts"))
     # A large bucket falls into cuts; a cell is a pair of them, and a row goes to each cell of its cut.
     cuts = F.coalesce("cuts", F.lit(1))
     mine = F.pmod(F.xxhash64("node"), cuts).cast("int")
-    dealt = rows.join(large, "bucket", "left").select("node", "fingerprint", "bucket", mine.alias("mine"), F.explode(F.sequence(F.lit(0), cuts - 1)).alias("other"))
-    dealt = dealt.select("node", "fingerprint", "bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("low"))
-    n = max(1, rows.count() // 50_000)
+    dealt = rows.join(large, "bucket", "left").select("node", "fingerprint", *size, "bucket", mine.alias("mine"), F.explode(F.sequence(F.lit(0), cuts - 1)).alias("other"))
+    dealt = dealt.select("node", "fingerprint", *size, "bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("low"))
 
     def run(batches):
         table = whole(batches)
         if table is None:
             return
-        bits, node = _bits(table.column("fingerprint").to_pylist()), table.column("node").to_numpy()
-        bucket, i, j, low = (table.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "i", "j", "low"))
+        node, bucket, i, j, low, *n_shingles = (table.column(c).to_numpy(zero_copy_only=False) for c in ("node", "bucket", "i", "j", "low", *size))
         order = np.lexsort((~low, j, i, bucket))
-        bits, node, bucket, i, j, low = bits[order], node[order], bucket[order], i[order], j[order], low[order]
+        bucket, i, j = bucket[order], i[order], j[order]
         cell = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
-        for a, b in zip(cell, np.r_[cell[1:], len(bucket)], strict=True):
-            if b - a > 1:
-                half = a + int(low[a:b].sum()) if i[a] != j[a] else b
-                label = link_tiles(bits[a:half], bits[half:b] if half < b else None, radius)
-                out = _forest(node[a:b], label)
-                if out.num_rows:
-                    yield out
+        end = np.r_[cell[1:], len(bucket)]
+        for a, b in zip(cell[end - cell > 1].tolist(), end[end - cell > 1].tolist(), strict=True):
+            at = order[a:b]
+            half = int(low[at].sum()) if i[a] != j[a] else None
+            label = link_tiles(_bits(table.column("fingerprint").take(pa.array(at)).to_pylist()), half, radius, n_shingles[0][at] if size else None, ratio)
+            out = _forest(node[at], label)
+            if out.num_rows:
+                yield out
 
     return dealt.repartition(n, "bucket", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
-def _wide(nodes: DataFrame, radius: int, ratio: float) -> DataFrame:
-    """Edges between any nodes (node, fingerprint, n_shingles) that differ in ``radius`` bits at most, shingle counts within ``ratio``."""
-    step = F.when(F.col("n_shingles") > 0, F.floor(F.log("n_shingles") / F.lit(-float(np.log(ratio))))).otherwise(-1).cast("int")
-    sized = nodes.withColumn("step", step)
-    counts = sized.groupBy("step").agg(F.ceil(F.count("*") / WIDE_TILE).cast("int").alias("tiles"))
-    placed = sized.join(F.broadcast(counts), "step").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))  # a step for each factor of 1/ratio: at most some hundred rows
-    n = max(1, placed.count() // (2 * WIDE_TILE))
-
-    def pack(batches):
-        table = whole(batches)
-        if table is None:
-            return
-        step, tile = table.column("step").to_numpy(), table.column("tile").to_numpy()
-        bits, node, size = _bits(table.column("fingerprint").to_pylist()), table.column("node").to_numpy(), table.column("n_shingles").to_numpy()
-        order = np.lexsort((tile, step))
-        step, tile, bits, node, size = step[order], tile[order], bits[order], node[order], size[order]
-        cut = np.flatnonzero(np.r_[True, (step[1:] != step[:-1]) | (tile[1:] != tile[:-1])])
-        for a, b in zip(cut, np.r_[cut[1:], len(step)], strict=True):
-            ones = np.bitwise_count(bits[a:b]).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array([int(step[a])], pa.int32()), pa.array([int(tile[a])], pa.int32()), pa.array([int(ones.min())], pa.int32()), pa.array([int(ones.max())], pa.int32()), pa.array([node[a:b].astype(np.int64).tobytes()], pa.binary()), pa.array([bits[a:b].tobytes()], pa.binary()), pa.array([size[a:b].astype(np.int64).tobytes()], pa.binary())], names=["step", "tile", "least", "most", "node", "bits", "size"])
-
-    tiles = materialize(placed.select("node", "fingerprint", "n_shingles", "step", "tile").repartition(n, "step", "tile").mapInArrow(pack, "step int, tile int, least int, most int, node binary, bits binary, size binary"), "tiles")
-    lanes = len(nodes.select("fingerprint").limit(1).collect()[0][0]) // 16 if tiles.count() else 1
-    left = tiles.select(F.col("step").alias("step1"), F.col("tile").alias("tile1"), F.col("least").alias("least1"), F.col("most").alias("most1"), F.explode(F.array("step", F.col("step") + 1)).alias("step"))
-    near = (F.col("least1") - F.col("most") <= radius) & (F.col("least") - F.col("most1") <= radius)
-    once = (F.col("step1") < F.col("step")) | (F.col("tile1") <= F.col("tile"))
-    pairs = left.join(tiles.select("step", "tile", "least", "most"), "step").filter(near & once).select("step1", "tile1", "step", "tile")
-    first = tiles.select(F.col("step").alias("step1"), F.col("tile").alias("tile1"), F.col("node").alias("node1"), F.col("bits").alias("bits1"), F.col("size").alias("size1"))
-    cells = max(1, pairs.count())
-    work = pairs.repartition(min(cells, 4096), "step1", "tile1", "step", "tile").join(first, ["step1", "tile1"]).join(tiles.select("step", "tile", "node", "bits", "size"), ["step", "tile"])
-
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                bits1, bits2 = (np.frombuffer(row[c], dtype=np.uint64).reshape(-1, lanes) for c in ("bits1", "bits"))
-                node1, node2, size1, size2 = (np.frombuffer(row[c], dtype=np.int64) for c in ("node1", "node", "size1", "size"))
-                own = row["step1"] == row["step"] and row["tile1"] == row["tile"]
-                label = link_tiles(bits1, None if own else bits2, radius, size1 if own else np.concatenate([size1, size2]), ratio)
-                out = _forest(node1 if own else np.concatenate([node1, node2]), label)
-                if out.num_rows:
-                    yield out
-
-    return work.select("step1", "tile1", "step", "tile", "node1", "bits1", "size1", "node", "bits", "size").mapInArrow(run, "a long, b long").distinct()
-
-
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(node, root) of every node of ``edges`` (a, b): the least node that it reaches, by large and small stars in turn."""
-    current = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    """(node, root) of every node of ``edges`` (a, b) but the roots: the least node that it reaches, by large and small stars in turn.
+
+    A node with a great many neighbours is a hot key of both joins, which ``join_hot`` spreads.
+    """
+    spark = edges.sparkSession
+    current, path = materialize_at(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     for _ in range(rounds):
+        total = 2 * current.count()
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
-        current = materialize(small, "edges")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        large = join_hot(both, least, "a", "n", total).filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = join_hot(large, low, "a", "n", total).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
+        before, (current, path) = path, materialize_at(small, "edges")
+        remove(spark, before)
         # Done when every node hangs on one root that itself hangs on none.
         roots = current.select(F.col("b").alias("a")).distinct()
         open_ = current.join(roots, "a", "left_semi").limit(1).count() or current.groupBy("a").count().filter("count > 1").limit(1).count()
@@ -234,20 +258,17 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4, lanes: int = 1, ratio: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4, lanes: int = 1) -> DataFrame:
     """id, fingerprint and component_id (the smallest id reachable over links) of each text.
 
-    ``ratio``: texts whose numbers of shingles differ by more than this factor are not linked
-    (used where the radius is too large for bands, and 0.5 if not given).
+    A radius that leaves no band of LEAST_BITS bits is refused.
     """
+    bands_for(1, radius, 64 * lanes)
     marks = materialize(fingerprints(docs, doc_id, text, words, lanes).withColumnRenamed(doc_id, "__id"), "fingerprints")
-    nodes = marks.groupBy("fingerprint").agg(F.min("__id").alias("node"), F.count("*").alias("n"), F.max("n_shingles").alias("n_shingles"))
+    nodes = marks.groupBy("fingerprint").agg(F.min("__id").alias("least"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id())
     nodes = materialize(nodes, "nodes")
-    alive = nodes.filter("node is not null").select("node", "fingerprint", "n_shingles")
-    if lanes == 1 and 64 // (radius + 1) >= LEAST_BAND:
-        edges = _banded(alive, radius)
-    else:
-        edges = _wide(alive, radius, ratio if ratio is not None else 0.5)
-    roots = components(edges)
-    named = nodes.join(roots, "node", "left").select("fingerprint", "n", F.coalesce("root", "node").alias("component_id"))
+    roots = materialize(components(link_buckets(in_bands(nodes, radius, nodes.count(), 64 * lanes), radius)), "roots")
+    hung = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    names = hung.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("hung"))
+    named = join_hot(hung.select("root", "fingerprint", "n"), names, "root", "hung").select("fingerprint", "n", "component_id")
     return join_hot(marks.select("__id", "fingerprint"), named, "fingerprint", "n").select(F.col("__id").alias(doc_id), "fingerprint", "component_id")

@@ -1,12 +1,14 @@
 """Near-duplicates by the exact Jaccard similarity of shingle sets.
 
-Texts with the same set of shingles are one node. Fingerprints of the sets only propose: nodes
-that differ in ``radius`` bits at most, in tiles as in ``simhash``, fall into groups of proposed
-links. The shingle sets of a group then meet in one task, or in one for each pair of its cuts
-where it is large, and every pair within the radius is compared there; only a pair that verified
-links already join is passed over. Links, and so components, come from verified pairs alone.
-
-Sets are compared by the XXH64 of their shingles. Texts without words share the empty set.
+Texts with the same set of shingles are one node. Bands of least hashes (MinHash) of the sets deal
+the nodes into buckets; in a bucket fingerprints of the sets are compared in tiles as in
+``simhash``, and nodes that differ in ``radius`` bits at most are proposed as links. The shingle
+sets of a group of proposed links then meet in one task, or in one for each pair of its cuts where
+it is large, and every pair within the radius is compared there; only a pair that verified links
+already join is passed over. Links, and so components, come from verified pairs alone.
+
+Sets are compared by the XXH64 of their shingles. Texts without words share the empty set. Rows
+link as rows, whatever their ids, which may be null or repeated.
 """
 
 from __future__ import annotations
@@ -18,22 +20,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskframe.llm._common import map_texts, materialize
-from maskframe.llm._tokens import whole
-from maskframe.llm.simhash import _bits, _forest, _join, _wide, components, majority, shingle_hashes
+from maskframe.llm._common import join_hot, map_texts, materialize
+from maskframe.llm._tokens import _U, mix, whole
+from maskframe.llm.simhash import _bits, _forest, _join, components, link_buckets, majority, shingle_hashes
 
 #: Nodes and shingles of a group above which it is compared in cuts by several tasks.
 GROUP, GROUP_SHINGLES = 2048, 1 << 20
+#: Bands and least hashes in each: sets of 0.8 similarity share no band with a chance of 1 in 4,600.
+BANDS, ROWS = 16, 4
+
+
+def band_keys(sets: list[np.ndarray], bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """A bucket for each set (first axis) and band: a hash of the ``rows`` least hashes of its shingles."""
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    full = np.flatnonzero(size)
+    keys = np.zeros((bands, len(sets)), dtype=_U)
+    if len(full):
+        flat = mix(np.concatenate([sets[i] for i in full]))
+        start = np.cumsum(size[full]) - size[full]
+        draw = np.random.Generator(np.random.PCG64(97)).integers(1, 1 << 63, bands * rows, dtype=_U) << _U(1) | _U(1)
+        for band in range(bands):
+            key = np.full(len(full), band + 1, dtype=_U)
+            for factor in draw[band * rows : (band + 1) * rows]:
+                value = flat * factor
+                key = mix(key * _U(0x9E3779B97F4A7C15) ^ np.minimum.reduceat(value ^ value >> _U(32), start))
+            keys[band, full] = key
+    return keys.T.view(np.int64)
 
 
 def _sets(rows: DataFrame, doc_id: str, text: str, row: str, words: int, lanes: int) -> DataFrame:
-    """id, row, digest of the shingle set, its fingerprint and size, of each text."""
+    """id, row, digest of the shingle set, its fingerprint, size and buckets, of each text."""
 
     def work(texts):
         sets = [np.unique(shingle_hashes(t, words)) for t in texts]
-        return [[xxhash.xxh3_128_digest(h.tobytes()) for h in sets], [majority(h, lanes) for h in sets], [len(h) for h in sets]]
+        return [[xxhash.xxh3_128_digest(h.tobytes()) for h in sets], [majority(h, lanes) for h in sets], [len(h) for h in sets], list(band_keys(sets))]
 
-    new = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("fingerprint", T.StringType()), T.StructField("n_shingles", T.LongType())])
+    new = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("fingerprint", T.StringType()), T.StructField("n_shingles", T.LongType()), T.StructField("buckets", T.ArrayType(T.LongType()))])
     return map_texts(rows, text, work, new, [doc_id, row])
 
 
@@ -97,16 +119,19 @@ def _verified(groups: DataFrame, rows: DataFrame, text: str, row: str, words: in
 
 
 def near_duplicates(rows: DataFrame, row: str, doc_id: str = "doc_id", text: str = "text", words: int = 5, radius: int = 72, lanes: int = 4, least: float = 0.8) -> DataFrame:
-    """node (smallest id of each set of shingles) and component_id (the smallest id reachable over verified links).
+    """The groups of ``rows``: (node, component), a row number for each different set of shingles and one for its group.
 
-    ``row`` names each of ``rows``, which must be materialized. Sets that only rows without an id have are left out.
+    ``row`` numbers ``rows``, which must be materialized. Both numbers are those of the row with
+    the smallest id (rows without one come last), and of these the smallest number.
     """
     marks = materialize(_sets(rows, doc_id, text, row, words, lanes), "sets")
-    nodes = marks.filter(F.col(doc_id).isNotNull()).groupBy("digest").agg(F.min(doc_id).alias("node"), F.min(row).alias(row), F.first("fingerprint").alias("fingerprint"), F.first("n_shingles").alias("n_shingles"))
-    nodes = materialize(nodes.drop("digest"), "nodes")
+    first = F.min(F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), F.col(row).alias("node"), "fingerprint", "n_shingles", "buckets"))
+    nodes = materialize(marks.groupBy("digest").agg(first.alias("x")).select("x.*"), "nodes")
     # Sizes of sets of 0.8 similarity lie within that factor; a hair less, as it is compared in floating point.
-    proposed = components(_wide(nodes, radius, least - 1e-9))
+    proposed = components(link_buckets(nodes.select(F.explode("buckets").alias("bucket"), "node", "fingerprint", "n_shingles"), radius, least - 1e-9))
     members = proposed.unionByName(proposed.select(F.col("root").alias("node"), "root").distinct())  # roots are not listed
-    groups = materialize(nodes.join(members, "node"), "proposed")
-    roots = components(_verified(groups, rows, text, row, words, radius, least))
-    return nodes.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("component_id"))
+    groups = materialize(nodes.select(F.col("node").alias(row), "node", "fingerprint", "n_shingles").join(members, "node"), "proposed")
+    roots = materialize(components(_verified(groups, rows, text, row, words, radius, least)), "roots")
+    hung = nodes.select("no_id", "id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    heads = hung.groupBy("root").agg(F.min(F.struct("no_id", "id", "node"))["node"].alias("component"), F.count("*").alias("n"))
+    return join_hot(hung.select("node", "root"), heads, "root", "n").select("node", "component")

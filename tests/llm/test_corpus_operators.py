@@ -5,11 +5,14 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from maskframe.llm import decontaminate, shards, simhash, suffix_dedup
 from maskframe.llm._common import shared_dir
+from maskframe.llm._tokens import mix
 
 SF = "/root/testdata/sf0.001"
 ODD = [None, "", " ", "one", "Two  words", "two words", "x" * 3000, "ab" * 400, "\n\n", "İ 👩‍💻 ß é", "tie tie tie tie", "tie tie tie tie"]
@@ -66,7 +69,21 @@ def test_collisions_are_verified():
     assert group[0] == group[1] != group[2]
 
 
-def components(marks, radius, ratio=0.0):
+def xxh_fingerprint(text, words, lanes):
+    """Majority bits counted one by one."""
+    w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").split(" ")
+    w = [x for y in w for x in re.split(r"[\x09-\x0d]+", y) if x]
+    grams = [" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))] if w else []
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    out = 0
+    for lane in range(lanes):
+        values = h if not lane else [int(mix(np.array([x], np.uint64) + np.uint64(lane))[0]) for x in h]
+        for bit in range(63, -1, -1):
+            out = out << 1 | (2 * sum(x >> bit & 1 for x in values) > len(values))
+    return out
+
+
+def components(marks, radius):
     root = list(range(len(marks)))
 
     def find(x):
@@ -74,36 +91,104 @@ def components(marks, radius, ratio=0.0):
             x = root[x]
         return x
 
-    for i, (_, f, n) in enumerate(marks):
+    for i, (_, f) in enumerate(marks):
         for j in range(i):
-            if (f ^ marks[j][1]).bit_count() <= radius and min(n, marks[j][2]) >= ratio * max(n, marks[j][2]):
+            if (f ^ marks[j][1]).bit_count() <= radius:
                 root[find(i)] = find(j)
     name = {}
-    for i, (k, _, _) in enumerate(marks):
+    for i, (k, _) in enumerate(marks):
         if k is not None:
             name[find(i)] = min(name.get(find(i), k), k)
     return [name.get(find(i)) for i in range(len(marks))]
 
 
-@pytest.mark.parametrize("words,radius,lanes,ratio,bucket", [(4, 4, 1, None, 16384), (4, 4, 1, None, 3), (5, 47, 4, 0.8, 0)])
-def test_simhash_components(spark, monkeypatch, words, radius, lanes, ratio, bucket):
-    monkeypatch.setattr(simhash, "BUCKET", bucket or 16384)
-    monkeypatch.setattr(simhash, "WIDE_TILE", 20)
+@pytest.mark.parametrize("words,radius,lanes,bucket", [(4, 4, 1, 16384), (4, 4, 1, 3), (5, 18, 4, 16384)])
+def test_simhash_components(spark, monkeypatch, words, radius, lanes, bucket):
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
     texts = sample(spark)
     df = frame(spark, texts).select("doc_id", "text").unionByName(spark.createDataFrame([(None, "Two words")], "doc_id long, text string"))
     ids = [*range(len(texts)), 0, None]
-    marks = []
-    for k, t in zip(ids, [*texts, texts[0], "Two words"], strict=True):
-        f, n = simhash.fingerprint((t or "").encode(), words, lanes)
-        marks.append((k, int(f, 16), n))
-    want = sorted((str(k), f"{f:0{16 * lanes}x}", c) for (k, f, _), c in zip(marks, components(marks, radius, ratio or 0), strict=True))
-    got = simhash.near_duplicates(df, words=words, radius=radius, lanes=lanes, ratio=ratio).collect()
-    assert sorted((str(r.doc_id), r.fingerprint, r.component_id) for r in got) == want
+    marks = [(k, xxh_fingerprint(t, words, lanes)) for k, t in zip(ids, [*texts, texts[0], "Two words"], strict=True)]
+    want = sorted((str(k), f"{f:0{16 * lanes}x}", str(c)) for (k, f), c in zip(marks, components(marks, radius), strict=True))
+    got = simhash.near_duplicates(df, words=words, radius=radius, lanes=lanes).collect()
+    assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in got) == want
+
+
+def near_rows(spark, monkeypatch, rows, radius=4):
+    """near_duplicates of rows (id, fingerprint)."""
+    made = spark.createDataFrame([(k, f"{f:016x}") for k, f in rows], "doc_id long, fingerprint string")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: made)
+    return sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in simhash.near_duplicates(made.withColumn("text", F.lit(""))).collect())
+
+
+def test_rows_link_whatever_their_ids(spark, monkeypatch):
+    a, m, b, x, y = 0, 0b1111, 0b1111111 << 3, 0xFFFF << 40, (0xFFFF << 40) + 7
+    b = m ^ (0b111 << 10)
+    for rows in (
+        [(1, a), (None, m), (3, b)],  # only the row without an id links the others
+        [(1, a), (None, m)],
+        [(None, a), (None, m), (7, x)],
+        [(1, a), (5, a), (5, x), (9, x)],  # one id in two components
+        [(5, a), (5, x), (2, y)],
+        [(4, a)] * 3 + [(3, m)] * 2,
+    ):
+        assert near_rows(spark, monkeypatch, rows) == sorted((str(k), f"{f:016x}", str(c)) for (k, f), c in zip(rows, components(rows, 4), strict=True))
+
+
+def test_random_fingerprints_near_and_far(spark, monkeypatch):
+    rng = random.Random(11)
+    monkeypatch.setattr(simhash, "BUCKET", 40)
+    monkeypatch.setattr(simhash, "ROW_COST", 0)  # as many bands as there may be
+    base = [rng.getrandbits(64) for _ in range(12)]
+    rows = []
+    for i in range(400):
+        f = rng.choice(base)
+        for bit in rng.sample(range(64), rng.randint(0, 5)):
+            f ^= 1 << bit
+        rows.append((i, f))
+    assert near_rows(spark, monkeypatch, rows) == sorted((str(k), f"{f:016x}", str(c)) for (k, f), c in zip(rows, components(rows, 4), strict=True))
+
+
+@pytest.mark.parametrize("half", [None, 90])
+def test_tiles_link_like_all_pairs(half):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
+    for spread in (1, 4, 9):  # one tight group, loose ones, and none
+        bits = base[rng.integers(0, 6 if spread > 1 else 1, 200)][:, None].copy()
+        for _ in range(spread):
+            bits[:, 0] ^= np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64)
+        label = simhash.link_tiles(bits, half, 4, tile=16)
+        root = list(range(200))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for i in range(200):
+            for j in range(i):
+                if (half is None or (j < half) != (i < half)) and int(bits[i, 0] ^ bits[j, 0]).bit_count() <= 4:
+                    root[max(find(i), find(j))] = min(find(i), find(j))
+        assert label.tolist() == [find(i) for i in range(200)]
+
+
+def test_bands_are_exact_at_every_size():
+    rng = np.random.default_rng(5)
+    f = rng.integers(0, 1 << 63, (300, 1), dtype=np.uint64)
+    g = f.copy()
+    for _ in range(4):
+        g[:, 0] ^= np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)
+    used = {simhash.bands_for(10**e, 4, 64) for e in range(2, 14)}
+    assert len(used) > 2
+    for bands in used:
+        assert (simhash.band_keys(f, 4, bands) == simhash.band_keys(g, 4, bands)).any(axis=1).all()
+    with pytest.raises(ValueError, match="radius"):
+        simhash.bands_for(10, 30, 64)
 
 
 def test_simhash_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
-    assert simhash.near_duplicates(empty).count() == 0 and simhash.near_duplicates(empty, lanes=4, radius=47, ratio=0.8).count() == 0
+    assert simhash.near_duplicates(empty).count() == 0
     assert simhash.fingerprint(b"", 4, 1) == ("0" * 16, 0)
 
 
@@ -196,7 +281,7 @@ def test_shard_writers_retry(spark):
 def test_pipeline_stages(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     sf = SF
-    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumns({"items": F.lit("x"), "a.b": F.lit(None).cast("int")})
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumns({"items": F.lit("x"), "a.b": F.lit(None).cast("int"), "__row": F.lit(1), "__text": F.lit("y"), "__found": F.lit(2), "failed": F.lit(True)})
     near = docs.filter("doc_id = 3").withColumns({"doc_id": F.lit(10_000).cast("long"), "text": F.concat("text", F.lit(" more words"))})
     docs = docs.unionByName(near).unionByName(docs.filter("doc_id = 1")).unionByName(docs.limit(1).withColumn("text", F.lit(None).cast("string")))
     columns, counts = docs.columns, []
