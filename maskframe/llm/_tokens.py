@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskframe.llm._common import LOWER
+from maskframe.llm._common import LOWER, chunks
 
 _U = np.uint64
 _Q = _U(0x9E3779B97F4A7C15)
@@ -84,6 +84,67 @@ def with_block(docs: DataFrame, columns: list[str], text: str, block_bytes: int)
     return picked.repartition(blocks, "__block"), blocks, total
 
 
+def packed_blocks(rows: DataFrame, text: str, block_bytes: int) -> tuple[DataFrame, int]:
+    """``rows`` as they lie, packed into blocks of about ``block_bytes`` of text (a longer text stands alone): (__block, __rows).
+
+    Also returns the bytes of all texts. A block is named by its place, so rows that repeat a great
+    many times fall into many blocks; where ``rows`` are read from files, a lost task makes the
+    same blocks again.
+    """
+    total = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        held, size, number = [], 0, TaskContext.get().partitionId() << 32
+
+        def flush():
+            table = pa.Table.from_batches(held).combine_chunks()
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([pack_rows(table)], pa.binary())], names=["__block", "__rows"])
+
+        for batch in chunks(batches, text, block_bytes):
+            n = batch.column(text).nbytes
+            if held and size + n > block_bytes:
+                yield flush()
+                held, size, number = [], 0, number + 1
+            held.append(batch)
+            size += n
+        if held:
+            yield flush()
+
+    blocks = max(1, -(-total // block_bytes))
+    packed = rows.mapInArrow(run, "__block long, __rows binary")
+    return packed.repartition(min(blocks, 20_000), "__block"), total
+
+
+def pack_rows(table: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def unpack_rows(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
+
+
+def by_key(batches, key: str):
+    """(key, rows) of a task whose rows are sorted by ``key``; one group is held at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        values = batch.column(key).to_numpy()
+        cuts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else values
+        for a, b in zip(cuts, np.r_[cuts[1:], len(values)], strict=False):
+            if held and values[a] != last:
+                yield int(last), pa.Table.from_batches(held)
+                held = []
+            last = values[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield int(last), pa.Table.from_batches(held)
+
+
 def whole(batches) -> pa.Table | None:
     """All batches of a task as a table; None if it has no rows."""
     got = [b for b in batches if b.num_rows]

@@ -1,43 +1,55 @@
-"""A backoff automaton over word pairs, learnt from a corpus and run over all of its texts.
-
-A state is the last word read (or the start of a text). A state's arcs are the pairs that
-training has; its failure arc leads to the root, whose arcs are single words. Weights are
-log10 probabilities under Dirichlet smoothing, which sums to one over every state:
-
-    root:  p(w)   = (c(w) + 0.5) / (N + 0.5 (V + 1))        w unseen: c(w) = 0
-    arc:   p(w|h) = (c(h w) + mass p(w)) / (c(h) + mass)
-    failure arc of h: mass / (c(h) + mass), then the root's arc
-
-One pass from left to right carries the state and adds up arcs; over a block of texts it runs as
-array lookups, since the state before a token is known from the text alone.
-
-The automaton grows with the corpus, so no task gets the whole of it. Texts are dealt into
-blocks. A block sends each word and pair that it has, with its own training count, to the part
-that owns the hash; the part adds up and answers what other blocks add to each count, in the
-order in which it was asked. So a block holds just the states and arcs that its texts can
-reach, and no key meets more rows than there are blocks. Words are compared by 64-bit hash.
-
-Null and empty texts are the end token alone. Repeated rows count each time.
+"""A weighted backoff automaton over n-grams, learnt from a corpus and run over all of its texts.
+
+States are histories of up to ``order - 1`` tokens that training has often enough (``least``), and
+the root, the empty one; a text begins in the history of its start. A state's arcs are the tokens
+that training has after it; any other token follows the failure arc to the state of the history
+without its first token. Weights are log10 probabilities under Dirichlet smoothing, which sums to
+one over every state:
+
+    root:         p(w)   = (c(w) + 0.5) / (N + 0.5 (V + 1))        w unseen: c(w) = 0
+    arc of h:     p(w|h) = (c(h w) + mass p(w|h')) / (c(h) + mass)  h': h without its first token
+    failure arc:  mass / (c(h) + mass)
+
+One traversal from left to right carries the state and adds up weights. Over a block of texts it
+runs in lanes: stretches of the block's tokens in step, each begun ``order - 1`` tokens early, after
+which the state is the same from wherever it started.
+
+The automaton grows with the corpus, so no task gets the whole of it. Texts are packed into blocks
+as they lie. A block sends each n-gram that it has, with its own training count, to the part that
+owns the hash; the part adds up and answers what other blocks add to each count, in the order in
+which it was asked. Words and pairs go first; a longer n-gram is asked for only where its history
+has turned out to be a state. So a block builds just the states and arcs that its texts can
+reach, and no key meets more rows than there are blocks. N-grams are compared by 64-bit hash.
+
+Null and empty texts are the end token alone. Repeated rows count each time. A block is the same
+when a lost task is run again if ``docs`` is read from files or a checkpoint, as it should be.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskframe.llm._common import chunks, texts_of
-from maskframe.llm._tokens import Words, _U, mix, pack, split_parts, unpack, whole, with_block
+from maskframe.llm._tokens import Words, _U, by_key, mix, pack, packed_blocks, split_parts, unpack, unpack_rows
 
-#: Weight of the root's distribution in each state, in tokens.
-MASS = 400.0
+ORDER = 3
+#: Weight of the next shorter history's distribution, in tokens, by length of the history.
+MASS = (400.0, 4.0, 2.0, 1.0)
+#: Training occurrences that make a history a state, by its length.
+LEAST = (1, 2, 2, 2)
 BLOCK_BYTES = 8 << 20
 PART_BYTES = 8 << 20
-#: Hash of the end token, which is also the state at the start of a text.
+#: Lanes of a traversal.
+LANES = 8192
+#: Hash of the end token, which is also the history at the start of a text.
 END = _U(0x5851F42D4C957F2D)
-SENT = "part int, block int, keys binary, n binary"
-BACK = "block int, part int, others binary"
+SENT = "part int, block long, keys binary, n binary"
+BACK = "block long, part int, round int, others binary"
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -51,26 +63,9 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def states(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The state before each token: the word before it, or the start."""
-    out = np.empty_like(hashes)
-    out[1:] = hashes[:-1]
-    out[first[:-1]] = END
-    return out
-
-
-def pairs(state: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    return mix(state * _U(0x9E3779B97F4A7C15) ^ (hashes >> _U(1)) * _U(0xD1B54A32D192ED03) ^ hashes)
-
-
-def _tally(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and their summed weights."""
-    if not len(keys):
-        return keys, weight
-    order = np.argsort(keys)
-    keys, weight = keys[order], weight[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    return keys[first], np.add.reduceat(weight, first)
+def extend(history: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Keys of n-grams from those of their histories and the hashes of their last tokens."""
+    return mix(history * _U(0x9E3779B97F4A7C15) ^ (hashes >> _U(1)) * _U(0xD1B54A32D192ED03) ^ hashes)
 
 
 def _deltas(keys: np.ndarray) -> bytes:
@@ -88,119 +83,276 @@ def _totals(docs: DataFrame, text: str, learn: str, parts: int) -> tuple[int, in
     def count(batches):
         for batch in chunks(batches, text, 8 << 20):
             hashes, _ = tokens(texts_of(batch.column(0)))
-            keys, n = _tally(hashes, np.ones(len(hashes), np.int64))
+            keys, n = np.unique(hashes, return_counts=True)
             _, at = split_parts(keys, parts, ranges=True)
             full = np.flatnonzero(np.diff(at))
             yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([_deltas(keys[at[p] : at[p + 1]]) for p in full], pa.binary()), pa.array(np.add.reduceat(n, at[full]), pa.int64())], names=["part", "keys", "n"])
 
     def distinct(batches):
-        table = whole(batches)
-        if table is not None:
+        for _, table in by_key(batches, "part"):
             keys = np.concatenate([_sums(x) for x in table.column("keys").to_pylist()])
             yield pa.RecordBatch.from_arrays([pa.array([int(sum(table.column("n").to_pylist()))], pa.int64()), pa.array([len(np.unique(keys))], pa.int64())], names=["n", "v"])
 
     sent = docs.filter(learn).select(text).mapInArrow(count, "part int, keys binary, n long")
-    got = sent.repartition(parts, "part").mapInArrow(distinct, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
+    got = dealt(sent, parts, "part").mapInArrow(distinct, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
     return got[0] or 0, got[1] or 0
 
 
-def _find(keys: np.ndarray, n: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Counts of the wanted keys; 0 where there is none."""
-    if not len(keys):
-        return np.zeros(len(wanted), dtype=np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, n[at], 0)
+#: Tasks of a shuffle at most; a task beyond takes several parts, one after another.
+MOST_TASKS = 20_000
+
 
+def dealt(rows: DataFrame, parts: int, key: str) -> DataFrame:
+    return rows.repartition(min(parts, MOST_TASKS), key).sortWithinPartitions(key)
 
-class Arcs:
-    """What one block knows: its own training counts, corrected by what the parts answered."""
 
-    def __init__(self, hashes: np.ndarray, pair: np.ndarray, learnt: np.ndarray):
-        self.word_keys, word_n = _tally(hashes, learnt)
-        self.pair_keys, pair_n = _tally(pair, learnt)
-        self.n = np.concatenate([word_n, pair_n])
-        self.word_n, self.pair_n = self.n[: len(word_n)], self.n[len(word_n) :]
+class Block:
+    """The tokens of some texts, all their n-grams, and what training has of those.
 
-    def by_part(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All keys, an order of them by part, and where parts start in it."""
-        keys = np.concatenate([self.word_keys, self.pair_keys])
-        return keys, *split_parts(keys, parts, ranges=True)
+    For each n: ``key[n]``, the n-gram that ends at each token (``whole[n]`` says where there is
+    one), ``table[n]``, the different ones that were asked for, and ``count[n]`` their training counts.
+    """
 
+    def __init__(self, texts: list[bytes], learn: np.ndarray, order: int, least: tuple[int, ...]):
+        self.order, self.least = order, least
+        self.hashes, self.first = tokens(texts)
+        self.learn = np.repeat(learn.astype(np.int64), np.diff(self.first))
+        place = np.arange(len(self.hashes)) - np.repeat(self.first[:-1], np.diff(self.first))
+        self.begins = place == 0
+        before = np.r_[END, self.hashes[:-1]]
+        before[self.begins] = END
+        self.key, self.whole = {1: self.hashes}, {1: np.ones(len(place), dtype=bool)}
+        for n in range(2, order + 1):
+            self.key[n] = extend(before if n == 2 else np.r_[END, self.key[n - 1][:-1]], self.hashes)
+            self.whole[n] = place >= n - 2
+        self.table, self.count, self.at, self.place = {}, {}, {}, {}
+
+    def _add(self, n: int, which: np.ndarray) -> None:
+        """The n-grams that end at ``which``: sorted, with their own training counts, an index from places and one place of each."""
+        keys, place, back = np.unique(self.key[n][which], return_index=True, return_inverse=True)
+        self.table[n], self.place[n] = keys, which[place]
+        self.count[n] = np.bincount(back, weights=self.learn[which], minlength=len(keys)).astype(np.int64)
+        self.at[n] = np.full(len(self.hashes), -1)
+        self.at[n][which] = back
+
+    def states(self, n: int) -> np.ndarray:
+        """Which n-grams of the table are states."""
+        last = self.hashes[self.place[n]]
+        return (self.count[n] >= self.least[n - 1]) & ((last != END) | (n == 1))
+
+    def history(self, n: int, places: np.ndarray) -> np.ndarray:
+        """Index of the history of the n-grams that end at ``places``; of a pair at the start, that of the start."""
+        if n == 2:
+            start = np.searchsorted(self.table[1], END)
+            return np.where(self.begins[places], start, self.at[1][places - 1])
+        return self.at[n - 1][places - 1]
+
+    def ask(self, round_: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and own counts of a round: words and pairs, then one length after another."""
+        every = np.arange(len(self.hashes))
+        if round_ == 0:
+            self._add(1, every)
+            if self.order > 1:
+                self._add(2, every)
+            return tuple(np.concatenate([x[n] for n in range(1, min(2, self.order) + 1)]) for x in (self.table, self.count))
+        n = round_ + 2
+        which = every[self.whole[n]]
+        history = self.history(n, which)
+        live = history >= 0
+        live[live] = self.states(n - 1)[history[live]]
+        self._add(n, which[live])
+        return self.table[n], self.count[n]
+
+    def take(self, round_: int, counts: np.ndarray) -> None:
+        if round_ == 0:
+            self.count[1] = counts[: len(self.table[1])]
+            if self.order > 1:
+                self.count[2] = counts[len(self.table[1]) :]
+        else:
+            self.count[round_ + 2] = counts
+
+
+class Automaton:
+    """The states and arcs that a block's texts can reach.
+
+    States are numbered from the root, 0. ``arcs`` are sorted keys state * words + word with
+    ``weight`` and ``to``; ``fail`` and ``fail_weight`` are the failure arcs; the root's arcs, one a
+    word, are ``root`` and ``root_to``.
+    """
 
-def scores(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", mass: float = MASS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    def __init__(self, block: Block, scale: float, mass: tuple[float, ...]):
+        word = block.at[1]
+        self.words = len(block.table[1])
+        p = (block.count[1] + 0.5) / scale
+        self.root = np.log10(p)
+        number, total, fail, fail_weight = {}, 1, [np.zeros(1, np.int64)], [np.zeros(1)]
+        suffix = {1: np.zeros(self.words, np.int64)}
+        for n in range(1, block.order):
+            own = block.states(n)
+            number[n] = np.where(own, total + np.cumsum(own) - 1, -1)
+            if n > 1:
+                suffix[n] = self._next(block, number, n - 1)[block.at[n - 1][block.place[n]]]
+            fail.append(suffix[n][own])
+            fail_weight.append(np.log10(mass[n - 1] / (block.count[n][own] + mass[n - 1])))
+            total += int(own.sum())
+        self.fail, self.fail_weight = np.concatenate(fail), np.concatenate(fail_weight)
+        self.start = max(0, int(number[1][np.searchsorted(block.table[1], END)])) if block.order > 1 and self.words else 0
+        self.root_to = self._next(block, number, 1) if block.order > 1 else np.zeros(self.words, np.int64)
+        keys, weights, to = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
+        for n in range(2, block.order + 1):
+            place = block.place[n]
+            lower = p[block.at[n - 1][place]]
+            history = block.history(n, place)
+            state = number[n - 1][history]
+            c = block.count[n - 1][history]
+            p = np.where(state >= 0, (block.count[n] + mass[n - 2] * lower) / (c + mass[n - 2]), lower)
+            seen = (block.count[n] > 0) & (state >= 0)
+            keys.append((state * self.words + word[place])[seen])
+            weights.append(np.log10(p[seen]))
+            longest = n if n < block.order else n - 1
+            to.append((self._next(block, number, longest) if n < block.order else self._next(block, number, longest)[block.at[longest][place]])[seen])
+        keys = np.concatenate(keys)
+        order = np.argsort(keys)
+        self.arcs, self.weight, self.to = keys[order], np.concatenate(weights)[order], np.concatenate(to)[order]
+
+    @staticmethod
+    def _next(block: Block, number: dict, n: int) -> np.ndarray:
+        """The state after each n-gram: itself, or else its longest end that is one."""
+        if n == 0:
+            return np.zeros(1, np.int64)
+        if n == 1:
+            return np.maximum(number[1], 0)
+        shorter = Automaton._next(block, number, n - 1)[block.at[n - 1][block.place[n]]]
+        return np.where(number[n] >= 0, number[n], shorter)
+
+    def traverse(self, word: np.ndarray, begins: np.ndarray, warm: int, lanes: int = LANES) -> np.ndarray:
+        """Weight of each token, by one pass that carries the state of each lane."""
+        n = len(word)
+        out = np.zeros(n)
+        long_ = max(1, -(-n // lanes))
+        begin = np.arange(0, n, long_)
+        state = np.zeros(len(begin), dtype=np.int64)
+        last = len(self.arcs) - 1
+        for t in range(-warm, long_):
+            at = begin + t
+            lane = np.flatnonzero((at >= 0) & (at < n))
+            at = at[lane]
+            s = np.where(begins[at], self.start, state[lane])
+            w, total = word[at], np.zeros(len(at))
+            todo = np.arange(len(at))
+            while len(todo):
+                here, token = s[todo], w[todo]
+                if last >= 0:
+                    key = here * self.words + token
+                    arc = np.minimum(np.searchsorted(self.arcs, key), last)
+                    hit = self.arcs[arc] == key
+                    total[todo[hit]] += self.weight[arc[hit]]
+                    s[todo[hit]] = self.to[arc[hit]]
+                    todo, here, token = todo[~hit], here[~hit], token[~hit]
+                root = here == 0
+                total[todo[root]] += self.root[token[root]]
+                s[todo[root]] = self.root_to[token[root]]
+                todo, here = todo[~root], here[~root]
+                total[todo] += self.fail_weight[here]
+                s[todo] = self.fail[here]
+            state[lane] = s
+            if t >= 0:
+                out[at] = total
+        return out
+
+
+def scores(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, mass: tuple[float, ...] = MASS, least: tuple[int, ...] = LEAST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row a text: id, n_tokens, n_known, train_tokens, base_score and score (log10).
 
     ``learn``: which rows the model learns from. base_score is the root's score alone.
     """
     source = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"), F.coalesce(learn, F.lit(False)).alias("__learn"))
-    texts, _, total = with_block(source, ["__id", "__text", "__learn"], "__text", block_bytes)
+    texts, total = packed_blocks(source, "__text", block_bytes)
     parts = max(1, -(-total // PART_BYTES))
     n_train, v_train = _totals(source, "__text", "__learn", parts)
     scale = n_train + 0.5 * (v_train + 1)
     id_type = dict(docs.dtypes)[doc_id]
-
-    def read(table):
-        got = texts_of(table.column("__text"))
-        hashes, first = tokens(got)
-        state = states(hashes, first)
-        learnt = np.repeat(table.column("__learn").to_numpy(zero_copy_only=False).astype(np.int64), np.diff(first))
-        pair = pairs(state, hashes)
-        return hashes, first, state, pair, Arcs(hashes, pair, learnt)
-
-    def ask(batches):
-        table = whole(batches)
-        if table is None:
-            return
-        block = table.column("__block").to_numpy()
-        for x in np.unique(block):
-            arcs = read(table.filter(pa.array(block == x)))[4]
-            keys, order, at = arcs.by_part(parts)
-            keys, n = keys[order], arcs.n[order]
-            full = np.flatnonzero(np.diff(at))
-            cut = lambda a, f: pa.array([f(a[at[i] : at[i + 1]]) for i in full], pa.binary())  # noqa: E731,B023
-            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), x, np.int32)), cut(keys, _deltas), cut(n, pack)], names=["part", "block", "keys", "n"])
-
-    def answer(batches):
-        table = whole(batches)
-        if table is None:
-            return
-        asked = [_sums(x) for x in table.column("keys").to_pylist()]
-        n = np.concatenate([unpack(x) for x in table.column("n").to_pylist()]).astype(np.int64)
-        ends = np.cumsum([len(x) for x in asked])
-        keys = np.concatenate(asked)
-        del asked
-        order = np.argsort(keys)
-        first = np.flatnonzero(np.r_[True, np.diff(keys[order]) != 0])
-        others = np.empty(len(n), dtype=np.int64)
-        others[order] = np.repeat(np.add.reduceat(n[order], first), np.diff(np.r_[first, len(keys)]))
-        others -= n
-        for i, end in enumerate(ends):
-            begin = ends[i - 1] if i else 0
-            if others[begin:end].any():
-                yield pa.RecordBatch.from_arrays([pa.array([table.column("block")[i].as_py()], pa.int32()), pa.array([table.column("part")[i].as_py()], pa.int32()), pa.array([pack(others[begin:end])], pa.binary())], names=["block", "part", "others"])
-
-    def traverse(left, right):
-        hashes, first, state, pair, arcs = read(left)
-        _, order, at = arcs.by_part(parts)
-        for part, others in zip(right.column("part").to_pylist(), right.column("others").to_pylist(), strict=True):
-            arcs.n[order[at[part] : at[part + 1]]] += unpack(others).astype(np.int64)
-        c = _find(arcs.word_keys, arcs.word_n, hashes)
-        root = (c + 0.5) / scale
-        before = np.empty_like(c)
-        before[1:] = c[:-1]
-        ends = _find(arcs.word_keys, arcs.word_n, np.array([END], dtype=np.uint64))
-        before[first[:-1]] = ends[0]
-        weight = np.log10((_find(arcs.pair_keys, arcs.pair_n, pair) + mass * root) / (before + mass))
-        total = lambda x: np.add.reduceat(x, first[:-1]) if len(first) > 1 else x[:0]
+    rounds = max(1, order - 1)
+
+    def read(data: bytes) -> tuple[pa.Table, Block]:
+        table = unpack_rows(data)
+        return table, Block(texts_of(table.column("__text")), table.column("__learn").to_numpy(zero_copy_only=False), order, least)
+
+    def replay(block: Block, answers: pa.Table, rounds: int) -> None:
+        """Asks again, and takes what was answered."""
+        for i in range(rounds):
+            keys, n = block.ask(i)
+            if i:
+                n = n.copy()
+            place, at = split_parts(keys, parts, ranges=True)
+            got = answers.filter(pa.array(answers.column("round").to_numpy() == i)) if answers.num_rows else answers
+            for part, others in zip(got.column("part").to_pylist(), got.column("others").to_pylist(), strict=True):
+                n[place[at[part] : at[part + 1]]] += unpack(others).astype(np.int64)
+            block.take(i, n)
+
+    def send(number: int, block: Block, round_: int) -> pa.RecordBatch:
+        keys, n = block.ask(round_)
+        place, at = split_parts(keys, parts, ranges=True)
+        keys, n = keys[place], n[place]
+        full = np.flatnonzero(np.diff(at))
+        cut = lambda a, f: pa.array([f(a[at[i] : at[i + 1]]) for i in full], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), number, np.int64)), cut(keys, _deltas), cut(n, pack)], names=["part", "block", "keys", "n"])
+
+    def first(batches):
+        for batch in batches:
+            for number, data in zip(batch.column("__block").to_pylist(), batch.column("__rows"), strict=True):
+                yield send(number, read(data.as_py())[1], 0)
+
+    def next_(round_: int):
+        def run(left, right):
+            block = read(left.column("__rows")[0].as_py())[1] if left.num_rows else None
+            if block is None:
+                return pa.table({"part": pa.array([], pa.int32()), "block": pa.array([], pa.int64()), "keys": pa.array([], pa.binary()), "n": pa.array([], pa.binary())})
+            replay(block, right, round_)
+            return pa.Table.from_batches([send(left.column("__block")[0].as_py(), block, round_)])
+
+        return run
+
+    def answer(round_: int):
+        def run(batches):
+            for part, table in by_key(batches, "part"):
+                asked = [_sums(x) for x in table.column("keys").to_pylist()]
+                n = np.concatenate([unpack(x) for x in table.column("n").to_pylist()]).astype(np.int64)
+                ends = np.cumsum([len(x) for x in asked])
+                keys = np.concatenate(asked)
+                del asked
+                place = np.argsort(keys)
+                new = np.flatnonzero(np.r_[True, np.diff(keys[place]) != 0])
+                others = np.empty(len(n), dtype=np.int64)
+                others[place] = np.repeat(np.add.reduceat(n[place], new), np.diff(np.r_[new, len(keys)]))
+                others -= n
+                for i, end in enumerate(ends):
+                    begin = ends[i - 1] if i else 0
+                    if others[begin:end].any():
+                        yield pa.RecordBatch.from_arrays([pa.array([table.column("block")[i].as_py()], pa.int64()), pa.array([part], pa.int32()), pa.array([round_], pa.int32()), pa.array([pack(others[begin:end])], pa.binary())], names=["block", "part", "round", "others"])
+
+        return run
+
+    def finish(left, right):
+        table, block = read(left.column("__rows")[0].as_py())
+        replay(block, right, rounds)
+        starts = block.first[:-1]
+        total = lambda x: np.add.reduceat(x, starts) if len(starts) else x[:0]
+        word = block.at[1]
+        automaton = Automaton(block, scale, mass)
         return pa.table({
-            doc_id: left.column("__id"),
-            "n_tokens": pa.array(np.diff(first), pa.int64()),
-            "n_known": pa.array(total((c > 0).astype(np.int64)), pa.int64()),
-            "train_tokens": pa.array(np.full(len(first) - 1, n_train), pa.int64()),
-            "base_score": pa.array(total(np.log10(root)), pa.float64()),
-            "score": pa.array(total(weight), pa.float64()),
+            doc_id: table.column("__id"),
+            "n_tokens": pa.array(np.diff(block.first), pa.int64()),
+            "n_known": pa.array(total((block.count[1] > 0).astype(np.int64)[word]), pa.int64()),
+            "train_tokens": pa.array(np.full(len(starts), n_train), pa.int64()),
+            "base_score": pa.array(total(automaton.root[word]), pa.float64()),
+            "score": pa.array(total(automaton.traverse(word, block.begins, order - 1)), pa.float64()),
         })
 
-    asked = texts.mapInArrow(ask, SENT).repartition(parts, "part").mapInArrow(answer, BACK)
+    answers = [dealt(texts.mapInArrow(first, SENT), parts, "part").mapInArrow(answer(0), BACK)]
+    for i in range(1, rounds):
+        so_far = reduce(DataFrame.unionByName, answers)
+        sent = texts.groupBy("__block").cogroup(so_far.groupBy("block")).applyInArrow(next_(i), SENT)
+        answers.append(dealt(sent, parts, "part").mapInArrow(answer(i), BACK))
     out = f"`{doc_id}` {id_type}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return texts.groupBy("__block").cogroup(asked.groupBy("block")).applyInArrow(traverse, out)
+    return texts.groupBy("__block").cogroup(reduce(DataFrame.unionByName, answers).groupBy("block")).applyInArrow(finish, out)

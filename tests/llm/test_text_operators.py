@@ -128,25 +128,120 @@ def test_length_histogram(spark):
 # --- language model ---------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 23, 20_000])
-def test_automaton_equals_counting(spark, block_bytes):
-    texts = sample(spark, 40)
-    rows = {r.doc_id: r for r in ngram_lm.scores(frame(spark, texts), ~held_out(F.col("doc_id"), 5, 1), mass=7.0, block_bytes=block_bytes).collect()}
+class Spelled:
+    """The automaton as dictionaries: states are tuples of words, failure arcs drop the first one. START begins a text, None ends it."""
+
+    START = "<start>"
+
+    def __init__(self, texts, order, mass, least):
+        self.order, self.mass, self.least = order, mass, least
+        self.c = [Counter() for _ in range(order + 1)]
+        for t in texts:
+            for i, w in enumerate(t):
+                self.c[1][w] += 1
+                for n in range(2, order + 1):
+                    line = (self.START, *t[: i + 1])
+                    if len(line) >= n:
+                        self.c[n][line[-n:]] += 1
+        self.total, self.words = sum(self.c[1].values()), len(self.c[1])
+        self.starts = self.c[1][None]
+
+    def count(self, h):
+        return self.c[0] if not h else (self.starts if h == (self.START,) else self.c[1][h[0]] if len(h) == 1 else self.c[len(h)][h])
+
+    def is_state(self, h):
+        return not h or self.count(h) >= self.least[len(h) - 1]
+
+    def p(self, w, h):
+        if not h:
+            return (self.c[1][w] + 0.5) / (self.total + 0.5 * (self.words + 1))
+        m = self.mass[len(h) - 1]
+        return (self.c[len(h) + 1][(*h, w)] + m * self.p(w, h[1:])) / (self.count(h) + m)
+
+    def score(self, t):
+        state, out = (self.START,) if self.is_state((self.START,)) and self.order > 1 else (), 0.0
+        for w in t:
+            while state and not self.c[len(state) + 1][(*state, w)]:  # no arc: the failure arc
+                out += math.log10(self.mass[len(state) - 1] / (self.count(state) + self.mass[len(state) - 1]))
+                state = state[1:]
+            out += math.log10(self.p(w, state))
+            state = (*state, w)[-(self.order - 1) :] if self.order > 1 else ()
+            while not self.is_state(state):
+                state = state[1:]
+        return out
+
+
+def words_of(texts):
     lower = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-    tokens = {i: [*(t or "").encode().translate(lower).split(), None] for i, t in enumerate(texts)}
-    one, two = Counter(), Counter()
-    for i, t in tokens.items():
-        if crc_of(i) % 5 != 1:
-            one.update(t)
-            two.update(zip([None, *t[:-1]], t))
-    n, v = sum(one.values()), len(one)
-    p = lambda w: (one[w] + 0.5) / (n + 0.5 * (v + 1))
+    return {i: [*(t or "").encode().translate(lower).split(), None] for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("order,block_bytes", [(3, 1 << 23), (3, 20_000), (1, 20_000), (2, 20_000), (4, 9_000)])
+def test_automaton_equals_spelled_out_states(spark, monkeypatch, order, block_bytes):
+    monkeypatch.setattr(ngram_lm, "PART_BYTES", 30_000)
+    texts = [*sample(spark, 40), *["again and again the same words"] * 5, "x y " * 3000]
+    mass, least = (7.0, 3.0, 2.0), (1, 2, 2)
+    docs = frame(spark, texts).withColumnRenamed("failed", "__text").repartition(3)
+    rows = {r.doc_id: r for r in ngram_lm.scores(docs, ~held_out(F.col("doc_id"), 5, 1), order=order, mass=mass, least=least, block_bytes=block_bytes).collect()}
+    tokens = words_of(texts)
+    model = Spelled([t for i, t in tokens.items() if crc_of(i) % 5 != 1], order, mass, least)
+    assert len(rows) == len(texts)
     for i, t in tokens.items():
         r = rows[i]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(one[w] > 0 for w in t), n)
-        assert r.base_score == pytest.approx(sum(math.log10(p(w)) for w in t))
-        assert r.score == pytest.approx(sum(math.log10((two[h, w] + 7 * p(w)) / (one[h] + 7)) for h, w in zip([None, *t[:-1]], t)))
-    assert ngram_lm.scores(frame(spark, []), F.lit(True)).count() == 0
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(model.c[1][w] > 0 for w in t), model.total)
+        assert r.base_score == pytest.approx(sum(math.log10(model.p(w, ())) for w in t))
+        assert r.score == pytest.approx(model.score(t))
+    assert ngram_lm.scores(frame(spark, []), F.lit(True), order=order).count() == 0
+
+
+def block_of(texts, order=3, learn=None):
+    import numpy as np
+
+    block = ngram_lm.Block([(t or "").encode() for t in texts], np.ones(len(texts), bool) if learn is None else learn, order, (1, 2, 2))
+    for i in range(max(1, order - 1)):
+        _, n = block.ask(i)
+        block.take(i, n)
+    return block
+
+
+def test_weights_sum_to_one_over_every_state(spark):
+    import numpy as np
+
+    texts = [*sample(spark, 12), "a b a b a b c", "a b d"]
+    block = block_of(texts)
+    n = int(block.learn.sum())
+    automaton = ngram_lm.Automaton(block, n + 0.5 * (len(block.table[1]) + 1), (7.0, 3.0))
+    unseen = 0.5 / (n + 0.5 * (len(block.table[1]) + 1))  # the one word that training does not have
+    assert (10**automaton.root).sum() + unseen == pytest.approx(1)
+    below = np.zeros((len(automaton.fail), automaton.words + 1))
+    below[0] = np.r_[10**automaton.root, unseen]
+    assert len(automaton.fail) > automaton.words  # states of two words too
+    for s in range(1, len(automaton.fail)):
+        assert automaton.fail[s] < s
+        row = below[automaton.fail[s]] * 10 ** automaton.fail_weight[s]
+        arcs = automaton.arcs // automaton.words == s
+        row[automaton.arcs[arcs] % automaton.words] = 10 ** automaton.weight[arcs]
+        below[s] = row
+        assert row.sum() == pytest.approx(1)
+
+
+@pytest.mark.parametrize("lanes", [1, 7, 100_000])
+def test_lanes_carry_the_same_states(spark, lanes):
+    texts = [*sample(spark, 12), "a b a b a b c", None, "a b d"]
+    block = block_of(texts)
+    automaton = ngram_lm.Automaton(block, float(len(block.hashes)), (7.0, 3.0))
+    one = automaton.traverse(block.at[1], block.begins, 2, 1)
+    assert automaton.traverse(block.at[1], block.begins, 2, lanes).tolist() == one.tolist()
+
+
+def test_hot_rows_are_spread_over_blocks(spark):
+    rows = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same row many times over").alias("text"))
+    from maskframe.llm._tokens import packed_blocks
+
+    blocks, total = packed_blocks(rows, "text", 200_000)
+    assert total == 2_800_000 and blocks.count() >= 12
+    out = ngram_lm.scores(rows, F.lit(True), block_bytes=200_000)
+    assert out.agg(F.count("*"), F.count_distinct("score"), F.max("n_known")).first() == (100_000, 1, 7)
 
 
 def test_automaton_beats_single_words_on_held_out_texts(spark):
