@@ -19,6 +19,8 @@ BYTE_VALUE = np.random.Generator(np.random.PCG64(20240601)).integers(1, 1 << 64,
 #: A-Z in lower case, ASCII white space as a blank.
 SPACED = bytes(32 if c in b"\t\n\v\f\r " else LOWER[c] for c in range(256))
 _SLICE = 1 << 20
+#: Tasks of a shuffle at most; a task beyond takes several keys, one after another.
+MOST_TASKS = 20_000
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -72,18 +74,6 @@ class Words:
         return mix(out)
 
 
-def with_block(docs: DataFrame, columns: list[str], text: str, block_bytes: int) -> tuple[DataFrame, int, int]:
-    """``columns`` of ``docs`` dealt out into blocks of about ``block_bytes`` of text each, by a hash of the row.
-
-    Returns the frame (with ``__block``), the number of blocks and the bytes of all texts. Blocks
-    depend on nothing but the rows, so a lost task makes the same ones again.
-    """
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    picked = docs.select(*columns, F.pmod(F.xxhash64(*columns), F.lit(blocks)).cast("int").alias("__block"))
-    return picked.repartition(blocks, "__block"), blocks, total
-
-
 def packed_blocks(rows: DataFrame, text: str, block_bytes: int) -> tuple[DataFrame, int]:
     """``rows`` as they lie, packed into blocks of about ``block_bytes`` of text (a longer text stands alone): (__block, __rows).
 
@@ -114,7 +104,7 @@ def packed_blocks(rows: DataFrame, text: str, block_bytes: int) -> tuple[DataFra
 
     blocks = max(1, -(-total // block_bytes))
     packed = rows.mapInArrow(run, "__block long, __rows binary")
-    return packed.repartition(min(blocks, 20_000), "__block"), total
+    return packed.repartition(min(blocks, MOST_TASKS), "__block"), total
 
 
 def pack_rows(table: pa.Table) -> bytes:
@@ -128,6 +118,11 @@ def unpack_rows(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(data).read_all()
 
 
+def dealt(rows: DataFrame, parts: int, key: str) -> DataFrame:
+    """``rows`` dealt to the owners of ``key``, in runs of it."""
+    return rows.repartition(min(parts, MOST_TASKS), key).sortWithinPartitions(key)
+
+
 def by_key(batches, key: str):
     """(key, rows) of a task whose rows are sorted by ``key``; one group is held at a time."""
     held: list[pa.RecordBatch] = []

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskframe.llm._common import chunks, texts_of
-from maskframe.llm._tokens import Words, _U, by_key, mix, pack, packed_blocks, split_parts, unpack, unpack_rows
+from maskframe.llm._tokens import Words, _U, by_key, dealt, mix, pack, packed_blocks, split_parts, unpack, unpack_rows
 
 ORDER = 3
 #: Weight of the next shorter history's distribution, in tokens, by length of the history.
@@ -98,14 +98,6 @@ def _totals(docs: DataFrame, text: str, learn: str, parts: int) -> tuple[int, in
     return got[0] or 0, got[1] or 0
 
 
-#: Tasks of a shuffle at most; a task beyond takes several parts, one after another.
-MOST_TASKS = 20_000
-
-
-def dealt(rows: DataFrame, parts: int, key: str) -> DataFrame:
-    return rows.repartition(min(parts, MOST_TASKS), key).sortWithinPartitions(key)
-
-
 class Block:
     """The tokens of some texts, all their n-grams, and what training has of those.
 

@@ -4,29 +4,38 @@ Every byte that a ``length``-byte string covers goes, if that string also starts
 (same text included). Strings are judged on the input and never cross texts.
 
 Two equal strings hold the same least-hashed ``k``-gram (their anchor) at the same place. Runs
-of strings with one anchor are segments. A segment met twice is repeated as a whole; where
-segments share an anchor but differ, their strings are compared one by one: in each block of
-texts a mergesort orders the suffixes that start there, comparing two by binary search for
-their common extension over prefix polynomial hashes, and neighbours that agree over
-``length`` bytes are verified byte by byte. What is left, one row for each different string
-of a block, is counted across blocks by 96 bits of hash.
-
-No group meets in one task: a block sends each anchor, segment and string once, however often
-it holds it. Null and empty texts, and texts shorter than ``length``, keep all bytes. Repeated
-rows count as copies of each other. Columns other than the id and the text are not read.
+of strings with one anchor are segments, and only segments that share an anchor can share a
+string. Blocks of texts send their different segments, as anchor and 128-bit digest, to the owner
+of the anchor. A segment met twice is repeated as a whole. Where an anchor has different segments,
+each sends its bytes once, and the owner sorts the suffixes that start in them, by anchor and
+distance from it: a mergesort that compares two by binary search for their common extension over
+prefix polynomial hashes. Neighbours that agree over ``length`` bytes are verified byte by byte;
+what the sort puts together is what goes.
+
+An anchor with more different segments than ``hot`` (the edge of a passage that a great many
+texts share) would be a group without bound: strings at such anchors are counted one by one by a
+128-bit digest, whose owners see one row a block. No row is compared by fewer than 128 bits or
+its bytes: with 10^13 segments, as of 400 TB, two different ones share a digest with a chance of
+1.5 in 10^13. An owner gets at most ``PER_ANCHOR`` rows of an anchor from a block.
+
+Null and empty texts, and texts shorter than ``length``, keep all bytes. Repeated rows count as
+copies of each other. Columns other than the id and the text are not read. A block is the same
+when a lost task is run again if ``docs`` is read from files or a checkpoint, as it should be.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maskframe.llm._common import texts_of
-from maskframe.llm._tokens import BYTE_VALUE, _U, mix, split_parts, whole, with_block
+from maskframe.llm._tokens import BYTE_VALUE, _U, by_key, dealt, mix, packed_blocks, split_parts, unpack_rows
 
 LENGTH = 200
 #: Bytes of an anchor; a power of two.
@@ -35,12 +44,17 @@ BLOCK_BYTES = 8 << 20
 PART_BYTES = 8 << 20
 #: Strings looked at together.
 SLICE = 1 << 20
+#: Different segments of an anchor that are sorted; beyond, strings are counted by digest.
+HOT = 2048
+#: Different segments of an anchor in one block, beyond which the anchor counts as hot.
+PER_ANCHOR = 16
 _PLACE_BITS = 24
 _Q1, _Q2 = _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F)
-WHOLE, SINGLE, PARTNER = 1, 2, 3
+#: What becomes of a segment: it is repeated as a whole, its bytes are compared, both, or its strings are counted.
+WHOLE, SINGLE, PARTNER, STRINGS = 1, 2, 3, 4
 
-SENT = "part int, block int, a binary, b binary, n binary"
-BACK = "block int, kind int, a binary, b binary, n binary"
+SENT = "part int, kind int, block long, a binary, b binary, n binary"
+BACK = "block long, part int, kind int, a binary"
 
 
 def _powers(q: np.uint64, n: int) -> np.ndarray:
@@ -143,11 +157,10 @@ def equal_groups(prefix: Prefix, data: np.ndarray, at: np.ndarray, bucket: np.nd
 
 
 class Segments:
-    """The segments of one slice of a block: ``start`` to ``last`` are their strings' places, ``anchor`` and ``key`` hashes."""
+    """The segments of one slice of a block: ``start`` to ``last`` are their strings' places, ``place`` their anchor's, ``anchor`` its hash."""
 
     def __init__(self, data: np.ndarray, end: np.ndarray, length: int, k: int):
         """``data``: bytes; ``end``: of the text of each string that starts in the slice."""
-        self.data, self.length = data, length
         w, n = length - k + 1, len(end)
         h, step, q = BYTE_VALUE[data], 1, _Q2
         while step < k:
@@ -166,221 +179,225 @@ class Segments:
         self.last = at[np.r_[cut, len(at) - 1]] if len(at) else at
         self.place = place[self.start]
         self.anchor = h[self.place]
-        self.prefix = Prefix(data)
-        inner = mix(self.prefix.of(self.start, self.last + length))
-        self.key = mix(self.anchor ^ (inner * _U(3) + (self.last - self.start).astype(np.uint64)))
 
-    def strings(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of all strings of some segments, and a bucket (anchor, place in the string) for each."""
+
+def digests_of(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """XXH3 of 128 bits of ranges of bytes, as two numbers a row."""
+    view, digest = memoryview(data), xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(view[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]), dtype=np.uint64).reshape(-1, 2)
+
+
+class Block:
+    """The segments of some texts, in order of their places, and the different ones that are asked for.
+
+    ``anchors``, ``keys`` and ``n`` are what is asked, sorted by anchor: a row a different segment,
+    or for a hot anchor one row with n = 0. ``row`` says which row each segment belongs to.
+    """
+
+    def __init__(self, texts: list[bytes], length: int, k: int):
+        self.data, self.length = b"".join(texts), length
+        array = np.frombuffer(self.data, dtype=np.uint8)
+        ends = np.cumsum(np.array([len(t) for t in texts], dtype=np.int64))
+        none = np.zeros(0, np.int64)
+        found = [(none, none, none, none.astype(np.uint64))]
+        for begin in range(0, max(0, len(array) - length + 1), SLICE):
+            stop = min(begin + SLICE, len(array) - length + 1)
+            which = np.searchsorted(ends, np.arange(begin, stop), side="right")
+            s = Segments(array[begin : stop + length - 1], ends[which] - begin, length, k)
+            found.append((s.start + begin, s.last + begin, s.place + begin, s.anchor))
+        self.start, self.last, self.place, self.anchor = (np.concatenate(x) for x in zip(*found, strict=True))
+        key = digests_of(self.data, self.start, self.last + length)
+        order = np.lexsort((key[:, 1], key[:, 0], self.anchor))
+        anchor, key = self.anchor[order], key[order]
+        new_anchor = np.r_[True, anchor[1:] != anchor[:-1]] if len(order) else np.zeros(0, bool)
+        new = new_anchor | np.r_[True, (key[1:] != key[:-1]).any(axis=1)] if len(order) else new_anchor
+        group = np.cumsum(new_anchor) - 1
+        hot = np.bincount(group, weights=new)[group] > PER_ANCHOR if len(order) else new
+        new = np.where(hot, new_anchor, new)
+        first = np.flatnonzero(new)
+        self.row = np.empty(len(order), np.int64)
+        self.row[order] = np.cumsum(new) - 1
+        self.anchors, self.keys = anchor[first], np.where(hot[first, None], _U(0), key[first])
+        self.n = np.where(hot[first], 0, np.minimum(np.diff(np.r_[first, len(order)]), 2)).astype(np.uint8)
+        self.one = order[first]  # a segment of each row
+
+    def strings(self, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of segments whose strings are counted: all places, the different digests in order, how often each, and the digest of each place."""
+        which = np.flatnonzero(kinds[self.row] == STRINGS)
         size = self.last[which] - self.start[which] + 1
         at = np.repeat(self.start[which] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        owner = np.repeat(which, size)
-        return at, mix(self.anchor[owner] ^ mix((self.place[owner] - at).astype(np.uint64)))
+        key = digests_of(self.data, at, at + self.length)
+        order = np.lexsort((key[:, 1], key[:, 0]))
+        new = np.r_[True, (key[order[1:]] != key[order[:-1]]).any(axis=1)] if len(order) else np.zeros(0, bool)
+        back = np.empty(len(order), np.int64)
+        back[order] = np.cumsum(new) - 1
+        return at, key[order[new]], np.minimum(np.bincount(back), 2).astype(np.uint8), back
+
 
+def _squeeze(x: np.ndarray) -> bytes:
+    raw = np.ascontiguousarray(x).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
-def slices(texts: list[bytes], length: int, k: int):
-    """(begin, Segments) of each slice of the joined texts."""
-    size = np.array([len(t) for t in texts], dtype=np.int64)
-    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    end = np.cumsum(size)
-    for begin in range(0, max(0, len(data) - length + 1), SLICE):
-        stop = min(begin + SLICE, len(data) - length + 1)
-        which = np.searchsorted(end, np.arange(begin, stop), side="right")
-        yield begin, Segments(data[begin : stop + length - 1], end[which] - begin, length, k)
 
+def _spread(data: bytes, kind) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd"), dtype=kind)
 
-def _send(block: int, parts: int, a: np.ndarray, b: np.ndarray, n: np.ndarray):
-    """One row for each part that some keys go to."""
-    order, at = split_parts(a, parts)
-    a, b, n = a[order], b[order], n[order]
+
+def _rows(block: int, kind: int, sorted_keys: np.ndarray, parts: int, cut) -> pa.RecordBatch:
+    """One row for each part that some of the sorted keys go to; ``cut(from, to)`` gives its three columns."""
+    _, at = split_parts(sorted_keys, parts, ranges=True)
     full = np.flatnonzero(np.diff(at))
-    cut = lambda x: pa.array([x[at[i] : at[i + 1]].tobytes() for i in full], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), block, np.int32)), cut(a), cut(b), cut(n)], names=["part", "block", "a", "b", "n"])
-
-
-def _received(table: pa.Table, b_type, n_type):
-    """Block and the three arrays of all rows."""
-    join = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=kind)
-    a = join("a", np.uint64)
-    count = np.array([len(x) // 8 for x in table.column("a").to_pylist()], dtype=np.int64)
-    return np.repeat(table.column("block").to_numpy(), count), a, join("b", b_type), join("n", n_type)
-
-
-def _back(kind: int, block: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray):
-    order = np.argsort(block, kind="stable")
-    block, a, b, n = block[order], a[order], b[order], n[order]
-    first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, np.int64)
-    stop = np.r_[first[1:], len(block)]
-    cut = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(first, stop, strict=False)], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(block[first].astype(np.int32)), pa.array(np.full(len(first), kind, np.int32)), cut(a), cut(b), cut(n)], names=["block", "kind", "a", "b", "n"])
-
-
-def _blocks(table: pa.Table | None):
-    """(block, texts) of a task's rows."""
-    if table is None:
-        return
-    block = table.column("__block").to_numpy()
-    for x in np.unique(block):
-        yield int(x), texts_of(table.filter(pa.array(block == x)).column("__text"))
-
-
-def _count_segments(block: int, texts: list[bytes], parts: int, length: int, k: int):
-    found = [(s.anchor, s.key) for _, s in slices(texts, length, k) if len(s.start)]
-    if not found:
-        return None
-    anchor, key = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.lexsort((key, anchor))
-    anchor, key = anchor[order], key[order]
-    first = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (key[1:] != key[:-1])])
-    n = np.minimum(np.diff(np.r_[first, len(key)]), 2).astype(np.uint8)
-    return _send(block, parts, anchor[first], key[first], n)
-
-
-def _judge_segments(table: pa.Table):
-    """Kinds of the segments whose anchor stands in more places than one."""
-    block, anchor, key, n = _received(table, np.uint64, np.uint8)
-    order = np.lexsort((block, key, anchor))
-    block, anchor, key, n = block[order], anchor[order], key[order], n[order].astype(np.int64)
-    if not len(key):
-        return None
-    new_key = np.r_[True, (anchor[1:] != anchor[:-1]) | (key[1:] != key[:-1])]
-    first = np.flatnonzero(new_key)
-    size = np.diff(np.r_[first, len(key)])
-    total = np.repeat(np.add.reduceat(n, first), size)
-    group = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-    several = np.repeat(np.add.reduceat(new_key.astype(np.int64), group) > 1, np.diff(np.r_[group, len(key)]))
-    kind = np.where(total > 1, np.where(several & new_key, PARTNER, WHOLE), np.where(several, SINGLE, 0)).astype(np.uint8)
-    keep = kind > 0
-    return _back(0, block[keep], key[keep], kind[keep], kind[keep])
-
-
-def _known(verdicts: pa.Table, kind: int, b_type, n_type):
-    got = verdicts.filter(pa.array(verdicts.column("kind").to_numpy() == kind)) if verdicts.num_rows else verdicts
-    a, b, n = (np.frombuffer(b"".join(got.column(c).to_pylist()), dtype=t) for c, t in (("a", np.uint64), ("b", b_type), ("n", n_type)))
-    order = np.argsort(a, kind="stable")
-    return a[order], b[order], n[order]
-
-
-def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Where each key stands, or -1."""
-    if not len(sorted_keys):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return np.where(sorted_keys[at] == keys, at, -1)
-
-
-def _candidates(texts: list[bytes], verdicts: pa.Table, length: int, k: int):
-    """For each slice: (begin, Segments, whole segments, strings of the other candidates, their hashes, whether each belongs to a single)."""
-    keys, kinds, _ = _known(verdicts, 0, np.uint8, np.uint8)
-    used = np.zeros(len(keys), dtype=bool)
-    for begin, s in slices(texts, length, k):
-        at = _find(keys, s.key)
-        kind = np.where(at >= 0, kinds[at] if len(kinds) else 0, 0)
-        partner = np.flatnonzero(kind == PARTNER)
-        _, once = np.unique(at[partner], return_index=True)
-        once = partner[once]
-        once = once[~used[at[once]]]
-        used[at[once]] = True
-        compare = np.r_[np.flatnonzero(kind == SINGLE), once]
-        where, bucket = s.strings(compare)
-        w1 = mix(s.prefix.of(where, where + length))
-        yield begin, s, np.flatnonzero((kind == WHOLE) | (kind == PARTNER)), where, bucket, w1
-
-
-def _second_hash(s: Segments, at: np.ndarray) -> np.ndarray:
-    other = Prefix(s.data, _Q2)
-    return (mix(other.of(at, at + s.length)) >> _U(32)).astype(np.uint32)
-
-
-def _local(s: Segments, at: np.ndarray, bucket: np.ndarray):
-    """Group of each string of a slice and the groups' sizes, by the suffix sort."""
-    group = equal_groups(s.prefix, s.data, at, bucket, s.length)
-    return group, np.bincount(group) if len(group) else np.zeros(0, np.int64)
-
-
-def _count_strings(block: int, texts: list[bytes], verdicts: pa.Table, parts: int, length: int, k: int):
-    found = []
-    for _, s, _, at, bucket, w1 in _candidates(texts, verdicts, length, k):
-        if len(at):
-            group, size = _local(s, at, bucket)
-            _, one = np.unique(group, return_index=True)
-            found.append((w1[one], _second_hash(s, at[one]), np.minimum(size, 2).astype(np.uint8)))
-    if not found:
-        return None
-    w1, w2, n = (np.concatenate(x) for x in zip(*found, strict=True))
-    w1, w2, n = _merge(w1, w2, n)
-    return _send(block, parts, w1, w2, n)
-
-
-def _merge(w1: np.ndarray, w2: np.ndarray, n: np.ndarray):
-    order = np.lexsort((w2, w1))
-    w1, w2, n = w1[order], w2[order], n[order].astype(np.int64)
-    first = np.flatnonzero(np.r_[True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])])
-    return w1[first], w2[first], np.minimum(np.add.reduceat(n, first), 2).astype(np.uint8)
-
-
-def _judge_strings(table: pa.Table):
-    """The strings that start in two places or more, for each block that has them."""
-    block, w1, w2, n = _received(table, np.uint32, np.uint8)
-    if not len(w1):
-        return None
-    order = np.lexsort((w2, w1))
-    block, w1, w2, n = block[order], w1[order], w2[order], n[order].astype(np.int64)
-    first = np.flatnonzero(np.r_[True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])])
-    keep = np.repeat(np.add.reduceat(n, first) > 1, np.diff(np.r_[first, len(w1)]))
-    return _back(1, block[keep], w1[keep], w2[keep], np.ones(int(keep.sum()), np.uint8))
-
-
-def _covered(texts: list[bytes], verdicts: pa.Table, length: int, k: int) -> np.ndarray:
-    """Which bytes of the joined texts go."""
-    steps = np.zeros(sum(map(len, texts)) + 1, dtype=np.int32)
-    w1s, w2s, _ = _known(verdicts, 1, np.uint32, np.uint8)
-    for begin, s, entire, at, _, w1 in _candidates(texts, verdicts, length, k):
-        np.add.at(steps, begin + s.start[entire], 1)
-        np.add.at(steps, begin + s.last[entire] + length, -1)
-        hit = np.flatnonzero(_find(w1s, w1) >= 0)
-        if len(hit):
-            w2 = _second_hash(s, at[hit])
-            low, high = np.searchsorted(w1s, w1[hit]), np.searchsorted(w1s, w1[hit], side="right")
-            good = w2s[low] == w2
-            for i in np.flatnonzero(high - low > 1):  # one first hash, several strings
-                good[i] = w2[i] in w2s[low[i] : high[i]]
-            hit = at[hit[good]] + begin
-            np.add.at(steps, hit, 1)
-            np.add.at(steps, hit + length, -1)
+    columns = list(zip(*[cut(at[i], at[i + 1]) for i in full], strict=True)) or [(), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), kind, np.int32)), pa.array(np.full(len(full), block, np.int64)), *[pa.array(c, pa.binary()) for c in columns]], names=["part", "kind", "block", "a", "b", "n"])
+
+
+def ask_segments(number: int, block: Block, parts: int) -> pa.RecordBatch:
+    return _rows(number, 0, block.anchors, parts, lambda i, j: (_squeeze(block.anchors[i:j]), block.keys[i:j].tobytes(), _squeeze(block.n[i:j])))
+
+
+def _answers(table: pa.Table, part: int, kind: int, sizes: list[int], values: np.ndarray):
+    """What each row of ``table`` is told, where it is told anything."""
+    end = np.cumsum(sizes)
+    for number, a, b in zip(table.column("block").to_pylist(), end - sizes, end, strict=True):
+        if values[a:b].any():
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([part], pa.int32()), pa.array([kind], pa.int32()), pa.array([_squeeze(values[a:b])], pa.binary())], names=["block", "part", "kind", "a"])
+
+
+def judge_segments(part: int, table: pa.Table, most: int):
+    """WHOLE, SINGLE, PARTNER or STRINGS for each row that was asked (0: no string of it is repeated)."""
+    asked = [_spread(x, np.uint64) for x in table.column("a").to_pylist()]
+    anchor = np.concatenate(asked)
+    key = np.frombuffer(b"".join(table.column("b").to_pylist()), dtype=np.uint64).reshape(-1, 2)
+    n = np.concatenate([_spread(x, np.uint8) for x in table.column("n").to_pylist()]).astype(np.int64)
+    order = np.lexsort((key[:, 1], key[:, 0], anchor))
+    anchor, key, n = anchor[order], key[order], n[order]
+    new_anchor = np.r_[True, anchor[1:] != anchor[:-1]]
+    new = new_anchor | np.r_[True, (key[1:] != key[:-1]).any(axis=1)]
+    first, group = np.flatnonzero(new), np.cumsum(new_anchor) - 1
+    total = np.repeat(np.add.reduceat(n, first), np.diff(np.r_[first, len(n)]))
+    different = np.bincount(group, weights=new)[group]
+    hot = (np.bincount(group, weights=n == 0)[group] > 0) | (different > most)
+    kind = np.where(total > 1, np.where((different > 1) & new, PARTNER, WHOLE), np.where(different > 1, SINGLE, 0))
+    out = np.empty(len(n), dtype=np.uint8)
+    out[order] = np.where(hot, STRINGS, kind)
+    return _answers(table, part, 0, [len(x) for x in asked], out)
+
+
+def send_candidates(number: int, block: Block, kinds: np.ndarray, parts: int):
+    """The bytes of segments that are compared, and the digests of strings that are counted."""
+    rows = np.flatnonzero((kinds == SINGLE) | (kinds == PARTNER))
+    one = block.one[rows]
+    start, end = block.start[one], block.last[one] + block.length
+    head = np.stack([rows, end - start, block.place[one] - start], axis=1).astype(np.int32)
+
+    def cut(i, j):
+        text = b"".join([block.data[a:b] for a, b in zip(start[i:j].tolist(), end[i:j].tolist(), strict=True)])
+        return _squeeze(block.anchors[rows[i:j]]), _squeeze(np.frombuffer(text, np.uint8)), _squeeze(head[i:j])
+
+    yield _rows(number, 1, block.anchors[rows], parts, cut)
+    _, key, n, _ = block.strings(kinds)
+    yield _rows(number, 2, key[:, 0], parts, lambda i, j: (key[i:j].tobytes(), b"", _squeeze(n[i:j])))
+
+
+def judge_candidates(part: int, table: pa.Table, length: int):
+    """For compared segments the repeated strings, as (row, first, last); for counted strings whether each is repeated."""
+    kind = table.column("kind").to_numpy()
+    compared, counted = table.filter(pa.array(kind == 1)), table.filter(pa.array(kind == 2))
+    if compared.num_rows:
+        anchor = np.concatenate([_spread(x, np.uint64) for x in compared.column("a").to_pylist()])
+        data = np.concatenate([_spread(x, np.uint8) for x in compared.column("b").to_pylist()])
+        heads = [_spread(x, np.int32).reshape(-1, 3) for x in compared.column("n").to_pylist()]
+        row, size, place = np.concatenate(heads).astype(np.int64).T
+        start = np.cumsum(size) - size
+        strings = size - length + 1
+        owner = np.repeat(np.arange(len(row)), strings)
+        offset = np.arange(len(owner)) - np.repeat(np.cumsum(strings) - strings, strings)
+        bucket = mix(anchor[owner] ^ mix((place[owner] - offset).astype(np.uint64)))
+        group = equal_groups(Prefix(data), data, start[owner] + offset, bucket, length)
+        hit = np.flatnonzero(np.bincount(group)[group] > 1)
+        cut = np.flatnonzero((np.diff(owner[hit]) != 0) | (np.diff(offset[hit]) != 1))
+        first, last = (hit[np.r_[0, cut + 1]], hit[np.r_[cut, len(hit) - 1]]) if len(hit) else (hit, hit)
+        told = np.stack([row[owner[first]], offset[first], offset[last]], axis=1).astype(np.int32)
+        bound = np.searchsorted(owner[first], np.r_[0, np.cumsum([len(h) for h in heads])])
+        for number, a, b in zip(compared.column("block").to_pylist(), bound[:-1], bound[1:], strict=True):
+            if b > a:
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([part], pa.int32()), pa.array([1], pa.int32()), pa.array([_squeeze(told[a:b])], pa.binary())], names=["block", "part", "kind", "a"])
+    if counted.num_rows:
+        asked = [np.frombuffer(x, np.uint64).reshape(-1, 2) for x in counted.column("a").to_pylist()]
+        key = np.concatenate(asked)
+        n = np.concatenate([_spread(x, np.uint8) for x in counted.column("n").to_pylist()]).astype(np.int64)
+        order = np.lexsort((key[:, 1], key[:, 0]))
+        first = np.flatnonzero(np.r_[True, (key[order[1:]] != key[order[:-1]]).any(axis=1)])
+        out = np.empty(len(n), dtype=np.uint8)
+        out[order] = np.repeat(np.add.reduceat(n[order], first) > 1, np.diff(np.r_[first, len(n)]))
+        yield from _answers(counted, part, 2, [len(x) for x in asked], out)
+
+
+def _told(answers: pa.Table, kind: int, sorted_keys: np.ndarray, parts: int) -> np.ndarray:
+    """Answers of a kind in the order in which the sorted keys were asked."""
+    out = np.zeros(len(sorted_keys), dtype=np.uint8)
+    _, at = split_parts(sorted_keys, parts, ranges=True)
+    for part, what, a in zip(answers.column("part").to_pylist(), answers.column("kind").to_pylist(), answers.column("a").to_pylist(), strict=True):
+        if what == kind:
+            out[at[part] : at[part + 1]] = _spread(a, np.uint8)
+    return out
+
+
+def covered(block: Block, answers: pa.Table, parts: int) -> np.ndarray:
+    """Which bytes of a block go."""
+    kinds = _told(answers, 0, block.anchors, parts)
+    steps = np.zeros(len(block.data) + 1, dtype=np.int32)
+
+    def cover(first, last):
+        np.add.at(steps, first, 1)
+        np.add.at(steps, last + block.length, -1)
+
+    whole = np.isin(kinds[block.row], (WHOLE, PARTNER))
+    cover(block.start[whole], block.last[whole])
+    for what, a in zip(answers.column("kind").to_pylist(), answers.column("a").to_pylist(), strict=True):
+        if what == 1:  # a segment that is not repeated as a whole stands in one place
+            row, first, last = _spread(a, np.int32).reshape(-1, 3).astype(np.int64).T
+            begin = block.start[block.one[row]]
+            cover(begin + first, begin + last)
+    at, key, _, back = block.strings(kinds)
+    hit = at[_told(answers, 2, key[:, 0], parts)[back] > 0]
+    cover(hit, hit)
     return np.cumsum(steps[:-1]) > 0
 
 
-def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = ANCHOR, kept: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = ANCHOR, kept: bool = False, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
     """One row a text: the id, n_bytes, n_removed, n_spans, kept_sha256, and with ``kept`` the bytes that stay (kept_text, binary)."""
     source = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
-    texts, _, total = with_block(source, ["__id", "__text"], "__text", block_bytes)
+    texts, total = packed_blocks(source, "__text", block_bytes)
     parts = max(1, -(-total // PART_BYTES))
     id_type = dict(docs.dtypes)[doc_id]
+    none = pa.table({"part": pa.array([], pa.int32()), "kind": pa.array([], pa.int32()), "block": pa.array([], pa.int64()), **{c: pa.array([], pa.binary()) for c in "abn"}})
+
+    def read(data: bytes) -> tuple[pa.Table, list[bytes]]:
+        table = unpack_rows(data)
+        return table, texts_of(table.column("__text"))
 
-    def count_segments(batches):
-        for block, got in _blocks(whole(batches)):
-            if (out := _count_segments(block, got, parts, length, k)) is not None:
-                yield out
+    def ask(batches):
+        for batch in batches:
+            for number, data in zip(batch.column("__block").to_pylist(), batch.column("__rows"), strict=True):
+                yield ask_segments(number, Block(read(data.as_py())[1], length, k), parts)
 
-    def judge(rule):
+    def judge(rule, *more):
         def run(batches):
-            if (table := whole(batches)) is not None and (out := rule(table)) is not None:
-                yield out
+            for part, table in by_key(batches, "part"):
+                yield from rule(part, table, *more)
 
         return run
 
-    def count_strings(left, right):
-        block = left.column("__block")[0].as_py() if left.num_rows else -1
-        empty = pa.table({"part": pa.array([], pa.int32()), "block": pa.array([], pa.int32()), **{c: pa.array([], pa.binary()) for c in "abn"}})
+    def candidates(left, right):
         if not left.num_rows or not right.num_rows:
-            return empty
-        out = _count_strings(block, texts_of(left.column("__text")), right, parts, length, k)
-        return empty if out is None else pa.Table.from_batches([out])
+            return none
+        number, block = left.column("__block")[0].as_py(), Block(read(left.column("__rows")[0].as_py())[1], length, k)
+        return pa.Table.from_batches(list(send_candidates(number, block, _told(right, 0, block.anchors, parts), parts)))
 
     def finish(left, right):
-        got = texts_of(left.column("__text"))
-        gone = _covered(got, right, length, k)
+        table, got = read(left.column("__rows")[0].as_py())
+        gone = covered(Block(got, length, k), right, parts) if right.num_rows else np.zeros(sum(map(len, got)), bool)
         n, removed, spans, digest, stay, at = [], [], [], [], [], 0
         for t in got:
             mask = gone[at : at + len(t)]
@@ -391,11 +408,11 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length
             left_over = t if not removed[-1] else np.frombuffer(t, np.uint8)[~mask].tobytes()
             digest.append(hashlib.sha256(left_over).hexdigest())
             stay.append(left_over if kept else None)
-        columns = {doc_id: left.column("__id"), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
+        columns = {doc_id: table.column("__id"), "n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
         return pa.table(columns | ({"kept_text": pa.array(stay, pa.binary())} if kept else {}))
 
-    segments = texts.mapInArrow(count_segments, SENT).repartition(parts, "part").mapInArrow(judge(_judge_segments), BACK)
-    strings = texts.groupBy("__block").cogroup(segments.groupBy("block")).applyInArrow(count_strings, SENT)
-    strings = strings.repartition(parts, "part").mapInArrow(judge(_judge_strings), BACK)
+    segments = dealt(texts.mapInArrow(ask, SENT), parts, "part").mapInArrow(judge(judge_segments, hot), BACK)
+    sent = texts.groupBy("__block").cogroup(segments.groupBy("block")).applyInArrow(candidates, SENT)
+    strings = dealt(sent, parts, "part").mapInArrow(judge(judge_candidates, length), BACK)
     out = f"`{doc_id}` {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept_text binary" if kept else "")
-    return texts.groupBy("__block").cogroup(segments.unionByName(strings).groupBy("block")).applyInArrow(finish, out)
+    return texts.groupBy("__block").cogroup(reduce(DataFrame.unionByName, [segments, strings]).groupBy("block")).applyInArrow(finish, out)

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -41,15 +42,45 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 23, 30_000])
-def test_repeats_equal_brute_force(spark, block_bytes):
-    texts = sample(spark)
-    df = frame(spark, texts)
+def edges(n=30):
+    """Texts that share a passage between words of their own, so that segments at its edges differ."""
+    rng = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(90))
+    own = lambda: " ".join(f"q{rng.randint(0, 10**9)}" for _ in range(40))
+    return [f"{own()} {passage} {own()}" for _ in range(n)]
+
+
+@pytest.mark.parametrize("block_bytes,hot,per_anchor", [(1 << 23, 2048, 16), (30_000, 2048, 16), (30_000, 4, 16), (30_000, 2048, 1), (9_000, 1, 2)])
+def test_repeats_equal_brute_force(spark, monkeypatch, block_bytes, hot, per_anchor):
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 50_000)
+    monkeypatch.setattr(suffix_dedup, "PER_ANCHOR", per_anchor)
+    texts = [*sample(spark, 60), *edges(), *edges(2)[:1] * 3]
+    df = frame(spark, texts).repartition(3)
     want = brute_repeats([*texts, texts[0]], suffix_dedup.LENGTH)
-    got = suffix_dedup.repeated(df, block_bytes=block_bytes).collect()
+    got = suffix_dedup.repeated(df, block_bytes=block_bytes, hot=hot).collect()
     assert sorted((r.doc_id, *tuple(r)[1:]) for r in got) == sorted((i % len(texts), *w) for i, w in enumerate(want))
 
 
+def removed(texts, **more):
+    """n_removed of texts, each its own block, without Spark."""
+    blocks = [suffix_dedup.Block([t.encode()], 200, 128) for t in texts]
+    batch = lambda rows: pa.Table.from_batches(rows)
+    asked = batch([suffix_dedup.ask_segments(i, b, 1) for i, b in enumerate(blocks)])
+    answers = list(suffix_dedup.judge_segments(0, asked, more.get("hot", 2048)))
+    of = lambda i: batch([x for x in answers if x.column("block")[0].as_py() == i] or [answers[0].slice(0, 0)])
+    sent = batch([r for i, b in enumerate(blocks) for r in suffix_dedup.send_candidates(i, b, suffix_dedup._told(of(i), 0, b.anchors, 1), 1)])
+    answers += suffix_dedup.judge_candidates(0, sent, 200)
+    return [int(suffix_dedup.covered(b, of(i), 1).sum()) for i, b in enumerate(blocks)]
+
+
+def test_the_sort_decides(monkeypatch):
+    texts = edges(12)
+    want = [w[1] for w in brute_repeats(texts, 200)]
+    assert removed(texts) == want == removed(texts, hot=1)
+    monkeypatch.setattr(suffix_dedup, "equal_groups", lambda prefix, data, at, bucket, limit: np.arange(len(at)))
+    assert removed(texts) != want  # nothing else finds what only the edges share
+
+
 def test_repeats_of_short_strings_and_kept_bytes(spark):
     rng = random.Random(3)
     texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 40))) for _ in range(30)]
@@ -59,6 +90,14 @@ def test_repeats_of_short_strings_and_kept_bytes(spark):
     assert suffix_dedup.repeated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_very_long_texts_and_many_repeated_rows(spark):
+    long_ = " ".join(str(i) for i in range(400_000))  # 2.7 MB, no string twice
+    rows = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("r" * 250).alias("text"))
+    rows = rows.unionByName(spark.createDataFrame([(1, long_), (2, long_[-500:]), (3, "x" * 3_000_000)], "doc_id long, text string"))
+    got = suffix_dedup.repeated(rows, block_bytes=1 << 20).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("n_removed").alias("low"), F.max("n_removed").alias("high")).collect()
+    assert {(r.doc_id, r.n, r.low, r.high) for r in got} == {(None, 100_000, 250, 250), (1, 1, 500, 500), (2, 1, 500, 500), (3, 1, 3_000_000, 3_000_000)}
+
+
 def test_collisions_are_verified():
     import numpy as np
 
