@@ -4,17 +4,19 @@ One pattern finds candidates in a text; each is validated for its kind, permuted
 kind's own set of values, and put back in its own punctuation:
 
     card      13 to 19 digits that pass the Luhn check; all but the check digit are permuted
-    iban      passes mod 97; letters stay letters and digits digits, check digits are made anew
+    iban      has its country's length and passes mod 97; letters stay letters and digits digits,
+              check digits are made anew
     ipv4      four octets without leading zeros, as 32 bits
-    phone     +country code or (area) form; digits after the country code
+    phone     + and an assigned country code, 8 to 15 digits in all, or (area) form; the digits
+              after the country code, however they are spaced
     ssn       ddd-dd-dddd with a valid area, group and serial, within the valid ones
     date      yyyy-MM-dd, dd.MM.yyyy or MM/dd/yyyy from 1900 to 2099, as a day of those years
-    email     the local part; letters stay letters and digits digits, the domain stays
-    token     40 hexadecimal digits
+    email     the local part; letters stay in their script and digits digits, the domain stays
+    token     40 hexadecimal digits, which have no check
 
 A permutation is keyed and depends on nothing but kind and value, so equal values get equal
 pseudonyms in every text, different values different ones. What fails validation stays as it
-is. A null text stays null, an empty one empty; repeated rows give repeated results. Existing
+is, and so does an email whose local part has letters beyond the basic plane. A null text stays null, an empty one empty; repeated rows give repeated results. Existing
 columns stay, the text column is replaced in place.
 """
 
@@ -24,12 +26,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+# Lengths of IBANs and the countries that have them.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+# Country codes of one and two digits; all others have three.
+COUNTRY_CODE = r"\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2})"
+# Ranges of letters (first and last code point), each permuted within itself.
+LETTER_RANGES = [
+    (0xC0, 0xD6), (0xD8, 0xDE), (0xDF, 0xF6), (0xF8, 0xFF), (0x100, 0x17F), (0x391, 0x3A1), (0x3A3, 0x3A9), (0x3B1, 0x3C9),
+    (0x400, 0x40F), (0x410, 0x42F), (0x430, 0x44F), (0x450, 0x45F), (0x531, 0x556), (0x561, 0x586), (0x5D0, 0x5EA), (0x620, 0x64A),
+    (0x904, 0x939), (0xE01, 0xE30), (0x10D0, 0x10FA), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3),
+]
+
+
+def _iban_form() -> str:
+    """A pattern for each length, in groups of four with or without blanks, so that no match runs on into the next word."""
+    forms = []
+    for n, countries in IBAN_LENGTHS.items():
+        rest = rf"(?: ?[A-Z0-9]{{{(n - 4) % 4}}})" if (n - 4) % 4 else ""
+        forms.append(rf"(?:{'|'.join(countries.split())})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}{rest}")
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join(forms)})(?![A-Za-z0-9])"
+
+
 #: Candidate forms (fixed values), by kind; the first that matches at a place is taken.
 FORMS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "email": r"(?<![\p{L}\p{N}._%+-])[[\p{L}\p{N}&&[^\x{10000}-\x{10FFFF}]]._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
+    "iban": _iban_form(),
     "token": r"(?<![A-Za-z0-9])(?:[0-9a-f]{40}|[0-9A-F]{40})(?![A-Za-z0-9])",
-    "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])",
+    "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,8}){1,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])",
     "ipv4": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])",
     "date": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9./])[0-9]{2}(?:\.[0-9]{2}\.|/[0-9]{2}/)[0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -77,29 +105,52 @@ def permute_digits(key: Column, tag: str, digits: Column) -> Column:
     return F.concat(F.lpad(made["l"].cast("string"), a, "0"), F.lpad(made["r"].cast("string"), b, "0"))
 
 
-def _shift(c: Column, by: Column, alphabets: tuple[str, ...]) -> Column:
-    """The character ``by`` places on in its alphabet; others stay."""
+def _shift(c: Column, by: Column, alphabets: tuple[str, ...], beyond: bool) -> Column:
+    """The character ``by`` places on in its alphabet; with ``beyond``, letters past ASCII in their range, or else in their row of sixteen code points. Marks stay."""
     out = c
+    if beyond:
+        code = F.ascii(c)
+        row = F.struct((code - code % 16).alias("a"), (code - code % 16 + 15).alias("z"))
+        ranges = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(z).alias("z")) for a, z in LETTER_RANGES])
+        own = F.coalesce(F.get(F.filter(ranges, lambda r: code.between(r["a"], r["z"])), F.lit(0)), row)
+        size = own["z"] - own["a"] + 1
+        moved = own["a"] + F.pmod(code - own["a"] + by * (F.floor(size / 256) + 1), size)
+        letter = F.decode(F.unhex(F.lpad(F.hex(moved.cast("long")), 4, "0")), "UTF-16BE")
+        out = F.when((code >= 0x80) & c.rlike(r"[\p{L}\p{N}]"), letter).otherwise(c)
     for s in alphabets:
         at = F.instr(F.lit(s), c)
         out = F.when(at > 0, F.substring(F.lit(s), (F.pmod(at - 1 + by, F.lit(len(s))) + 1).cast("int"), F.lit(1))).otherwise(out)
     return out
 
 
-def permute_letters(key: Column, tag: str, value: Column, alphabets: tuple[str, ...] = (DIGITS, LOWER, UPPER)) -> Column:
-    """A string of 64 characters at most, permuted among those with the same alphabet at each place; case is not part of the value."""
+def _single(key: Column, tag: str, c: Column, alphabets: tuple[str, ...]) -> Column:
+    """One character of an alphabet of even size, permuted among all of it."""
+    out = F.lit(None).cast("string")
+    for s in alphabets:
+        at, half = F.instr(F.lit(s), c) - 1, len(s) // 2
+        made = feistel(key, f"{tag}1", F.floor(at / half), at % half, 2, half)
+        out = F.when(at >= 0, F.substring(F.lit(s), (made["l"] * half + made["r"] + 1).cast("int"), F.lit(1))).otherwise(out)
+    return out
+
+
+def permute_letters(key: Column, tag: str, value: Column, alphabets: tuple[str, ...] = (DIGITS, LOWER, UPPER), beyond: bool = False) -> Column:
+    """A string of 64 characters at most, permuted among those with the same alphabet at each place; case is not part of the value.
+
+    ``beyond``: letters beyond ASCII are permuted too.
+    """
     a = F.floor(F.length(value) / 2).cast("int")
 
     def moved(half: Column, other: Column, i: Column) -> Column:
         digest = _keyed(key, tag, i, F.concat_ws("|", F.length(half).cast("string"), F.lower(other)))
-        letters = F.transform(F.split(half, ""), lambda c, k: _shift(c, F.conv(F.substring(digest, (2 * k + 1).cast("int"), F.lit(2)), 16, 10).cast("int"), alphabets))
+        letters = F.transform(F.split(half, ""), lambda c, k: _shift(c, F.conv(F.substring(digest, (2 * k + 1).cast("int"), F.lit(2)), 16, 10).cast("int"), alphabets, beyond))
         return F.when(F.length(half) > 0, F.array_join(letters, "")).otherwise(half)
 
     def step(s: Column, i: Column) -> Column:
         return F.when(i % 2 == 0, F.struct(moved(s["l"], s["r"], i).alias("l"), s["r"].alias("r"))).otherwise(F.struct(s["l"].alias("l"), moved(s["r"], s["l"], i).alias("r")))
 
     made = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(F.left(value, a).alias("l"), F.right(value, F.length(value) - a).alias("r")), step)
-    return F.concat(made["l"], made["r"])
+    several = F.concat(made["l"], made["r"])
+    return F.when(F.length(value) == 1, F.coalesce(_single(key, tag, value, alphabets), several)).otherwise(several)
 
 
 def _refill(form: Column, characters: str, new: Column) -> Column:
@@ -148,9 +199,12 @@ def _ipv4(key: Column, m: Column) -> Column:
 
 
 def _phone(key: Column, m: Column) -> Column:
-    country = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[ .(-])|^\+[0-9]", 0)
-    local = F.substring(m, F.length(country) + 1, F.length(m))
-    return F.concat(country, _refill(local, "0-9", permute_digits(key, "phone", F.regexp_replace(local, "[^0-9]", ""))))
+    digits = F.regexp_replace(m, "[^0-9]", "")
+    code = F.length(F.regexp_extract(F.concat(F.lit("+"), digits), f"^{COUNTRY_CODE}", 0)) - 1
+    code = F.when(m.startswith("+"), code).otherwise(0)
+    valid = ~m.startswith("+") | (F.length(digits).between(8, 15) & (code > 0) & (F.length(digits) - code >= 4))
+    rest = permute_digits(key, "phone", F.substring(digits, code + 1, F.length(digits)))
+    return F.when(valid, _refill(m, "0-9", F.concat(F.left(digits, code), rest))).otherwise(m)
 
 
 def _ssn(key: Column, m: Column) -> Column:
@@ -176,7 +230,7 @@ def _date(key: Column, m: Column) -> Column:
 
 def _email(key: Column, m: Column) -> Column:
     at = F.instr(m, "@")
-    return F.concat(permute_letters(key, "email", F.left(m, at - 1)), F.substring(m, at, F.length(m)))
+    return F.concat(permute_letters(key, "email", F.left(m, at - 1), beyond=True), F.substring(m, at, F.length(m)))
 
 
 def _token(key: Column, m: Column) -> Column:

@@ -1,5 +1,6 @@
 """Operators that judge or rewrite texts, against brute force."""
 
+import datetime
 import hashlib
 import math
 import random
@@ -333,7 +334,15 @@ FORMS = [
     ("31.12.1999", r"\d\d\.\d\d\.(19|20)\d\d"),
     ("12/31/1999", r"\d\d/\d\d/(19|20)\d\d"),
     ("und.34@mail7.example.com", r"[a-z]{3}\.\d\d@mail7\.example\.com"),
-    ("Ö.12@mail7.example.com", r"Ö\.\d\d@mail7\.example\.com"),
+    ("Ö.12@mail7.example.com", r"[À-Ö]\.\d\d@mail7\.example\.com"),
+    ("иван@mail.ru", r"[а-я]{4}@mail\.ru"),
+    ("çöğüş.Жук@mail.com", r"[\u00df-\u00f6]{2}[Ā-ſ][\u00f8-\u00ff][Ā-ſ]\.[А-Я][а-я]{2}@mail\.com"),
+    ("山田.かな@mail.jp", r"[\u4e00-\u9fff]{2}\.[ぁ-ゖ]{2}@mail\.jp"),
+    ("ա.ელ@mail.am", r"[\u0561-\u0586]\.[\u10d0-\u10fa]{2}@mail\.am"),
+    ("NO93 8601 1117 947", r"NO\d\d \d{4} \d{4} \d{3}"),
+    ("MT84MALT011000012345MTLCAST001S", r"MT\d\d[A-Z]{4}\d{12}[A-Z]{7}\d{3}[A-Z]"),
+    ("+49 30 12345678", r"\+49 \d\d \d{8}"),
+    ("+905321234567", r"\+90\d{10}"),
     ("04dbebab91ab85687d33eeaaf9ac699e1188f962", r"[0-9a-f]{40}"),
 ]
 
@@ -351,6 +360,54 @@ def test_what_fails_validation_stays(spark):
     assert many(spark, texts) == texts
 
 
+def test_ibans_end_where_their_country_says(spark):
+    texts = ["BE68 5390 0754 7034 EUR", "ES91 2100 0418 4502 0005 1332 BANK", "GB82WEST12345698765432 1234", "ZZ68 5390 0754 7034"]
+    got = many(spark, texts)
+    assert re.fullmatch(r"BE\d\d \d{4} \d{4} \d{4} EUR", got[0]) and got[0] != texts[0]
+    assert re.fullmatch(r"ES\d\d( \d{4}){5} BANK", got[1]) and got[1] != texts[1]
+    assert got[2].endswith(" 1234") and got[2] != texts[2] and got[3] == texts[3]
+    for g in (got[0][:19], got[1][:29]):
+        flat = g.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
+
+
+def test_phones_link_however_they_are_spaced(spark):
+    got = many(spark, ["+49 30 12345678", "+493012345678", "+49-3012-345678", "+1 (212) 555-7713", "+12125557713", "+999", "+00 123 456 789"])
+    digits = [re.sub(r"\D", "", g) for g in got]
+    assert digits[0] == digits[1] == digits[2] != "493012345678" and digits[0].startswith("49")
+    assert digits[3] == digits[4] != "12125557713" and digits[3].startswith("1")
+    assert got[5:] == ["+999", "+00 123 456 789"]
+
+
+def test_every_kind_equals_the_written_out_network(spark):
+    """Numbers of each numeric kind, by the network spelled out in plain numbers."""
+    got = many(spark, ["10.20.30.40", "123-45-6789", "2024-02-29", "+493012345678", "a@mail.com", "NO9386011117947"])
+    octets = feistel("k", "ipv4", 10 * 256 + 20, 30 * 256 + 40, 65536, 65536)
+    assert got[0] == ".".join(str(x) for h in octets for x in divmod(h, 256))
+    left, right = feistel("k", "ssn", 122, 44 * 9999 + 6788, 898, 99 * 9999)
+    assert got[1] == f"{left + (2 if left >= 665 else 1):03d}-{right // 9999 + 1:02d}-{right % 9999 + 1:04d}"
+    at = (datetime.date(2024, 2, 29) - datetime.date(1900, 1, 1)).days
+    left, right = feistel("k", "date", at // 319, at % 319, 229, 319)
+    assert got[2] == str(datetime.date(1900, 1, 1) + datetime.timedelta(left * 319 + right))
+    left, right = feistel("k", "phone", 30123, 45678, 10**5, 10**5)
+    assert got[3] == f"+49{left:05d}{right:05d}"
+    left, right = feistel("k", "email1", 0, 0, 2, 13)
+    assert got[4] == f"{chr(97 + left * 13 + right)}@mail.com"
+    # Strings of letters and digits: halves in turn, each character moved by a byte of a digest of the other half.
+    left, right = "86011", "117947"
+    for i in range(pseudonyms.ROUNDS):
+        half, other = (left, right) if i % 2 == 0 else (right, left)
+        digest = hashlib.sha256(f"k|iban|{i}|{len(half)}|{other}|k".encode()).digest()
+        moved = "".join(str((int(c) + b) % 10) for c, b in zip(half, digest))
+        left, right = (moved, right) if i % 2 == 0 else (left, moved)
+    assert got[5][4:] == left + right
+
+
+def test_single_letters_are_permuted(spark):
+    got = many(spark, [f"{c}@mail.com" for c in "abcdefghijklmnopqrstuvwxyz0123456789"])
+    assert len(set(got)) == 36 and len({(ord(g[0]) - ord(c)) % 26 for g, c in zip(got, "abcdefghijklmnopqrstuvwxyz")}) > 1
+
+
 def test_pseudonyms_of_tables(spark):
     texts = sample(spark)
     df = frame(spark, texts)
