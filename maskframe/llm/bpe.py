@@ -5,7 +5,9 @@ neighbouring pair by binary search over the sorted pair keys, takes the lowest r
 word, merges every place of that pair in it, and drops the words that have no pair left.
 
 Null and empty texts give no ids. Special tokens written in a text become their own ids, as in
-the library whose files are read. Only vocabulary files of byte-level tokenizers are accepted.
+the library whose files are read. Only files of byte-level tokenizers without normalizer, added
+blanks or options that change ids are accepted; others raise. A word costs a round for each rank
+that occurs in it: 200,000 different letters without a blank take some seconds.
 """
 
 from __future__ import annotations
@@ -36,12 +38,27 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def check_file(spec: dict) -> None:
+    """Refuses a tokenizer file that asks for anything but plain byte-level pairs."""
+    model, split, decoder = spec.get("model") or {}, spec.get("pre_tokenizer") or {}, spec.get("decoder") or {}
+    wrong = [k for k in ("normalizer", "post_processor") if spec.get(k)]
+    if model.get("type", "BPE") != "BPE" or split.get("type") != "ByteLevel" or decoder.get("type") != "ByteLevel":
+        wrong.append("no byte-level pairs")
+    if split.get("add_prefix_space") or not split.get("use_regex", True):
+        wrong.append("pre_tokenizer")
+    wrong += [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    wrong += [a["content"] for a in spec.get("added_tokens", []) if any(a.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized"))]
+    if wrong:
+        raise ValueError(f"not a tokenizer file of plain byte-level pairs: {', '.join(wrong)}")
+
+
 class BytePairs:
     """Vocabulary and merges of a tokenizer file, as arrays."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_file(spec)
         letters = _byte_letters()
         vocab = spec["model"]["vocab"]
         size = 1 + max([*vocab.values(), *[a["id"] for a in spec["added_tokens"]]])

@@ -5,7 +5,8 @@ a rule. A policy is a versioned mask: a text is rejected if its failure bits mee
 changing a policy, or asking what each rule costs (ablation), never reads the texts again.
 
 Null and empty texts have no words and fail ``too_few_words``. Repeated rows are judged one by
-one. Existing columns stay; the ledger's columns carry a prefix so that names cannot clash.
+one. The rules of v1 are for scripts that part words by blanks: a text without blanks is one long
+word and fails ``too_few_words`` and ``word_length``. Existing columns stay; the ledger's columns carry a prefix so that names cannot clash.
 """
 
 from __future__ import annotations

@@ -37,8 +37,8 @@ def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals, truncated totals and quantiles at every context limit, under a byte-level vocabulary."""
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return token_counts.limits(token_counts.histogram(token_counts.lengths(_table(spark, sf_dir, "documents"), path)))
+    paths = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
+    return token_counts.limits(token_counts.histogram(token_counts.lengths(_table(spark, sf_dir, "documents"), *paths)))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,25 +2,28 @@
 
 Documents are aggregated by encoded length. From the histogram alone, suffix sums answer for
 every context limit how many documents pass it, how many tokens a cut at the limit keeps or
-loses, and which quantile the limit is. Null and empty texts have length 0.
+loses, and which quantile the limit is. Null and empty texts have length 0. Special tokens written
+in a text count as one, as in ``bpe``.
 """
 
 from __future__ import annotations
 
 import base64
 
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskframe.llm._common import map_texts
+from maskframe.llm.bpe import PATTERN, BytePairs
 
-#: The pattern that splits text before the merges (fixed value of the vocabulary).
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Letters of white space in a row that the rank encoder's pattern engine can't take; such texts are counted by ``BytePairs``.
+BLANKS = 50_000
 
 
-def lengths(docs: DataFrame, ranks_path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Encoded length of each text under a file of byte-pair ranks."""
+def lengths(docs: DataFrame, ranks_path: str, tokenizer_path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Encoded length of each text under a file of byte-pair ranks and the tokenizer file of the same vocabulary."""
     state: list = []
 
     def work(texts):
@@ -29,8 +32,15 @@ def lengths(docs: DataFrame, ranks_path: str, text: str = "text", keep: list[str
         if not state:
             with open(ranks_path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            state.append(tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}))
-        return [[len(state[0].encode_ordinary(t.decode())) for t in texts]]
+            pairs = BytePairs(tokenizer_path)
+            state.extend([tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=pairs.special), pairs, regex.compile(rf"\s{{{BLANKS}}}")])
+        ranked, pairs, blanks = state
+        out = []
+        for t in texts:
+            s = t.decode()
+            plain = len(s) < BLANKS or blanks.search(s) is None
+            out.append(len(ranked.encode(s, allowed_special="all", disallowed_special=()) if plain else pairs.encode([s])[0]))
+        return [out]
 
     return map_texts(docs, text, work, T.StructType([T.StructField("n_tokens", T.LongType())]), keep or ["doc_id"])
 

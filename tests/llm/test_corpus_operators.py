@@ -300,6 +300,40 @@ def test_shards(spark):
     assert table.version() == old + 1
 
 
+def test_shards_keep_columns_that_come_and_go(spark):
+    table = shards.ShardTable(spark, f"{shared_dir(spark)}/columns", fan_in=2)
+    table.append(spark.createDataFrame([(1, "a")], "id long, text string"))
+    table.append(spark.createDataFrame([(2, "b", 7)], "id long, text string, extra int"))
+    table.append(spark.createDataFrame([("c",)], "text string"))
+    assert max(r.tier for r in table.runs()) >= 1 and table.read().columns == ["id", "text", "extra"]
+    assert sorted(map(tuple, table.read().collect()), key=str) == sorted([(1, "a", None), (2, "b", 7), (None, "c", None)], key=str)
+    at = table.version()
+    with pytest.raises(ValueError, match="column id"):
+        table.append(spark.createDataFrame([("x", "y")], "id string, text string"))
+    assert table.version() == at
+
+
+def test_shards_have_the_size_that_was_asked_for(spark):
+    table = shards.ShardTable(spark, f"{shared_dir(spark)}/sizes", target_bytes=100_000, fan_in=2)
+    rows = spark.range(20_000).select("id", F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    for i in range(2):
+        table.append(rows.filter(F.col("id") % 2 == i).coalesce(1))
+    (run,) = table.runs()
+    sizes = [s.getLen() for s in table._fs.listStatus(table._at("data", run.run)) if s.getPath().getName().endswith(".parquet")]
+    assert len(sizes) >= run.bytes // 100_000 and max(sizes) < 200_000 and table.read().count() == 20_000
+
+
+def test_vacuum_removes_what_dead_writers_left(spark):
+    table = shards.ShardTable(spark, f"{shared_dir(spark)}/orphans", fan_in=9)
+    table.append(spark.range(3).select("id"))
+    table._write(spark.range(4).select("id"), 0)  # died before its commit
+    spark.range(1).write.parquet(f"{table.path}/manifest/draft-dead")
+    table.vacuum()
+    assert len(table._fs.listStatus(table._at("data"))) == 2  # it may still be at work
+    table.vacuum(orphan_seconds=0)
+    assert len(table._fs.listStatus(table._at("data"))) == 1 and len(table._fs.listStatus(table._at("manifest"))) == 1 and table.read().count() == 3
+
+
 def test_shard_writers_retry(spark):
     table = shards.ShardTable(spark, f"{shared_dir(spark)}/raced", fan_in=50)
     other = shards.ShardTable(spark, table.path, fan_in=50)

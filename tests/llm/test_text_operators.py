@@ -2,6 +2,7 @@
 
 import datetime
 import hashlib
+import json
 import math
 import random
 import re
@@ -95,6 +96,15 @@ def test_bpe_digests_equal_the_library(spark):
         assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_other_tokenizer_files_are_refused():
+    with open(BPE, encoding="utf-8") as f:
+        spec = json.load(f)
+    bpe.check_file(spec)
+    for at, value in (("normalizer", {"type": "NFC"}), ("pre_tokenizer", spec["pre_tokenizer"] | {"add_prefix_space": True}), ("model", spec["model"] | {"ignore_merges": True}), ("added_tokens", [spec["added_tokens"][0] | {"lstrip": True}])):
+        with pytest.raises(ValueError, match="plain byte-level pairs"):
+            bpe.check_file(spec | {at: value})
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60))
 def test_bpe_any_text(text):
@@ -113,9 +123,12 @@ def test_bpe_ids_column(spark):
 
 def test_length_histogram(spark):
     texts = sample(spark)
-    lengths = token_counts.lengths(frame(spark, texts), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    texts += ["a<|endoftext|>b", "<|endoftext|>", " \n" * 40_000, " " * 2_000_000 + "x", "x" + "\t" * 60_000]
+    lengths = token_counts.lengths(frame(spark, texts), public_tokenizers.path("byte_bpe_50k.tiktoken"), BPE)
     n = [r.n_tokens for r in lengths.orderBy("doc_id").collect()]
-    assert n[0] == len(library().encode(texts[0], add_special_tokens=False).ids)
+    lib = library()
+    assert n == [len(lib.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    assert n == [r.n_tokens for r in bpe.digests(frame(spark, texts), BPE).orderBy("doc_id").collect()]
     h = token_counts.histogram(lengths)
     for r in token_counts.limits(h).collect():
         limit = r.context_limit
@@ -274,6 +287,48 @@ def test_classifier_without_labels(spark):
     assert classifier.quality(frame(spark, []), labels, F.lit(True)).count() == 0
 
 
+def test_classifier_equals_plain_numpy(spark):
+    """Features, ridge, fold scores and calibration, all rows at once in plain numpy."""
+    import numpy as np
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = held_out(F.col("doc_id"), 4, 2)
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    seen = {r.doc_id: r.quality for r in labels.filter(~held & F.col("quality").isNotNull()).collect() if r.doc_id in texts}
+    fold = {r.doc_id: r.f for r in labels.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(classifier.FOLDS)).alias("f")).collect()}
+    ids = sorted(seen)
+    x, y, f = np.array([classifier.statistics(texts[i]) for i in ids]), np.array([seen[i] for i in ids], float), np.array([fold[i] for i in ids])
+    scale = x.std(axis=0)
+    model = classifier.Model(x.mean(axis=0), np.where(scale == 0, 1, scale), classifier.FEATURES, classifier.WIDTH, 7)
+    z = model.features(x)
+    assert abs(z[:, :-1] @ z[:, :-1].T - np.exp(-0.5 * ((np.clip((x - model.mean) / model.scale, -6, 6)[:, None] - np.clip((x - model.mean) / model.scale, -6, 6)[None]) ** 2).sum(-1) / (classifier.WIDTH * np.sqrt(x.shape[1]) / 2) ** 2)).mean() < 0.1  # a Gaussian kernel
+
+    def ridge(a, b):
+        return np.linalg.solve(a.T @ a + classifier.RIDGE * len(a) * np.diag(np.r_[np.ones(classifier.FEATURES), 1e-9]), a.T @ b)
+
+    model.weights = ridge(z, y)
+    at = np.zeros(len(y))
+    for k in range(classifier.FOLDS):
+        at[f == k] = z[f == k] @ ridge(z[f != k], y[f != k])
+    at = np.rint((at + 0.5) * classifier.BINS) / classifier.BINS - 0.5
+    order = np.argsort(at, kind="stable")
+    blocks = [[-0.5, 1.0, 0.0], *[[a, 1.0, b] for a, b in zip(at[order], y[order])], [2 - 0.5, 1.0, 1.0]]
+    merged = True
+    while merged:  # pools one violation after another, in no clever order
+        merged = False
+        for i in range(len(blocks) - 1):
+            (a, n, s), (b, m, t) = blocks[i], blocks[i + 1]
+            if s / n >= t / m or a == b:
+                blocks[i : i + 2] = [[(a * n + b * m) / (n + m), n + m, s + t]]
+                merged = True
+                break
+    model.at, model.share = np.array([b[0] for b in blocks]), np.array([b[2] / b[1] for b in blocks])
+    got = {r.doc_id: r.score for r in classifier.quality(docs.select("doc_id", "text"), labels, ~held).collect()}
+    want = dict(zip(texts, np.clip(model.score(np.array([classifier.statistics(t) for t in texts.values()])), 0, 1)))
+    assert max(abs(got[i] - want[i]) for i in texts) < 1e-6
+
+
 def test_isotonic_pools_violators():
     at, share = classifier.isotonic([0, 1, 2, 3], [1, 1, 1, 1], [0, 1, 0, 1])
     assert list(at) == [0, 1.5, 3] and list(share) == [0, 0.5, 1]
