@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ENTITY = "struct<type:string,action:string,count:int>"
 RECORD = f"seq bigint, ts timestamp, kind string, actor string, session_id string, request_sha256 string, entities array<{ENTITY}>, prev_hash string, hash string"
@@ -17,66 +18,122 @@ KINDS = ("MASK_APPLIED", "REQUEST_BLOCKED", "VAULT_RESOLVE", "POLICY_CHANGED")
 GENESIS = hashlib.sha256(b"maskframe-genesis-v1").hexdigest()
 
 
-def canonical(*columns: str) -> Column:
-    """One line of JSON with sorted keys; nulls are kept."""
-    return F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"})
+def _sorted(value: Column, kind: T.DataType) -> Column:
+    """``value`` with the keys of all its structs and maps in order."""
+    if isinstance(kind, T.StructType):
+        made = F.struct(*[_sorted(value[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)])
+        return F.when(value.isNotNull(), made)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _sorted(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.map_from_entries(F.array_sort(F.transform(F.map_entries(value), lambda e: F.struct(e["key"], _sorted(e["value"], kind.valueType).alias("value")))))
+    if isinstance(kind, (T.FractionalType, T.DecimalType)):
+        raise TypeError("numbers with a fraction have no canonical form here; use whole numbers or text")
+    return value
 
 
-def keyed_hash(key: str):
-    """HMAC-SHA256 of strings, in hexadecimal."""
-    secret = key.encode()
+def canonical(df: DataFrame, *columns: str) -> Column:
+    """One line of JSON with sorted keys at every depth; nulls are kept."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    return F.to_json(F.struct(*[_sorted(F.col(f"`{c}`"), kinds[c]).alias(c) for c in sorted(columns)]), {"ignoreNullFields": "false"})
+
+
+def keyed_hash(key: str, domain: str = ""):
+    """HMAC-SHA256 of strings, in hexadecimal; a ``domain`` keeps the uses of one key apart."""
+    secret, prefix = key.encode(), f"{domain}\0".encode() if domain else b""
 
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else hmac.new(secret, t.encode(), hashlib.sha256).hexdigest() for t in texts], dtype=object)
+        return pd.Series([None if t is None else hmac.new(secret, prefix + t.encode(), hashlib.sha256).hexdigest() for t in texts], dtype=object)
 
     run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
     return F.pandas_udf(run, "string")
 
 
-def append(records: DataFrame, key: str, log: str, seq: str = "seq", payload: str = "payload", start: str = GENESIS) -> DataFrame:
+#: What the keyed hashes of values and of checkpoints start with.
+FINGERPRINT, CHECKPOINT = "maskframe-audit-fingerprint-v1", "maskframe-audit-checkpoint-v1"
+
+
+def fingerprint(value: Column, key: str) -> Column:
+    """A keyed digest of a value, of no use for any other purpose of the key."""
+    return keyed_hash(key, FINGERPRINT)(value)
+
+
+def append(records: DataFrame, key: str, log: str, seq: str = "seq", payload: str = "payload", stored: DataFrame | None = None) -> DataFrame:
     """Links the records of each log in the order of ``seq``: prev_hash and hash are added.
 
-    A chain is serial by nature: a task walks its logs record by record and holds one hash each.
+    Without ``stored``, a log begins at the genesis and ``seq`` stands as given. With it (log, seq
+    and hash of what is there), each log goes on after its last record and ``seq`` is made anew. A
+    chain is serial by nature: a task walks its logs record by record and holds one hash each.
     """
-    secret = key.encode()
-    ordered = records.repartition(log).sortWithinPartitions(log, seq)
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in records.schema)}, prev_hash string, hash string"
+    secret, order, more = key.encode(), seq, stored is not None
+    columns = records.columns
+    if stored is not None:
+        last = stored.groupBy(log).agg(F.max(seq).alias("__seq"), F.max_by("hash", seq).alias("__hash"))
+        records, columns, order = records.withColumnRenamed(seq, "__order").join(last, log, "left"), [c for c in columns if c != seq], "__order"
+    kinds = {f.name: f.dataType.simpleString() for f in records.schema.fields}
+    ordered = records.repartition(log).sortWithinPartitions(log, order)
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in columns], *([f"`{seq}` bigint"] if more else []), "prev_hash string, hash string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, last = None, start
+        at, last, number = (), GENESIS, 0  # no name equals the first ``at``
         for batch in batches:
-            before, after = [], []
-            for name, text in zip(batch.column(log).to_pylist(), batch.column(payload).to_pylist(), strict=True):
+            before, after, numbers = [], [], []
+            base, head = (batch.column(c).to_pylist() if more else [None] * batch.num_rows for c in ("__seq", "__hash"))
+            for name, text, b, h in zip(batch.column(log).to_pylist(), batch.column(payload).to_pylist(), base, head, strict=True):
                 if name != at:
-                    at, last = name, start
+                    at, last, number = name, h or GENESIS, b or 0
+                number += 1
+                numbers.append(number)
                 before.append(last)
                 last = hmac.new(secret, (text + last).encode(), hashlib.sha256).hexdigest()
                 after.append(last)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(after, pa.string())], names=[*batch.schema.names, "prev_hash", "hash"])
+            own = [batch.column(c) for c in columns] + ([pa.array(numbers, pa.int64())] if more else [])
+            names = [*columns, *([seq] if more else []), "prev_hash", "hash"]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(before, pa.string()), pa.array(after, pa.string())], names=names)
 
     return ordered.mapInArrow(run, schema)
 
 
-def verify(records: DataFrame, expected: Column, seq: str = "seq", first: int | None = None, last: int | None = None, log: str | None = None) -> DataFrame:
-    """Checks every link at once: one row with ok, checked, verified (before the first break) and first_broken_seq.
+def verify(records: DataFrame, expected: Column, seq: str = "seq", first: int = 1, last: int | None = None, log: str | None = None, checkpoints: DataFrame | None = None, genesis: str = GENESIS) -> DataFrame:
+    """Checks a whole log at once: a row with ok, verified, first_broken_seq and out_of_range (a row a log, with ``log``).
 
-    ``expected`` recomputes a record's hash from its stored columns. A record is broken if its
-    hash differs, or prev_hash is not the hash of the record before. Links are found by an
-    equi-join on seq, so no window over the whole log is needed.
+    A log is whole if its records are numbered from 1 without gaps or repeats, the first one
+    links to the genesis, every other to the hash of the one before, and each hash is what
+    ``expected`` makes of the stored columns. ``checkpoints`` (seq and hash, and the log's name)
+    must be the last record of its log: a shorter log is broken after its end, a longer one after
+    the checkpoint, another hash after the checkpoint too. ``verified`` counts records from
+    ``first`` to ``last`` before the first break, and ``out_of_range`` says that it lies outside.
+
+    A record and its predecessor's hash meet in one grouping by seq, so no window spans the log.
     """
-    keys = [log] if log else []
-    before = records.select(*keys, (F.col(seq) + 1).alias(seq), F.col("hash").alias("__before"))
-    chosen = records
-    if first is not None:
-        chosen = chosen.filter(F.col(seq) >= first)
+    keys = [log or "__log"]
+    rows = records if log else records.withColumn("__log", F.lit(1))
+    own = rows.select(*keys, seq, "prev_hash", "hash", expected.alias("__expected"), F.lit(1).alias("__own"))
+    before = rows.select(*keys, (F.col(seq) + 1).alias(seq), F.col("hash").alias("__before"))
+    met = own.unionByName(before, allowMissingColumns=True).groupBy(*keys, seq).agg(F.count("__own").alias("n"), *[F.max(c).alias(c) for c in ("prev_hash", "hash", "__expected", "__before")])
+    link = F.when(F.col(seq) == 1, F.lit(genesis)).otherwise(F.col("__before"))
+    sound = (F.col("n") == 1) & (F.col("prev_hash") == link) & (F.col("hash") == F.col("__expected")) & (F.col(seq) >= 1)
+    record = F.col("n") > 0
+    met = met.withColumn("__broken", F.when(record & ~F.coalesce(sound, F.lit(False)), F.col(seq)))
+    # A place without a record, but with one before it, ends a run of records.
+    run = F.when(F.max(F.when(record & (F.col(seq) == 1), True)), F.min(F.when(~record, F.col(seq) - 1))).otherwise(0)
+    sums = [F.min("__broken").alias("broken"), F.max(F.when(record, F.col(seq))).alias("latest"), run.alias("run")]
+    if checkpoints is not None:
+        points = (checkpoints if log else checkpoints.withColumn("__log", F.lit(1))).select(*keys, F.col("seq").alias("at"), F.col("hash").alias("point"))
+        met = met.join(points, keys, "full")  # a log of which nothing is left has its checkpoint still
+        sums += [F.max("at").alias("at"), F.max(F.when((F.col(seq) == F.col("at")) & (F.col("hash") == F.col("point")), True)).alias("anchored")]
+    total = met.groupBy(*(keys if log else [])).agg(*sums)
+    broken = F.col("broken")
+    if checkpoints is not None:
+        latest = F.coalesce("latest", F.lit(0))
+        held = F.col("at").isNull() | (F.coalesce("anchored", F.lit(False)) & (latest == F.col("at")))
+        broken = F.coalesce("broken", F.when(~held, F.when(latest < F.col("at"), latest + 1).otherwise(F.col("at") + 1)))
+    total = total.withColumns({"first_broken_seq": broken.cast("long"), "__end": F.least(F.coalesce(F.col("broken") - 1, "run"), "run")})
+    upper = F.col("__end") if last is None else F.least("__end", F.lit(last))
+    outside = F.col("first_broken_seq") < first
     if last is not None:
-        chosen = chosen.filter(F.col(seq) <= last)
-    head = F.col(seq) == (1 if first is None else first)
-    linked = F.when(head & F.col("__before").isNull(), F.lit(True)).otherwise(F.coalesce(F.col("prev_hash") == F.col("__before"), F.lit(False)))
-    checked = chosen.withColumn("__expected", expected).join(before, [*keys, seq], "left").select(*keys, seq, (~linked | F.coalesce(F.col("__expected") != F.col("hash"), F.lit(True))).alias("broken"))
-    total = checked.groupBy(*keys).agg(F.count("*").alias("checked"), F.min(F.when(F.col("broken"), F.col(seq))).alias("first_broken_seq"), F.min(seq).alias("__first"))
-    verified = F.coalesce(F.col("first_broken_seq") - F.col("__first"), F.col("checked"))
-    return total.select(*keys, F.col("first_broken_seq").isNull().alias("ok"), "checked", verified.alias("verified"), "first_broken_seq")
+        outside = outside | (F.col("first_broken_seq") > last)
+    return total.select(*([log] if log else []), F.col("first_broken_seq").isNull().alias("ok"), F.greatest(F.lit(0), upper - first + 1).cast("long").alias("verified"), "first_broken_seq", F.coalesce(outside, F.lit(False)).alias("out_of_range"))
 
 
 def against_checkpoints(records: DataFrame, checkpoints: DataFrame) -> DataFrame:
@@ -85,6 +142,53 @@ def against_checkpoints(records: DataFrame, checkpoints: DataFrame) -> DataFrame
     return checkpoints.join(stored, "seq", "left").filter(F.col("stored_hash").isNull() | (F.col("stored_hash") != F.col("hash")))
 
 
+def advance(heads: DataFrame, wanted: DataFrame, key: str, log: str) -> DataFrame:
+    """Checkpoint lines to add (log, v, seq, hash, mac, error_code) so that heads (log, seq, hash) reach what is wanted.
+
+    Heads only go forward: what lies at or before one adds nothing, and another hash at a head's own
+    seq is a CONFLICT.
+    """
+    head = heads.select(log, F.col("seq").alias("__seq"), F.col("hash").alias("__hash"))
+    rows = wanted.select(log, "seq", "hash").join(head, log, "left")
+    conflict = (F.col("seq") == F.col("__seq")) & (F.col("hash") != F.col("__hash"))
+    rows = rows.filter(F.col("__seq").isNull() | (F.col("seq") > F.col("__seq")) | conflict)
+    mac = keyed_hash(key, CHECKPOINT)(F.concat_ws("\0", F.col("seq").cast("string"), "hash"))
+    return rows.select(log, F.lit(1).alias("v"), "seq", "hash", mac.alias("mac"), F.when(conflict, F.lit("CONFLICT")).alias("error_code"))
+
+
+def reconcile(records: DataFrame, expected: Column, heads: DataFrame, log: str, bootstrap: bool = False) -> DataFrame:
+    """What is to be done about each log before it may go on: (log, state, seq, hash of its last record).
+
+    CURRENT: its head is its last record. ADVANCE: it has records past its head. BROKEN: the chain
+    fails. LOST_HEAD: its head is not among its records. UNANCHORED: it has no head, and
+    ``bootstrap`` doesn't allow to make one.
+    """
+    state = verify(records, expected, log=log).select(log, "ok")
+    last = records.groupBy(log).agg(F.max("seq").alias("seq"), F.max_by("hash", "seq").alias("hash"))
+    head = heads.select(log, F.col("seq").alias("__at"), F.col("hash").alias("__point"))
+    held = records.join(head, log).filter((F.col("seq") == F.col("__at")) & (F.col("hash") == F.col("__point"))).select(log, F.lit(True).alias("__held")).distinct()
+    rows = state.join(last, log).join(head, log, "full").join(held, log, "left")
+    what = (
+        F.when(~F.col("ok"), "BROKEN")
+        .when(F.col("__at").isNotNull() & F.col("__held").isNull(), "LOST_HEAD")
+        .when(F.col("__at").isNull() & F.lit(not bootstrap), "UNANCHORED")
+        .when(F.col("__at").isNull() | (F.col("seq") > F.col("__at")), "ADVANCE")
+        .otherwise("CURRENT")
+    )
+    return rows.select(log, what.alias("state"), "seq", "hash")
+
+
+def anchors(days: DataFrame, day: str = "day") -> DataFrame:
+    """The anchor event of each day, to be appended like any other."""
+    text = F.date_format(day, "yyyy-MM-dd")
+    return days.select(F.lit("ANCHOR").alias("kind"), F.lit("system:audit").alias("actor"), F.lit(None).cast("string").alias("session_id"), F.sha2(text, 256).alias("request_sha256"), F.array().cast(f"array<{ENTITY}>").alias("entities"))
+
+
+def scan(records: DataFrame) -> DataFrame:
+    """The whole log in the order of seq."""
+    return records.orderBy("seq")
+
+
 def page(records: DataFrame, number: int = 1, size: int = 25) -> DataFrame:
     """A page of the log, latest first."""
     if number < 1 or not 1 <= size <= 100:
@@ -108,7 +212,7 @@ def in_range(records: DataFrame, first: int, last: int | None = None) -> DataFra
 
 def export(records: DataFrame, path: str, first: int, last: int | None = None) -> None:
     """Writes a range as newline-delimited JSON."""
-    in_range(records, first, last).select(canonical(*records.columns).alias("value")).write.text(path)
+    in_range(records, first, last).select(canonical(records, *records.columns).alias("value")).write.text(path)
 
 
 def kind_counts(records: DataFrame) -> DataFrame:
@@ -125,6 +229,13 @@ def ranked_entities(records: DataFrame) -> DataFrame:
     return entity_totals(records).orderBy(F.desc("total"), "type")
 
 
+def bars(records: DataFrame, most: int = 8) -> DataFrame:
+    """The entities that occur most, each with its share of the largest total."""
+    top = entity_totals(records).orderBy(F.desc("total"), "type").limit(most)
+    largest = top.agg(F.max("total").alias("largest"))
+    return top.join(F.broadcast(largest)).select("type", "total", (F.col("total") / F.col("largest")).alias("share"))  # one row against ``most``
+
+
 def in_period(records: DataFrame, start: str, end: str) -> DataFrame:
     """Records from the start of one UTC day to the last millisecond of another."""
     return records.filter((F.col("ts") >= F.lit(f"{start} 00:00:00").cast("timestamp_ntz")) & (F.col("ts") <= F.lit(f"{end} 23:59:59.999").cast("timestamp_ntz")))

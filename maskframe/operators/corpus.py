@@ -123,7 +123,7 @@ def label_weights(rows: DataFrame, key: str, labels: str, most: float = 4.0, emp
     top = freq.groupBy(*by).agg(F.max("n").alias("top"))
     joined = freq.join(top, by) if by else freq.join(F.broadcast(top))
     weight = joined.select(*by, "label", F.least(F.lit(float(most)), F.col("top") / F.col("n")).alias("w"))
-    per_row = flat.join(F.broadcast(weight), [*by, "label"]).groupBy(*by, key).agg(F.max("w").alias("weight"))  # a row a label of the closed set
+    per_row = flat.join(weight, [*by, "label"]).groupBy(*by, key).agg(F.max("w").alias("weight"))  # Spark broadcasts the labels while they are few
     return rows.join(per_row, [*by, key], "left").withColumn("weight", F.coalesce("weight", F.lit(float(empty))))
 
 
@@ -154,26 +154,18 @@ def replay_quota(rows: DataFrame, source: str, replay: Column, ratio: float) ->
     return counts.join(F.broadcast(side), "is_replay").join(F.broadcast(total)).select("source", "is_replay", "n", share.cast("long").alias("side_quota"), (share * F.col("n") / F.col("side_n")).alias("expected"))
 
 
-def contained(docs: DataFrame, items: DataFrame, key: str, text: str, item: str, item_text: str, phrase_bytes: int = 4 << 20) -> DataFrame:
-    """Pairs (item, document) where the document holds the item's text. The items are sent to every task, so their size is bounded."""
-    size = items.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
-    if size > phrase_bytes:
-        raise ValueError(f"{size} bytes of items; split them")
-    phrases = items.select(F.col(item).alias("item"), F.col(item_text).alias("phrase"))
-    return docs.select(F.col(key), F.col(text).alias("__t")).join(F.broadcast(phrases), F.contains("__t", "phrase")).select("item", key)
+def contained(docs: DataFrame, items: DataFrame, key: str, text: str, item: str, item_text: str, phrase_bytes: int = 4 << 20, most: int = 500) -> DataFrame:
+    """Pairs (item, document) where the document holds the item's text; any size and number of items.
 
-
-def contained_any(docs: DataFrame, items: DataFrame, key: str, text: str, item: str, item_text: str, phrase_bytes: int = 4 << 20, most: int = 500) -> DataFrame:
-    """``contained`` for items of any size and number.
-
-    A word between two blanks of an item is a word between blanks of every text that holds the
+    Up to ``most`` items are sent to every task and looked for there. A word between two blanks of an item is a word between blanks of every text that holds the
     item. So beyond ``most`` items (or ``phrase_bytes``), items meet the texts that have their
     rarest such word, and those pairs are compared; items without such a word go to every task in
-    slices of about ``phrase_bytes``. A row for each pair of rows, as ``contained`` has it.
+    slices of about ``phrase_bytes``. A row for each pair of rows.
     """
     n, size = items.agg(F.count("*"), F.sum(F.octet_length(item_text))).first()
     if n <= most and (size or 0) <= phrase_bytes:
-        return contained(docs, items, key, text, item, item_text, phrase_bytes)
+        phrases = items.select(F.col(item).alias("item"), F.col(item_text).alias("phrase"))
+        return docs.select(F.col(key), F.col(text).alias("__t")).join(F.broadcast(phrases), F.contains("__t", "phrase")).select("item", key)
     rows = items.select(F.col(item).alias("item"), F.col(item_text).alias("phrase")).filter("phrase is not null")
     texts = docs.select(F.col(key).alias("__key"), F.col(text).alias("__t")).filter("__t is not null").withColumn("__d", F.xxhash64("__t"))
     parts = F.split("phrase", " ", -1)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from maskframe.functions import recognizers
 from maskframe.operators import spans as S
-from maskframe.taxonomy import DETERMINISTIC
+from maskframe.taxonomy import DETERMINISTIC, LAYERS
 
 SPANS = f"array<{S.SPAN}>"
 #: Every recognizer needs one of these; texts without them never leave the JVM.
@@ -28,7 +28,8 @@ def _finder(types: frozenset[str]) -> Callable[[Column], Column]:
 
 def candidates(text: Column, types: list[str] | None = None) -> Column:
     """All hits of the recognizers, overlapping ones too."""
-    return _finder(frozenset(types or DETERMINISTIC))(F.when(text.rlike(PREFILTER), text))
+    # Marked as not deterministic, so that no filter drawn from it makes the optimizer run it twice.
+    return _finder(frozenset(types or DETERMINISTIC)).asNondeterministic()(F.when(text.rlike(PREFILTER), text))
 
 
 def analyze(df: DataFrame, text: str = "text", types: list[str] | None = None, model: Callable[[DataFrame], DataFrame] | None = None, thresholds: dict[str, float] | None = None, out: str = "spans") -> DataFrame:
@@ -40,11 +41,13 @@ def analyze(df: DataFrame, text: str = "text", types: list[str] | None = None, m
     found = df.withColumn("__hits", candidates(F.col(text), types))
     if model is None:
         return found.withColumn(out, S.resolve_overlaps(F.col("__hits"))).drop("__hits")
-    needed = S.needs_model(F.col(text), F.col("__hits"))
+    found = found.withColumn("__needed", F.coalesce(S.needs_model(F.col(text), F.col("__hits")), F.lit(False)))
+    # Both branches read the hits; the optimizer may run the recognizers once for each.
+    needed = F.col("__needed")
     asked = model(found.filter(needed)).withColumn("model_spans", S.above_thresholds(F.col("model_spans"), thresholds or {}))
-    skipped = found.filter(~F.coalesce(needed, F.lit(False))).withColumn("model_spans", F.array().cast(SPANS))
+    skipped = found.filter(~needed).withColumn("model_spans", F.array().cast(SPANS))
     both = asked.unionByName(skipped)
-    return both.withColumn(out, S.resolve_overlaps(F.concat("__hits", "model_spans"))).drop("__hits", "model_spans")
+    return both.withColumn(out, S.resolve_overlaps(F.concat("__hits", "model_spans"))).drop("__hits", "__needed", "model_spans")
 
 
 def lexicon_model(words: dict[str, str], text: str = "text", confidence: float = 0.9) -> Callable[[DataFrame], DataFrame]:
@@ -80,13 +83,53 @@ def tokens(text: Column) -> Column:
             yield pd.Series([[] if t is None else [{"token": m[0], "start": m.start(), "end": m.end()} for m in recognizers.TOKEN.finditer(t)] for t in batch], dtype=object)
 
     find.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(find, "array<struct<token:string,start:int,end:int>>")(text)
+    return F.pandas_udf(find, "array<struct<token:string,start:int,end:int>>").asNondeterministic()(text)
+
+
+LANGUAGES = ("tr", "en")
+
+
+def supported(language: Column) -> Column:
+    """Whether the recognizers know a language; their rules are the same for all of these."""
+    return F.coalesce(F.lower(language).isin(*LANGUAGES), F.lit(False))
+
+
+def decode_predictions(predictions: Column, labels: dict[str, str]) -> Column:
+    """Spans of a model's raw output (label, start, end, score) under our types; labels it has no type for go.
+
+    A type outside the entity model's part of the taxonomy, an empty span or a score outside 0 to 1
+    is an error of the model.
+    """
+    bad = sorted(t for t in labels.values() if t not in LAYERS or LAYERS[t] != "ner")
+    if bad:
+        raise ValueError(f"labels stand for types that no entity model finds: {', '.join(bad)}")
+    known = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
+    named = F.filter(predictions, lambda p: F.element_at(known, p["label"]).isNotNull())
+    good = F.forall(named, lambda p: F.coalesce((p["start"] >= 0) & (p["start"] < p["end"]) & p["score"].between(0, 1), F.lit(False)))
+    span = F.transform(named, lambda p: F.struct(F.element_at(known, p["label"]).alias("type"), p["start"].cast("int").alias("start"), p["end"].cast("int").alias("end"), p["score"].cast("double").alias("confidence"), F.lit("ner").alias("layer")))
+    return F.when(good, span).otherwise(F.raise_error(F.lit("the model gave an invalid span")).cast(SPANS))
+
+
+class PiiSpans:
+    """SQL table function: a row for each resolved span of a text."""
+
+    def eval(self, text: str):
+        from maskframe.operators.mask import resolved
+
+        for s in resolved(text) if text is not None else []:
+            yield s["type"], s["start"], s["end"], s["confidence"], s["layer"], text[s["start"] : s["end"]]
 
 
 def register(spark) -> None:
-    """SQL functions pii_analyze(text) and pii_mask(text), pii_unmask(masked, mappings)."""
+    """SQL functions pii_analyze(text), pii_mask(text), pii_unmask(masked, values), and the table function pii_spans(text).
+
+    ``pii_mask`` returns masked_text, mappings and error_code; map_from_entries of placeholder and
+    value of the mappings is what ``pii_unmask`` takes.
+    """
     from maskframe.operators import mask
 
+    spark.udtf.register("pii_spans", F.udtf(PiiSpans, returnType="type string, start int, `end` int, confidence double, layer string, value string"))
+
     spark.udf.register("pii_analyze", _finder(frozenset(DETERMINISTIC)))
     spark.udf.register("pii_mask", mask.masker())
     spark.udf.register("pii_unmask", mask.unmasker())

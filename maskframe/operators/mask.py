@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import secrets
 import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,7 +60,7 @@ def _masked(text: str | None, spans, collision: str, suffix: str | None):
         if collision == "reject":
             error = "PLACEHOLDER_COLLISION"
         else:
-            hash_ = f"#{suffix}"
+            hash_ = f"#{suffix or secrets.token_hex(8)}"
     if error:
         return {"masked_text": None, "mappings": [], "error_code": error}
     masked, mappings = splice(text, rows, hash_)
@@ -69,9 +71,10 @@ def mask(df: DataFrame, text: str = "text", spans: str = "spans", collision: str
     """``df`` with masked_text, mappings and error_code.
 
     A text that already holds a placeholder is an error, or with ``collision="prefix"`` gets
-    placeholders with a 16-digit suffix drawn from ``seed``.
+    placeholders with a 16-digit suffix: drawn at random, or for repeatable runs from ``seed``,
+    which must be a secret.
     """
-    suffix = F.substring(F.sha2((seed if seed is not None else F.col(text)).cast("string"), 256), 1, 16)
+    suffix = F.lit(None).cast("string") if seed is None else F.substring(F.sha2(seed.cast("string"), 256), 1, 16)
 
     def work(texts, all_spans, suffixes):
         rows = [_masked(t, s, collision, x) for t, s, x in zip(texts, all_spans, suffixes, strict=True)]
@@ -99,17 +102,17 @@ def unmasker():
 
 
 def masker():
-    """Detection and masking of one text, for SQL."""
-    from maskframe.operators.spans import resolve_overlaps  # noqa: F401  (the set-at-a-time form)
+    """Detection and masking of one text, for SQL: the same struct as ``mask`` adds, collisions included."""
 
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None else splice(t, _resolved(t))[0] for t in texts], dtype=object)
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_masked(t, None if t is None else resolved(t), "reject", None) for t in texts], columns=RESULT.names)
 
-    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "string")
+    run.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(run, RESULT)
 
 
-def _resolved(text: str) -> list[dict]:
+def resolved(text: str) -> list[dict]:
+    """Spans of one text without overlaps, in the order of ``spans.resolve_overlaps``."""
     kept: list[dict] = []
     for k, a, b, c in sorted(detect(text, frozenset(DETERMINISTIC)), key=lambda h: (h[1] - h[2], -h[3], h[1], h[0])):
         if all(b <= x["start"] or x["end"] <= a for x in kept):
@@ -117,9 +120,24 @@ def _resolved(text: str) -> list[dict]:
     return sorted(kept, key=lambda x: x["start"])
 
 
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
+_composed.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+
+
+def nfc(text: Column) -> Column:
+    """Text in composed form; only what is not ASCII leaves the JVM."""
+    return F.when(text.rlike("^\\p{ASCII}*$"), text).otherwise(F.pandas_udf(_composed, "string")(F.when(~text.rlike("^\\p{ASCII}*$"), text)))
+
+
 def numbering(values: DataFrame, key: str) -> DataFrame:
-    """Placeholder of each distinct value of a document: rows (key, type, label, start, value) in, ranks by first appearance out."""
-    first = values.groupBy(key, "type", "label", "value").agg(F.min("start").alias("first_start"))
+    """Placeholder of each distinct value of a document: rows (key, type, label, start, value) in, ranks by first appearance out.
+
+    Values that are equal once composed (NFC) are one.
+    """
+    first = values.withColumn("value", nfc(F.col("value"))).groupBy(key, "type", "label", "value").agg(F.min("start").alias("first_start"))
     rank = F.row_number().over(Window.partitionBy(key, "label").orderBy("first_start", "type", "value"))
     return first.withColumn("n", rank).withColumn("placeholder", F.concat(F.lit("["), "label", F.lit("_"), F.col("n").cast("string"), F.lit("]")))
 

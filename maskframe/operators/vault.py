@@ -8,15 +8,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from maskframe.operators.mask import nfc
+
 SCOPE = ["tenant_id", "session_id"]
 
 
-def intern(vault: DataFrame, values: DataFrame, expires_at: Column) -> DataFrame:
+def intern(vault: DataFrame, values: DataFrame, expires_at: Column, now: Column | None = None) -> DataFrame:
     """New vault rows for values (scope, type, label, value, first_seen) that the scope has not; same value, same placeholder.
 
-    Numbers go on after the largest of the scope and label, in the order of first_seen.
+    Values that are equal once composed (NFC) are one; what has expired by ``now`` is not known any
+    more. Numbers go on after the largest of the scope and label, expired ones too, in the order of
+    first_seen, so no placeholder that was ever given out gets another value.
     """
-    known = vault.select(*SCOPE, "type", "value").distinct()
+    live = vault if now is None else vault.filter(F.col("expires_at") > now)
+    known = live.select(*SCOPE, "type", nfc(F.col("value")).alias("value")).distinct()
+    values = values.withColumn("value", nfc(F.col("value")))
     fresh = values.groupBy(*SCOPE, "type", "label", "value").agg(F.min("first_seen").alias("first_seen")).join(known, [*SCOPE, "type", "value"], "left_anti")
     last = counters(vault.select(*SCOPE, "placeholder"))
     n = F.row_number().over(Window.partitionBy(*SCOPE, "label").orderBy("first_seen", "type", "value")) + F.coalesce("last_n", F.lit(0))
@@ -24,6 +30,23 @@ def intern(vault: DataFrame, values: DataFrame, expires_at: Column) -> DataFrame
     return numbered.select(*SCOPE, "type", "value", F.concat(F.lit("["), "label", F.lit("_"), F.col("n").cast("string"), F.lit("]")).alias("placeholder"), expires_at.alias("expires_at"))
 
 
+def allocate(vault: DataFrame, requests: DataFrame, order: str) -> DataFrame:
+    """``requests`` (scope, placeholder) with ``given``: the placeholder asked for where it is free, else one past all that are known.
+
+    Of several requests for one placeholder the first in ``order`` gets it. A suffix stays with its label.
+    """
+    parts = lambda c, i: F.regexp_extract(c, r"^\[([A-Z]{2,12})_([1-9][0-9]{0,4})\](#[0-9a-f]{16})?$", i)
+    label = F.concat(parts("placeholder", 1), parts("placeholder", 3))
+    taken = vault.select(*SCOPE, "placeholder", F.lit(True).alias("__taken")).distinct()
+    rows = requests.join(taken, [*SCOPE, "placeholder"], "left").withColumn("__first", F.row_number().over(Window.partitionBy(*SCOPE, "placeholder").orderBy(order)) == 1)
+    rows = rows.withColumns({"__free": F.col("__first") & F.col("__taken").isNull(), "__label": label})
+    both = vault.select(*SCOPE, "placeholder").unionByName(requests.select(*SCOPE, "placeholder"))
+    last = both.groupBy(*SCOPE, label.alias("__label")).agg(F.max(parts("placeholder", 2).cast("int")).alias("__last"))
+    n = F.row_number().over(Window.partitionBy(*SCOPE, "__label", "__free").orderBy(order)) + F.col("__last")
+    moved = F.concat(F.lit("["), parts("placeholder", 1), F.lit("_"), n.cast("string"), F.lit("]"), parts("placeholder", 3))
+    return rows.join(last, [*SCOPE, "__label"]).withColumn("given", F.when(F.col("__free"), F.col("placeholder")).otherwise(moved)).select(*requests.columns, "given")
+
+
 def counters(placeholders: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """The largest number of each label in a scope, read from placeholders."""
     keys = SCOPE if keys is None else keys
@@ -37,6 +60,36 @@ def resolve(vault: DataFrame, wanted: DataFrame, now: Column) -> DataFrame:
     return wanted.join(vault.filter(F.col("expires_at") > now).select(*SCOPE, "placeholder", "value", "type"), [*SCOPE, "placeholder"], "left")
 
 
+def touch(vault: DataFrame, used: DataFrame, now: Column) -> DataFrame:
+    """``vault`` with used_at set to ``now`` for the placeholders (scope, placeholder) that were resolved; expired rows stay as they are."""
+    hit = used.select(*SCOPE, "placeholder", F.lit(True).alias("__hit")).distinct()
+    fresh = F.col("__hit") & (F.col("expires_at") > now)
+    return vault.join(hit, [*SCOPE, "placeholder"], "left").withColumn("used_at", F.when(fresh, F.greatest("used_at", now)).otherwise(F.col("used_at"))).drop("__hit")
+
+
+def authorised(issued: DataFrame, vault: DataFrame, now: Column) -> DataFrame:
+    """What each response may restore (resp_id, placeholder, value): placeholders issued to it (resp_id, scope, placeholder) that its scope still has."""
+    return resolve(vault, issued.select("resp_id", *SCOPE, "placeholder").distinct(), now).filter("value is not null").select("resp_id", "placeholder", "value")
+
+
+def sessions(vault: DataFrame, now: Column) -> DataFrame:
+    """Sessions of each tenant with their live placeholders, without values."""
+    return sweep(vault, now).groupBy(*SCOPE).agg(F.count("*").alias("placeholders"), F.max("expires_at").alias("expires_at"))
+
+
+def by_digest(vault: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Placeholders of values that are known by their keyed digest alone (scope, type, value_hmac)."""
+    from maskframe.operators.audit import keyed_hash
+
+    rows = vault.withColumn("value_hmac", keyed_hash(key, "maskframe-vault-value-v1")(F.concat_ws("\0", "type", nfc(F.col("value")))))
+    return wanted.join(rows.select(*SCOPE, "type", "value_hmac", "placeholder"), [*SCOPE, "type", "value_hmac"])
+
+
+def within_capacity(windows: DataFrame, now: Column, most: int, opened: str = "opened_at", ends: str = "ends_at", key: str = "key") -> DataFrame:
+    """Rate-limit windows that are kept: those still open, and of these the ``most`` that opened last."""
+    return windows.filter(F.col(ends) > now).orderBy(F.desc(opened), F.desc(key)).limit(most)
+
+
 def sweep(rows: DataFrame, now: Column) -> DataFrame:
     """What is left after expiry."""
     return rows.filter(F.col("expires_at") > now)

@@ -61,28 +61,64 @@ def audit_period_report(spark, sf_dir):
     return audit.period_report(audit_log(spark, sf_dir), "2024-01-05", "2024-01-14")
 
 
-def _chained(spark, sf_dir):
-    """Stored records, each linked to its predecessor's digest; every 997th payload was changed afterwards."""
-    rows = audit_log(spark, sf_dir).select("seq", F.concat_ws("|", F.col("seq").cast("string"), "kind", "actor", F.col("k").cast("string")).alias("payload"))
+def _logs(spark, sf_dir):
+    """A log for each actor, whose records link to their predecessors' digests; what was done to it follows from its name.
+
+    Of five actors one has another genesis, one lost its last two records, one has its third record
+    changed, one lost its second, and one is whole.
+    """
+    n = F.row_number().over(Window.partitionBy("actor").orderBy("seq")).cast("long")
+    rows = audit_log(spark, sf_dir).select("actor", n.alias("n"), F.concat_ws("|", "actor", n.cast("string"), "kind", F.col("k").cast("string")).alias("payload")).withColumnRenamed("n", "seq")
     own = rows.withColumn("hash", F.sha2("payload", 256))
-    before = own.select((F.col("seq") + 1).alias("seq"), F.col("hash").alias("prev_hash"))
-    return own.join(before, "seq", "left").withColumn("payload", F.when(F.col("seq") % 997 == 0, F.concat("payload", F.lit("!"))).otherwise(F.col("payload")))
+    before = own.select("actor", (F.col("seq") + 1).alias("seq"), F.col("hash").alias("prev_hash"))
+    start = F.when(F.col("actor").cast("int") % 5 == 1, F.sha2(F.lit("elsewhere"), 256)).otherwise(F.lit(audit.GENESIS))
+    linked = own.join(before, ["actor", "seq"], "left").withColumn("prev_hash", F.when(F.col("seq") == 1, start).otherwise(F.col("prev_hash")))
+    heads = own.groupBy("actor").agg(F.max("seq").alias("seq"), F.max_by("hash", "seq").alias("hash"))
+    kind = F.col("actor").cast("int") % 5
+    lost = ((kind == 2) & (F.col("seq") > F.col("top") - 2)) | ((kind == 4) & (F.col("seq") == 2))
+    stored = linked.join(heads.select("actor", F.col("seq").alias("top")), "actor").filter(~lost).drop("top")
+    return stored.withColumn("payload", F.when((kind == 3) & (F.col("seq") == 3), F.concat("payload", F.lit("!"))).otherwise(F.col("payload"))), heads
 
 
-@query(f"""WITH {AUDIT_SQL}, own AS (SELECT seq, concat_ws('|', seq, kind, actor, k) AS payload FROM log), hashed AS (SELECT seq, payload, sha256(payload) AS hash, lag(sha256(payload)) OVER (ORDER BY seq) AS prev_hash FROM own),
-checked AS (SELECT seq, (seq > 1 AND coalesce(prev_hash <> lag(hash) OVER (ORDER BY seq), true)) OR sha256(CASE WHEN seq % 997 = 0 THEN payload || '!' ELSE payload END) <> hash AS broken FROM hashed)
-SELECT count(*) FILTER (WHERE broken) = 0 AS ok, count(*) AS checked, coalesce(min(seq) FILTER (WHERE broken) - min(seq), count(*)) AS verified, min(seq) FILTER (WHERE broken) AS first_broken_seq FROM checked""")
-def chain_sha_verify(spark, sf_dir):
-    return audit.verify(_chained(spark, sf_dir), F.sha2("payload", 256))
+_LOGS = f"""WITH {AUDIT_SQL}, n AS (SELECT actor, count(*) AS n, CAST(actor AS INTEGER) % 5 AS kind FROM log GROUP BY actor),
+b AS (SELECT actor, n, CAST(CASE WHEN kind = 1 THEN 1 WHEN kind = 2 THEN n - 1 WHEN kind = 3 AND n >= 3 THEN 3 WHEN kind = 4 AND n >= 3 THEN 3 WHEN kind = 4 AND n = 2 THEN 2 END AS BIGINT) AS broken FROM n)"""
 
 
-@query(f"WITH {AUDIT_SQL} SELECT actor, true AS ok, count(*) AS checked, count(*) AS verified, CAST(NULL AS BIGINT) AS first_broken_seq FROM log GROUP BY actor")
+@query(f"""{_LOGS} SELECT actor, broken IS NULL AS ok, CAST(greatest(0, least(CASE WHEN CAST(actor AS INTEGER) % 5 = 4 THEN 1 ELSE coalesce(broken - 1, n) END, 20) - 1) AS BIGINT) AS verified, broken AS first_broken_seq, coalesce(broken < 2 OR broken > 20, false) AS out_of_range
+FROM b WHERE n > 2""")
+def chain_sha_verify(spark, sf_dir):
+    """Records 2 to 20 of every actor's log against its checkpoint: a foreign genesis, cut tails, changed and missing records."""
+    stored, heads = _logs(spark, sf_dir)
+    several = heads.filter("seq > 2")
+    return audit.verify(stored.join(several.select("actor"), "actor", "left_semi"), F.sha2("payload", 256), log="actor", checkpoints=several, first=2, last=20)
+
+
+@query(f"""{_LOGS} SELECT actor, CASE WHEN CAST(actor AS INTEGER) % 5 = 2 THEN 'LOST_HEAD' WHEN broken IS NOT NULL THEN 'BROKEN' WHEN CAST(actor AS INTEGER) % 10 = 5 THEN 'ADVANCE' WHEN CAST(actor AS INTEGER) % 20 = 0 THEN 'UNANCHORED' ELSE 'CURRENT' END AS state
+FROM b WHERE n > 4""")
+def chain_reconcile(spark, sf_dir):
+    """What each log needs before it goes on; some whole logs have no head yet, or an older one."""
+    stored, heads = _logs(spark, sf_dir)
+    several = heads.filter("seq > 4")
+    stored = stored.join(several.select("actor"), "actor", "left_semi")
+    number = F.col("actor").cast("int")
+    older = stored.filter((number % 10 == 5) & (F.col("seq") == 2)).select("actor", "seq", "hash")
+    known = several.filter((number % 5 != 0) | (number % 20 == 10)).unionByName(older)
+    return audit.reconcile(stored, F.sha2("payload", 256), known, "actor").select("actor", "state")
+
+
+@query(f"""WITH {AUDIT_SQL}, n AS (SELECT actor, count(*) AS n FROM log GROUP BY actor)
+SELECT actor, actor <> '7' AS ok, CAST(CASE WHEN actor = '7' THEN n // 2 ELSE n END AS BIGINT) AS verified, CAST(CASE WHEN actor = '7' THEN n // 2 + 1 END AS BIGINT) AS first_broken_seq, false AS out_of_range FROM n""")
 def chain_hmac_verify(spark, sf_dir):
-    """Chains of every actor, linked under a key and verified again."""
+    """Each actor's log, linked under a key in two goes: the first half, then what is appended to it; one is changed in between."""
+    key = "not-a-secret"
     rows = audit_log(spark, sf_dir)
-    numbered = rows.select("actor", F.row_number().over(Window.partitionBy("actor").orderBy("seq")).cast("long").alias("seq"), F.concat_ws("|", "kind", F.col("k").cast("string")).alias("payload"))
-    chained = audit.append(numbered, "not-a-secret", "actor")
-    return audit.verify(chained, audit.keyed_hash("not-a-secret")(F.concat("payload", "prev_hash")), log="actor")
+    n = F.row_number().over(Window.partitionBy("actor").orderBy("seq")).cast("long")
+    size = rows.groupBy("actor").agg(F.floor(F.count("*") / 2).alias("half"))
+    numbered = rows.select("actor", n.alias("n"), F.concat_ws("|", "kind", F.col("k").cast("string")).alias("payload")).join(size, "actor").withColumnRenamed("n", "seq")
+    first = audit.append(numbered.filter("seq <= half").select("actor", "seq", "payload"), key, "actor")
+    more = audit.append(numbered.filter("seq > half").select("actor", "seq", "payload"), key, "actor", stored=first.withColumn("hash", F.when(F.col("actor") == "7", F.reverse("hash")).otherwise(F.col("hash"))))
+    both = first.unionByName(more)
+    return audit.verify(both, audit.keyed_hash(key)(F.concat("payload", "prev_hash")), log="actor")
 
 
 @query("SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1")
@@ -157,7 +193,7 @@ def fingerprint_dups(spark, sf_dir):
 
 @query("SELECT item_id AS item, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def isolation_semi(spark, sf_dir):
-    return corpus.contained_any(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
+    return corpus.contained(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
 
 
 @query("SELECT text FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT text FROM documents WHERE doc_id % 2 = 1")

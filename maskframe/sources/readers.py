@@ -65,10 +65,10 @@ def read_audit(spark: SparkSession, path: str) -> DataFrame:
 
 def read_checkpoints(spark: SparkSession, path: str, mac: str) -> DataFrame:
     """Checkpoint lines (v, seq, hash, mac) whose code fits, and the head among them."""
-    from maskframe.operators.audit import keyed_hash
+    from maskframe.operators.audit import CHECKPOINT, keyed_hash
 
     rows = spark.read.schema("v int, seq bigint, hash string, mac string").json(path)
-    return rows.filter(keyed_hash(mac)(F.concat_ws("|", F.col("v").cast("string"), F.col("seq").cast("string"), "hash")) == F.col("mac"))
+    return rows.filter((F.col("v") == 1) & (keyed_hash(mac, CHECKPOINT)(F.concat_ws("\0", F.col("seq").cast("string"), "hash")) == F.col("mac")))
 
 
 def head(checkpoints: DataFrame) -> DataFrame:

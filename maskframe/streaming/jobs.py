@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from maskframe.operators.mask import restore
+from maskframe.functions.recognizers import PLACEHOLDER
 
 CHUNKS = "resp_id string, field_key string, seq bigint, text string, fmt string, terminal boolean"
 #: What could still become a placeholder at the end of a buffer, with or without its suffix.
@@ -25,50 +25,102 @@ def cut(buffer: str, final: bool) -> tuple[str, str]:
     return (buffer, "") if m is None else (buffer[: m.start()], buffer[m.start() :])
 
 
-def restore_stream(chunks: DataFrame, values: dict[str, str], max_buffer: int = MAX_BUFFER) -> DataFrame:
+#: Placeholders that one response may restore.
+MAX_RESTORED = 10_000
+
+
+class _Spent(Exception):
+    """A response has restored as much as it may."""
+
+
+def restore_stream(chunks: DataFrame, grants: DataFrame, budget: int = MAX_RESTORED, max_buffer: int = MAX_BUFFER, idle_ms: int | None = 600_000) -> DataFrame:
     """Text chunks with placeholders put back, also those cut by chunk ends.
 
+    ``grants`` (resp_id, placeholder, value) says what each response may restore, as
+    ``vault.authorised`` gives it: no other placeholder is replaced, whatever other responses have.
     ``chunks`` has resp_id, field_key, seq (from 0), text, fmt and terminal. A field's chunks are
     taken in the order of seq; chunks that come early wait for those before. JSON fields are held
-    to their end and restored string by string. State is the open rest of a field.
+    to their end and restored string by string. State is a response's open fields and what is left
+    of its budget. One error row ends a response: BUFFER_LIMIT, UNMASK_LIMIT, or INCOMPLETE where
+    open fields get nothing for ``idle_ms``. Streams that are drained and end take None.
     """
+    values = grants.groupBy("resp_id", "placeholder").agg(F.max("value").alias("value")).groupBy("resp_id").agg(F.map_from_entries(F.collect_list(F.struct("placeholder", "value"))).alias("known"))
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        early, due, buffer, fmt = (json.loads(state.get[0]), *state.get[1:]) if state.exists else ({}, 0, "", "text")
-        early = {int(k): v for k, v in early.items()}
-        for batch in batches:
-            for r in batch.itertuples():
-                early[int(r.seq)] = [r.text or "", bool(r.terminal)]
-                fmt = r.fmt
-        out, ended = [], False
-        while due in early:
-            text, ended = early.pop(due)
-            buffer += text
-            if fmt == "text":
-                ready, buffer = cut(buffer, ended)
-                out.append((due, restore(ready, values)))
-            elif ended:
-                out.append((due, _restore_document(buffer, values)))
-                buffer = ""
-            due += 1
-        error = "BUFFER_LIMIT" if len(buffer) + sum(len(t) for t, _ in early.values()) > max_buffer else None
-        if ended or error:
+        columns = ["resp_id", "field_key", "seq", "text", "error_code"]
+        fields, left = (json.loads(state.get[0]), state.get[1]) if state.exists else ({}, budget)
+        if state.hasTimedOut:
             state.remove()
-        else:
-            state.update((json.dumps(early), due, buffer, fmt))
-        rows = [(*key, seq, text, None) for seq, text in out if text] + ([(*key, due, None, error)] if error else [])
-        yield pd.DataFrame(rows, columns=["resp_id", "field_key", "seq", "text", "error_code"])
-
-    return chunks.groupBy("resp_id", "field_key").applyInPandasWithState(
-        step, "resp_id string, field_key string, seq bigint, text string, error_code string", "early string, due bigint, buffer string, fmt string", "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def _restore_document(text: str, values: dict[str, str]) -> str:
+            late = [(key[0], name, f[1], None, "INCOMPLETE") for name, f in fields.items()] if left >= 0 else []
+            yield pd.DataFrame(late[:1], columns=columns)
+            return
+        rows, known = [], {}
+        for batch in batches:
+            rows += batch.itertuples()
+        out = []
+        if left >= 0:  # else the response has ended in an error
+            for r in rows:
+                known = dict(r.known) if r.known is not None else known
+                early = fields.setdefault(r.field_key, [{}, 0, "", "text"])
+                early[0][str(int(r.seq))] = [r.text or "", bool(r.terminal)]
+                early[3] = r.fmt
+
+            def replace(text: str) -> str:
+                nonlocal left
+
+                def value(m):
+                    nonlocal left
+                    if m[0] not in known:
+                        return m[0]
+                    if left <= 0:
+                        raise _Spent
+                    left -= 1
+                    return known[m[0]]
+
+                return PLACEHOLDER.sub(value, text)
+
+            error = at = None
+            for name in sorted(fields):
+                early, due, buffer, fmt = fields[name]
+                ended = False
+                try:
+                    while str(due) in early:
+                        text, ended = early.pop(str(due))
+                        buffer += text
+                        if fmt == "text":
+                            ready, buffer = cut(buffer, ended)
+                            out.append((key[0], name, due, replace(ready), None))
+                        elif ended:
+                            out.append((key[0], name, due, _restore_document(buffer, replace), None))
+                            buffer = ""
+                        due += 1
+                except _Spent:
+                    error, at = "UNMASK_LIMIT", (name, due)
+                    break
+                if len(buffer) + sum(len(t) for t, _ in early.values()) > max_buffer:
+                    error, at = "BUFFER_LIMIT", (name, due)
+                    break
+                fields[name] = [early, due, buffer, fmt]
+                if ended:
+                    del fields[name]
+            out = [r for r in out if r[3]]
+            if error:
+                out.append((key[0], *at, None, error))
+                fields, left = {}, -1
+        state.update((json.dumps(fields), left))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame(out, columns=columns)
+
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return chunks.join(values, "resp_id", "left").groupBy("resp_id").applyInPandasWithState(step, "resp_id string, field_key string, seq bigint, text string, error_code string", "fields string, budget bigint", "append", timeout)
+
+
+def _restore_document(text: str, replace) -> str:
     from maskframe.operators.chat import _replace
 
     try:
-        return json.dumps(_replace(json.loads(text), lambda s: restore(s, values)), ensure_ascii=False, separators=(",", ":"))
+        return json.dumps(_replace(json.loads(text), replace), ensure_ascii=False, separators=(",", ":"))
     except ValueError:
         return text
 

@@ -35,6 +35,7 @@ COLUMNS = "type string, layer string, kvkk_class string, z_class string, default
 TYPES = [t[0] for t in ENTITY_TYPES]
 DETERMINISTIC = [t[0] for t in ENTITY_TYPES if t[1] == "deterministic"]
 LABELS = {t[0]: t[5] for t in ENTITY_TYPES}
+LAYERS = {t[0]: t[1] for t in ENTITY_TYPES}
 
 # The shipped policy. A rule names types or a class.
 POLICY_RULES = [

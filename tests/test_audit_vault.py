@@ -31,25 +31,72 @@ def test_chain_is_linked_in_order(spark):
 
 def test_tampering_and_gaps_are_found(spark):
     rows = chain(spark)
-    assert tuple(check(rows)) == (True, 6, 6, None)
+    assert tuple(check(rows)) == (True, 6, None, False)
     changed = rows.withColumn("payload", F.when(F.col("seq") == 3, "x").otherwise(F.col("payload")))
-    assert tuple(check(changed)) == (False, 6, 2, 3)
-    assert tuple(check(rows.filter("seq <> 4"))) == (False, 5, 4, 5)
-    assert check(changed, first=4).ok and check(changed, first=4).checked == 3
-    assert not check(changed, first=1, last=3).ok
+    assert tuple(check(changed)) == (False, 2, 3, False)
+    assert tuple(check(rows.filter("seq <> 4"))) == (False, 3, 5, False)
+    assert tuple(check(rows.filter("seq > 1"))) == (False, 0, 2, False)
+    assert tuple(check(changed, first=4)) == (False, 0, 3, True) and tuple(check(changed, last=2)) == (False, 2, 3, True)
+    assert tuple(check(rows, first=2, last=4)) == (True, 3, None, False)
+    assert tuple(check(rows.unionByName(rows.filter("seq = 2")))) == (False, 1, 2, False)
+    assert tuple(check(rows.limit(0))) == (True, 0, None, False)
+
+
+def test_a_foreign_genesis_is_found(spark):
+    rows = spark.createDataFrame([(1, "a")], "seq long, payload string").withColumn("prev_hash", F.sha2(F.lit("elsewhere"), 256))
+    rows = rows.withColumn("hash", audit.keyed_hash(KEY)(F.concat("payload", "prev_hash")))
+    assert tuple(check(rows)) == (False, 0, 1, False)
+    assert check(rows, genesis=hashlib.sha256(b"elsewhere").hexdigest()).ok
 
 
 def test_checkpoints_catch_a_cut_tail(spark, tmp_path):
     rows = chain(spark)
     last = rows.orderBy(F.desc("seq")).first()
     line = {"v": 1, "seq": last.seq, "hash": last.hash}
-    line["mac"] = hmac.new(b"m", f"1|{last.seq}|{last.hash}".encode(), hashlib.sha256).hexdigest()
+    line["mac"] = hmac.new(b"m", f"{audit.CHECKPOINT}\0{last.seq}\0{last.hash}".encode(), hashlib.sha256).hexdigest()
     path = tmp_path / "c.ndjson"
     path.write_text(json.dumps(line) + "\n" + json.dumps({**line, "seq": 99}) + "\n")
     points = readers.read_checkpoints(spark, str(path), "m")
     assert points.count() == 1 and readers.head(points).first().seq == last.seq
     assert audit.against_checkpoints(rows, points).count() == 0
     assert audit.against_checkpoints(rows.filter("seq < 6"), points).count() == 1
+    assert check(rows, checkpoints=points).ok
+    assert tuple(check(rows.filter("seq < 5"), checkpoints=points)) == (False, 4, 5, False)
+    assert tuple(check(rows.limit(0), checkpoints=points)) == (False, 0, 1, False)
+    early = rows.filter("seq = 4").select("seq", "hash")
+    assert tuple(check(rows, checkpoints=early)) == (False, 6, 5, False)
+    assert check(rows, checkpoints=early.withColumn("hash", F.lit("x"))).first_broken_seq == 5
+
+
+def test_logs_go_on_where_they_ended(spark):
+    rows = chain(spark)
+    more = spark.createDataFrame([("log", 20, "p8"), ("log", 10, "p7"), ("new", 1, "q1")], "log string, seq long, payload string")
+    both = rows.unionByName(audit.append(more, KEY, "log", stored=rows))
+    got = {r.log: tuple(r)[1:] for r in audit.verify(both, audit.keyed_hash(KEY)(F.concat("payload", "prev_hash")), log="log").collect()}
+    assert got == {"log": (True, 8, None, False), "new": (True, 1, None, False)}
+    assert [r.payload for r in both.filter("log = 'log'").orderBy("seq").collect()] == [f"p{i}" for i in range(1, 9)]
+
+
+def test_heads_only_go_forward(spark):
+    heads = spark.createDataFrame([("a", 5, "h5"), ("b", 5, "h5"), ("c", 5, "h5")], "log string, seq long, hash string")
+    wanted = spark.createDataFrame([("a", 7, "h7"), ("b", 5, "other"), ("c", 4, "h4"), ("d", 1, "h1")], "log string, seq long, hash string")
+    rows = {r.log: r for r in audit.advance(heads, wanted, "k", "log").collect()}
+    assert {k: r.error_code for k, r in rows.items()} == {"a": None, "b": "CONFLICT", "d": None}
+    assert rows["a"].mac == hmac.new(b"k", f"{audit.CHECKPOINT}\0{7}\0h7".encode(), hashlib.sha256).hexdigest()
+
+
+def test_canonical_json_sorts_every_level(spark):
+    df = spark.sql("select named_struct('z', 1, 'a', array(named_struct('y', null, 'b', 'ü'))) s, map('k', 2, 'c', 1) m, 'x' a")
+    assert df.select(audit.canonical(df, "s", "m", "a")).first()[0] == '{"a":"x","m":{"c":1,"k":2},"s":{"a":[{"b":"ü","y":null}],"z":1}}'
+    with pytest.raises(TypeError):
+        audit.canonical(spark.sql("select 1.5D v"), "v")
+
+
+def test_anchors_and_fingerprints(spark):
+    row = audit.anchors(spark.sql("select date'2024-01-02' day")).first()
+    assert row.kind == "ANCHOR" and row.request_sha256 == hashlib.sha256(b"2024-01-02").hexdigest() and row.entities == []
+    got = spark.sql("select 'v' v").select(audit.fingerprint(F.col("v"), "k")).first()[0]
+    assert got == hmac.new(b"k", f"{audit.FINGERPRINT}\0v".encode(), hashlib.sha256).hexdigest()
 
 
 def log(spark):
@@ -98,6 +145,36 @@ def test_intern_is_stable_and_scoped(spark):
     assert got == {("t", "C", "[KISI_5]"), ("t", "B", "[KISI_6]"), ("u", "A", "[KISI_1]")}
 
 
+def test_intern_composes_and_forgets(spark):
+    old = spark.sql("select 't' tenant_id, 's' session_id, 'PERSON' type, 'Çağ' value, '[KISI_4]' placeholder, timestamp'2024-01-02' expires_at")
+    values = spark.createDataFrame([("t", "s", "PERSON", "KISI", "C\u0327ag\u0306", 1)], "tenant_id string, session_id string, type string, label string, value string, first_seen int")
+    later = F.lit("2030-01-01").cast("timestamp")
+    assert vault.intern(old, values, later).count() == 0
+    assert vault.intern(old, values, later, now=F.lit("2024-01-01").cast("timestamp")).count() == 0
+    assert [r.placeholder for r in vault.intern(old, values, later, now=later).collect()] == ["[KISI_5]"]
+
+
+def test_allocation_probes_past_what_is_taken(spark):
+    scope = "tenant_id string, session_id string, placeholder string"
+    taken = spark.createDataFrame([("t", "s", "[KISI_1]"), ("t", "s", "[KISI_3]"), ("u", "s", "[TEL_1]")], scope)
+    wanted = spark.createDataFrame([("t", "s", "[KISI_1]", 1), ("t", "s", "[KISI_2]", 2), ("t", "s", "[KISI_2]", 3), ("t", "s", "[TEL_1]", 4), ("t", "s", "[KISI_1]#0123456789abcdef", 5)], scope + ", n int")
+    got = [r.given for r in vault.allocate(taken, wanted, "n").orderBy("n").collect()]
+    assert got == ["[KISI_4]", "[KISI_2]", "[KISI_5]", "[TEL_1]", "[KISI_1]#0123456789abcdef"]
+
+
+def test_touch_sessions_and_capacity(spark):
+    rows = spark.sql("select 't' tenant_id, 's' session_id, 'PERSON' type, v value, p placeholder, cast(u as timestamp) used_at, cast(e as timestamp) expires_at from values ('A','[KISI_1]','2024-01-01','2024-01-09'), ('B','[KISI_2]','2024-01-01','2024-01-02') as x(v, p, u, e)")
+    now = F.lit("2024-01-05").cast("timestamp")
+    got = {r.placeholder: str(r.used_at)[:10] for r in vault.touch(rows, rows, now).collect()}
+    assert got == {"[KISI_1]": "2024-01-05", "[KISI_2]": "2024-01-01"}
+    assert vault.sessions(rows, now).first().placeholders == 1
+    digest = hmac.new(b"k", "maskframe-vault-value-v1\0PERSON\0A".encode(), hashlib.sha256).hexdigest()
+    wanted = spark.createDataFrame([("t", "s", "PERSON", digest)], "tenant_id string, session_id string, type string, value_hmac string")
+    assert vault.by_digest(rows, wanted, "k").first().placeholder == "[KISI_1]"
+    windows = spark.sql("select k key, cast(o as timestamp) opened_at, cast(e as timestamp) ends_at from values ('a','2024-01-01','2024-01-09'), ('b','2024-01-02','2024-01-09'), ('c','2024-01-03','2024-01-04'), ('d','2024-01-04','2024-01-09') as x(k, o, e)")
+    assert {r.key for r in vault.within_capacity(windows, now, 2).collect()} == {"b", "d"}
+
+
 def test_resolve_respects_expiry_and_tenant(spark):
     rows = spark.sql("select 't' tenant_id, 's' session_id, 'PERSON' type, 'A' value, '[KISI_1]' placeholder, timestamp'2024-01-02' expires_at")
     wanted = spark.createDataFrame([("t", "s", "[KISI_1]"), ("u", "s", "[KISI_1]")], "tenant_id string, session_id string, placeholder string")

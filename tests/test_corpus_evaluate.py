@@ -106,8 +106,6 @@ def test_isolation_and_sets(spark):
         corpus.assert_isolated(a, b, ("text",))
     assert corpus.same_set(a, a).count() == 0 and corpus.same_set(a, b).count() == 3
     assert corpus.duplicates(a.unionByName(a), corpus.fingerprint("text")).count() == 2
-    with pytest.raises(ValueError):
-        corpus.contained(a, a, "id", "text", "id", "text", phrase_bytes=1)
 
 
 def test_weights_and_sampling(spark):

@@ -143,7 +143,38 @@ def test_candidate_spans_and_thresholds(spark):
 def test_sql_functions(spark):
     detect.register(spark)
     r = spark.sql("select pii_mask('x 10000000146') m, pii_analyze('x 10000000146') a, pii_unmask('[KISI_1]', map('[KISI_1]', 'Ali')) u").first()
-    assert r.m == "x [TCKN_1]" and r.a[0].start == 2 and r.u == "Ali"
+    assert r.m.masked_text == "x [TCKN_1]" and r.a[0].start == 2 and r.u == "Ali"
+    assert r.m.mappings[0].value == "10000000146" and r.m.error_code is None
+    assert spark.sql("select pii_mask('Önceden [EPOSTA_1] ve a.b@mail.com') m").first().m.error_code == "PLACEHOLDER_COLLISION"
+    back = spark.sql("select pii_unmask(m.masked_text, map_from_entries(transform(m.mappings, x -> struct(x.placeholder, x.value)))) t from (select pii_mask('x a@mail.com y') m)").first()
+    assert back.t == "x a@mail.com y"
+    rows = spark.sql("select s.type, s.start, s.value from values ('x 10000000146 a@mail.com'), (null) as d(t), lateral pii_spans(d.t) s").collect()
+    assert sorted(map(tuple, rows)) == [("EMAIL", 14, "a@mail.com"), ("TR_TCKN", 2, "10000000146")]
+
+
+def test_texts_are_looked_at_once(spark):
+    rows = detect.analyze(spark.createDataFrame([(1, "x a@mail.com")], "id int, text string"))
+    for df in (detect.exploded(rows, "id"), rows.filter(F.size("spans") > 0), detect.exploded(rows, "id").groupBy("type").count(), rows.select("id")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython") <= 1
+    from maskframe.operators import corpus
+
+    plan = corpus.prepare(rows.filter(F.size("spans") > 0), entities="spans")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2  # the recognizers and the tokenizer, once each
+
+
+def test_predictions_are_decoded(spark):
+    kind = "array<struct<label:string,start:int,end:int,score:double>>"
+    rows = spark.createDataFrame([(1, [("person", 0, 3, 0.9), ("none", 0, 1, 0.5)]), (2, []), (3, [("person", 3, 3, 0.9)])], f"id int, p {kind}")
+    decoded = rows.withColumn("s", detect.decode_predictions(F.col("p"), {"person": "PERSON"}))
+    got = {r.id: [tuple(x) for x in r.s] for r in decoded.filter("id < 3").collect()}
+    assert got == {1: [("PERSON", 0, 3, 0.9, "ner")], 2: []}
+    with pytest.raises(Exception, match="invalid span"):
+        decoded.collect()
+    with pytest.raises(ValueError):
+        detect.decode_predictions(F.col("p"), {"mail": "EMAIL"})
+    langs = spark.createDataFrame([("tr",), ("EN",), ("de",), (None,)], "l string").select(detect.supported(F.col("l"))).collect()
+    assert [r[0] for r in langs] == [True, True, False, False]
 
 
 @settings(max_examples=60, deadline=None)

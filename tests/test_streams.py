@@ -27,11 +27,15 @@ def test_any_cut_equals_the_whole(pieces, rng: random.Random):
     assert out + restore(ready, VALUES) == restore(text, VALUES) and buffer == ""
 
 
+def grants(spark, *responses):
+    return spark.createDataFrame([(r, p, v) for r in responses for p, v in VALUES.items()], "resp_id string, placeholder string, value string")
+
+
 def test_stream_restores_out_of_order_chunks_and_json(spark, tmp_path):
     rows = [("r", "c", 1, "SI_1] b", "text", False), ("r", "c", 0, "a [KI", "text", False), ("r", "c", 2, "!", "text", True), ("r", "j", 0, '{"a":"[KIS', "json", False), ("r", "j", 1, 'I_1]"}', "json", True)]
     spark.createDataFrame(rows, jobs.CHUNKS).write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(jobs.CHUNKS).parquet(str(tmp_path / "in"))
-    out = drained(jobs.restore_stream(source, VALUES), str(tmp_path / "run")).orderBy("field_key", "seq").collect()
+    out = drained(jobs.restore_stream(source, grants(spark, "r"), idle_ms=None), str(tmp_path / "run")).orderBy("field_key", "seq").collect()
     text = "".join(r.text for r in out if r.field_key == "c")
     assert text == "a Ayşe b!" and [r.text for r in out if r.field_key == "j"] == ['{"a":"Ayşe"}']
 
@@ -39,10 +43,19 @@ def test_stream_restores_out_of_order_chunks_and_json(spark, tmp_path):
 def test_buffer_limit(spark, tmp_path):
     spark.createDataFrame([("r", "j", 0, "x" * 50, "json", False)], jobs.CHUNKS).write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(jobs.CHUNKS).parquet(str(tmp_path / "in"))
-    out = drained(jobs.restore_stream(source, VALUES, max_buffer=10), str(tmp_path / "run")).collect()
+    out = drained(jobs.restore_stream(source, grants(spark, "r"), max_buffer=10, idle_ms=None), str(tmp_path / "run")).collect()
     assert [r.error_code for r in out] == ["BUFFER_LIMIT"]
 
 
+def test_responses_restore_their_own_and_no_more_than_their_budget(spark, tmp_path):
+    rows = [("r", "c", 0, "[KISI_1] [TEL_12]", "text", True), ("s", "c", 0, "[KISI_1] [TEL_12]", "text", True), ("t", "a", 0, "[KISI_1]", "text", True), ("t", "b", 0, "x [KISI_1] y", "text", True), ("u", "a", 0, "[KISI_1][TEL_12]", "text", False)]
+    spark.createDataFrame(rows, jobs.CHUNKS).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(jobs.CHUNKS).parquet(str(tmp_path / "in"))
+    given = spark.createDataFrame([("r", "[KISI_1]", "Ali"), ("s", "[KISI_1]", "Can"), ("t", "[KISI_1]", "Ece"), ("u", "[KISI_1]", "Nur"), ("u", "[TEL_12]", "5")], "resp_id string, placeholder string, value string")
+    out = {(r.resp_id, r.field_key): (r.text, r.error_code) for r in drained(jobs.restore_stream(source, given, budget=1, idle_ms=None), str(tmp_path / "run")).collect()}
+    assert out == {("r", "c"): ("Ali [TEL_12]", None), ("s", "c"): ("Can [TEL_12]", None), ("t", "a"): ("Ece", None), ("t", "b"): (None, "UNMASK_LIMIT"), ("u", "a"): ("Nur", None)}
+
+
 def test_limit_stream(spark, tmp_path):
     rows = spark.createDataFrame([("a", s) for s in (0, 1, 2, 60, 61)], "k string, s int").select("k", (F.lit("2024-01-01").cast("timestamp") + F.make_interval(secs="s")).alias("t"))
     rows.write.parquet(str(tmp_path / "in"))
