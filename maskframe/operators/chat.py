@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -93,20 +94,131 @@ def restore_json(document: Column, values: Column) -> Column:
     return F.pandas_udf(run, "string")(document, values)
 
 
-MESSAGES = "struct<model:string,system:string,messages:array<struct<role:string,name:string,content:string>>>"
+#: Fields of a request beside its messages that hold text, by the shape of the request (fixed values).
+AUXILIARY = {
+    "openai": ["metadata", "prediction", "response_format", "stop", "tools", "user", "web_search_options"],
+    "anthropic": ["metadata", "stop_sequences", "thinking", "tools"],
+}
+MESSAGES = "struct<model:string,system:string,messages:array<struct<role:string,name:string,content:string,tool_calls:array<struct<`function`:struct<arguments:string>>>>>>"
+_PARTS = "array<struct<type:string,text:string>>"
 
 
-def request_segments(requests: DataFrame, key: str = "req_id", body: str = "body") -> DataFrame:
-    """Text segments (req_id, path, text) of chat requests: system, names, plain contents, and neighbouring text parts joined."""
+def _contents(rows: DataFrame, keys: list[str], content: Column, path: Column) -> DataFrame:
+    """Segments of contents that are a text or a list of parts."""
+    rows = rows.select(*keys, content.alias("content"), path.alias("path")).filter("content is not null")
+    is_list = F.coalesce(F.col("content").startswith("["), F.lit(False))
+    plain = rows.filter(~is_list).select(*keys, "path", F.col("content").alias("text"))
+    parts = rows.filter(is_list).select(*keys, "path", F.posexplode(F.from_json("content", _PARTS)).alias("pos", "part")).select(*keys, "path", "pos", "part.*")
+    joined = coalesce_text(parts, [*keys, "path"]).select(*keys, F.format_string("%s.part.%d", "path", "first_pos").alias("path"), "text")
+    return plain.unionByName(joined)
+
+
+def _leaves(rows: DataFrame, keys: list[str], document: Column, path: Column) -> DataFrame:
+    """Segments of the strings of JSON documents."""
+    found = rows.select(*keys, path.alias("path"), F.explode(json_strings(document)).alias("leaf"))
+    return found.select(*keys, F.when(F.col("leaf.path") == "", F.col("path")).otherwise(F.concat_ws(".", "path", "leaf.path")).alias("path"), F.col("leaf.text").alias("text"))
+
+
+def request_segments(requests: DataFrame, key: str = "req_id", body: str = "body", shape: str = "openai") -> DataFrame:
+    """Text segments (req_id, path, text) of chat requests: system, names, contents (neighbouring text parts joined), arguments of tool calls, and auxiliary fields."""
     parsed = requests.select(key, F.from_json(body, MESSAGES).alias("r"))
-    system = parsed.filter("r.system is not null").select(key, F.lit("system").alias("path"), F.col("r.system").alias("text"))
     messages = parsed.select(key, F.posexplode("r.messages").alias("m", "msg"))
-    names = messages.filter("msg.name is not null").select(key, F.format_string("messages.%d.name", "m").alias("path"), F.col("msg.name").alias("text"))
-    is_list = F.coalesce(F.col("msg.content").startswith("["), F.lit(False))
-    plain = messages.filter(~is_list & F.col("msg.content").isNotNull()).select(key, F.format_string("messages.%d.content", "m").alias("path"), F.col("msg.content").alias("text"))
-    parts = messages.filter(is_list).select(key, "m", F.posexplode(F.from_json("msg.content", "array<struct<type:string,text:string>>")).alias("pos", "part")).select(key, "m", "pos", "part.*")
-    joined = coalesce_text(parts, [key, "m"]).select(key, F.format_string("messages.%d.content.part.%d", "m", "first_pos").alias("path"), "text")
-    return system.unionByName(names).unionByName(plain).unionByName(joined)
+    out = [
+        _contents(parsed, [key], F.col("r.system"), F.lit("system")),
+        _contents(messages, [key], F.col("msg.content"), F.format_string("messages.%d.content", "m")),
+        messages.filter("msg.name is not null").select(key, F.format_string("messages.%d.name", "m").alias("path"), F.col("msg.name").alias("text")),
+    ]
+    calls = messages.select(key, "m", F.posexplode("msg.tool_calls").alias("t", "call"))
+    out.append(_leaves(calls, [key], F.col("call.function.arguments"), F.format_string("messages.%d.tool.%d", "m", "t")))
+    extra = requests.select(key, F.explode(json_strings(F.col(body))).alias("leaf")).filter(F.substring_index("leaf.path", ".", 1).isin(AUXILIARY[shape]))
+    out.append(extra.select(key, F.concat(F.lit("request."), F.col("leaf.path")).alias("path"), F.col("leaf.text").alias("text")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def response_segments(responses: DataFrame, key: str = "resp_id", body: str = "body", shape: str = "openai") -> DataFrame:
+    """Text segments (resp_id, path, text) of whole responses: contents and arguments of tool calls."""
+    if shape == "anthropic":
+        return _contents(responses, [key], F.get_json_object(body, "$.content"), F.lit("response.content"))
+    choices = "struct<choices:array<struct<message:struct<content:string,tool_calls:array<struct<`function`:struct<arguments:string>>>>>>>"
+    rows = responses.select(key, F.posexplode(F.from_json(body, choices)["choices"]).alias("c", "choice"))
+    calls = rows.select(key, "c", F.posexplode("choice.message.tool_calls").alias("t", "call"))
+    return _contents(rows, [key], F.col("choice.message.content"), F.format_string("response.%d.content", "c")).unionByName(_leaves(calls, [key], F.col("call.function.arguments"), F.format_string("response.%d.tool.%d", "c", "t")))
+
+
+def _in_content(content, change: Callable[[str], str]):
+    """A content with its texts changed: a text, or the text and input of parts."""
+    if isinstance(content, str):
+        return change(content)
+    if not isinstance(content, list):
+        return content
+    out = []
+    for part in content:
+        if isinstance(part, dict):
+            part = dict(part)
+            if isinstance(part.get("text"), str):
+                part["text"] = change(part["text"])
+            if "input" in part:
+                part["input"] = _replace(part["input"], change)
+            if "content" in part:
+                part["content"] = _in_content(part["content"], change)
+        out.append(part)
+    return out
+
+
+def _in_response(value: dict, change: Callable[[str], str]) -> dict:
+    if isinstance(value.get("content"), list):
+        return {**value, "content": _in_content(value["content"], change)}
+    for choice in value.get("choices") or []:
+        message = choice.get("message") or {}
+        if "content" in message:
+            message["content"] = _in_content(message["content"], change)
+        for call in message.get("tool_calls") or []:
+            text = (call.get("function") or {}).get("arguments")
+            if isinstance(text, str):
+                try:
+                    call["function"]["arguments"] = json.dumps(_replace(json.loads(text), change), ensure_ascii=False, separators=(",", ":"))
+                except ValueError:
+                    call["function"]["arguments"] = change(text)
+    return value
+
+
+def restore_response(body: Column, values: Column) -> Column:
+    """A whole response of either shape with values put back into contents and tool arguments, and nowhere else; null for invalid JSON."""
+    from maskframe.operators.mask import restore
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, maps in batches:
+            rows = []
+            for t, m in zip(texts, maps, strict=True):
+                known = dict(m) if m is not None else {}
+                try:
+                    rows.append(json.dumps(_in_response(json.loads(t), lambda s, k=known: restore(s, k)), ensure_ascii=False, separators=(",", ":")))
+                except (TypeError, ValueError, AttributeError):
+                    rows.append(None)
+            yield pd.Series(rows, dtype=object)
+
+    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "string")(body, values)
+
+
+def unanswered(items: DataFrame, segments: DataFrame, key: str, item: str = "id") -> DataFrame:
+    """Items of a detection answer that name no segment of their request; an answer is whole if there are none."""
+    return items.select(key, item).join(segments.select(key, item), [key, item], "left_anti")
+
+
+def block_fields(frames: DataFrame, data: str = "data", resp_id: str = "resp_id") -> DataFrame:
+    """Text and tool-input deltas of the block-wise stream shape, as chunks (resp_id, field_key, seq, text, fmt)."""
+    shape = "struct<index:int,delta:struct<type:string,text:string,partial_json:string>>"
+    rows = frames.select(resp_id, "seq", F.from_json(data, shape).alias("f")).filter("f.index is not null")
+    is_text = F.coalesce((F.col("f.delta.type") == "text_delta") & F.col("f.delta.text").isNotNull(), F.lit(False))
+    is_json = F.coalesce((F.col("f.delta.type") == "input_json_delta") & F.col("f.delta.partial_json").isNotNull(), F.lit(False))
+    return rows.filter(is_text | is_json).select(
+        F.col(resp_id).alias("resp_id"),
+        F.format_string("block.%d.%s", "f.index", F.when(is_text, F.lit("text")).otherwise(F.lit("input"))).alias("field_key"),
+        "seq",
+        F.when(is_text, F.col("f.delta.text")).otherwise(F.col("f.delta.partial_json")).alias("text"),
+        F.when(is_text, F.lit("text")).otherwise(F.lit("json")).alias("fmt"),
+    )
 
 
 def delta_fields(frames: DataFrame, data: str = "data") -> DataFrame:

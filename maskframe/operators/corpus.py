@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MORPHOLOGIES = ("plain", "ascii", "lower", "suffix")
@@ -25,6 +25,18 @@ def generate(templates: DataFrame, repetitions: int) -> DataFrame:
     return rows.select(n.alias("row"), "template_id", "domain", "pattern", morphology.alias("morphology"))
 
 
+def variants(templates: DataFrame, contexts: list[str]) -> DataFrame:
+    """Every template (template_id, domain, pattern) in every context: ``{pattern}`` stands for it. The contexts are a list by hand."""
+    made = F.posexplode(F.array(*[F.lit(c) for c in contexts])).alias("v", "context")
+    rows = templates.select("template_id", "domain", "pattern", made)
+    return rows.select(F.concat("template_id", F.lit("-v"), (F.col("v") + 1).cast("string")).alias("template_id"), "domain", F.replace("context", F.lit("{pattern}"), F.col("pattern")).alias("pattern"))
+
+
+def thin_groups(rows: DataFrame, key: str, least: int) -> DataFrame:
+    """Groups with fewer rows than a corpus needs."""
+    return rows.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") < least)
+
+
 def render(examples: DataFrame, values: DataFrame) -> DataFrame:
     """Fills the slots ``{TYPE}`` of patterns (row, pattern) with values (row, type, value); exact entity offsets come with the text."""
     picked = values.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("type", "value"))).alias("values"))
@@ -144,6 +156,71 @@ def epoch_order(rows: DataFrame, seed: int, epoch: int, key: str) -> DataFrame:
     return rows.orderBy(F.xxhash64(F.lit(seed), F.lit(epoch), key), key)
 
 
+def draw(weighted: DataFrame, draws: int, seed: str, key: str, most: int = 200_000) -> DataFrame:
+    """Exactly ``draws`` rows with replacement in proportion to ``weight``: columns of ``weighted`` and draw (from 0).
+
+    Draw i takes the row in whose stretch of the running sum of weights a point falls that SHA-256
+    of (seed, i) makes. Sums run within buckets of about ``most`` rows, on top of the buckets' own
+    totals, and points meet stretches by equality on cells of the whole sum, so nothing is ordered
+    or gathered as a whole.
+    """
+    n = weighted.count()
+    total = weighted.agg(F.sum("weight")).first()[0] or 0.0
+    if not n or not draws or total <= 0:
+        return weighted.limit(0).withColumn("draw", F.lit(0).cast("long"))
+    buckets, cells = max(1, -(-n // most)), max(1, draws // 8)
+    rows = weighted.withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    own = Window.partitionBy("__bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    before = rows.groupBy("__bucket").agg(F.sum("weight").alias("w")).withColumn("__before", F.sum("w").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)))  # a row a bucket
+    rows = rows.join(before.select("__bucket", F.coalesce("__before", F.lit(0.0)).alias("__before")), "__bucket")
+    rows = rows.withColumn("__to", F.col("__before") + F.sum("weight").over(own)).withColumn("__from", F.col("__to") - F.col("weight"))
+    cell = lambda x: F.least(F.floor(x / F.lit(total) * cells), F.lit(cells - 1))
+    rows = rows.withColumn("__cell", F.explode(F.sequence(cell(F.col("__from")), cell(F.col("__to")))))
+    digest = F.sha2(F.concat_ws(":", F.lit(seed), F.col("id").cast("string")), 256)
+    point = F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48)) * F.lit(total)
+    points = weighted.sparkSession.range(draws).select(F.col("id").alias("draw"), point.alias("__at")).withColumn("__cell", cell(F.col("__at")))
+    met = points.join(rows, "__cell").filter((F.col("__at") >= F.col("__from")) & (F.col("__at") < F.col("__to")))
+    return met.select(*weighted.columns, "draw")
+
+
+def replay_draw(weighted: DataFrame, replay: Column, ratio: float, seed: str, key: str) -> DataFrame:
+    """An epoch of as many rows as there are: round(n * ratio) draws from replay rows, the rest from the others, each side by its own weights."""
+    n = weighted.count()
+    old = round(n * ratio)
+    a = draw(weighted.filter(replay), old, f"{seed}:replay", key)
+    b = draw(weighted.filter(~replay), n - old, f"{seed}:new", key)
+    return a.unionByName(b.withColumn("draw", F.col("draw") + old))
+
+
+def ordered_digest(rows: DataFrame, order: str, *columns: str) -> DataFrame:
+    """One digest of a corpus in an order: the rows' digests, gathered in runs of a thousand and then as a whole (32 bytes for each thousand rows)."""
+    line = F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"}), 256)
+    placed = rows.select(F.col(order).alias("o"), line.alias("d")).withColumn("block", F.floor(F.col("o") / 1000))
+    runs = placed.groupBy("block").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "d"))), lambda x: x["d"]), "\n"), 256).alias("d"))
+    return runs.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "d"))), lambda x: x["d"]), "\n"), 256).alias("sha256"))
+
+
+def ordered_union(left: DataFrame, right: DataFrame, *key_sets: tuple[str, ...]) -> DataFrame:
+    """Both corpora, the left one first (column ``part``); they must share no value of any set of keys."""
+    assert_isolated(left, right, *key_sets)
+    return left.withColumn("part", F.lit(0)).unionByName(right.withColumn("part", F.lit(1)))
+
+
+def not_within(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+    """Keys of ``left`` that ``right`` lacks; a subset has none."""
+    return left.select(*keys).distinct().join(right.select(*keys).distinct(), list(keys), "left_anti")
+
+
+def widest(rows: DataFrame, spans: str = "ner") -> DataFrame:
+    """Tokens of the widest inclusive span, 1 without spans."""
+    wide = F.array_max(F.transform(spans, lambda s: s["last"] - s["first"] + 1))
+    return rows.agg(F.coalesce(F.max(wide), F.lit(1)).alias("width"))
+
+
+def first_rows(rows: DataFrame, order: str, n: int) -> DataFrame:
+    return rows.orderBy(order).limit(n)
+
+
 def replay_quota(rows: DataFrame, source: str, replay: Column, ratio: float) -> DataFrame:
     """How many rows of an epoch each source gives: ``ratio`` of all from replay sources, the rest from new ones, in proportion."""
     counts = rows.groupBy(F.col(source).alias("source"), replay.alias("is_replay")).agg(F.count("*").alias("n"))

@@ -130,3 +130,48 @@ def verdict(candidate: DataFrame, incumbent: DataFrame, eligible: bool = True, l
 def best_run(runs: DataFrame, *order: str) -> DataFrame:
     """The run that ranks highest by the given columns."""
     return runs.groupBy().agg(F.max_by(F.struct(*runs.columns), F.struct(*order)).alias("r")).select("r.*")
+
+
+def mandatory_macro(counts: DataFrame, types: list[str]) -> DataFrame:
+    """Average F1 over ``types``, which must all have support: (macro_f1, missing)."""
+    wanted = counts.sparkSession.createDataFrame([(t,) for t in types], "type string")
+    rows = wanted.join(with_scores(counts), "type", "left")
+    lacks = F.coalesce(F.col("support"), F.lit(0)) == 0
+    missing = F.array_sort(F.collect_list(F.when(lacks, F.col("type"))))
+    return rows.agg(F.avg(F.coalesce("f1", F.lit(0.0))).alias("f1"), missing.alias("missing")).select(F.when(F.size("missing") == 0, F.col("f1")).alias("macro_f1"), "missing")
+
+
+def supported_types(counts: DataFrame) -> DataFrame:
+    """Types with support, sorted (one row)."""
+    return counts.agg(F.array_sort(F.collect_set(F.when(F.col("support") > 0, F.col("type")))).alias("types"))
+
+
+def worst_regression(candidate: DataFrame, incumbent: DataFrame) -> DataFrame:
+    """The largest loss of F1 of any type; 0 where none loses."""
+    both = candidate.select("type", F.col("f1").alias("c")).join(incumbent.select("type", F.col("f1").alias("i")), "type")
+    return both.agg(F.greatest(F.lit(0.0), F.coalesce(F.max(F.col("i") - F.col("c")), F.lit(0.0))).alias("worst"))
+
+
+def suites(gold: DataFrame, predicted: DataFrame, suite: str, types: list[str] | None = None, doc: str = "doc_id") -> DataFrame:
+    """Strict counts and scores of each suite and type, all suites in one pass."""
+    keep = lambda df: df if types is None else df.filter(F.col("type").isin(types))
+    return with_scores(strict(keep(gold), keep(predicted), doc, [suite]))
+
+
+def pilot_gate(runs: DataFrame, steps: int = 500, most_bytes: int = 78 << 30) -> DataFrame:
+    """Why each bounded pilot run may not be followed by a full one: (run, pass, reasons)."""
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != float("inf"))
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    rules = [
+        ("not an open pilot", (F.col("run_kind") == "pilot") & ~F.col("complete")),
+        ("eligible for adoption", ~F.col("adoption_eligible")),
+        ("steps", (F.col("max_steps") == steps) & (F.col("optimizer_steps") == steps)),
+        ("stop reason", F.col("stop_reason") == "max-steps"),
+        ("mean loss", finite("mean_loss")),
+        ("final loss", finite("final_loss")),
+        ("memory", (F.col("peak_bytes") > 0) & (F.col("peak_bytes") < most_bytes)),
+        ("precision", F.col("amp").isin("bf16", "fp16")),
+        ("development gate", F.col("development_gate_pass")),
+    ]
+    reasons = F.filter(F.array(*[F.when(~sure(good), F.lit(name)) for name, good in rules]), lambda r: r.isNotNull())
+    return runs.withColumn("reasons", reasons).select("run", (F.size("reasons") == 0).alias("pass"), "reasons")

@@ -86,6 +86,11 @@ def query_threshold(thresholds: dict[str, float], default: float = 0.5) -> float
     return min([*thresholds.values(), default])
 
 
+def model_threshold(thresholds: dict[str, float], scale: float, default: float = 0.5) -> float:
+    """What a model whose scores are ``scale`` times as large is asked for."""
+    return query_threshold(thresholds, default) * scale
+
+
 def rescale(confidence: Column, scale: float) -> Column:
     return F.least(F.lit(1.0), confidence / F.lit(scale))
 

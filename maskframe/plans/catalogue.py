@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from maskframe import taxonomy as tax
 from maskframe.functions import checksums as C
 from maskframe.operators import chat, corpus, detect, mask, policy, spans
-from maskframe.plans import evaluation, relational, streams
+from maskframe.plans import evaluation, relational, sampling, streams, synthetic
 from maskframe.plans.tables import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,12 +27,14 @@ def query(sql: str | None = None):
     return add
 
 
+# The e-mail pattern of the recognizers, for SQL.
 _EMAIL = r"(?i)[A-Z0-9.!#$%&''*+/=?^_`{|}~-]+@(?:[A-Z0-9](?:[A-Z0-9-]{0,61}[A-Z0-9])?\.)+[A-Z]{2,63}"
 EMAIL_SQL = rf"""email AS (
   SELECT doc_id, v FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_EMAIL}')) AS v FROM documents)
   WHERE length(v) <= 254 AND instr(v, '@') <= 65 AND NOT contains(v, '..')
 )"""
 LUHN = "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 0 THEN CAST(d[i] AS INT) ELSE CAST(d[i] AS INT) * 2 - CASE WHEN CAST(d[i] AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+# The card pattern of the recognizers, for SQL.
 CARD_SQL = rf"""card AS (
   SELECT doc_id, v FROM (SELECT doc_id, v, regexp_replace(v, '[^0-9]', '', 'g') AS d FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\b(?:\d[ -]?){{12,18}}\d\b')) AS v FROM documents))
   WHERE length(d) BETWEEN 13 AND 19 AND {LUHN}
@@ -60,6 +62,7 @@ def detect_card_luhn(spark, sf_dir):
 
 
 _LANDLINES = ", ".join(f"'{x}'" for x in C.LANDLINES)
+# Country code and trunk prefix of a phone number.
 _NATIONAL = "CASE WHEN d LIKE '0090%' THEN substr(d, 5) WHEN d LIKE '90%' AND (plus OR length(d) = 12) THEN substr(d, 3) WHEN d LIKE '0%' THEN substr(d, 2) ELSE d END"
 
 
@@ -230,6 +233,7 @@ def diacritic_fold(spark, sf_dir):
     return _docs(spark, sf_dir, "conversations").select("conv_id", "turn", corpus.fold_diacritics(F.col("text")).alias("folded"))
 
 
+# The actions of the shipped policy.
 _ACTIONS = f"""acted AS (
   SELECT type, CASE WHEN type IN ('TR_TCKN','TR_VKN','TR_IBAN','IBAN_OTHER','CREDIT_CARD','TR_PHONE','TR_PLATE','TR_SGK','PERSON','ADDRESS','EMAIL') THEN 'mask'
     WHEN type = 'ORG' THEN 'allow' ELSE 'block' END AS action FROM tax
@@ -301,7 +305,7 @@ def chat_coalesce_turns(spark, sf_dir):
 
 
 def _joined() -> None:
-    for module in (relational, evaluation, streams):
+    for module in (relational, evaluation, streams, synthetic, sampling):
         for name, (f, sql) in module.REGISTERED.items():
             QUERIES[name] = f
             if sql:

@@ -69,13 +69,6 @@ def macro_micro(spark, sf_dir):
     return evaluate.macro(counts).select(F.lit("macro").alias("average"), *scores).unionByName(evaluate.micro(counts).select(F.lit("micro").alias("average"), *scores))
 
 
-@query("SELECT type, CAST(2 * count(*) AS BIGINT) AS support FROM (SELECT (['PERSON', 'ADDRESS', 'ORG', 'DOB'])[l_partkey % 4 + 1] AS type FROM lineitem) GROUP BY 1")
-def combined_suites(spark, sf_dir):
-    gold = _gold(spark, sf_dir)
-    counts = evaluate.strict(gold, gold)
-    return evaluate.combine(counts, counts).select("type", "support")
-
-
 @query(f"""WITH {_SPANS}, bare AS (SELECT DISTINCT o_orderkey AS doc_id FROM orders WHERE o_orderkey NOT IN (SELECT doc_id FROM gold WHERE k % 3 = 0)), f AS (SELECT doc_id, count(*) AS n FROM pred GROUP BY 1)
 SELECT count(*) AS documents, count(*) FILTER (WHERE n > 0) AS documents_with_false_positives, CAST(coalesce(sum(n), 0) AS BIGINT) AS false_positive_spans FROM bare LEFT JOIN f USING (doc_id)""")
 def empty_gold_stats(spark, sf_dir):

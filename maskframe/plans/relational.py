@@ -237,12 +237,3 @@ def forbidden_phrase(spark, sf_dir):
 @query("SELECT round(quantile_cont(value, 0.95), 6) AS p95 FROM events")
 def p95_value(spark, sf_dir):
     return table(spark, sf_dir, "events").agg(F.round(F.percentile("value", 0.95), 6).alias("p95"))
-
-
-@query("SELECT greatest(0, 0) AS n, 'none' AS problem WHERE false")
-def bundle_check(spark, sf_dir):
-    """Listed against found files: here the tables against themselves, so nothing differs."""
-    from maskframe.sources.readers import check_bundle
-
-    files = table(spark, sf_dir, "region").select(F.col("r_name").alias("path"), F.sha2("r_name", 256).alias("sha256"))
-    return check_bundle(files, files).select(F.lit(0).alias("n"), "problem")

@@ -1,0 +1,197 @@
+"""Queries over texts and requests made from the driver tables, so that every recognizer and rule has something to find."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from maskframe import taxonomy as tax
+from maskframe.functions import generators as G
+from maskframe.operators import chat, corpus, detect, mask, policy
+from maskframe.plans.tables import spread, table
+
+REGISTERED: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        REGISTERED[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+def _n(name: str) -> str:
+    return f"CAST('0x' || substr(sha256('0:{name}:0:' || id), 1, 15) AS BIGINT)"
+
+
+def _hex(name: str, n: int) -> str:
+    return f"left(sha256('0:{name}:hex:' || id), {n})"
+
+
+def _pad(name: str, n: int) -> str:
+    return f"lpad(CAST({_n(name)} % {10**n} AS VARCHAR), {n}, '0')"
+
+
+def _d(s: str, i: int) -> str:
+    return f"CAST({s}[{i}] AS INT)"
+
+
+def _luhn(s: str, n: int) -> str:
+    terms = [f"{_d(s, i + 1)} * 2 - CASE WHEN {_d(s, i + 1)} > 4 THEN 9 ELSE 0 END" if (n - i) % 2 else _d(s, i + 1) for i in range(n)]
+    return f"((10 - ({' + '.join(terms)}) % 10) % 10)"
+
+
+_ODD, _EVEN = " + ".join(_d("tckn9", i) for i in (1, 3, 5, 7, 9)), " + ".join(_d("tckn9", i) for i in (2, 4, 6, 8))
+_TENTH = f"(((({_ODD}) * 7 - ({_EVEN})) % 10 + 10) % 10)"
+
+
+def _vkn(i: int) -> str:
+    s = f"(({_d('vkn9', i + 1)} + {9 - i}) % 10)"
+    return f"CASE WHEN {s} <> 0 AND {s} * {1 << (9 - i)} % 9 = 0 THEN 9 ELSE {s} * {1 << (9 - i)} % 9 END"
+
+
+#: The same values in SQL: table v (id and a column for each type).
+VALUES_SQL = f"""b AS (
+  SELECT id, CAST({_n('TR_TCKN')} % 900000000 + 100000000 AS VARCHAR) AS tckn9, {_pad('TR_VKN', 9)} AS vkn9, '00061' || {_pad('TR_IBAN', 17)} AS tr, {_pad('IBAN_OTHER', 18)} AS de,
+    '4' || {_pad('CREDIT_CARD', 14)} AS card, {_pad('TR_PHONE', 9)} AS tel, {_n('TR_PLATE')} % 900000000 AS plate, {_pad('TR_SGK', 12)} AS sgk, {_n('EMAIL')} AS mail, {_hex('SECRET_API_KEY', 40)} AS api, {_hex('SECRET_JWT', 56)} AS jwt,
+    {_hex('SECRET_PRIVATE_KEY', 64)} AS pem, {_n('DOB')} AS dob FROM (SELECT CAST(p_partkey AS VARCHAR) AS id FROM part)
+), v AS (
+  SELECT id, tckn9 || {_TENTH} || (({_ODD} + {_EVEN} + {_TENTH}) % 10) AS TR_TCKN,
+    vkn9 || ((10 - ({' + '.join(_vkn(i) for i in range(9))}) % 10) % 10) AS TR_VKN,
+    'TR' || lpad(CAST(98 - CAST(tr || '292700' AS HUGEINT) % 97 AS VARCHAR), 2, '0') || tr AS TR_IBAN,
+    'DE' || lpad(CAST(98 - CAST(de || '131400' AS HUGEINT) % 97 AS VARCHAR), 2, '0') || de AS IBAN_OTHER,
+    card || {_luhn('card', 15)} AS CREDIT_CARD,
+    '+90 5' || substr(tel, 1, 2) || ' ' || substr(tel, 3, 3) || ' ' || substr(tel, 6, 2) || ' ' || substr(tel, 8, 2) AS TR_PHONE,
+    lpad(CAST(plate % 81 + 1 AS VARCHAR), 2, '0') || ' ' || ('ABCEKMRST')[plate // 100 % 9 + 1] || ('ABCEKMRST')[plate // 1000 % 9 + 1] || ' ' || (plate // 10000 % 900 + 100) AS TR_PLATE,
+    sgk || (({_luhn('sgk', 12)} + 1) % 10) AS TR_SGK,
+    'kisi' || (mail % 1000000) || '@ornek' || (mail % 17) || '.com' AS EMAIL,
+    'sk-' || api AS SECRET_API_KEY,
+    'eyJhbGciOiJIUzI1NiJ9.' || left(jwt, 24) || '.' || right(jwt, 32) AS SECRET_JWT,
+    '-----BEGIN PRIVATE KEY-----' || chr(10) || pem || chr(10) || '-----END PRIVATE KEY-----' AS SECRET_PRIVATE_KEY,
+    strftime(DATE '1950-01-01' + CAST(dob % 19001 AS INTEGER), '%d.%m.%Y') AS DOB
+  FROM b
+)"""
+DRAWN = [*tax.DETERMINISTIC, "DOB"]
+#: What a value's score is.
+SCORES = {"TR_PHONE": 0.9, "TR_PLATE": 0.92, "TR_SGK": 0.88, "EMAIL": 0.95, "SECRET_API_KEY": 0.95, "SECRET_JWT": 0.95}
+
+
+def _values(spark, sf_dir):
+    row = F.col("p_partkey").cast("string")
+    return table(spark, sf_dir, "part").select(row.alias("id"), *[G.value(t, row).alias(t) for t in DRAWN])
+
+
+@query(f"WITH {VALUES_SQL} " + " UNION ALL ".join(f"SELECT id, '{t}' AS type, {t} AS value FROM v" for t in DRAWN))
+def generated_values(spark, sf_dir):
+    rows = _values(spark, sf_dir)
+    return rows.select("id", F.explode(F.array(*[F.struct(F.lit(t).alias("type"), F.col(t).alias("value")) for t in DRAWN])).alias("x")).select("id", "x.*")
+
+
+def _text():
+    """One line with a value of every deterministic type after its name, and another after it in which the first e-mail comes again."""
+    parts = [F.lit("Kayıt")]
+    for t in tax.DETERMINISTIC:
+        parts += [F.lit(f" sicil {t.lower()} : "), F.col(t), F.lit(" ;")]
+    return F.concat(*parts, F.lit(" yine "), F.col("EMAIL"), F.lit(" son"))
+
+
+_TEXT_SQL = "'Kayıt' || " + " || ".join(f"' sicil {t.lower()} : ' || {t} || ' ;'" for t in tax.DETERMINISTIC) + " || ' yine ' || EMAIL || ' son'"
+_BEFORE = {t: "5 + " + " + ".join([f"{len(f' sicil {u.lower()} : ')} + length({u}) + 2" for u in tax.DETERMINISTIC[:i]] + [str(len(f" sicil {t.lower()} : "))]) for i, t in enumerate(tax.DETERMINISTIC)}
+_AGAIN = "5 + " + " + ".join(f"{len(f' sicil {u.lower()} : ')} + length({u}) + 2" for u in tax.DETERMINISTIC) + " + 6"
+
+
+@query(f"WITH {VALUES_SQL}, s AS (" + " UNION ALL ".join([*[f"SELECT id, '{t}' AS type, {_BEFORE[t]} AS a, {t} AS value, {SCORES.get(t, 1.0)}::DOUBLE AS confidence FROM v" for t in tax.DETERMINISTIC], f"SELECT id, 'EMAIL', {_AGAIN}, EMAIL, 0.95::DOUBLE FROM v"]) + """)
+SELECT id, type, CAST(a AS INTEGER) AS "start", CAST(a + length(value) AS INTEGER) AS "end", value, confidence FROM s""")
+def detect_spliced(spark, sf_dir):
+    """Every recognizer on texts that hold a value of each type."""
+    rows = detect.analyze(spread(_values(spark, sf_dir).select("id", _text().alias("text"))))
+    return detect.exploded(rows, "id").select("id", "type", "start", "end", "value", "confidence")
+
+
+_PLACED = {t: f"[{tax.LABELS[t]}_1]" for t in tax.DETERMINISTIC} | {"IBAN_OTHER": "[IBAN_2]", "SECRET_JWT": "[SIR_2]", "SECRET_PRIVATE_KEY": "[SIR_3]"}
+_MASKED = "Kayıt" + "".join(f" sicil {t.lower()} : {_PLACED[t]} ;" for t in tax.DETERMINISTIC) + " yine [EPOSTA_1] son"
+
+
+@query(f"WITH {VALUES_SQL} SELECT id, '{_MASKED}' AS masked_text, CAST({len(tax.DETERMINISTIC) + 1} AS INTEGER) AS n_mappings, {_TEXT_SQL} AS text_restored FROM v")
+def mask_spliced(spark, sf_dir):
+    """Masked texts, what their mappings give back, and that equal values share a placeholder."""
+    rows = mask.unmask(mask.mask(detect.analyze(spread(_values(spark, sf_dir).select("id", _text().alias("text"))))))
+    return rows.select("id", "masked_text", F.size("mappings").alias("n_mappings"), "text_restored")
+
+
+@query(f"""WITH {VALUES_SQL}, t AS (SELECT id, CAST(id AS INTEGER) AS k, TR_TCKN, EMAIL, TR_PLATE, SECRET_API_KEY FROM v)
+SELECT id, CASE WHEN k % 5 > 0 THEN 'no [TCKN_' || CASE WHEN k % 2 = 0 THEN '1' ELSE '8' END || '] posta ' || EMAIL || ' plaka [PLAKA_1]' END AS out_text,
+  CASE WHEN k % 5 = 0 THEN 'SECRET_API_KEY' ELSE '' END AS blocked, CASE WHEN k % 5 = 0 THEN '' ELSE 'EMAIL=allow=1,TR_PLATE=mask=1,TR_TCKN=mask=1' END AS counts FROM t""")
+def policy_enforce(spark, sf_dir):
+    """Masking, allowing and blocking by policy, into a vault where every second session knows a first number already."""
+    k = F.col("id").cast("int")
+    text = F.concat(F.lit("no "), "TR_TCKN", F.lit(" posta "), "EMAIL", F.lit(" plaka "), "TR_PLATE", F.when(k % 5 == 0, F.concat(F.lit(" anahtar "), "SECRET_API_KEY")).otherwise(""))
+    docs = _values(spark, sf_dir).select("id", F.lit("tenant").alias("tenant_id"), F.col("id").alias("session_id"), text.alias("text"), "TR_TCKN")
+    rows = mask.mask(detect.analyze(spread(docs.drop("TR_TCKN")), types=["TR_TCKN", "EMAIL", "TR_PLATE", "SECRET_API_KEY"]))
+    later = F.lit("2100-01-01").cast("timestamp")
+    held = docs.select("tenant_id", "session_id", F.lit("TR_TCKN").alias("type"), F.when(k % 2 == 0, F.col("TR_TCKN")).otherwise("other").alias("value"), F.when(k % 2 == 0, F.lit("[TCKN_1]")).otherwise("[TCKN_7]").alias("placeholder"), later.alias("expires_at"))
+    acted = policy.actions(tax.taxonomy(spark), policy.rules_table(spark)).withColumn("action", F.when(F.col("type") == "EMAIL", "allow").otherwise(F.col("action")))
+    out, _ = policy.enforce(rows, "id", acted, held, later)
+    counts = F.array_join(F.transform("entities", lambda e: F.concat_ws("=", e["type"], e["action"], e["count"].cast("string"))), ",")
+    return out.select("id", "out_text", F.array_join("blocked_types", ",").alias("blocked"), F.when(F.size("blocked_types") == 0, counts).otherwise("").alias("counts"))
+
+
+def _requests(spark, sf_dir):
+    part = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    parts = F.array(part("text", F.left("text", half)), part("text", F.substring(F.col("text"), half + 1, F.length("text"))), part("image_url", F.lit(None).cast("string")), part("text", F.lit("tail")))
+    call = F.struct(F.struct(F.to_json(F.struct(F.col("role").alias("q"), F.array(F.lit(1), F.lit(2)).alias("n"))).alias("arguments")).alias("function"))
+    plain = F.struct(F.col("role"), F.to_json(parts).alias("content"), F.concat(F.lit("n"), F.col("turn").cast("string")).alias("name"), F.array(call).alias("tool_calls"))
+    rows = table(spark, sf_dir, "conversations").filter("text is not null and length(text) > 1").select(F.concat_ws("/", "conv_id", "turn").alias("req_id"), F.concat(F.lit("u"), F.col("conv_id").cast("string")).alias("user"), plain.alias("m"), parts.alias("parts"))
+    message = F.struct(F.col("m.role").alias("role"), F.col("parts").alias("content"), F.col("m.name").alias("name"), F.col("m.tool_calls").alias("tool_calls"))
+    return rows.select("req_id", F.to_json(F.struct(F.lit("x").alias("model"), F.lit("be kind").alias("system"), F.array(message).alias("messages"), F.struct(F.col("user").alias("id")).alias("metadata"), "user")).alias("body"))
+
+
+@query("""WITH c AS (SELECT conv_id || '/' || turn AS req_id, * FROM conversations WHERE text IS NOT NULL AND length(text) > 1)
+SELECT req_id, 'messages.0.content.part.0' AS path, text FROM c UNION ALL SELECT req_id, 'messages.0.content.part.3', 'tail' FROM c UNION ALL SELECT req_id, 'messages.0.name', 'n' || turn FROM c
+UNION ALL SELECT req_id, 'messages.0.tool.0.q', role FROM c UNION ALL SELECT req_id, 'system', 'be kind' FROM c UNION ALL SELECT req_id, 'request.user', 'u' || conv_id FROM c UNION ALL SELECT req_id, 'request.metadata.id', 'u' || conv_id FROM c""")
+def request_segments(spark, sf_dir):
+    """Segments of requests with parts, names, tool calls and auxiliary fields."""
+    return chat.request_segments(_requests(spark, sf_dir))
+
+
+@query("""WITH c AS (SELECT conv_id || '/' || turn AS resp_id, * FROM conversations WHERE text IS NOT NULL)
+SELECT resp_id, text || ' Ali ' || conv_id AS content, 'Ali ' || conv_id AS argument, 'keep [KISI_1]' AS other FROM c""")
+def response_restore(spark, sf_dir):
+    """Whole responses restored in contents and tool arguments, and nowhere else."""
+    rows = table(spark, sf_dir, "conversations").filter("text is not null").withColumn("who", F.concat(F.lit("Ali "), F.col("conv_id").cast("string")))
+    call = F.struct(F.struct(F.lit('{"a":"[KISI_1]"}').alias("arguments")).alias("function"))
+    message = F.struct(F.concat("text", F.lit(" [KISI_1]")).alias("content"), F.array(call).alias("tool_calls"))
+    rows = rows.withColumn("body", F.to_json(F.struct(F.array(F.struct(message.alias("message"))).alias("choices"), F.lit("keep [KISI_1]").alias("id"))))
+    out = rows.withColumn("r", chat.restore_response(F.col("body"), F.create_map(F.lit("[KISI_1]"), F.col("who"))))
+    argument = F.get_json_object(F.get_json_object("r", "$.choices[0].message.tool_calls[0].function.arguments"), "$.a")
+    return out.select(F.concat_ws("/", "conv_id", "turn").alias("resp_id"), F.get_json_object("r", "$.choices[0].message.content").alias("content"), argument.alias("argument"), F.get_json_object("r", "$.id").alias("other"))
+
+
+@query("""WITH c AS (SELECT conv_id || '/' || turn AS resp_id, * FROM conversations WHERE text IS NOT NULL)
+SELECT resp_id, 'block.0.text' AS field_key, CAST(0 AS BIGINT) AS seq, text, 'text' AS fmt FROM c UNION ALL SELECT resp_id, 'block.' || turn || '.input', CAST(1 AS BIGINT), '{"a":', 'json' FROM c""")
+def block_fields(spark, sf_dir):
+    """Deltas of the block-wise stream shape; other frames give none."""
+    delta = lambda kind, name, text, i: F.to_json(F.struct(F.lit("content_block_delta").alias("type"), i.alias("index"), F.struct(F.lit(kind).alias("type"), text.alias(name)).alias("delta")))
+    rows = table(spark, sf_dir, "conversations").filter("text is not null").select(F.concat_ws("/", "conv_id", "turn").alias("resp_id"), F.array(delta("text_delta", "text", F.col("text"), F.lit(0)), delta("input_json_delta", "partial_json", F.lit('{"a":'), F.col("turn")), F.lit('{"type":"ping"}')).alias("f"))
+    return chat.block_fields(rows.select("resp_id", F.posexplode("f").alias("seq", "data")).withColumn("seq", F.col("seq").cast("long")))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, 'Elif Şahin' || CASE turn % 4 WHEN 3 THEN (['''ın', '''in', '''la', '''ye'])[CAST('0x' || substr(sha256('0:suffix:0:' || conv_id), 1, 15) AS BIGINT) % 4 + 1] ELSE '' END AS person FROM conversations),
+x AS (SELECT conv_id, turn, 'PERSON' AS type, person AS v FROM c UNION ALL SELECT conv_id, turn, 'ORG', 'Kuzey Gıda A.Ş.' FROM c)
+SELECT conv_id, turn, type, CASE WHEN turn % 4 = 1 THEN translate(v, 'çÇğĞıİöÖşŞüÜ', 'cCgGiIoOsSuU') ELSE v END AS value FROM x""")
+def morphologies(spark, sf_dir):
+    """Values as sentences have them: plain, without diacritics, in lower case, with a suffix."""
+    kind = F.element_at(F.array(*[F.lit(m) for m in G.MORPHOLOGIES]), (F.col("turn") % 4).cast("int") + 1)
+    one = lambda t, v: F.struct(F.lit(t).alias("type"), G.morphed(F.lit(v), t, kind, F.col("conv_id")).alias("value"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.array(one("PERSON", "Elif Şahin"), one("ORG", "Kuzey Gıda A.Ş."))).alias("x"))
+    return rows.select("conv_id", "turn", "x.*")
+
+
+_CONTEXTS = ["{pattern}", "Kayıt: {pattern}", "Not: {pattern}", "Talep: {pattern}"]
+
+
+@query(f"SELECT n_name || '-v' || i AS template_id, CAST(n_regionkey AS VARCHAR) AS domain, replace(([{', '.join(repr(c) for c in _CONTEXTS)}])[i], '{{pattern}}', 'x {{PERSON}} ' || n_name) AS pattern FROM nation, range(1, 5) AS r(i)")
+def template_variants(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").select(F.col("n_name").alias("template_id"), F.col("n_regionkey").cast("string").alias("domain"), F.concat(F.lit("x {PERSON} "), F.col("n_name")).alias("pattern"))
+    return corpus.variants(rows, _CONTEXTS)

@@ -135,3 +135,103 @@ def load_taxonomy(path: str) -> list[tuple]:
 
 def label_of(type_: str) -> str:
     return LABELS[type_]
+
+
+def read_reports(spark: SparkSession, glob: str) -> DataFrame:
+    """Per-type counts of many evaluation reports (JSON files): file, type, tp, fp, fn, support."""
+    shape = "strict struct<per_type: map<string, struct<tp: bigint, fp: bigint, fn: bigint, support: bigint>>>"
+    rows = spark.read.schema(shape).option("multiLine", "true").json(glob).select(F.input_file_name().alias("file"), F.explode("strict.per_type").alias("type", "x"))
+    return rows.select("file", "type", "x.*")
+
+
+def read_load_summary(spark: SparkSession, path: str, metric: str) -> DataFrame:
+    """The 95th percentile of a metric in load-test summaries (JSON): file, p95."""
+    rows = spark.read.text(path, wholetext=True)
+    return rows.select(F.input_file_name().alias("file"), F.get_json_object("value", f"$.metrics['{metric}']['p(95)']").cast("double").alias("p95")).filter("p95 is not null")
+
+
+def convert_examples(spark: SparkSession, source: str, target: str, limit: int | None = None) -> DataFrame:
+    """Gold examples written as token rows (JSON lines), in the order of their ids; returns the number of rows and the digest of what was written."""
+    from maskframe.operators.corpus import prepare
+
+    rows = read_gold(spark, source).select("id", F.lit("gold").alias("source"), "text", "entities")
+    if limit is not None:
+        rows = rows.orderBy("id").limit(limit)
+    made = prepare(rows)
+    bad = made.filter("misaligned > 0").limit(1).count()
+    if bad:
+        raise ValueError("an entity does not begin and end with tokens")
+    ner = F.transform("ner", lambda s: F.array(s["first"].cast("string"), s["last"].cast("string"), s["label"]))
+    made.select("id", "source", "tokenized_text", ner.alias("ner"), "ner_labels").write.mode("errorifexists").json(target)
+    # The digest does not depend on the order of lines: those of lines that begin alike first, then of all these.
+    lines = spark.read.text(target).select(F.sha2("value", 256).alias("d"))
+    joined = lambda: F.sha2(F.array_join(F.array_sort(F.collect_list("d")), "\n"), 256).alias("d")
+    return lines.groupBy(F.left("d", F.lit(4)).alias("p")).agg(F.count("*").alias("n"), joined()).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), joined()).withColumnRenamed("d", "sha256")
+
+
+def verify_lock(listed: DataFrame, found: DataFrame) -> DataFrame:
+    """Files of a dataset lock (path, length, sha256) that are missing or not as locked."""
+    both = listed.join(found.select("path", F.col("length").alias("__length"), F.col("sha256").alias("__sha256")), "path", "left")
+    problem = F.when(F.col("__sha256").isNull(), "missing").when(F.col("__length") != F.col("length"), "length").when(F.col("__sha256") != F.col("sha256"), "digest")
+    return both.select("path", problem.alias("problem")).filter("problem is not null")
+
+
+def write_report(scores: DataFrame, path: str) -> None:
+    """A result as JSON and as a Markdown table (some rows a type), both complete before either has its name."""
+    import os
+    import tempfile
+
+    rows = [r.asDict() for r in scores.orderBy("recall", "type").collect()]
+    columns = scores.columns
+    table = "\n".join(["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns), *["| " + " | ".join(str(r[c]) for c in columns) + " |" for r in rows]])
+    made = []
+    for ending, text in ((".json", json.dumps(rows, ensure_ascii=False, sort_keys=True)), (".md", table)):
+        with tempfile.NamedTemporaryFile("w", encoding="utf-8", dir=os.path.dirname(path) or ".", delete=False) as f:
+            f.write(text + "\n")
+            f.flush()
+            os.fsync(f.fileno())
+        made.append((f.name, path + ending))
+    for name, final in made:
+        os.replace(name, final)
+
+
+def append_lines(rows: DataFrame, path: str) -> None:
+    """Adds rows to a folder of JSON lines without touching what is there."""
+    rows.write.mode("append").json(path)
+
+
+def config(environment: dict[str, str], schema: dict[str, tuple], prefix: str) -> dict:
+    """Settings from an environment: name -> (type, default, least, most); a default of None makes one mandatory.
+
+    A name with the prefix that the schema lacks is an error, and so is a value out of its bounds.
+    """
+    unknown = sorted(k for k in environment if k.startswith(prefix) and k.removeprefix(prefix) not in schema)
+    if unknown:
+        raise ValueError(f"unknown settings: {', '.join(unknown)}")
+    out = {}
+    for name, (kind, default, least, most) in schema.items():
+        text = environment.get(prefix + name)
+        if text is None and default is None:
+            raise ValueError(f"{prefix}{name} is missing")
+        out[name] = default if text is None else kind(text)
+        if least is not None and out[name] < least or most is not None and out[name] > most:
+            raise ValueError(f"{prefix}{name} is out of bounds")
+    return out
+
+
+def model_entry(path: str, model: str) -> dict:
+    """A model's entry in a registry file (YAML): a pinned revision, and a size and SHA-256 for each file."""
+    import re
+
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        entries = {m["id"]: m for m in yaml.safe_load(f)["models"]}
+    if model not in entries:
+        raise ValueError(f"no model {model}")
+    entry = entries[model]
+    if not re.fullmatch("[0-9a-f]{40}", str(entry.get("revision", ""))):
+        raise ValueError(f"{model} is not pinned to a revision")
+    if not entry.get("files") or any(not re.fullmatch("[0-9a-f]{64}", str(x.get("sha256", ""))) or not int(x.get("size", 0)) > 0 for x in entry["files"]):
+        raise ValueError(f"{model} has files without size or digest")
+    return entry
