@@ -185,12 +185,6 @@ def overlap_pairs(spark, sf_dir):
     return a.join(b, meets).select("a.l_orderkey", F.col("a.l_linenumber").alias("line_a"), F.col("b.l_linenumber").alias("line_b"))
 
 
-@query()
-def residual_gate(spark, sf_dir):
-    rows = _docs(spark, sf_dir, "conversations").withColumn("spans", detect.candidates(F.col("text")))
-    return rows.groupBy(spans.needs_model(F.col("text"), F.col("spans")).alias("needs_model")).agg(F.count("*").alias("n"))
-
-
 _TAX = ", ".join(str(t) for t in tax.ENTITY_TYPES)
 TAX_SQL = f"tax(type, layer, kvkk_class, z_class, default_action, label) AS (VALUES {_TAX})"
 
@@ -279,18 +273,6 @@ def html_scan(spark, sf_dir):
     return detect.exploded(rows, "page_id").select("page_id", "value")
 
 
-@query()
-def tokenize_offsets(spark, sf_dir):
-    rows = _docs(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(detect.tokens(F.col("text"))).alias("t"))
-    return rows.select("conv_id", "turn", "t.token", "t.start", "t.end")
-
-
-@query()
-def token_span_align(spark, sf_dir):
-    rows = detect.analyze(spread(_docs(spark, sf_dir).select("doc_id", "text")), types=["EMAIL", "CREDIT_CARD"]).filter(F.size("spans") > 0)
-    return corpus.prepare(rows, entities="spans").select("doc_id", "ner", "ner_labels", "misaligned")
-
-
 @query("SELECT n, f AS first, l AS last FROM (SELECT o_orderkey % 9 AS n FROM orders GROUP BY 1), range(9) AS x(f), range(9) AS y(l) WHERE f < n AND l < n AND l >= f AND l < f + 4")
 def candidate_spans(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 9).alias("n")).distinct()

@@ -186,3 +186,19 @@ def suite_metrics(spark, sf_dir):
     gold = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("suite"), F.col("o_orderstatus").alias("type"), start.alias("start"), (start + 3).alias("end"))
     wrong = gold.filter("doc_id % 9 = 0").withColumns({"start": F.col("start") + 1, "end": F.col("end") + 1})
     return evaluate.suites(gold, gold.filter("doc_id % 4 > 0").unionByName(wrong), "suite").select("suite", "type", "tp", "fp", "fn")
+
+
+@query("""WITH RECURSIVE g AS (SELECT l_orderkey AS doc, list_sort(list({'a': CAST(l_partkey % 60 AS INTEGER), 'b': CAST(l_partkey % 60 + 1 + l_suppkey % 20 AS INTEGER)})) AS g FROM lineitem GROUP BY 1),
+p AS (SELECT doc, a, b, row_number() OVER (PARTITION BY doc ORDER BY a, b) AS n FROM (SELECT l_orderkey AS doc, CAST(l_partkey % 60 + 3 AS INTEGER) AS a, CAST(l_partkey % 60 + 9 AS INTEGER) AS b FROM lineitem WHERE l_linenumber % 3 > 0)),
+walk AS (SELECT doc, CAST(0 AS BIGINT) AS n, g AS rest FROM g UNION ALL
+  SELECT w.doc, p.n, CASE WHEN len(list_filter(w.rest, lambda x: x.a < p.b AND p.a < x.b)) = 0 THEN w.rest ELSE
+    list_concat(w.rest[1:list_position(list_transform(w.rest, lambda x: x.a < p.b AND p.a < x.b), true) - 1], w.rest[list_position(list_transform(w.rest, lambda x: x.a < p.b AND p.a < x.b), true) + 1:]) END
+  FROM walk w JOIN p ON p.doc = w.doc AND p.n = w.n + 1),
+last AS (SELECT doc, max(n) AS n_p, arg_max(len(rest), n) AS missed FROM walk GROUP BY doc)
+SELECT 'EMAIL' AS type, CAST(sum(len(g) - missed) AS BIGINT) AS tp, CAST(sum(n_p - len(g) + missed) AS BIGINT) AS fp, CAST(sum(missed) AS BIGINT) AS fn, CAST(sum(len(g)) AS BIGINT) AS support FROM last JOIN g USING (doc)""")
+def partial_crossing(spark, sf_dir):
+    """Partial matches where spans of a document cross each other, so that the order of first fits decides."""
+    start = (F.col("l_partkey") % 60).cast("int")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit("EMAIL").alias("type"), start.alias("start"), (start + 1 + (F.col("l_suppkey") % 20).cast("int")).alias("end"), "l_linenumber")
+    found = rows.filter("l_linenumber % 3 > 0").select("doc_id", "type", (F.col("start") + 3).alias("start"), (F.col("start") + 9).alias("end"))
+    return evaluate.partial(rows.drop("l_linenumber"), found).select("type", "tp", "fp", "fn", "support")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from maskframe import taxonomy as tax
 from maskframe.functions import generators as G
-from maskframe.operators import chat, corpus, detect, mask, policy
+from maskframe.operators import chat, corpus, detect, mask, policy, spans
 from maskframe.plans.tables import spread, table
 
 REGISTERED: dict = {}
@@ -195,3 +195,35 @@ _CONTEXTS = ["{pattern}", "Kayıt: {pattern}", "Not: {pattern}", "Talep: {patter
 def template_variants(spark, sf_dir):
     rows = table(spark, sf_dir, "nation").select(F.col("n_name").alias("template_id"), F.col("n_regionkey").cast("string").alias("domain"), F.concat(F.lit("x {PERSON} "), F.col("n_name")).alias("pattern"))
     return corpus.variants(rows, _CONTEXTS)
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS id, p_partkey % 4 >= 2 AS needs_model FROM part")
+def residual_gate(spark, sf_dir):
+    """Texts of which nothing but neutral words is left beside what rules detect skip the model; a name or a digit asks for it."""
+    k = F.col("id").cast("long") % 4
+    text = F.when(k == 0, F.concat(F.lit("ve "), "TR_TCKN")).when(k == 1, F.concat(F.lit("the "), "EMAIL", F.lit(" or"))).when(k == 2, F.concat(F.lit("Ayşe "), "TR_TCKN")).otherwise(F.concat("EMAIL", F.lit(" 5")))
+    rows = _values(spark, sf_dir).select("id", text.alias("text"))
+    rows = rows.withColumn("spans", detect.candidates(F.col("text"), ["TR_TCKN", "EMAIL"]))
+    return rows.select("id", spans.needs_model(F.col("text"), F.col("spans")).alias("needs_model"))
+
+
+_TOKEN = r"([\s\p{Z}]*)([\p{L}\p{N}_]+(?:[-_][\p{L}\p{N}_]+)*|[^\s\p{Z}])"
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, regexp_extract_all(text, '{_TOKEN}', 1) AS ws, regexp_extract_all(text, '{_TOKEN}', 2) AS tok FROM conversations),
+x AS (SELECT conv_id, turn, tok[i] AS token, coalesce(CAST(list_sum(list_transform(range(1, i), lambda j: length(ws[j]) + length(tok[j]))) AS INTEGER), 0) + length(ws[i]) AS a FROM (SELECT *, unnest(range(1, len(tok) + 1)) AS i FROM t))
+SELECT conv_id, turn, token, CAST(a AS INTEGER) AS "start", CAST(a + length(token) AS INTEGER) AS "end" FROM x""")
+def tokenize_offsets(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(detect.tokens(F.col("text"))).alias("t"))
+    return rows.select("conv_id", "turn", "t.token", "t.start", "t.end")
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_partkey % 3 = 0 THEN '1-5 EMAIL' ELSE '1-5 EMAIL,8-8 CREDIT_CARD' END AS ner, CASE WHEN p_partkey % 3 = 0 THEN 'EMAIL' ELSE 'CREDIT_CARD,EMAIL' END AS ner_labels,
+  CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS misaligned FROM part""")
+def token_span_align(spark, sf_dir):
+    """Spans as tokens; a card that is glued to a letter begins within a token and is counted as misaligned."""
+    glued = F.when(F.col("id").cast("long") % 3 == 0, "x").otherwise("")
+    rows = _values(spark, sf_dir).select("id", F.concat(F.lit("posta "), "EMAIL", F.lit(" ve kart "), glued, "CREDIT_CARD", F.lit(" son")).alias("text"))
+    made = corpus.prepare(detect.analyze(spread(rows), types=["EMAIL", "CREDIT_CARD"]), entities="spans")
+    ner = F.array_join(F.transform("ner", lambda s: F.concat(s["first"].cast("string"), F.lit("-"), s["last"].cast("string"), F.lit(" "), s["label"])), ",")
+    return made.select("id", ner.alias("ner"), F.array_join("ner_labels", ",").alias("ner_labels"), "misaligned")
