@@ -167,30 +167,32 @@ class Block:
 class Automaton:
     """The states and arcs that a block's texts can reach.
 
-    States are numbered from the root, 0. ``arcs`` are sorted keys state * words + word with
-    ``weight`` and ``to``; ``fail`` and ``fail_weight`` are the failure arcs; the root's arcs, one a
-    word, are ``root`` and ``root_to``.
+    States are numbered from the root, 0; ``depth`` is the length of a state's history, ``fail`` and
+    ``fail_weight`` are the failure arcs. N-grams are numbered through all lengths: number g is the
+    arc on its last word out of the state of its history, if training has it (``arc``), with
+    ``weight`` and ``to``; words are the root's arcs, which all exist. ``named`` gives the number of
+    the n-gram of each length that ends at each token: the arc that a state of that depth would take.
     """
 
     def __init__(self, block: Block, scale: float, mass: tuple[float, ...]):
-        word = block.at[1]
-        self.words = len(block.table[1])
         p = (block.count[1] + 0.5) / scale
-        self.root = np.log10(p)
-        number, total, fail, fail_weight = {}, 1, [np.zeros(1, np.int64)], [np.zeros(1)]
-        suffix = {1: np.zeros(self.words, np.int64)}
+        number, total, fail, fail_weight, depth = {}, 1, [np.zeros(1, np.int64)], [np.zeros(1)], [np.zeros(1, np.int64)]
+        next_: dict[int, np.ndarray] = {}
         for n in range(1, block.order):
             own = block.states(n)
             number[n] = np.where(own, total + np.cumsum(own) - 1, -1)
-            if n > 1:
-                suffix[n] = self._next(block, number, n - 1)[block.at[n - 1][block.place[n]]]
-            fail.append(suffix[n][own])
+            shorter = next_[n - 1][block.at[n - 1][block.place[n]]] if n > 1 else np.zeros(len(own), np.int64)
+            next_[n] = np.where(own, number[n], shorter)  # the state after an n-gram: itself, or else its longest end that is one
+            fail.append(shorter[own])
             fail_weight.append(np.log10(mass[n - 1] / (block.count[n][own] + mass[n - 1])))
+            depth.append(np.full(int(own.sum()), n))
             total += int(own.sum())
-        self.fail, self.fail_weight = np.concatenate(fail), np.concatenate(fail_weight)
-        self.start = max(0, int(number[1][np.searchsorted(block.table[1], END)])) if block.order > 1 and self.words else 0
-        self.root_to = self._next(block, number, 1) if block.order > 1 else np.zeros(self.words, np.int64)
-        keys, weights, to = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int64)]
+        self.fail, self.fail_weight, self.depth = np.concatenate(fail), np.concatenate(fail_weight), np.concatenate(depth)
+        words = len(block.table[1])
+        self.start = int(next_[1][np.searchsorted(block.table[1], END)]) if next_ and words else 0
+        self.named = np.full((block.order + 1, len(block.hashes)), -1, dtype=np.int64)
+        self.named[1] = block.at[1]
+        arc, weight, to, source, base = [np.ones(words, bool)], [np.log10(p)], [next_.get(1, np.zeros(words, np.int64))], [np.zeros(words, np.int64)], words
         for n in range(2, block.order + 1):
             place = block.place[n]
             lower = p[block.at[n - 1][place]]
@@ -198,53 +200,35 @@ class Automaton:
             state = number[n - 1][history]
             c = block.count[n - 1][history]
             p = np.where(state >= 0, (block.count[n] + mass[n - 2] * lower) / (c + mass[n - 2]), lower)
-            seen = (block.count[n] > 0) & (state >= 0)
-            keys.append((state * self.words + word[place])[seen])
-            weights.append(np.log10(p[seen]))
-            longest = n if n < block.order else n - 1
-            to.append((self._next(block, number, longest) if n < block.order else self._next(block, number, longest)[block.at[longest][place]])[seen])
-        keys = np.concatenate(keys)
-        order = np.argsort(keys)
-        self.arcs, self.weight, self.to = keys[order], np.concatenate(weights)[order], np.concatenate(to)[order]
-
-    @staticmethod
-    def _next(block: Block, number: dict, n: int) -> np.ndarray:
-        """The state after each n-gram: itself, or else its longest end that is one."""
-        if n == 0:
-            return np.zeros(1, np.int64)
-        if n == 1:
-            return np.maximum(number[1], 0)
-        shorter = Automaton._next(block, number, n - 1)[block.at[n - 1][block.place[n]]]
-        return np.where(number[n] >= 0, number[n], shorter)
-
-    def traverse(self, word: np.ndarray, begins: np.ndarray, warm: int, lanes: int = LANES) -> np.ndarray:
+            arc.append((block.count[n] > 0) & (state >= 0))
+            weight.append(np.log10(p))
+            to.append(next_[n] if n in next_ else next_[n - 1][block.at[n - 1][place]])
+            source.append(state)
+            self.named[n] = np.where(block.at[n] >= 0, block.at[n] + base, -1)
+            base += len(place)
+        self.arc, self.weight, self.to, self.source = (np.concatenate(x) for x in (arc, weight, to, source))
+
+    def traverse(self, begins: np.ndarray, warm: int, lanes: int = LANES) -> np.ndarray:
         """Weight of each token, by one pass that carries the state of each lane."""
-        n = len(word)
+        n = len(begins)
         out = np.zeros(n)
         long_ = max(1, -(-n // lanes))
         begin = np.arange(0, n, long_)
         state = np.zeros(len(begin), dtype=np.int64)
-        last = len(self.arcs) - 1
         for t in range(-warm, long_):
             at = begin + t
             lane = np.flatnonzero((at >= 0) & (at < n))
             at = at[lane]
             s = np.where(begins[at], self.start, state[lane])
-            w, total = word[at], np.zeros(len(at))
+            total = np.zeros(len(at))
             todo = np.arange(len(at))
             while len(todo):
-                here, token = s[todo], w[todo]
-                if last >= 0:
-                    key = here * self.words + token
-                    arc = np.minimum(np.searchsorted(self.arcs, key), last)
-                    hit = self.arcs[arc] == key
-                    total[todo[hit]] += self.weight[arc[hit]]
-                    s[todo[hit]] = self.to[arc[hit]]
-                    todo, here, token = todo[~hit], here[~hit], token[~hit]
-                root = here == 0
-                total[todo[root]] += self.root[token[root]]
-                s[todo[root]] = self.root_to[token[root]]
-                todo, here = todo[~root], here[~root]
+                here = s[todo]
+                g = self.named[self.depth[here] + 1, at[todo]]
+                hit = (g >= 0) & self.arc[g]
+                total[todo[hit]] += self.weight[g[hit]]
+                s[todo[hit]] = self.to[g[hit]]
+                todo, here = todo[~hit], here[~hit]
                 total[todo] += self.fail_weight[here]
                 s[todo] = self.fail[here]
             state[lane] = s
@@ -337,8 +321,8 @@ def scores(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "
             "n_tokens": pa.array(np.diff(block.first), pa.int64()),
             "n_known": pa.array(total((block.count[1] > 0).astype(np.int64)[word]), pa.int64()),
             "train_tokens": pa.array(np.full(len(starts), n_train), pa.int64()),
-            "base_score": pa.array(total(automaton.root[word]), pa.float64()),
-            "score": pa.array(total(automaton.traverse(word, block.begins, order - 1)), pa.float64()),
+            "base_score": pa.array(total(automaton.weight[word]), pa.float64()),
+            "score": pa.array(total(automaton.traverse(block.begins, order - 1)), pa.float64()),
         })
 
     answers = [dealt(texts.mapInArrow(first, SENT), parts, "part").mapInArrow(answer(0), BACK)]

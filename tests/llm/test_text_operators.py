@@ -226,15 +226,17 @@ def test_weights_sum_to_one_over_every_state(spark):
     n = int(block.learn.sum())
     automaton = ngram_lm.Automaton(block, n + 0.5 * (len(block.table[1]) + 1), (7.0, 3.0))
     unseen = 0.5 / (n + 0.5 * (len(block.table[1]) + 1))  # the one word that training does not have
-    assert (10**automaton.root).sum() + unseen == pytest.approx(1)
-    below = np.zeros((len(automaton.fail), automaton.words + 1))
-    below[0] = np.r_[10**automaton.root, unseen]
-    assert len(automaton.fail) > automaton.words  # states of two words too
+    words = len(block.table[1])
+    assert (10 ** automaton.weight[:words]).sum() + unseen == pytest.approx(1)
+    below = np.zeros((len(automaton.fail), words + 1))
+    below[0] = np.r_[10 ** automaton.weight[:words], unseen]
+    last = np.r_[np.arange(words), *[block.at[1][block.place[n]] for n in (2, 3)]]
+    assert automaton.depth.max() == 2 and automaton.arc[:words].all()
     for s in range(1, len(automaton.fail)):
         assert automaton.fail[s] < s
         row = below[automaton.fail[s]] * 10 ** automaton.fail_weight[s]
-        arcs = automaton.arcs // automaton.words == s
-        row[automaton.arcs[arcs] % automaton.words] = 10 ** automaton.weight[arcs]
+        arcs = automaton.arc & (automaton.source == s)
+        row[last[arcs]] = 10 ** automaton.weight[arcs]
         below[s] = row
         assert row.sum() == pytest.approx(1)
 
@@ -244,8 +246,8 @@ def test_lanes_carry_the_same_states(spark, lanes):
     texts = [*sample(spark, 12), "a b a b a b c", None, "a b d"]
     block = block_of(texts)
     automaton = ngram_lm.Automaton(block, float(len(block.hashes)), (7.0, 3.0))
-    one = automaton.traverse(block.at[1], block.begins, 2, 1)
-    assert automaton.traverse(block.at[1], block.begins, 2, lanes).tolist() == one.tolist()
+    one = automaton.traverse(block.begins, 2, 1)
+    assert automaton.traverse(block.begins, 2, lanes).tolist() == one.tolist()
 
 
 def test_hot_rows_are_spread_over_blocks(spark):
