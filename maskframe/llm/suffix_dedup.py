@@ -178,7 +178,7 @@ class Segments:
         self.start = at[np.r_[0, cut + 1]] if len(at) else at
         self.last = at[np.r_[cut, len(at) - 1]] if len(at) else at
         self.place = place[self.start]
-        self.anchor = h[self.place]
+        self.anchor = mix(h[self.place])  # the least of many hashes is small: mixed again, it is spread evenly
 
 
 def digests_of(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -73,6 +73,13 @@ def removed(texts, **more):
     return [int(suffix_dedup.covered(b, of(i), 1).sum()) for i, b in enumerate(blocks)]
 
 
+def test_anchors_are_spread_evenly_over_their_owners():
+    rng = random.Random(5)
+    block = suffix_dedup.Block(["".join(rng.choice("abcdefgh ") for _ in range(200_000)).encode()], 200, 128)
+    n = np.diff(suffix_dedup.split_parts(block.anchors, 10, ranges=True)[1])
+    assert n.sum() > 1000 and n.max() < 1.5 * n.mean()
+
+
 def test_the_sort_decides(monkeypatch):
     texts = edges(12)
     want = [w[1] for w in brute_repeats(texts, 200)]
