@@ -8,7 +8,8 @@ where the window would begin, bounds of position and length drop what would pass
 ends, and the rest is compared word by word and then byte by byte.
 
 Benchmarks larger than ``slice_bytes`` are joined a slice at a time, so what a task is sent is
-bounded. Null and empty texts have no words. Items without words have no window; items with a
+bounded: one pass over the corpus counts the words of all slices, and each slice takes a pass to
+mark. Null and empty texts have no words. Items without words have no window; items with a
 null id mark words but are not listed. Repeated rows are judged one by one, repeated items
 count once by id. Added columns must be new to ``docs``; others stay.
 """
@@ -18,6 +19,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +30,8 @@ from maskframe.llm._tokens import Words
 
 WINDOW = 10
 SLICE_BYTES = 8 << 20
+#: Bytes of text that words are counted in at once.
+CHUNK = 4 << 20
 #: Lower-cases A-Z; ASCII other than letters and digits separates words.
 LETTERS = bytes(LOWER[c] if chr(c).isalnum() or c >= 0x80 else 32 for c in range(256))
 _LOW = (1 << 16) - 1
@@ -135,6 +139,28 @@ def _counts(docs: DataFrame, text: str, windows: Windows) -> np.ndarray:
     return out
 
 
+def _all_counts(docs: DataFrame, text: str, items: DataFrame, item_text: str) -> DataFrame:
+    """(word, n): how often the corpus has each word of a benchmark of any size, in one pass."""
+
+    def tally(batches):
+        for batch in chunks(batches, "__t", CHUNK):
+            keys, n = np.unique(Words(texts_of(batch.column(0)), LETTERS).hashes().view(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n, pa.int64())], names=["word", "n"])
+
+    of = lambda df, column: df.select(F.col(f"`{column}`").alias("__t")).mapInArrow(tally, "word long, n long")
+    wanted = of(items, item_text).select("word").distinct()
+    return of(docs, text).join(wanted, "word", "left_semi").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _counts_of(counts: DataFrame, windows: Windows) -> np.ndarray:
+    """The counts of a slice's own vocabulary."""
+    own = counts.sparkSession.createDataFrame(pd.DataFrame({"word": windows.vocabulary.view(np.int64)}), "word long")
+    got = counts.join(own, "word").toPandas()  # a row a word of a slice
+    out = np.zeros(len(windows.vocabulary), dtype=np.int64)
+    out[np.searchsorted(windows.vocabulary, got["word"].to_numpy(dtype=np.int64).view(np.uint64))] = got["n"].to_numpy()
+    return out
+
+
 def _marked(docs: DataFrame, text: str, windows: Windows, keep: list[str] | None) -> DataFrame:
     def work(texts):
         words, start, number = windows.found_in(texts)
@@ -160,15 +186,16 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     slices = -(-max(1, size) // slice_bytes)
 
-    def windows_of(i: int, rows: DataFrame) -> Windows:
+    def windows_of(i: int, counted) -> Windows:
         made = Windows([(r.id, r.t) for r in items.filter(F.pmod(F.xxhash64("id", "t"), F.lit(slices)) == i).collect()], window)
-        made.order(_counts(rows, text, made))
+        made.order(counted(made))
         return made
 
     if slices == 1:
-        return _marked(docs, text, windows_of(0, docs), keep)
+        return _marked(docs, text, windows_of(0, lambda made: _counts(docs, text, made)), keep)
     base = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "documents")
-    found = [_marked(base, text, windows_of(i, base), ["__row"]) for i in range(slices)]
+    counts = materialize(_all_counts(base, text, items, "t"), "words")
+    found = [_marked(base, text, windows_of(i, lambda made: _counts_of(counts, made)), ["__row"]) for i in range(slices)]
     words = found[0].select("__row", "n_words")
     hits = reduce(DataFrame.unionByName, [x.filter(F.size("items") + F.size("hit_words") > 0).select("__row", "hit_words", "items") for x in found])
     hits = hits.groupBy("__row").agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("hit_words", "items")])
