@@ -254,6 +254,12 @@ def period_report(records: DataFrame, start: str, end: str) -> DataFrame:
     )
 
 
+def audited_report(records: DataFrame, expected: Column, start: str, end: str, checkpoints: DataFrame | None = None) -> DataFrame:
+    """The totals of a period with the state of the whole log: chain_ok and first_broken_seq (one row)."""
+    chain = verify(records, expected, checkpoints=checkpoints).select(F.col("ok").alias("chain_ok"), "first_broken_seq")
+    return period_report(records, start, end).join(F.broadcast(chain))  # one row each
+
+
 def from_events(spans: DataFrame, request: str, acted: DataFrame) -> DataFrame:
     """One MASK_APPLIED row a request: entity counts and the digest of their JSON."""
     counts = spans.join(F.broadcast(acted.select("type", "action")), "type").groupBy(request, "type", "action").agg(F.count("*").cast("int").alias("count"))

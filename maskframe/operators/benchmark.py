@@ -51,3 +51,10 @@ def metadata(spark: SparkSession, model: str = "deterministic-v1") -> DataFrame:
     from maskframe.functions.recognizers import RECOGNIZERS
 
     return spark.createDataFrame([(1, TYPES, DETERMINISTIC, model, len(RECOGNIZERS))], "taxonomy_version int, types array<string>, deterministic array<string>, model string, recognizers int")
+
+
+def health(spark: SparkSession, model_ready: bool = True) -> DataFrame:
+    """One row: whether the recognizers find what they should in a fixed text, and whether the model is ready."""
+    probe = spark.createDataFrame([("x 10000000146 a@mail.com",)], "text string")
+    found = detect.analyze(probe).select((F.size("spans") == 2).alias("recognizers"))
+    return found.select("recognizers", F.lit(model_ready).alias("model"), (F.col("recognizers") & F.lit(model_ready)).alias("ready"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from maskframe.functions import recognizers
 from maskframe.operators import spans as S
-from maskframe.taxonomy import DETERMINISTIC, LAYERS
+from maskframe.taxonomy import DETERMINISTIC, LAYERS, TYPES
 
 SPANS = f"array<{S.SPAN}>"
 #: Every recognizer needs one of these; texts without them never leave the JVM.
@@ -47,6 +47,9 @@ def analyze(df: DataFrame, text: str = "text", types: list[str] | None = None, m
     asked = model(found.filter(needed)).withColumn("model_spans", S.above_thresholds(F.col("model_spans"), thresholds or {}))
     skipped = found.filter(~needed).withColumn("model_spans", F.array().cast(SPANS))
     both = asked.unionByName(skipped)
+    # The taxonomy is closed: a type from outside is an error of the model and no row gets past it.
+    known = F.forall("model_spans", lambda s: s["type"].isin(TYPES))
+    both = both.withColumn("model_spans", F.when(known, F.col("model_spans")).otherwise(F.raise_error(F.lit("the model gave an unknown type")).cast(SPANS)))
     return both.withColumn(out, S.resolve_overlaps(F.concat("__hits", "model_spans"))).drop("__hits", "__needed", "model_spans")
 
 

@@ -55,6 +55,40 @@ def counters(placeholders: DataFrame, keys: list[str] | None = None) -> DataFram
     return rows.groupBy(*keys, "label").agg(F.max(F.col("n").cast("int")).alias("last_n"))
 
 
+def upsert_counters(counters: DataFrame, seen: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Counters (scope, label, last_n) after numbers were seen: one past the old one, or the largest seen if that is more."""
+    keys = [*(SCOPE if keys is None else keys), "label"]
+    both = counters.select(*keys, F.col("last_n").alias("old")).join(seen.groupBy(*keys).agg(F.max("last_n").alias("new")), keys, "full")
+    return both.select(*keys, F.when(F.col("new").isNull(), F.col("old")).otherwise(F.greatest(F.col("old") + 1, F.col("new"))).alias("last_n"))
+
+
+def seal(vault: DataFrame, key: Column, iv: Column, secret: str) -> tuple[DataFrame, DataFrame]:
+    """Vault rows as they are stored, values encrypted and found again by their keyed digest, and one audit event for each scope."""
+    from maskframe.operators.audit import fingerprint, keyed_hash
+
+    aad = F.concat_ws("|", *SCOPE, "placeholder")
+    digest = keyed_hash(secret, "maskframe-vault-value-v1")(F.concat_ws("\0", "type", nfc(F.col("value"))))
+    stored = vault.select(*SCOPE, "placeholder", F.col("type").alias("entity_type"), digest.alias("value_hmac"), encrypt(F.col("value"), key, iv, aad).alias("sealed"), "expires_at")
+    counts = vault.groupBy(*SCOPE, "type").agg(F.count("*").cast("int").alias("count"))
+    events = counts.groupBy(*SCOPE).agg(F.array_sort(F.collect_list(F.struct("type", F.lit("mask").alias("action"), "count"))).alias("entities"))
+    request = fingerprint(F.to_json("entities"), secret)
+    return stored, events.select(F.lit("MASK_APPLIED").alias("kind"), F.concat(F.lit("api-key:"), "tenant_id").alias("actor"), "session_id", request.alias("request_sha256"), "entities")
+
+
+def unseal(stored: DataFrame, key: Column) -> DataFrame:
+    """Stored rows with their values; null where key or scope do not fit."""
+    return stored.withColumn("value", decrypt(F.col("sealed"), key, F.concat_ws("|", *SCOPE, "placeholder"))).drop("sealed")
+
+
+def base64url(data: Column) -> Column:
+    """Base64 for names and addresses, without padding."""
+    return F.translate(F.base64(data), "+/=\r\n", "-_")
+
+
+def from_base64url(text: Column) -> Column:
+    return F.unbase64(F.rpad(F.translate(text, "-_", "+/"), (F.ceil(F.length(text) / 4) * 4).cast("int"), F.lit("=")))
+
+
 def resolve(vault: DataFrame, wanted: DataFrame, now: Column) -> DataFrame:
     """Values of placeholders (scope, placeholder) that have not expired; null where there is none."""
     return wanted.join(vault.filter(F.col("expires_at") > now).select(*SCOPE, "placeholder", "value", "type"), [*SCOPE, "placeholder"], "left")

@@ -202,3 +202,30 @@ def partial_crossing(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit("EMAIL").alias("type"), start.alias("start"), (start + 1 + (F.col("l_suppkey") % 20).cast("int")).alias("end"), "l_linenumber")
     found = rows.filter("l_linenumber % 3 > 0").select("doc_id", "type", (F.col("start") + 3).alias("start"), (F.col("start") + 9).alias("end"))
     return evaluate.partial(rows.drop("l_linenumber"), found).select("type", "tp", "fp", "fn", "support")
+
+
+@query("""WITH c AS (SELECT CAST(o_custkey AS VARCHAR) AS scope, o_orderstatus AS label, CAST(max(o_orderkey % 99 + 1) AS INTEGER) AS n FROM orders WHERE o_orderkey % 2 = 0 GROUP BY ALL),
+s AS (SELECT CAST(o_custkey AS VARCHAR) AS scope, o_orderstatus AS label, CAST(max(o_orderkey % 99 + 1) AS INTEGER) AS n FROM orders WHERE o_orderkey % 2 = 1 GROUP BY ALL)
+SELECT scope, label, CASE WHEN s.n IS NULL THEN c.n WHEN c.n IS NULL THEN s.n ELSE greatest(c.n + 1, s.n) END AS last_n FROM c FULL JOIN s USING (scope, label)""")
+def counter_upsert(spark, sf_dir):
+    """Counters of one half of the orders, after the other half was seen."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("scope"), F.col("o_orderstatus").alias("label"), (F.col("o_orderkey") % 99 + 1).cast("int").alias("last_n"))
+    known = rows.filter("o_orderkey % 2 = 0").groupBy("scope", "label").agg(F.max("last_n").alias("last_n"))
+    return vault.upsert_counters(known, rows.filter("o_orderkey % 2 = 1"), ["scope"])
+
+
+@query(f"""WITH {AUDIT_SQL}, p AS (SELECT * FROM log WHERE ts >= '2024-01-05 00:00:00' AND ts <= '2024-01-14 23:59:59.999')
+SELECT count(*) AS events, CAST(coalesce(sum(k), 0) AS BIGINT) AS masked, false AS chain_ok, CAST(500 AS BIGINT) AS first_broken_seq FROM p""")
+def audit_audited_report(spark, sf_dir):
+    """A period's totals with the state of a log whose 500th record was changed."""
+    rows = audit_log(spark, sf_dir).withColumn("payload", F.concat_ws("|", F.col("seq").cast("string"), "kind", "actor"))
+    own = rows.withColumn("hash", F.sha2("payload", 256))
+    before = own.select((F.col("seq") + 1).alias("seq"), F.col("hash").alias("prev_hash"))
+    stored = own.join(before, "seq", "left").withColumn("prev_hash", F.coalesce("prev_hash", F.lit(audit.GENESIS))).withColumn("payload", F.when(F.col("seq") == 500, "x").otherwise(F.col("payload")))
+    return audit.audited_report(stored, F.sha2("payload", 256), "2024-01-05", "2024-01-14").select("events", "masked", "chain_ok", "first_broken_seq")
+
+
+@query("SELECT c_custkey, replace(replace(rtrim(base64(encode(c_name)), '='), '+', '-'), '/', '_') AS name, c_name AS back FROM customer")
+def base64url_names(spark, sf_dir):
+    coded = vault.base64url(F.col("c_name").cast("binary"))
+    return table(spark, sf_dir, "customer").select("c_custkey", coded.alias("name"), vault.from_base64url(coded).cast("string").alias("back"))

@@ -25,29 +25,36 @@ def _checked(rows: DataFrame, good, what: str, strict: bool) -> DataFrame:
 
 def read_gold(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """Gold examples; every entity must be what its offsets cut out of the text."""
-    rows = spark.read.schema(GOLD).json(path)
+    return _gold_checked(spark.read.schema(GOLD).json(path), strict)
+
+
+def _gold_checked(rows: DataFrame, strict: bool) -> DataFrame:
     good = F.forall("entities", lambda e: (e["end"] > e["start"]) & (F.substring("text", e["start"] + 1, e["end"] - e["start"]) == e["text"]))
     return _checked(rows, good, "BAD_ENTITY", strict)
 
 
 def read_prepared(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """Token rows; every span must lie within the tokens and have a declared label."""
-    rows = spark.read.schema(PREPARED).json(path)
+    return _prepared_checked(spark.read.schema(PREPARED).json(path), strict)
+
+
+def _prepared_checked(rows: DataFrame, strict: bool) -> DataFrame:
     rows = rows.withColumn("ner", F.transform("ner", lambda x: F.struct(x[0].cast("int").alias("first"), x[1].cast("int").alias("last"), x[2].alias("label"))))
     good = F.forall("ner", lambda s: (s["first"] >= 0) & (s["last"] >= s["first"]) & (s["last"] < F.size("tokenized_text")) & F.array_contains("ner_labels", s["label"]))
     return _checked(rows, good, "BAD_SPAN", strict)
 
 
 def read_examples(spark: SparkSession, path: str) -> DataFrame:
-    """Gold or token rows, whichever the file has, as (id, text, entities)."""
-    first = spark.read.text(path).limit(1).collect()
-    if not first or "tokenized_text" not in json.loads(first[0].value):
-        return read_gold(spark, path).select("id", "text", "entities")
-    rows = read_prepared(spark, path).withColumns({"text": rebuild_text(F.col("tokenized_text")), "__at": token_offsets(F.col("tokenized_text"))})
+    """Gold and token rows, each line by its own shape, as (id, text, entities); text of token rows is put together anew."""
+    lines = spark.read.text(path).filter("trim(value) <> ''")
+    token_row = F.get_json_object("value", "$.tokenized_text").isNotNull()
+    gold = _gold_checked(lines.filter(~token_row).select(F.from_json("value", GOLD).alias("r")).select("r.*"), True).select("id", "text", "entities")
+    rows = _prepared_checked(lines.filter(token_row).select(F.from_json("value", PREPARED).alias("r")).select("r.*"), True)
+    rows = rows.withColumns({"text": rebuild_text(F.col("tokenized_text")), "__at": token_offsets(F.col("tokenized_text"))})
     start = lambda s: F.get("__at", s["first"])
     end = lambda s: F.get("__at", s["last"]) + F.length(F.get("tokenized_text", s["last"]))
     entity = lambda s: F.struct(s["label"].alias("type"), start(s).alias("start"), end(s).alias("end"), F.substring("text", start(s) + 1, end(s) - start(s)).alias("text"))
-    return rows.select("id", "text", F.transform("ner", entity).alias("entities"))
+    return gold.unionByName(rows.select("id", "text", F.transform("ner", entity).alias("entities")))
 
 
 def read_external(spark: SparkSession, path: str, language: str = "tr") -> DataFrame:

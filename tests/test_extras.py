@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from maskframe.functions import generators
 from maskframe.functions import recognizers as R
-from maskframe.operators import chat, corpus, mask, policy, spans
+from maskframe.operators import chat, corpus, mask, policy, spans, vault
 from maskframe.sources import readers
 from maskframe.taxonomy import DETERMINISTIC, TYPES
 
@@ -130,3 +130,32 @@ def test_listings_and_roles(spark):
     got = spark.createDataFrame([("admin", "read"), ("user", "read"), ("admin", "write"), (None, "read")], "r string, p string").select(allowed).collect()
     assert [r[0] for r in got] == [True, False, False, False]
     assert spans.model_threshold({"A": 0.4}, 0.5) == 0.2
+
+
+def test_sealed_rows_and_their_audit_events(spark):
+    rows = spark.createDataFrame([("t", "s", "PERSON", "Ali", "[KISI_1]"), ("t", "s", "EMAIL", "a@b.co", "[EPOSTA_1]")], "tenant_id string, session_id string, type string, value string, placeholder string").withColumn("expires_at", F.lit("2030-01-01").cast("timestamp"))
+    key, iv = F.unhex(F.lit("00" * 16)), F.unhex(F.lit("01" * 12))
+    stored, events = vault.seal(rows, key, iv, "secret")
+    assert "value" not in stored.columns and {r.value for r in vault.unseal(stored, key).collect()} == {"Ali", "a@b.co"}
+    assert {r.value for r in vault.unseal(stored.withColumn("session_id", F.lit("other")), key).collect()} == {None}
+    event = events.first()
+    assert event.actor == "api-key:t" and [tuple(e) for e in event.entities] == [("EMAIL", "mask", 1), ("PERSON", "mask", 1)]
+    wanted = stored.filter("placeholder = '[KISI_1]'").select("tenant_id", "session_id", F.col("entity_type").alias("type"), "value_hmac")
+    assert vault.by_digest(rows, wanted, "secret").first().placeholder == "[KISI_1]"
+
+
+def test_rows_of_both_shapes_are_read_from_one_path(spark, tmp_path):
+    path = tmp_path / "x"
+    path.write_text(json.dumps({"id": "g", "text": "mail at now", "entities": [{"type": "EMAIL", "start": 5, "end": 7, "text": "at"}]}) + "\n" + json.dumps({"id": "p", "source": "s", "tokenized_text": ["mail", "at", "now"], "ner": [[1, 1, "EMAIL"]], "ner_labels": ["EMAIL"]}) + "\n")
+    got = {r.id: (r.text, [tuple(e) for e in r.entities]) for r in readers.read_examples(spark, str(path)).collect()}
+    assert got == {k: ("mail at now", [("EMAIL", 5, 7, "at")]) for k in "gp"}
+
+
+def test_the_taxonomy_is_closed_and_health_is_told(spark):
+    from maskframe.operators import benchmark, detect
+
+    rows = spark.createDataFrame([("Ayşe geldi",)], "text string")
+    assert detect.analyze(rows, model=detect.lexicon_model({"Ayşe": "PERSON"})).first().spans[0].type == "PERSON"
+    with pytest.raises(Exception, match="unknown type"):
+        detect.analyze(rows, model=detect.lexicon_model({"Ayşe": "HUMAN"})).collect()
+    assert benchmark.health(spark).first().ready and not benchmark.health(spark, False).first().ready
