@@ -101,14 +101,14 @@ def _totals(docs: DataFrame, text: str, learn: str, parts: int) -> tuple[int, in
 class Block:
     """The tokens of some texts, all their n-grams, and what training has of those.
 
-    For each n: ``key[n]``, the n-gram that ends at each token (``whole[n]`` says where there is
-    one), ``table[n]``, the different ones that were asked for, and ``count[n]`` their training counts.
+    For each n: ``key[n]``, the n-gram that ends at each token, until it is asked for (``whole[n]``
+    says where there is one), ``table[n]``, the different ones that were asked for, and ``count[n]`` their training counts.
     """
 
     def __init__(self, texts: list[bytes], learn: np.ndarray, order: int, least: tuple[int, ...]):
         self.order, self.least = order, least
         self.hashes, self.first = tokens(texts)
-        self.learn = np.repeat(learn.astype(np.int64), np.diff(self.first))
+        self.learn = np.repeat(learn.astype(np.uint8), np.diff(self.first))
         place = np.arange(len(self.hashes)) - np.repeat(self.first[:-1], np.diff(self.first))
         self.begins = place == 0
         before = np.r_[END, self.hashes[:-1]]
@@ -121,10 +121,10 @@ class Block:
 
     def _add(self, n: int, which: np.ndarray) -> None:
         """The n-grams that end at ``which``: sorted, with their own training counts, an index from places and one place of each."""
-        keys, place, back = np.unique(self.key[n][which], return_index=True, return_inverse=True)
-        self.table[n], self.place[n] = keys, which[place]
+        keys, place, back = np.unique(self.key.pop(n)[which], return_index=True, return_inverse=True)
+        self.table[n], self.place[n] = keys, which[place].astype(np.int32)
         self.count[n] = np.bincount(back, weights=self.learn[which], minlength=len(keys)).astype(np.int64)
-        self.at[n] = np.full(len(self.hashes), -1)
+        self.at[n] = np.full(len(self.hashes), -1, dtype=np.int32)
         self.at[n][which] = back
 
     def states(self, n: int) -> np.ndarray:
@@ -190,7 +190,7 @@ class Automaton:
         self.fail, self.fail_weight, self.depth = np.concatenate(fail), np.concatenate(fail_weight), np.concatenate(depth)
         words = len(block.table[1])
         self.start = int(next_[1][np.searchsorted(block.table[1], END)]) if next_ and words else 0
-        self.named = np.full((block.order + 1, len(block.hashes)), -1, dtype=np.int64)
+        self.named = np.full((block.order + 1, len(block.hashes)), -1, dtype=np.int32)
         self.named[1] = block.at[1]
         arc, weight, to, source, base = [np.ones(words, bool)], [np.log10(p)], [next_.get(1, np.zeros(words, np.int64))], [np.zeros(words, np.int64)], words
         for n in range(2, block.order + 1):
