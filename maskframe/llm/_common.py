@@ -101,6 +101,18 @@ def map_texts(df: DataFrame, text: str, work: Callable, new: T.StructType, keep:
     return plain.mapInArrow(run, out).toDF(*[source.columns[i] for i in stay], *new.names)
 
 
+def fresh_names(names: list[str], taken: list[str]) -> list[str]:
+    """``names``, each with as many ``_`` at its end as keep it apart from ``taken`` (letter case does not count)."""
+    seen = {t.lower() for t in taken}
+    out = []
+    for name in names:
+        while name.lower() in seen:
+            name += "_"
+        seen.add(name.lower())
+        out.append(name)
+    return out
+
+
 def _arrow_type(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskframe.llm import bpe, classifier, decontaminate, ngram_lm, pseudonyms, quality_rules, shards, simhash, suffix_dedup, token_counts
+from maskframe.llm import bpe, classifier, decontaminate, ngram_lm, packing, pseudonyms, quality_rules, shards, simhash, suffix_dedup, token_counts
 from maskframe.llm._common import held_out, shared_dir
 from maskframe.llm.sql import ORACLE_SQL as ORACLE_SQL
 
@@ -88,4 +88,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~base).alias("base_failed"), quality_rules.passes(F.col("failed"), "v1").alias("kept"), "failed")
 
 
-QUERIES = {f.__name__: f for f in (op1_pseudonyms, op2_ngram_lm, op3_token_counts, op4_simhash, op5_suffix_dedup, op6_shards, op7_quality_classifier, op8_bpe, op9_decontaminate, op10_quality_rules)}
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of power-of-two lengths, each a sequence of its own."""
+    paths = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
+    rows = packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), *paths)
+    return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket_place")
+
+
+QUERIES = {f.__name__: f for f in (op1_pseudonyms, op2_ngram_lm, op3_token_counts, op4_simhash, op5_suffix_dedup, op6_shards, op7_quality_classifier, op8_bpe, op9_decontaminate, op10_quality_rules, op11_packing)}
