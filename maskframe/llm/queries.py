@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskframe.llm import bpe, classifier, conversations, decontaminate, ngram_lm, packing, pseudonyms, quality_rules, shards, simhash, suffix_dedup, token_counts
+from maskframe.llm import bpe, classifier, conversations, decontaminate, hard_negatives, ngram_lm, packing, pseudonyms, quality_rules, shards, simhash, suffix_dedup, token_counts
 from maskframe.llm._common import held_out, shared_dir
 from maskframe.llm.sql import ORACLE_SQL as ORACLE_SQL
 
@@ -95,9 +95,15 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket_place")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best rows of other labels for each anchor and positive, under labels that are wrong for an id in seven."""
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hard_negatives.mine(rows)
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults of each damaged conversation, and the cheapest repair."""
     return conversations.repair(conversations.damage(_table(spark, sf_dir, "conversations")))
 
 
-QUERIES = {f.__name__: f for f in (op1_pseudonyms, op2_ngram_lm, op3_token_counts, op4_simhash, op5_suffix_dedup, op6_shards, op7_quality_classifier, op8_bpe, op9_decontaminate, op10_quality_rules, op11_packing, op13_conversation_repair)}
+QUERIES = {f.__name__: f for f in (op1_pseudonyms, op2_ngram_lm, op3_token_counts, op4_simhash, op5_suffix_dedup, op6_shards, op7_quality_classifier, op8_bpe, op9_decontaminate, op10_quality_rules, op11_packing, op12_hard_negatives, op13_conversation_repair)}

@@ -90,4 +90,23 @@ OP6 = """
 SELECT doc_id, CAST(coalesce(((doc_id % 5) + 5) % 5, 0) AS INTEGER) AS arrival, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256 FROM documents
 """
 
-ORACLE_SQL = {"op6_shards": OP6, "op9_decontaminate": OP9, "op5_suffix_dedup": OP5, "op10_quality_rules": OP10}
+#: Every anchor against every row.
+OP12 = """
+WITH used AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.r AS anchor, a.vec_id AS anchor_id, b.vec_id, b.r, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM (SELECT * FROM used WHERE vec_id % 100 = 0) AS a JOIN used AS b ON a.r <> b.r
+), positives AS (
+  SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) <= 5
+), ranked AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor, p.r ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank, n.vec_id AS negative_id,
+    p.score AS positive_score, n.score AS negative_score
+  FROM positives AS p JOIN scored AS n ON n.anchor = p.anchor AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+)
+SELECT * FROM ranked WHERE rank <= 5
+"""
+
+ORACLE_SQL = {"op12_hard_negatives": OP12, "op6_shards": OP6, "op9_decontaminate": OP9, "op5_suffix_dedup": OP5, "op10_quality_rules": OP10}
