@@ -28,7 +28,6 @@ API_KEY = re.compile(r"(?<![A-Za-z0-9_-])sk-([A-Za-z0-9_-]{20,})(?![A-Za-z0-9_-]
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----")
 #: A run of digits that only separators part.
 DIGIT_RUN = re.compile(r"\d(?:[\s./\-​‌‍⁠]*+\d)*+")
-PLACEHOLDER = re.compile(r"\[[A-Z]{2,12}_[1-9][0-9]{0,4}\](?:#[0-9a-f]{16})?")
 TOKEN = re.compile(r"\w+(?:[-_]\w+)*|\S")
 #: Bits of entropy a character below which a key-like string is no key.
 KEY_ENTROPY = 3.0

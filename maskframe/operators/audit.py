@@ -58,12 +58,22 @@ def fingerprint(value: Column, key: str) -> Column:
     return keyed_hash(key, FINGERPRINT)(value)
 
 
+#: What a record without a payload is hashed as: JSON's null, which no text of JSON's strings or objects is.
+NULL_PAYLOAD = "null"
+
+
+def record_hash(payload: Column, key: str) -> Column:
+    """What the hash of a record with this payload must be, from its prev_hash."""
+    return keyed_hash(key)(F.concat(F.coalesce(payload, F.lit(NULL_PAYLOAD)), "prev_hash"))
+
+
 def append(records: DataFrame, key: str, log: str, seq: str = "seq", payload: str = "payload", stored: DataFrame | None = None) -> DataFrame:
     """Links the records of each log in the order of ``seq``: prev_hash and hash are added.
 
     Without ``stored``, a log begins at the genesis and ``seq`` stands as given. With it (log, seq
     and hash of what is there), each log goes on after its last record and ``seq`` is made anew. A
-    chain is serial by nature: a task walks its logs record by record and holds one hash each.
+    chain is serial by nature: a task walks its logs record by record and holds one hash each. A null
+    payload is hashed as ``NULL_PAYLOAD`` (``record_hash`` does likewise).
     """
     secret, order, more = key.encode(), seq, stored is not None
     columns = records.columns
@@ -85,7 +95,7 @@ def append(records: DataFrame, key: str, log: str, seq: str = "seq", payload: st
                 number += 1
                 numbers.append(number)
                 before.append(last)
-                last = hmac.new(secret, (text + last).encode(), hashlib.sha256).hexdigest()
+                last = hmac.new(secret, ((NULL_PAYLOAD if text is None else text) + last).encode(), hashlib.sha256).hexdigest()
                 after.append(last)
             own = [batch.column(c) for c in columns] + ([pa.array(numbers, pa.int64())] if more else [])
             names = [*columns, *([seq] if more else []), "prev_hash", "hash"]
@@ -101,16 +111,25 @@ def verify(records: DataFrame, expected: Column, seq: str = "seq", first: int =
     links to the genesis, every other to the hash of the one before, and each hash is what
     ``expected`` makes of the stored columns. ``checkpoints`` (seq and hash, and the log's name)
     must be the last record of its log: a shorter log is broken after its end, a longer one after
-    the checkpoint, another hash after the checkpoint too. ``verified`` counts records from
+    the checkpoint, another hash after the checkpoint too. Of several checkpoints the one with the
+    largest seq counts; two hashes at that seq fit no record. ``verified`` counts records from
     ``first`` to ``last`` before the first break, and ``out_of_range`` says that it lies outside.
 
-    A record and its predecessor's hash meet in one grouping by seq, so no window spans the log.
+    A record, its predecessor's hash and a checkpoint at its seq meet in one grouping by seq, so no
+    window spans a log and nothing is joined.
     """
     keys = [log or "__log"]
     rows = records if log else records.withColumn("__log", F.lit(1))
     own = rows.select(*keys, seq, "prev_hash", "hash", expected.alias("__expected"), F.lit(1).alias("__own"))
     before = rows.select(*keys, (F.col(seq) + 1).alias(seq), F.col("hash").alias("__before"))
-    met = own.unionByName(before, allowMissingColumns=True).groupBy(*keys, seq).agg(F.count("__own").alias("n"), *[F.max(c).alias(c) for c in ("prev_hash", "hash", "__expected", "__before")])
+    both = own.unionByName(before, allowMissingColumns=True)
+    columns = ["prev_hash", "hash", "__expected", "__before"]
+    if checkpoints is not None:
+        points = checkpoints if log else checkpoints.withColumn("__log", F.lit(1))
+        both = both.unionByName(points.select(*keys, F.col("seq").alias(seq), F.col("hash").alias("__point"), F.col("hash").alias("__other")), allowMissingColumns=True)
+        columns.append("__point")
+    folds = [F.count("__own").alias("n"), *[F.max(c).alias(c) for c in columns]]
+    met = both.groupBy(*keys, seq).agg(*folds, *([F.min("__other").alias("__other")] if checkpoints is not None else []))
     link = F.when(F.col(seq) == 1, F.lit(genesis)).otherwise(F.col("__before"))
     sound = (F.col("n") == 1) & (F.col("prev_hash") == link) & (F.col("hash") == F.col("__expected")) & (F.col(seq) >= 1)
     record = F.col("n") > 0
@@ -119,12 +138,12 @@ def verify(records: DataFrame, expected: Column, seq: str = "seq", first: int =
     run = F.when(F.max(F.when(record & (F.col(seq) == 1), True)), F.min(F.when(~record, F.col(seq) - 1))).otherwise(0)
     sums = [F.min("__broken").alias("broken"), F.max(F.when(record, F.col(seq))).alias("latest"), run.alias("run")]
     if checkpoints is not None:
-        points = (checkpoints if log else checkpoints.withColumn("__log", F.lit(1))).select(*keys, F.col("seq").alias("at"), F.col("hash").alias("point"))
-        met = met.join(points, keys, "full")  # a log of which nothing is left has its checkpoint still
-        sums += [F.max("at").alias("at"), F.max(F.when((F.col(seq) == F.col("at")) & (F.col("hash") == F.col("point")), True)).alias("anchored")]
+        fits = record & (F.col("hash") == F.col("__point")) & (F.col("hash") == F.col("__other"))
+        sums.append(F.max(F.when(F.col("__point").isNotNull(), F.struct(F.col(seq).alias("at"), F.coalesce(fits, F.lit(False)).alias("anchored")))).alias("__last_point"))
     total = met.groupBy(*(keys if log else [])).agg(*sums)
     broken = F.col("broken")
     if checkpoints is not None:
+        total = total.withColumns({"at": F.col("__last_point.at"), "anchored": F.col("__last_point.anchored")})
         latest = F.coalesce("latest", F.lit(0))
         held = F.col("at").isNull() | (F.coalesce("anchored", F.lit(False)) & (latest == F.col("at")))
         broken = F.coalesce("broken", F.when(~held, F.when(latest < F.col("at"), latest + 1).otherwise(F.col("at") + 1)))
@@ -166,7 +185,8 @@ def reconcile(records: DataFrame, expected: Column, heads: DataFrame, log: str,
     state = verify(records, expected, log=log).select(log, "ok")
     last = records.groupBy(log).agg(F.max("seq").alias("seq"), F.max_by("hash", "seq").alias("hash"))
     head = heads.select(log, F.col("seq").alias("__at"), F.col("hash").alias("__point"))
-    held = records.join(head, log).filter((F.col("seq") == F.col("__at")) & (F.col("hash") == F.col("__point"))).select(log, F.lit(True).alias("__held")).distinct()
+    points = head.withColumnsRenamed({"__at": "seq", "__point": "hash"})
+    held = records.select(log, "seq", "hash").join(points, [log, "seq", "hash"]).select(log, F.lit(True).alias("__held")).distinct()
     rows = state.join(last, log).join(head, log, "full").join(held, log, "left")
     what = (
         F.when(~F.col("ok"), "BROKEN")

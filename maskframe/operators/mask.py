@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskframe.functions.arrow import add_columns
-from maskframe.functions.recognizers import PLACEHOLDER, detect
+from maskframe.functions import placeholders as P
+from maskframe.functions.placeholders import GRAMMAR, PLACEHOLDER
+from maskframe.functions.recognizers import detect
 from maskframe.taxonomy import DETERMINISTIC, LABELS
 
-#: The placeholder grammar, for the JVM.
-GRAMMAR = r"\[[A-Z]{2,12}_[1-9][0-9]{0,4}\](#[0-9a-f]{16})?"
 _TEXT = T.StringType()
 MAPPING = T.StructType([T.StructField(n, k) for n, k in (("placeholder", _TEXT), ("type", _TEXT), ("start", T.IntegerType()), ("end", T.IntegerType()), ("value", _TEXT), ("confidence", T.DoubleType()), ("layer", _TEXT))])
 RESULT = T.StructType([T.StructField("masked_text", _TEXT), T.StructField("mappings", T.ArrayType(MAPPING)), T.StructField("error_code", _TEXT)])
@@ -139,7 +139,7 @@ def numbering(values: DataFrame, key: str) -> DataFrame:
     """
     first = values.withColumn("value", nfc(F.col("value"))).groupBy(key, "type", "label", "value").agg(F.min("start").alias("first_start"))
     rank = F.row_number().over(Window.partitionBy(key, "label").orderBy("first_start", "type", "value"))
-    return first.withColumn("n", rank).withColumn("placeholder", F.concat(F.lit("["), "label", F.lit("_"), F.col("n").cast("string"), F.lit("]")))
+    return first.withColumn("n", rank).withColumn("placeholder", P.spelled(F.col("label"), F.col("n")))
 
 
 def has_placeholder(text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from maskframe.functions import placeholders as P
 from maskframe.operators.mask import nfc
 from maskframe.taxonomy import LABELS, POLICY_DEFAULTS, POLICY_RULES
 
@@ -98,29 +99,32 @@ def apply(df: DataFrame, spans: str, acted: DataFrame) -> DataFrame:
 ENTITY_COUNT = "struct<type:string,action:string,count:int>"
 
 
-def enforce(rows: DataFrame, key: str, acted: DataFrame, vault: DataFrame, expires_at: Column, text: str = "text", default: str = POLICY_DEFAULTS["unknown_entity"]) -> tuple[DataFrame, DataFrame]:
+def enforce(rows: DataFrame, key: str, acted: DataFrame, vault: DataFrame, expires_at: Column, text: str = "text", default: str = POLICY_DEFAULTS["unknown_entity"], now: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Applies a policy to masked rows (key, scope, text, mappings of ``mask``): what goes out, and the vault's new rows.
 
     A row with a blocked type gives no text but its sorted types; else allowed values stand as they
     were and masked ones become the scope's placeholder of that value. Columns: key, out_text,
     issued (placeholders), entities (type, action, count) and blocked_types. Text is put together
-    from offsets, so a value that looks like a placeholder is never replaced twice.
+    from offsets, so a value that looks like a placeholder is never replaced twice. What has expired
+    by ``now`` is not known any more: its value gets a new row and a number of its own. Of several
+    live placeholders of one value the one with the largest number, the last given, goes out.
     """
     from maskframe.operators import vault as V
 
     table = {r.type: r.action for r in acted.select("type", "action").collect()}  # 24 rows
     known = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
     action = lambda m: F.coalesce(F.element_at(known, m["type"]), F.lit(default))
-    judged = rows.withColumn("__m", F.transform("mappings", lambda m: F.struct(m["type"].alias("type"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), action(m).alias("action"))))
+    judged = rows.select(key, *V.SCOPE, text, "mappings").withColumn("__m", F.transform("mappings", lambda m: F.struct(m["type"].alias("type"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), action(m).alias("action"))))
     blocked = F.array_sort(F.array_distinct(F.transform(F.filter("__m", lambda m: m["action"] == "block"), lambda m: m["type"])))
     judged = judged.withColumn("blocked_types", blocked)
     label = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])
     seen = judged.filter(F.size("blocked_types") == 0).select(key, *V.SCOPE, F.posexplode("__m").alias("pos", "m")).select(key, *V.SCOPE, "pos", "m.*")
     masked = seen.filter("action = 'mask'").withColumn("composed", nfc(F.col("value")))
     values = masked.select(*V.SCOPE, "type", F.element_at(label, F.col("type")).alias("label"), F.col("composed").alias("value"), F.struct(F.col(key), F.col("pos")).alias("first_seen"))
-    fresh = V.intern(vault.select(*V.SCOPE, "type", "value", "placeholder", "expires_at"), values, expires_at)
-    names = vault.select(*V.SCOPE, "type", nfc(F.col("value")).alias("composed"), "placeholder").unionByName(fresh.select(*V.SCOPE, "type", F.col("value").alias("composed"), "placeholder"))
-    names = names.groupBy(*V.SCOPE, "type", "composed").agg(F.max("placeholder").alias("placeholder"))
+    fresh = V.intern(vault.select(*V.SCOPE, "type", "value", "placeholder", "expires_at"), values, expires_at, now)
+    live = vault if now is None else vault.filter(F.col("expires_at") > now)
+    names = live.select(*V.SCOPE, "type", nfc(F.col("value")).alias("composed"), "placeholder").unionByName(fresh.select(*V.SCOPE, "type", F.col("value").alias("composed"), "placeholder"))
+    names = names.groupBy(*V.SCOPE, "type", "composed").agg(F.max_by("placeholder", P.number(F.col("placeholder"))).alias("placeholder"))
     parts = masked.join(names, [*V.SCOPE, "type", "composed"], "left").select(key, "start", "end", "type", "action", "placeholder", F.col("placeholder").alias("put"))
     parts = parts.unionByName(seen.filter("action = 'allow'").select(key, "start", "end", "type", "action", F.lit(None).cast("string").alias("placeholder"), F.col("value").alias("put")))
     folded = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "put"))).alias("__p"), F.array_sort(F.collect_set("placeholder")).alias("issued"))

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from maskframe.functions import placeholders as P
 from maskframe.operators.mask import nfc
 
 SCOPE = ["tenant_id", "session_id"]
@@ -18,7 +19,8 @@ def intern(vault: DataFrame, values: DataFrame, expires_at: Column, now: Column
 
     Values that are equal once composed (NFC) are one; what has expired by ``now`` is not known any
     more. Numbers go on after the largest of the scope and label, expired ones too, in the order of
-    first_seen, so no placeholder that was ever given out gets another value.
+    first_seen, so no placeholder that was ever given out gets another value. Past 99,999 they go on
+    in blocks that the grammar can tell (``functions.placeholders``).
     """
     live = vault if now is None else vault.filter(F.col("expires_at") > now)
     known = live.select(*SCOPE, "type", nfc(F.col("value")).alias("value")).distinct()
@@ -27,32 +29,34 @@ def intern(vault: DataFrame, values: DataFrame, expires_at: Column, now: Column
     last = counters(vault.select(*SCOPE, "placeholder"))
     n = F.row_number().over(Window.partitionBy(*SCOPE, "label").orderBy("first_seen", "type", "value")) + F.coalesce("last_n", F.lit(0))
     numbered = fresh.join(last, [*SCOPE, "label"], "left").withColumn("n", n)
-    return numbered.select(*SCOPE, "type", "value", F.concat(F.lit("["), "label", F.lit("_"), F.col("n").cast("string"), F.lit("]")).alias("placeholder"), expires_at.alias("expires_at"))
+    return numbered.select(*SCOPE, "type", "value", P.spelled(F.col("label"), F.col("n")).alias("placeholder"), expires_at.alias("expires_at"))
 
 
 def allocate(vault: DataFrame, requests: DataFrame, order: str) -> DataFrame:
     """``requests`` (scope, placeholder) with ``given``: the placeholder asked for where it is free, else one past all that are known.
 
-    Of several requests for one placeholder the first in ``order`` gets it. A suffix stays with its label.
+    Of several requests for one placeholder the first in ``order`` gets it. A suffix stays with its
+    label; where its numbers are used up, and for what is no placeholder, ``given`` is null.
     """
-    parts = lambda c, i: F.regexp_extract(c, r"^\[([A-Z]{2,12})_([1-9][0-9]{0,4})\](#[0-9a-f]{16})?$", i)
-    label = F.concat(parts("placeholder", 1), parts("placeholder", 3))
+    asked = F.col("placeholder")
+    label = F.concat(P.label(asked), P.suffix(asked))
     taken = vault.select(*SCOPE, "placeholder", F.lit(True).alias("__taken")).distinct()
     rows = requests.join(taken, [*SCOPE, "placeholder"], "left").withColumn("__first", F.row_number().over(Window.partitionBy(*SCOPE, "placeholder").orderBy(order)) == 1)
     rows = rows.withColumns({"__free": F.col("__first") & F.col("__taken").isNull(), "__label": label})
     both = vault.select(*SCOPE, "placeholder").unionByName(requests.select(*SCOPE, "placeholder"))
-    last = both.groupBy(*SCOPE, label.alias("__label")).agg(F.max(parts("placeholder", 2).cast("int")).alias("__last"))
+    last = both.groupBy(*SCOPE, label.alias("__label")).agg(F.max(P.number(asked)).alias("__last"))
     n = F.row_number().over(Window.partitionBy(*SCOPE, "__label", "__free").orderBy(order)) + F.col("__last")
-    moved = F.concat(F.lit("["), parts("placeholder", 1), F.lit("_"), n.cast("string"), F.lit("]"), parts("placeholder", 3))
-    return rows.join(last, [*SCOPE, "__label"]).withColumn("given", F.when(F.col("__free"), F.col("placeholder")).otherwise(moved)).select(*requests.columns, "given")
+    moved = P.spelled(P.label(asked), n, P.suffix(asked))
+    given = F.when(P.is_placeholder(asked), F.when(F.col("__free"), asked).otherwise(moved))
+    return rows.join(last, [*SCOPE, "__label"]).withColumn("given", given).select(*requests.columns, "given")
 
 
 def counters(placeholders: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """The largest number of each label in a scope, read from placeholders."""
     keys = SCOPE if keys is None else keys
-    part = lambda i: F.regexp_extract("placeholder", r"^\[([A-Z]{2,12})_([1-9][0-9]{0,4})\]", i)
-    rows = placeholders.select(*keys, part(1).alias("label"), part(2).alias("n")).filter("label <> ''")
-    return rows.groupBy(*keys, "label").agg(F.max(F.col("n").cast("int")).alias("last_n"))
+    given = F.col("placeholder")
+    rows = placeholders.select(*keys, P.label(given).alias("label"), P.number(given).alias("n")).filter("n is not null")
+    return rows.groupBy(*keys, "label").agg(F.max("n").alias("last_n"))
 
 
 def upsert_counters(counters: DataFrame, seen: DataFrame, keys: list[str] | None = None) -> DataFrame:

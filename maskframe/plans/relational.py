@@ -81,28 +81,26 @@ def _logs(spark, sf_dir):
 
 
 _LOGS = f"""WITH {AUDIT_SQL}, n AS (SELECT actor, count(*) AS n, CAST(actor AS INTEGER) % 5 AS kind FROM log GROUP BY actor),
-b AS (SELECT actor, n, CAST(CASE WHEN kind = 1 THEN 1 WHEN kind = 2 THEN n - 1 WHEN kind = 3 AND n >= 3 THEN 3 WHEN kind = 4 AND n >= 3 THEN 3 WHEN kind = 4 AND n = 2 THEN 2 END AS BIGINT) AS broken FROM n)"""
+b AS (SELECT actor, n, CAST(CASE WHEN kind = 1 THEN 1 WHEN kind = 2 THEN greatest(n - 1, 1) WHEN kind = 3 AND n >= 3 THEN 3 WHEN kind = 4 AND n >= 3 THEN 3 WHEN kind = 4 AND n = 2 THEN 2 END AS BIGINT) AS broken FROM n)"""
 
 
 @query(f"""{_LOGS} SELECT actor, broken IS NULL AS ok, CAST(greatest(0, least(CASE WHEN CAST(actor AS INTEGER) % 5 = 4 THEN 1 ELSE coalesce(broken - 1, n) END, 20) - 1) AS BIGINT) AS verified, broken AS first_broken_seq, coalesce(broken < 2 OR broken > 20, false) AS out_of_range
-FROM b WHERE n > 2""")
+FROM b""")
 def chain_sha_verify(spark, sf_dir):
     """Records 2 to 20 of every actor's log against its checkpoint: a foreign genesis, cut tails, changed and missing records."""
     stored, heads = _logs(spark, sf_dir)
-    several = heads.filter("seq > 2")
-    return audit.verify(stored.join(several.select("actor"), "actor", "left_semi"), F.sha2("payload", 256), log="actor", checkpoints=several, first=2, last=20)
+    return audit.verify(stored, F.sha2("payload", 256), log="actor", checkpoints=heads, first=2, last=20)
 
 
-@query(f"""{_LOGS} SELECT actor, CASE WHEN CAST(actor AS INTEGER) % 5 = 2 THEN 'LOST_HEAD' WHEN broken IS NOT NULL THEN 'BROKEN' WHEN CAST(actor AS INTEGER) % 10 = 5 THEN 'ADVANCE' WHEN CAST(actor AS INTEGER) % 20 = 0 THEN 'UNANCHORED' ELSE 'CURRENT' END AS state
-FROM b WHERE n > 4""")
+@query(f"""{_LOGS} SELECT actor, CASE WHEN CAST(actor AS INTEGER) % 5 = 2 OR (CAST(actor AS INTEGER) % 5 = 4 AND n = 2) THEN 'LOST_HEAD' WHEN broken IS NOT NULL THEN 'BROKEN'
+  WHEN CAST(actor AS INTEGER) % 10 = 5 THEN CASE WHEN n > 2 THEN 'ADVANCE' WHEN n = 2 THEN 'CURRENT' ELSE 'UNANCHORED' END WHEN CAST(actor AS INTEGER) % 20 = 0 THEN 'UNANCHORED' ELSE 'CURRENT' END AS state
+FROM b""")
 def chain_reconcile(spark, sf_dir):
     """What each log needs before it goes on; some whole logs have no head yet, or an older one."""
     stored, heads = _logs(spark, sf_dir)
-    several = heads.filter("seq > 4")
-    stored = stored.join(several.select("actor"), "actor", "left_semi")
     number = F.col("actor").cast("int")
     older = stored.filter((number % 10 == 5) & (F.col("seq") == 2)).select("actor", "seq", "hash")
-    known = several.filter((number % 5 != 0) | (number % 20 == 10)).unionByName(older)
+    known = heads.filter((number % 5 != 0) | (number % 20 == 10)).unionByName(older)
     return audit.reconcile(stored, F.sha2("payload", 256), known, "actor").select("actor", "state")
 
 
@@ -154,19 +152,23 @@ def lru_evict(spark, sf_dir):
     return vault.evicted(table(spark, sf_dir, "events"), ["user_id"], "ts", "event_id", 40).select("user_id", "event_id")
 
 
-@query("SELECT o_custkey AS scope, CASE o_orderstatus WHEN 'F' THEN 'KISI' WHEN 'O' THEN 'IBAN' ELSE 'SIR' END AS label, CAST(max(o_orderkey % 9999 + 1) AS INTEGER) AS last_n FROM orders GROUP BY ALL")
+@query("SELECT o_custkey AS scope, CASE o_orderstatus WHEN 'F' THEN 'KISI' WHEN 'O' THEN 'IBAN' ELSE 'SIR' END AS label, max(o_orderkey % 9999 + 1) AS last_n FROM orders GROUP BY ALL")
 def counter_upsert_max(spark, sf_dir):
     label = F.when(F.col("o_orderstatus") == "F", "KISI").when(F.col("o_orderstatus") == "O", "IBAN").otherwise("SIR")
     placeholder = F.concat(F.lit("["), label, F.lit("_"), (F.col("o_orderkey") % 9999 + 1).cast("string"), F.lit("]"))
     return vault.counters(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("scope"), placeholder.alias("placeholder")), ["scope"])
 
 
-@query("""WITH v AS (SELECT o_custkey, o_orderstatus, o_orderpriority, min(o_orderkey) AS f FROM orders GROUP BY ALL)
-SELECT CAST(o_custkey AS VARCHAR) AS tenant_id, o_orderpriority AS value, '[KURUM_' || row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY f, o_orderpriority) || ']' AS placeholder, o_orderstatus AS session_id FROM v""")
+@query("""WITH v AS (SELECT o_custkey, o_orderstatus, o_orderpriority, min(o_orderkey) AS f FROM orders GROUP BY ALL),
+n AS (SELECT *, CASE o_custkey % 3 WHEN 0 THEN 99998 WHEN 1 THEN 4 ELSE 0 END + row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY f, o_orderpriority) AS n FROM v)
+SELECT CAST(o_custkey AS VARCHAR) AS tenant_id, o_orderpriority AS value, o_orderstatus AS session_id,
+  '[KURUM_' || ((n - 1) % 99999 + 1) || ']' || CASE WHEN n > 99999 THEN '#00000000' || format('{:08x}', (n - 1) // 99999) ELSE '' END AS placeholder FROM n""")
 def vault_intern(spark, sf_dir):
+    """New values of sessions of which some have given out number 99,998 already, and some hold an expired row of the same value."""
     values = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("tenant_id"), F.col("o_orderstatus").alias("session_id"), F.lit("ORG").alias("type"), F.lit("KURUM").alias("label"), F.col("o_orderpriority").alias("value"), F.col("o_orderkey").alias("first_seen"))
-    empty = spark.createDataFrame([], "tenant_id string, session_id string, type string, value string, placeholder string, expires_at timestamp")
-    return vault.intern(empty, values, F.current_timestamp()).select("tenant_id", "session_id", "value", "placeholder")
+    kind = F.col("tenant_id").cast("long") % 3
+    held = values.select("tenant_id", "session_id", "type", F.when(kind == 0, "held").otherwise(F.col("value")).alias("value"), F.when(kind == 0, "[KURUM_99998]").otherwise("[KURUM_4]").alias("placeholder"), F.when(kind == 0, "2100-01-01").otherwise("2000-01-01").cast("timestamp").alias("expires_at")).filter(kind < 2).distinct()
+    return vault.intern(held, values, F.current_timestamp(), F.lit("2030-01-01").cast("timestamp")).select("tenant_id", "session_id", "value", "placeholder")
 
 
 @query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS unreadable, count(*) AS refused FROM customer")

@@ -120,18 +120,22 @@ def mask_spliced(spark, sf_dir):
 
 
 @query(f"""WITH {VALUES_SQL}, t AS (SELECT id, CAST(id AS INTEGER) AS k, TR_TCKN, EMAIL, TR_PLATE, SECRET_API_KEY FROM v)
-SELECT id, CASE WHEN k % 5 > 0 THEN 'no [TCKN_' || CASE WHEN k % 2 = 0 THEN '1' ELSE '8' END || '] posta ' || EMAIL || ' plaka [PLAKA_1]' END AS out_text,
+SELECT id, CASE WHEN k % 5 > 0 THEN 'no [TCKN_' || CASE WHEN k % 2 = 0 THEN '1' ELSE '8' END || '] posta ' || EMAIL || ' plaka [PLAKA_' || CASE k % 3 WHEN 0 THEN '4' WHEN 1 THEN '10' ELSE '1' END || ']' END AS out_text,
   CASE WHEN k % 5 = 0 THEN 'SECRET_API_KEY' ELSE '' END AS blocked, CASE WHEN k % 5 = 0 THEN '' ELSE 'EMAIL=allow=1,TR_PLATE=mask=1,TR_TCKN=mask=1' END AS counts FROM t""")
 def policy_enforce(spark, sf_dir):
-    """Masking, allowing and blocking by policy, into a vault where every second session knows a first number already."""
+    """Masking, allowing and blocking by policy, into a vault where every second session knows a first number already.
+
+    A third of the sessions hold an expired row of the plate, another third two live ones.
+    """
     k = F.col("id").cast("int")
     text = F.concat(F.lit("no "), "TR_TCKN", F.lit(" posta "), "EMAIL", F.lit(" plaka "), "TR_PLATE", F.when(k % 5 == 0, F.concat(F.lit(" anahtar "), "SECRET_API_KEY")).otherwise(""))
-    docs = _values(spark, sf_dir).select("id", F.lit("tenant").alias("tenant_id"), F.col("id").alias("session_id"), text.alias("text"), "TR_TCKN")
-    rows = mask.mask(detect.analyze(spread(docs.drop("TR_TCKN")), types=["TR_TCKN", "EMAIL", "TR_PLATE", "SECRET_API_KEY"]))
+    docs = _values(spark, sf_dir).select("id", F.lit("tenant").alias("tenant_id"), F.col("id").alias("session_id"), text.alias("text"), "TR_TCKN", "TR_PLATE")
+    rows = mask.mask(detect.analyze(spread(docs.drop("TR_TCKN", "TR_PLATE")), types=["TR_TCKN", "EMAIL", "TR_PLATE", "SECRET_API_KEY"]))
     later = F.lit("2100-01-01").cast("timestamp")
     held = docs.select("tenant_id", "session_id", F.lit("TR_TCKN").alias("type"), F.when(k % 2 == 0, F.col("TR_TCKN")).otherwise("other").alias("value"), F.when(k % 2 == 0, F.lit("[TCKN_1]")).otherwise("[TCKN_7]").alias("placeholder"), later.alias("expires_at"))
     acted = policy.actions(tax.taxonomy(spark), policy.rules_table(spark)).withColumn("action", F.when(F.col("type") == "EMAIL", "allow").otherwise(F.col("action")))
-    out, _ = policy.enforce(rows, "id", acted, held, later)
+    plates = docs.select("tenant_id", "session_id", F.lit("TR_PLATE").alias("type"), F.col("TR_PLATE").alias("value"), F.explode(F.when(k % 3 == 0, F.array(F.lit("[PLAKA_3]"))).when(k % 3 == 1, F.array(F.lit("[PLAKA_9]"), F.lit("[PLAKA_10]"))).otherwise(F.array())).alias("placeholder"), F.when(k % 3 == 0, F.lit("2000-01-01").cast("timestamp")).otherwise(later).alias("expires_at"))
+    out, _ = policy.enforce(rows, "id", acted, held.unionByName(plates), later, now=F.lit("2030-01-01").cast("timestamp"))
     counts = F.array_join(F.transform("entities", lambda e: F.concat_ws("=", e["type"], e["action"], e["count"].cast("string"))), ",")
     return out.select("id", "out_text", F.array_join("blocked_types", ",").alias("blocked"), F.when(F.size("blocked_types") == 0, counts).otherwise("").alias("counts"))
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,11 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from maskframe.functions.recognizers import PLACEHOLDER
+from maskframe.functions.placeholders import OPEN, PLACEHOLDER
 
 CHUNKS = "resp_id string, field_key string, seq bigint, text string, fmt string, terminal boolean"
-#: What could still become a placeholder at the end of a buffer, with or without its suffix.
-OPEN = re.compile(r"\[(?:[A-Z]{0,12}|[A-Z]{2,12}_(?:[1-9][0-9]{0,4})?)$|\[[A-Z]{2,12}_[1-9][0-9]{0,4}\](?:#[0-9a-f]{0,15})?$")
 MAX_BUFFER = 1 << 20
 
 

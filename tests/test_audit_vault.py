@@ -199,3 +199,22 @@ def test_sealed_values(spark):
     key, iv = F.unhex(F.lit("00" * 16)), F.unhex(F.lit("01" * 12))
     df = spark.createDataFrame([("Ayşe",)], "v string").withColumn("s", vault.encrypt(F.col("v"), key, iv, F.lit("a")))
     assert tuple(df.select(vault.decrypt(F.col("s"), key, F.lit("a")), vault.decrypt(F.col("s"), key, F.lit("b")), F.octet_length("s")).first()) == ("Ayşe", None, 12 + 5 + 16)
+
+
+def test_null_payloads_and_plans_with_checkpoints(spark):
+    rows = audit.append(spark.createDataFrame([("a", 1, None), ("a", 2, "x"), ("b", 1, ""), ("c", 1, "y"), ("c", 2, None)], "log string, seq long, payload string"), KEY, "log")
+    expected = audit.record_hash(F.col("payload"), KEY)
+    assert {r.log: r.ok for r in audit.verify(rows, expected, log="log").collect()} == {"a": True, "b": True, "c": True}
+    blanked = rows.withColumn("payload", F.coalesce("payload", F.lit("")))
+    assert {r.log: r.first_broken_seq for r in audit.verify(blanked, expected, log="log").collect()} == {"a": 1, "b": None, "c": 2}
+    heads = {r.log: (r.seq, r.hash) for r in sorted(rows.collect(), key=lambda r: r.seq)}
+    points = spark.createDataFrame([("a", *heads["a"]), ("b", heads["b"][0], "other"), ("c", 1, "old"), ("c", *heads["c"]), ("d", 4, "gone")], "log string, seq long, hash string")
+    state = audit.verify(rows, expected, log="log", checkpoints=points)
+    assert {r.log: (r.ok, r.first_broken_seq) for r in state.collect()} == {"a": (True, None), "b": (False, 2), "c": (True, None), "d": (False, 1)}
+    twice = points.unionByName(spark.createDataFrame([("a", 2, "another")], points.schema))
+    assert {r.log: r.ok for r in audit.verify(rows, expected, log="log", checkpoints=twice).collect()}["a"] is False
+    one = audit.verify(rows.filter("log = 'a'"), expected, checkpoints=points.filter("log = 'a'").drop("log"))
+    assert one.first().ok
+    for df in (state, one):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Join" not in plan
