@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from maskframe.functions.phrases import Phrases
 
 MORPHOLOGIES = ("plain", "ascii", "lower", "suffix")
 
@@ -231,36 +237,52 @@ def replay_quota(rows: DataFrame, source: str, replay: Column, ratio: float) ->
     return counts.join(F.broadcast(side), "is_replay").join(F.broadcast(total)).select("source", "is_replay", "n", share.cast("long").alias("side_quota"), (share * F.col("n") / F.col("side_n")).alias("expected"))
 
 
-def contained(docs: DataFrame, items: DataFrame, key: str, text: str, item: str, item_text: str, phrase_bytes: int = 4 << 20, most: int = 500) -> DataFrame:
-    """Pairs (item, document) where the document holds the item's text; any size and number of items.
+#: Bytes of phrases in one automaton, which takes some sixteen times as much.
+PHRASE_BYTES = 4 << 20
+#: Bytes of text that a task walks through at once.
+TEXT_BYTES = 8 << 20
+
+
+def contained(docs: DataFrame, items: DataFrame, key: str, text: str, item: str, item_text: str, phrase_bytes: int = PHRASE_BYTES) -> DataFrame:
+    """Pairs (item, document) where the document holds the item's text: a row for each pair of rows.
 
-    Up to ``most`` items are sent to every task and looked for there. A word between two blanks of an item is a word between blanks of every text that holds the
-    item. So beyond ``most`` items (or ``phrase_bytes``), items meet the texts that have their
-    rarest such word, and those pairs are compared; items without such a word go to every task in
-    slices of about ``phrase_bytes``. A row for each pair of rows.
+    The different phrases become automata of ``phrase_bytes`` each (a longer phrase has its own), and
+    each text is walked through once for an automaton, whatever the number of its phrases: no text
+    meets an item in a join. Null texts hold nothing, null items are in nothing, and an empty item
+    is in every text that is not null.
     """
-    n, size = items.agg(F.count("*"), F.sum(F.octet_length(item_text))).first()
-    if n <= most and (size or 0) <= phrase_bytes:
-        phrases = items.select(F.col(item).alias("item"), F.col(item_text).alias("phrase"))
-        return docs.select(F.col(key), F.col(text).alias("__t")).join(F.broadcast(phrases), F.contains("__t", "phrase")).select("item", key)
-    rows = items.select(F.col(item).alias("item"), F.col(item_text).alias("phrase")).filter("phrase is not null")
-    texts = docs.select(F.col(key).alias("__key"), F.col(text).alias("__t")).filter("__t is not null").withColumn("__d", F.xxhash64("__t"))
-    parts = F.split("phrase", " ", -1)
-    inner = F.filter(F.array_distinct(F.slice(parts, 2, F.greatest(F.lit(0), F.size(parts) - 2))), lambda w: w != "")
-    split = rows.select("phrase").distinct().withColumn("words", inner)
-    wanted = split.select("phrase", F.explode("words").alias("word"))
-    # Equal hashes of different texts only add pairs to compare.
-    held = texts.select("__d", F.explode(F.array_distinct(F.split("__t", " ", -1))).alias("word")).join(wanted.select("word").distinct(), "word", "left_semi").distinct()
-    rarest = wanted.join(held.groupBy("word").count(), "word").groupBy("phrase").agg(F.min(F.struct("count", "word"))["word"].alias("word"))
-    near = rarest.join(held, "word").select("phrase", "__d").join(texts, "__d").filter(F.contains("__t", "phrase")).select("phrase", "__key")
-    found = [near.join(rows, "phrase").select("item", "__key")]
-    short = rows.join(split.filter(F.size("words") == 0).select("phrase"), "phrase", "left_semi")
-    total = short.agg(F.sum(F.octet_length("phrase"))).first()[0]
-    slices = 0 if total is None else max(1, -(-total // phrase_bytes))
-    for i in range(slices):
-        part = short.filter(F.pmod(F.xxhash64("phrase"), F.lit(slices)) == i)
-        found.append(texts.join(F.broadcast(part), F.contains("__t", "phrase")).select("item", "__key"))
-    return reduce(DataFrame.unionByName, found).withColumnRenamed("__key", key)
+    rows = items.select(F.col(f"`{item}`").alias("item"), F.col(f"`{item_text}`").cast("string").alias("phrase")).filter("phrase is not null")
+    texts = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")).filter("text is not null")
+    phrases = rows.select("phrase").distinct()
+    shards = max(1, -(-(phrases.agg(F.sum(F.octet_length("phrase"))).first()[0] or 0) // phrase_bytes))
+    found = []
+    for i in range(shards):
+        # About ``phrase_bytes`` of phrases, in the driver and in the tasks.
+        part = sorted(r.phrase for r in phrases.filter(F.pmod(F.xxhash64("phrase"), F.lit(shards)) == i).collect())
+        hits = texts.mapInArrow(_phrase_pass([p.encode() for p in part]), T.StructType([T.StructField("key", texts.schema["key"].dataType), T.StructField("n", T.IntegerType())]))
+        named = docs.sparkSession.createDataFrame(list(enumerate(part)), "n int, phrase string").join(rows, "phrase").select("n", "item")
+        found.append(hits.join(named, "n").select("key", "item"))
+    return reduce(DataFrame.unionByName, found).select("item", F.col("key").alias(key))
+
+
+def _phrase_pass(phrases: list[bytes]):
+    blank = phrases[:1] == [b""]  # they are in order
+
+    def run(batches):
+        known = Phrases(phrases[blank:])
+        for batch in batches:
+            sizes = pa.compute.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
+            at = 0
+            while at < batch.num_rows:
+                n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), TEXT_BYTES, side="right")))
+                part = batch.slice(at, n)
+                where, which = known.find(part.column("text").cast(pa.large_binary()).to_pylist())
+                if blank:
+                    where, which = np.r_[where, np.arange(n)], np.r_[which + 1, np.zeros(n, dtype=np.int64)]
+                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(where)), pa.array(which, pa.int32())], names=["key", "n"])
+                at += n
+
+    return run
 
 
 def split_ranges(rows: DataFrame, row: str, bounds: dict[str, tuple[int, int]]) -> DataFrame:
