@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from maskframe.functions.canonical import canonical_json
+
 ENTITY = "struct<type:string,action:string,count:int>"
 RECORD = f"seq bigint, ts timestamp, kind string, actor string, session_id string, request_sha256 string, entities array<{ENTITY}>, prev_hash string, hash string"
 KINDS = ("MASK_APPLIED", "REQUEST_BLOCKED", "VAULT_RESOLVE", "POLICY_CHANGED")
@@ -19,23 +21,48 @@ GENESIS = hashlib.sha256(b"maskframe-genesis-v1").hexdigest()
 
 
 def _sorted(value: Column, kind: T.DataType) -> Column:
-    """``value`` with the keys of all its structs and maps in order."""
+    """``value`` with the keys of all its structs in order, and its numbers as doubles where they have a fraction."""
     if isinstance(kind, T.StructType):
         made = F.struct(*[_sorted(value[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)])
         return F.when(value.isNotNull(), made)
     if isinstance(kind, T.ArrayType):
         return F.transform(value, lambda x: _sorted(x, kind.elementType))
     if isinstance(kind, T.MapType):
-        return F.map_from_entries(F.array_sort(F.transform(F.map_entries(value), lambda e: F.struct(e["key"], _sorted(e["value"], kind.valueType).alias("value")))))
-    if isinstance(kind, (T.FractionalType, T.DecimalType)):
-        raise TypeError("numbers with a fraction have no canonical form here; use whole numbers or text")
+        return F.transform_values(value, lambda _, x: _sorted(x, kind.valueType))  # keys are put in order afterwards
+    if isinstance(kind, T.DecimalType):
+        return value.cast("double")
+    if isinstance(kind, T.FractionalType):
+        # The JVM would write these as text.
+        none = F.raise_error(F.lit("JSON has no such number")).cast("double")
+        return F.when(F.isnan(value) | (F.abs(value) == float("inf")), none).otherwise(value.cast("double"))
     return value
 
 
+def _plain(kind: T.DataType) -> bool:
+    """Whether the JVM's JSON of such values is canonical but for escapes: whole numbers of 32 bits, text, and known ASCII keys."""
+    if isinstance(kind, T.StructType):
+        return all(f.name.isascii() and _plain(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _plain(kind.elementType)
+    return isinstance(kind, (T.StringType, T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
 def canonical(df: DataFrame, *columns: str) -> Column:
-    """One line of JSON with sorted keys at every depth; nulls are kept."""
+    """One line of canonical JSON (RFC 8785); nulls are kept.
+
+    Keys are in order at every depth and numbers as ECMAScript writes doubles, so long ones beyond
+    2^53 are rounded, as there. NaN, infinities and halves of surrogate pairs are errors. Records of
+    text, truth values and 32-bit numbers stay in the JVM but for control characters.
+    """
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    return F.to_json(F.struct(*[_sorted(F.col(f"`{c}`"), kinds[c]).alias(c) for c in sorted(columns)]), {"ignoreNullFields": "false"})
+    line = F.to_json(F.struct(*[_sorted(F.col(f"`{c}`"), kinds[c]).alias(c) for c in sorted(columns)]), {"ignoreNullFields": "false"})
+    if all(c.isascii() and _plain(kinds[c]) for c in columns):
+        odd = line.rlike(r"\\u00")
+    elif all(c.isascii() and (_plain(kinds[c]) or isinstance(kinds[c], T.LongType)) for c in columns):
+        odd = line.rlike(r"\\u00|[0-9]{16}")
+    else:
+        return canonical_json(line).alias("canonical")
+    return F.when(odd, canonical_json(F.when(odd, line))).otherwise(line).alias("canonical")
 
 
 def keyed_hash(key: str, domain: str = ""):
