@@ -29,16 +29,25 @@ def tckn_valid(s: Column) -> Column:
     return F.coalesce(F.when(s.rlike("^[1-9][0-9]{10}$"), tenth & last), F.lit(False))
 
 
-def vkn_valid(s: Column) -> Column:
-    """Ten digits; the last checks weighted residues of the first nine."""
+def _vkn_check(s: Column) -> Column:
+    """The last digit, from weighted residues of the first nine."""
 
     def part(i: int) -> Column:
         shifted = (_digit(s, i + 1) + 9 - i) % 10
         residue = shifted * (1 << (9 - i)) % 9
         return F.when((shifted != 0) & (residue == 0), 9).otherwise(residue)
 
-    check = (10 - reduce(Column.__add__, [part(i) for i in range(9)]) % 10) % 10
-    return F.coalesce(F.when(s.rlike("^[0-9]{10}$"), check == _digit(s, 10)), F.lit(False))
+    return (10 - reduce(Column.__add__, [part(i) for i in range(9)]) % 10) % 10
+
+
+def vkn_valid(s: Column) -> Column:
+    """Ten digits; the last checks weighted residues of the first nine."""
+    return F.coalesce(F.when(s.rlike("^[0-9]{10}$"), _vkn_check(s) == _digit(s, 10)), F.lit(False))
+
+
+def vkn_complete(base: Column) -> Column:
+    """Nine digits completed to a valid VKN."""
+    return F.concat(base, _vkn_check(base).cast("string"))
 
 
 def mod97(s: Column) -> Column:
