@@ -7,24 +7,32 @@ kind's own set of values, and put back in its own punctuation:
     iban      has its country's length and passes mod 97; letters stay letters and digits digits,
               check digits are made anew
     ipv4      four octets without leading zeros, as 32 bits
-    phone     + and an assigned country code, 8 to 15 digits in all, or (area) form; the digits
-              after the country code, however they are spaced
+    phone     + and an assigned country code, 8 to 15 digits in all, or (area) form, or Turkish with
+              0 or 0090 and a known area; the digits after the country code or 0, however they are
+              spaced, so a number written abroad and at home gets one pseudonym
+    tckn, vkn national and tax numbers that pass their checks; check digits are made anew
     ssn       ddd-dd-dddd with a valid area, group and serial, within the valid ones
     date      yyyy-MM-dd, dd.MM.yyyy or MM/dd/yyyy from 1900 to 2099, as a day of those years
-    email     the local part; letters stay in their script and digits digits, the domain stays
+    email     the local part; letters stay in their script and digits digits, the domain, which may
+              be international or of one label, stays
     token     40 hexadecimal digits, which have no check
+    secret    keys with a known prefix and 16 to 64 letters and digits, which are permuted
 
 A permutation is keyed and depends on nothing but kind and value, so equal values get equal
 pseudonyms in every text, different values different ones. What fails validation stays as it
 is, and so does an email whose local part has letters beyond the basic plane. A null text stays null, an empty one empty; repeated rows give repeated results. Existing
-columns stay, the text column is replaced in place.
+columns stay, whatever their names, the text column is replaced in place.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskframe.functions import checksums as C
+
 ROUNDS = 8
 # Lengths of IBANs and the countries that have them.
 IBAN_LENGTHS = {
@@ -54,10 +62,13 @@ def _iban_form() -> str:
 
 #: Candidate forms (fixed values), by kind; the first that matches at a place is taken.
 FORMS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[[\p{L}\p{N}&&[^\x{10000}-\x{10FFFF}]]._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
+    "email": r"(?<![\p{L}\p{N}._%+-])[[\p{L}\p{N}&&[^\x{10000}-\x{10FFFF}]]._%+-]{1,64}@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,61}[\p{L}\p{N}])?\.){0,8}\p{L}(?:[\p{L}\p{N}-]{0,61}[\p{L}\p{N}])(?![\p{L}\p{N}-])",
     "iban": _iban_form(),
     "token": r"(?<![A-Za-z0-9])(?:[0-9a-f]{40}|[0-9A-F]{40})(?![A-Za-z0-9])",
-    "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,8}){1,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])",
+    "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,8}){1,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9+.,-])(?:0090[ .-]?|0[ .-]?)(?:\([2-5][0-9]{2}\)|[2-5][0-9]{2})[ .-]?[0-9]{3}[ .-]?[0-9]{2}[ .-]?[0-9]{2}(?![0-9])",
+    "secret": r"(?<![A-Za-z0-9_-])(?:sk-|pk-|(?:sk|pk|rk)_(?:live|test)_|gh[opsu]_|AKIA)[A-Za-z0-9]{16,64}(?![A-Za-z0-9_-])",
+    "tckn": r"(?<![0-9])[1-9][0-9]{10}(?![0-9])",
+    "vkn": r"(?<![0-9+.,-])[0-9]{10}(?![0-9]|[.,-][0-9])",
     "ipv4": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])",
     "date": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9./])[0-9]{2}(?:\.[0-9]{2}\.|/[0-9]{2}/)[0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -203,6 +214,9 @@ def _phone(key: Column, m: Column) -> Column:
     code = F.length(F.regexp_extract(F.concat(F.lit("+"), digits), f"^{COUNTRY_CODE}", 0)) - 1
     code = F.when(m.startswith("+"), code).otherwise(0)
     valid = ~m.startswith("+") | (F.length(digits).between(8, 15) & (code > 0) & (F.length(digits) - code >= 4))
+    home = m.startswith("0")
+    code = F.when(home, F.length(digits) - 10).otherwise(code)
+    valid = F.when(home, C.phone_valid(F.right(digits, F.lit(10)))).otherwise(valid)
     rest = permute_digits(key, "phone", F.substring(digits, code + 1, F.length(digits)))
     return F.when(valid, _refill(m, "0-9", F.concat(F.left(digits, code), rest))).otherwise(m)
 
@@ -238,7 +252,27 @@ def _token(key: Column, m: Column) -> Column:
     return F.when(m.rlike("[A-F]"), F.upper(new)).otherwise(new)
 
 
-KINDS = {"email": _email, "iban": _iban, "token": _token, "phone": _phone, "ipv4": _ipv4, "date": _date, "ssn": _ssn, "card": _card}
+def _once(value: Column, work) -> Column:
+    """``work`` of a value that is computed once, however often the work names it."""
+    return F.get(F.transform(F.array(value), work), F.lit(0))
+
+
+def _tckn(key: Column, m: Column) -> Column:
+    made = feistel(key, "tckn", F.left(m, F.lit(1)).cast("long") - 1, F.substring(m, 2, 8).cast("long"), 9, 10**8)
+    base = _once(made, lambda p: F.concat((p["l"] + 1).cast("string"), F.lpad(p["r"].cast("string"), 8, "0")))
+    return F.when(C.tckn_valid(m), _once(base, C.tckn_digits)).otherwise(m)
+
+
+def _vkn(key: Column, m: Column) -> Column:
+    return F.when(C.vkn_valid(m), _once(permute_digits(key, "vkn", F.left(m, F.lit(9))), C.vkn_complete)).otherwise(m)
+
+
+def _secret(key: Column, m: Column) -> Column:
+    prefix = F.regexp_extract(m, "^(?:[a-z]+[-_](?:(?:live|test)_)?|AKIA)", 0)
+    return F.concat(prefix, permute_letters(key, "secret", F.substring(m, F.length(prefix) + 1, F.length(m))))
+
+
+KINDS = {"secret": _secret, "tckn": _tckn, "vkn": _vkn, "email": _email, "iban": _iban, "token": _token, "phone": _phone, "ipv4": _ipv4, "date": _date, "ssn": _ssn, "card": _card}
 
 
 def pseudonym(key: Column, m: Column) -> Column:
@@ -249,15 +283,27 @@ def pseudonym(key: Column, m: Column) -> Column:
     return out
 
 
+@functools.lru_cache(maxsize=16)
+def _pseudonyms(key: str, application: str) -> Column:
+    """The pseudonyms of all candidates in ``found``; some thousand expressions, so they are made once for a key."""
+    return F.transform("found", lambda m: pseudonym(F.lit(key), m))
+
+
 def pseudonymize(docs: DataFrame, key: str, text: str = "text", count: str | None = None) -> DataFrame:
     """``docs`` with the personal data in ``text`` replaced; ``count`` names a column for the number of values replaced."""
-    secret, body = F.lit(key), F.col(f"`{text}`")
+    at = docs.columns.index(text)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    body = F.col(f"c{at}")
     # Every form has a digit or an @, so most texts pass at the cost of one cheap search.
     maybe = body.rlike("[0-9@]")
-    found = docs.withColumn("__found", F.when(maybe, F.regexp_extract_all(body, F.lit(FORM), F.lit(0))))
-    found = found.withColumn("__new", F.transform("__found", lambda m: pseudonym(secret, m)))
-    woven = F.array_join(F.flatten(F.zip_with(F.split(body, FORM, -1), "__new", lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    columns = {text: F.when(F.size("__found") > 0, woven).otherwise(body)}
+    found = plain.withColumn("found", F.when(maybe, F.regexp_extract_all(body, F.lit(FORM), F.lit(0))))
+    found = found.withColumn("new", _pseudonyms(key, docs.sparkSession.sparkContext.applicationId))
+    woven = F.array_join(F.flatten(F.zip_with(F.split(body, FORM, -1), "new", lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    changed = F.aggregate(F.zip_with("found", "new", lambda a, b: (a != b).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+    columns = [F.when(F.size("found") > 0, woven).otherwise(body) if i == at else F.col(f"c{i}") for i in range(len(docs.columns))]
+    names = list(docs.columns)
     if count:
-        columns[count] = F.coalesce(F.aggregate(F.zip_with("__found", "__new", lambda a, b: (a != b).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x), F.lit(0).cast("long"))
-    return found.withColumns(columns).drop("__found", "__new")
+        columns = [c for c, n in zip(columns, names, strict=True) if n != count]
+        names = [n for n in names if n != count] + [count]
+        columns.append(F.coalesce(changed, F.lit(0).cast("long")))
+    return found.select(*columns).toDF(*names)
