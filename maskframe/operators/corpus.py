@@ -162,31 +162,48 @@ def epoch_order(rows: DataFrame, seed: int, epoch: int, key: str) -> DataFrame:
     return rows.orderBy(F.xxhash64(F.lit(seed), F.lit(epoch), key), key)
 
 
+#: A weight of 1 in whole units; smaller shares than half a unit count as none.
+UNITS = 1 << 20
+#: Cells a task makes of one row's stretch; wider stretches are dealt in parts.
+CELL_RUN = 1 << 14
+
+
 def draw(weighted: DataFrame, draws: int, seed: str, key: str, most: int = 200_000) -> DataFrame:
     """Exactly ``draws`` rows with replacement in proportion to ``weight``: columns of ``weighted`` and draw (from 0).
 
-    Draw i takes the row in whose stretch of the running sum of weights a point falls that SHA-256
-    of (seed, i) makes. Sums run within buckets of about ``most`` rows, on top of the buckets' own
-    totals, and points meet stretches by equality on cells of the whole sum, so nothing is ordered
-    or gathered as a whole.
+    Weights count in whole units, so stretches of the running sum touch and never overlap, in
+    whatever order they are added up. Draw i takes the row in whose stretch a whole number falls that
+    SHA-256 of (seed, i) makes. Sums run within buckets of about ``most`` rows, on top of the buckets'
+    own totals, and points meet stretches by equality on cells of the whole sum, so nothing is
+    ordered or gathered as a whole. Rows without weight are never drawn; of rows with equal keys
+    each has its own stretch.
     """
-    n = weighted.count()
-    total = weighted.agg(F.sum("weight")).first()[0] or 0.0
+    unit = F.greatest(F.lit(0), F.coalesce(F.round(F.col("weight") * UNITS), F.lit(0))).cast("decimal(38,0)")
+    n, total = weighted.agg(F.count("*"), F.sum(unit)).first()
+    total = int(total or 0)
     if not n or not draws or total <= 0:
         return weighted.limit(0).withColumn("draw", F.lit(0).cast("long"))
+    if total >= 1 << 62:
+        raise ValueError("the weights add up to more than whole numbers hold")
     buckets, cells = max(1, -(-n // most)), max(1, draws // 8)
-    rows = weighted.withColumn("__bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    own = Window.partitionBy("__bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    before = rows.groupBy("__bucket").agg(F.sum("weight").alias("w")).withColumn("__before", F.sum("w").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)))  # a row a bucket
-    rows = rows.join(before.select("__bucket", F.coalesce("__before", F.lit(0.0)).alias("__before")), "__bucket")
-    rows = rows.withColumn("__to", F.col("__before") + F.sum("weight").over(own)).withColumn("__from", F.col("__to") - F.col("weight"))
-    cell = lambda x: F.least(F.floor(x / F.lit(total) * cells), F.lit(cells - 1))
-    rows = rows.withColumn("__cell", F.explode(F.sequence(cell(F.col("__from")), cell(F.col("__to")))))
+    step = -(-total // cells)
+    # Rows of equal keys have an order too; a task that runs again may swap rows that are equal, which changes nothing.
+    rows = weighted.select(F.struct("*").alias("__row"), F.xxhash64(F.to_json(F.struct("*"))).alias("__hash"), F.col(key).alias("__key"), unit.cast("long").alias("__w")).filter("__w > 0")
+    rows = rows.withColumn("__bucket", F.pmod(F.xxhash64("__key", "__hash"), F.lit(buckets)).cast("int"))
+    own = Window.partitionBy("__bucket").orderBy("__key", "__hash").rowsBetween(Window.unboundedPreceding, 0)
+    sums = rows.groupBy("__bucket").agg(F.sum("__w").alias("w"))
+    before = sums.withColumn("__before", F.coalesce(F.sum("w").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a bucket
+    rows = rows.join(before.select("__bucket", "__before"), "__bucket")
+    rows = rows.withColumn("__to", F.col("__before") + F.sum("__w").over(own)).withColumn("__from", F.col("__to") - F.col("__w"))
+    cell = lambda x: F.call_function("div", x, F.lit(step))
+    first, last = cell(F.col("__from")), cell(F.col("__to") - 1)
+    runs = rows.withColumn("__first", F.explode(F.sequence(first, last, F.lit(CELL_RUN).cast("long"))))
+    rows = runs.withColumn("__cell", F.explode(F.sequence(F.col("__first"), F.least(F.col("__first") + CELL_RUN - 1, last))))
     digest = F.sha2(F.concat_ws(":", F.lit(seed), F.col("id").cast("string")), 256)
-    point = F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") / F.lit(float(1 << 48)) * F.lit(total)
+    point = F.pmod(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), F.lit(total))
     points = weighted.sparkSession.range(draws).select(F.col("id").alias("draw"), point.alias("__at")).withColumn("__cell", cell(F.col("__at")))
     met = points.join(rows, "__cell").filter((F.col("__at") >= F.col("__from")) & (F.col("__at") < F.col("__to")))
-    return met.select(*weighted.columns, "draw")
+    return met.select("__row.*", "draw")
 
 
 def replay_draw(weighted: DataFrame, replay: Column, ratio: float, seed: str, key: str) -> DataFrame:

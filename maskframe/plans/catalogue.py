@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from maskframe import taxonomy as tax
 from maskframe.functions import checksums as C
 from maskframe.operators import chat, corpus, detect, mask, policy, spans
-from maskframe.plans import evaluation, relational, sampling, streams, synthetic
+from maskframe.plans import evaluation, relational, sampling, stored, streams, synthetic
 from maskframe.plans.tables import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -287,7 +287,7 @@ def chat_coalesce_turns(spark, sf_dir):
 
 
 def _joined() -> None:
-    for module in (relational, evaluation, streams, synthetic, sampling):
+    for module in (relational, evaluation, streams, synthetic, sampling, stored):
         for name, (f, sql) in module.REGISTERED.items():
             QUERIES[name] = f
             if sql:

@@ -30,9 +30,9 @@ def _weighted(spark, sf_dir):
 
 
 def _draws(rows: str, n: str, seed: str, shift: str = "0") -> str:
-    point = f"CAST('0x' || substr(sha256('{seed}:' || i), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE"
-    return f"""(SELECT s.doc_id, i + {shift} AS draw FROM (SELECT i, {point} * (SELECT sum(weight) FROM {rows}) AS at FROM range(CAST({n} AS BIGINT)) AS r(i)) p
-  JOIN (SELECT doc_id, weight, sum(weight) OVER (ORDER BY doc_id) AS upto FROM {rows}) s ON p.at >= s.upto - s.weight AND p.at < s.upto)"""
+    point = f"CAST('0x' || substr(sha256('{seed}:' || i), 1, 15) AS BIGINT) % (SELECT CAST(sum(weight * 1048576) AS BIGINT) FROM {rows})"
+    return f"""(SELECT s.doc_id, i + {shift} AS draw FROM (SELECT i, {point} AS at FROM range(CAST({n} AS BIGINT)) AS r(i)) p
+  JOIN (SELECT doc_id, weight * 1048576 AS weight, sum(weight * 1048576) OVER (ORDER BY doc_id) AS upto FROM {rows}) s ON p.at >= s.upto - s.weight AND p.at < s.upto)"""
 
 
 @query(f"WITH {_WEIGHTS} SELECT doc_id, CAST(draw AS BIGINT) AS draw FROM {_draws('w', '1000', 'balanced:7:1')}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,7 +27,7 @@ def query(sql: str | None = None):
 def _folder(spark: SparkSession) -> str:
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         known = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     return f"{known.rstrip('/')}/stream-{uuid.uuid4().hex}"
