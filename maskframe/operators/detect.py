@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -35,22 +36,27 @@ def candidates(text: Column, types: list[str] | None = None) -> Column:
 def analyze(df: DataFrame, text: str = "text", types: list[str] | None = None, model: Callable[[DataFrame], DataFrame] | None = None, thresholds: dict[str, float] | None = None, out: str = "spans") -> DataFrame:
     """``df`` with the resolved spans of its texts.
 
-    ``model`` adds a column ``model_spans`` to the rows that need one; the others skip it.
-    A null text has no spans.
+    ``model`` adds a column ``model_spans`` to rows whose column ``text`` is null where no model is
+    needed, and must keep the rows and their other columns. A null text has no spans. Columns of
+    any name stay, but for one named like ``out``.
     """
-    found = df.withColumn("__hits", candidates(F.col(text), types))
+    at = df.columns.index(text)
+    names = [f"c{i}" for i in range(len(df.columns))]
+    stay = [(n, c) for n, c in zip(names, df.columns, strict=True) if c != out]
+    kept, titles = [n for n, _ in stay], [c for _, c in stay]
+    found = df.toDF(*names).withColumn("hits", candidates(F.col(names[at]), types))
     if model is None:
-        return found.withColumn(out, S.resolve_overlaps(F.col("__hits"))).drop("__hits")
-    found = found.withColumn("__needed", F.coalesce(S.needs_model(F.col(text), F.col("__hits")), F.lit(False)))
-    # Both branches read the hits; the optimizer may run the recognizers once for each.
-    needed = F.col("__needed")
-    asked = model(found.filter(needed)).withColumn("model_spans", S.above_thresholds(F.col("model_spans"), thresholds or {}))
-    skipped = found.filter(~needed).withColumn("model_spans", F.array().cast(SPANS))
-    both = asked.unionByName(skipped)
+        return found.select(*kept, S.resolve_overlaps(F.col("hits"))).toDF(*titles, out)
+    # One pass: the model is asked for the texts that need it and gets nulls for the others.
+    needed = F.coalesce(S.needs_model(F.col(names[at]), F.col("hits")), F.lit(False))
+    asked = model(found.withColumn("text", F.when(needed, F.col(names[at]))))
+    spans = S.above_thresholds(F.coalesce("model_spans", F.array().cast(SPANS)), thresholds or {})
+    spans = F.when(needed, spans).otherwise(F.array().cast(SPANS))
     # The taxonomy is closed: a type from outside is an error of the model and no row gets past it.
     known = F.forall("model_spans", lambda s: s["type"].isin(TYPES))
+    both = asked.withColumn("model_spans", spans)
     both = both.withColumn("model_spans", F.when(known, F.col("model_spans")).otherwise(F.raise_error(F.lit("the model gave an unknown type")).cast(SPANS)))
-    return both.withColumn(out, S.resolve_overlaps(F.concat("__hits", "model_spans"))).drop("__hits", "__needed", "model_spans")
+    return both.select(*kept, S.resolve_overlaps(F.concat("hits", "model_spans"))).toDF(*titles, out)
 
 
 def lexicon_model(words: dict[str, str], text: str = "text", confidence: float = 0.9) -> Callable[[DataFrame], DataFrame]:
@@ -68,6 +74,48 @@ def lexicon_model(words: dict[str, str], text: str = "text", confidence: float =
     return lambda df: df.withColumn("model_spans", run(F.col(text)))
 
 
+_LOADED: dict = {}
+
+
+def _load(load: Callable, artifacts: tuple[tuple[str, int, str], ...]):
+    """A model whose files (path, size, SHA-256) are what they should be, loaded once in a process."""
+    if artifacts not in _LOADED:
+        for path, size, digest in artifacts:
+            with open(path, "rb") as f:
+                found = hashlib.file_digest(f, "sha256").hexdigest()
+                if f.tell() != size or found != digest:
+                    raise ValueError(f"{path} is not the pinned file")
+        _LOADED.clear()  # one model a process
+        _LOADED[artifacts] = load(*[a[0] for a in artifacts])
+    return _LOADED[artifacts]
+
+
+def loaded_model(load: Callable, artifacts: list[tuple[str, int, str]], batch: int = 32) -> Callable[[DataFrame], DataFrame]:
+    """A model from pinned files as ``analyze`` takes it.
+
+    ``load(*paths)`` gives a function from a list of texts to a list of spans each: (type, start, end,
+    confidence). A worker process checks and loads the files once. Of the texts of an Arrow batch
+    each different one is scored once, in groups of ``batch`` texts of like length; null texts are
+    not scored. Paths must be readable on every executor.
+    """
+    pinned = tuple(tuple(a) for a in artifacts)
+
+    def predict(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = _load(load, pinned)
+        for part in parts:
+            texts = sorted({t for t in part if t is not None}, key=lambda t: (len(t), t))
+            found: dict[str, list] = {}
+            for i in range(0, len(texts), batch):
+                group = texts[i : i + batch]
+                for t, spans in zip(group, model(group), strict=True):
+                    found[t] = [{"type": k, "start": a, "end": b, "confidence": c, "layer": "ner"} for k, a, b, c in spans]
+            yield pd.Series([found.get(t, []) for t in part], dtype=object)
+
+    predict.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    run = F.pandas_udf(predict, SPANS).asNondeterministic()
+    return lambda df: df.withColumn("model_spans", run(F.col("text")))
+
+
 def disabled_model(df: DataFrame) -> DataFrame:
     return df.withColumn("model_spans", F.array().cast(SPANS))
 

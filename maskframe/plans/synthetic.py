@@ -231,3 +231,19 @@ def token_span_align(spark, sf_dir):
     made = corpus.prepare(detect.analyze(spread(rows), types=["EMAIL", "CREDIT_CARD"]), entities="spans")
     ner = F.array_join(F.transform("ner", lambda s: F.concat(s["first"].cast("string"), F.lit("-"), s["last"].cast("string"), F.lit(" "), s["label"])), ",")
     return made.select("id", ner.alias("ner"), F.array_join("ner_labels", ",").alias("ner_labels"), "misaligned")
+
+
+_NUMBERS = ["TR_TCKN", "TR_VKN", "TR_IBAN"]
+
+
+@query(f"WITH {VALUES_SQL} SELECT id, t.type, CAST(1 AS BIGINT) AS n_true, CAST(0 AS BIGINT) AS n_wrong, CAST(0 AS BIGINT) AS n_glued, CAST(CASE t.type WHEN 'TR_IBAN' THEN 0 ELSE 1 END AS BIGINT) AS n_other_digits FROM v, (VALUES {', '.join(f"('{t}')" for t in _NUMBERS)}) AS t(type)")
+def detect_near_misses(spark, sf_dir):
+    """Numbers as they are, with another last digit, with a digit more, and in Arabic digits: found, not, not, and found but for IBANs, which are ASCII."""
+    v = _values(spark, sf_dir)
+    pairs = v.select("id", F.explode(F.array(*[F.struct(F.lit(t).alias("type"), F.col(t).alias("value")) for t in _NUMBERS])).alias("x")).select("id", "x.*")
+    last = F.length("value") - 1
+    wrong = F.concat(F.left("value", last), ((F.right("value", F.lit(1)).cast("int") + 1) % 10).cast("string"))
+    forms = {"n_true": F.col("value"), "n_wrong": wrong, "n_glued": F.concat("value", F.lit("7")), "n_other_digits": F.translate("value", "0123456789", "٠١٢٣٤٥٦٧٨٩")}
+    texts = pairs.select("id", "type", F.explode(F.array(*[F.struct(F.lit(k).alias("form"), F.concat(F.lit("kod : "), x, F.lit(" ;")).alias("text")) for k, x in forms.items()])).alias("y")).select("id", "type", "y.*")
+    found = detect.analyze(spread(texts)).select("id", "type", "form", F.size(F.filter("spans", lambda s: s["type"] == F.col("type"))).cast("long").alias("n"))
+    return found.groupBy("id", "type").agg(*[F.sum(F.when(F.col("form") == k, F.col("n"))).alias(k) for k in forms])

@@ -36,31 +36,34 @@ def restore_stream(chunks: DataFrame, grants: DataFrame, budget: int = MAX_RESTO
     ``grants`` (resp_id, placeholder, value) says what each response may restore, as
     ``vault.authorised`` gives it: no other placeholder is replaced, whatever other responses have.
     ``chunks`` has resp_id, field_key, seq (from 0), text, fmt and terminal. A field's chunks are
-    taken in the order of seq; chunks that come early wait for those before. JSON fields are held
-    to their end and restored string by string. State is a response's open fields and what is left
-    of its budget. One error row ends a response: BUFFER_LIMIT, UNMASK_LIMIT, or INCOMPLETE where
+    taken in the order of seq; chunks that come early wait for those before, and chunks that come
+    again change nothing, before a field's end and after it. JSON fields are held to their end and
+    restored string by string. State is a response's fields, what is left of its budget, and its
+    grants, which come with the first chunk of each field alone. One error row ends a response: BUFFER_LIMIT, UNMASK_LIMIT, or INCOMPLETE where
     open fields get nothing for ``idle_ms``. Streams that are drained and end take None.
     """
     values = grants.groupBy("resp_id", "placeholder").agg(F.max("value").alias("value")).groupBy("resp_id").agg(F.map_from_entries(F.collect_list(F.struct("placeholder", "value"))).alias("known"))
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         columns = ["resp_id", "field_key", "seq", "text", "error_code"]
-        fields, left = (json.loads(state.get[0]), state.get[1]) if state.exists else ({}, budget)
+        (fields, known), left = (json.loads(state.get[0]), state.get[1]) if state.exists else (({}, {}), budget)
         if state.hasTimedOut:
             state.remove()
-            late = [(key[0], name, f[1], None, "INCOMPLETE") for name, f in fields.items()] if left >= 0 else []
+            late = [(key[0], name, f[1], None, "INCOMPLETE") for name, f in fields.items() if f[1] >= 0] if left >= 0 else []
             yield pd.DataFrame(late[:1], columns=columns)
             return
-        rows, known = [], {}
+        rows = []
         for batch in batches:
             rows += batch.itertuples()
         out = []
         if left >= 0:  # else the response has ended in an error
             for r in rows:
                 known = dict(r.known) if r.known is not None else known
-                early = fields.setdefault(r.field_key, [{}, 0, "", "text"])
-                early[0][str(int(r.seq))] = [r.text or "", bool(r.terminal)]
-                early[3] = r.fmt
+                held = fields.setdefault(r.field_key, [{}, 0, "", "text"])
+                # A field that has ended is due nothing (-1).
+                if held[1] >= 0 and int(r.seq) >= held[1]:
+                    held[0].setdefault(str(int(r.seq)), [r.text or "", bool(r.terminal)])
+                    held[3] = r.fmt
 
             def replace(text: str) -> str:
                 nonlocal left
@@ -79,9 +82,11 @@ def restore_stream(chunks: DataFrame, grants: DataFrame, budget: int = MAX_RESTO
             error = at = None
             for name in sorted(fields):
                 early, due, buffer, fmt = fields[name]
+                if due < 0:
+                    continue
                 ended = False
                 try:
-                    while str(due) in early:
+                    while not ended and str(due) in early:
                         text, ended = early.pop(str(due))
                         buffer += text
                         if fmt == "text":
@@ -99,18 +104,20 @@ def restore_stream(chunks: DataFrame, grants: DataFrame, budget: int = MAX_RESTO
                     break
                 fields[name] = [early, due, buffer, fmt]
                 if ended:
-                    del fields[name]
+                    fields[name] = [{}, -1, "", fmt]
             out = [r for r in out if r[3]]
             if error:
                 out.append((key[0], *at, None, error))
-                fields, left = {}, -1
-        state.update((json.dumps(fields), left))
+                fields, known, left = {}, {}, -1
+        state.update((json.dumps((fields, known)), left))
         if idle_ms is not None:
             state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=columns)
 
     timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    return chunks.join(values, "resp_id", "left").groupBy("resp_id").applyInPandasWithState(step, "resp_id string, field_key string, seq bigint, text string, error_code string", "fields string, budget bigint", "append", timeout)
+    first = chunks.withColumn("__first", F.when(F.col("seq") == 0, F.col("resp_id")))
+    met = first.join(values.withColumnRenamed("resp_id", "__first"), "__first", "left").drop("__first")
+    return met.groupBy("resp_id").applyInPandasWithState(step, "resp_id string, field_key string, seq bigint, text string, error_code string", "fields string, budget bigint", "append", timeout)
 
 
 def _restore_document(text: str, replace) -> str:

@@ -1,3 +1,4 @@
+import hashlib
 import time
 
 import pytest
@@ -183,3 +184,42 @@ def test_hits_lie_in_the_text(pieces):
     text = "".join(pieces)
     for k, a, b, c in R.detect(text, ALL):
         assert k in TYPES and 0 <= a < b <= len(text) and 0 < c <= 1
+
+
+def test_one_detection_and_one_model_node_and_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, 2, "Ali bana 10000000146 yaz", "t"), (3, 4, "a@b.com", "u"), (5, 6, None, "v")], "`__hits` int, hits int, `my text` string, text string")
+    rows = detect.analyze(df, text="my text", model=detect.lexicon_model({"Ali": "PERSON"}))
+    assert rows.columns == [*df.columns, "spans"]
+    got = {r["__hits"]: (r.hits, r.text, [s["type"] for s in r.spans]) for r in rows.collect()}
+    assert got == {1: (2, "t", ["PERSON", "TR_TCKN"]), 3: (4, "u", ["EMAIL"]), 5: (6, "v", [])}
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2
+
+
+def _marker(*paths):
+    """A model that knows the words of its file; notes each call beside it."""
+    words = open(paths[0]).read().split()
+
+    def model(texts):
+        with open(paths[0] + ".calls", "a") as f:
+            f.write(f"{len(texts)} {max(map(len, texts)) - min(map(len, texts))} {len(set(texts))}\n")
+        return [[("PERSON", t.index(w), t.index(w) + len(w), 0.9) for w in words if w in t] for t in texts]
+
+    return model
+
+
+def test_a_pinned_model_scores_each_text_once(spark, tmp_path):
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(__import__(__name__))
+    path = tmp_path / "words"
+    path.write_text("Ali Veli")
+    pinned = [(str(path), 8, hashlib.sha256(b"Ali Veli").hexdigest())]
+    texts = ["Ali geldi", "Veli " + "x" * 50, "Ali geldi", None, ""] * 20
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1)
+    rows = detect.analyze(df, model=detect.loaded_model(_marker, pinned, 2)).collect()
+    assert [[s.type for s in r.spans] for r in sorted(rows, key=lambda r: r.i)] == [["PERSON"], ["PERSON"], ["PERSON"], [], []] * 20
+    calls = (tmp_path / "words.calls").read_text().splitlines()
+    assert sum(int(c.split()[0]) for c in calls) <= 3 * 4  # a batch's different texts
+    with pytest.raises(Exception, match="pinned"):
+        detect.analyze(df, model=detect.loaded_model(_marker, [(str(path), 8, "0" * 64)])).collect()

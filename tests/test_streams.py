@@ -73,3 +73,22 @@ def test_delta_fields(spark):
 @pytest.mark.parametrize("tail", ["[", "[KISI", "[KISI_", "[KISI_12", "[KISI_1]", "[KISI_1]#01"])
 def test_open_tails_wait(tail):
     assert jobs.cut("x" + tail, False) == ("x", tail)
+
+
+def test_chunks_that_come_again_change_nothing(spark, tmp_path):
+    grants = spark.createDataFrame([("r", "[KISI_1]", "Ali"), ("r", "[KISI_2]", "Veli")], "resp_id string, placeholder string, value string")
+    a = [("r", "a", 0, "Hi [KI", "text", False), ("r", "a", 1, "SI_1] and", "text", False), ("r", "a", 2, " [KISI_2]!", "text", True)]
+    b = [("r", "b", 0, "x [KISI_1] ", "text", False), ("r", "b", 1, "y", "text", True)]
+    batches = [[a[0], b[0]], [a[1], a[0], a[0]], [a[2], a[1], b[0]], [a[0], a[1], a[2], b[1]], [a[0], b[1]]]
+    source = tmp_path / "in"
+    got = []
+    for rows in batches:
+        spark.createDataFrame(rows, jobs.CHUNKS).coalesce(1).write.mode("append").parquet(str(source))
+        stream = jobs.restore_stream(spark.readStream.schema(jobs.CHUNKS).parquet(str(source)), grants, idle_ms=None)
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(60)
+        assert q.exception() is None
+    for r in spark.read.parquet(str(tmp_path / "out")).collect():
+        got.append((r.field_key, r.seq, r.text))
+    assert "".join(t for f, _, t in sorted(got) if f == "a") == "Hi Ali and Veli!" and "".join(t for f, _, t in sorted(got) if f == "b") == "x Ali y"
+    assert len({g[:2] for g in got}) == len(got)
