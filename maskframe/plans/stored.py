@@ -9,6 +9,7 @@ from maskframe.operators import permute, policy, spanscores
 from maskframe.plans import relational
 from maskframe.plans.streams import _folder, drained
 from maskframe.plans.tables import AUDIT_SQL, audit_log, table
+from maskframe.sources import formats, readers
 from maskframe.sources.tables import StoredLog, StoredVault
 from maskframe.streaming import frames
 from maskframe.streaming import vault as streamed
@@ -131,3 +132,28 @@ def policy_actions_parts(spark, sf_dir):
     classes = types.groupBy("kvkk_class").agg(F.count("*").alias("n"), F.min("type").alias("least")).filter("n % 2 = 0")
     more = classes.select(F.lit(1).alias("rule_idx"), F.lit(None).cast("array<string>").alias("types"), "kvkk_class", F.when(F.col("least") < "L", "mask").otherwise("allow").alias("action"))
     return policy.actions(types, rules.unionByName(more)).select("type", "kvkk_class", "action")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, CAST(length(coalesce(text, '')) + 2 AS INTEGER) AS n, CASE WHEN doc_id % 5 = 0 THEN 'BAD_ENTITY' END AS error_code FROM documents")
+def gold_source(spark, sf_dir):
+    """All documents as gold lines, every fifth with an entity off its text, read back by byte ranges."""
+    folder = f"{_folder(spark)}/gold"
+    text = F.concat(F.lit("A "), F.coalesce("text", F.lit("")))
+    entity = F.struct(F.lit("PERSON").alias("type"), F.lit(0).alias("start"), F.when(F.col("doc_id") % 5 == 0, 2).otherwise(1).alias("end"), F.lit("A").alias("text"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.lit("web").alias("domain"), F.lit("t").alias("template_id"), F.array(F.lit("plain")).alias("morphology"), text.alias("text"), F.array(entity).alias("entities"))
+    readers.write_json_lines(rows, folder)
+    formats.register(spark)
+    return spark.read.format("gold").option("split_bytes", 1 << 20).load(folder).select("id", F.length("text").alias("n"), "error_code")
+
+
+@query(f"WITH {AUDIT_SQL} SELECT seq, kind, actor, type, CAST(k AS INTEGER) AS n FROM log WHERE seq BETWEEN 100 AND 2099")
+def audit_source_range(spark, sf_dir):
+    """The log written by the audit format in the order of seq, and a range of it that reaches the files."""
+    folder = f"{_folder(spark)}/audit"
+    formats.register(spark)
+    none = F.lit(None).cast("string")
+    rows = audit_log(spark, sf_dir).select("seq", F.col("ts").cast("timestamp").alias("ts"), "kind", "actor", none.alias("session_id"), none.alias("request_sha256"), "entities", none.alias("prev_hash"), none.alias("hash"))
+    rows.repartitionByRange(4, "seq").sortWithinPartitions("seq").write.format("audit").mode("append").save(folder)
+    got = formats.audit_range(spark, folder, 100, 2099, ordered="true", split_bytes=1 << 16)
+    return got.select("seq", "kind", "actor", F.inline("entities")).select("seq", "kind", "actor", "type", F.col("count").alias("n"))
+
