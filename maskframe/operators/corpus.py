@@ -216,11 +216,19 @@ def replay_draw(weighted: DataFrame, replay: Column, ratio: float, seed: str, ke
 
 
 def ordered_digest(rows: DataFrame, order: str, *columns: str) -> DataFrame:
-    """One digest of a corpus in an order: the rows' digests, gathered in runs of a thousand and then as a whole (32 bytes for each thousand rows)."""
+    """One digest of a corpus in an order of whole numbers from 0: a tree over the rows' digests, a thousand to a node, of two levels at least.
+
+    A node is gathered from a thousand digests at most, whatever the number of rows.
+    """
     line = F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"}), 256)
-    placed = rows.select(F.col(order).alias("o"), line.alias("d")).withColumn("block", F.floor(F.col("o") / 1000))
-    runs = placed.groupBy("block").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "d"))), lambda x: x["d"]), "\n"), 256).alias("d"))
-    return runs.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "d"))), lambda x: x["d"]), "\n"), 256).alias("sha256"))
+    level = rows.select(F.col(order).cast("long").alias("o"), line.alias("d"))
+    top = level.agg(F.max("o")).first()[0] or 0
+    levels = 0
+    while levels < 2 or top > 0:
+        gathered = F.array_sort(F.collect_list(F.struct("o", "d")))
+        level = level.groupBy(F.floor(F.col("o") / 1000).alias("b")).agg(F.sha2(F.array_join(F.transform(gathered, lambda x: x["d"]), "\n"), 256).alias("d")).select(F.col("b").alias("o"), "d")
+        top, levels = top // 1000, levels + 1
+    return level.select(F.col("d").alias("sha256"))
 
 
 def ordered_union(left: DataFrame, right: DataFrame, *key_sets: tuple[str, ...]) -> DataFrame:

@@ -116,10 +116,13 @@ def sessions(vault: DataFrame, now: Column) -> DataFrame:
 
 
 def by_digest(vault: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """Placeholders of values that are known by their keyed digest alone (scope, type, value_hmac)."""
+    """Placeholders of values that are known by their keyed digest alone (scope, type, value_hmac).
+
+    Rows that carry their digest, as ``seal`` stores it, are not hashed again.
+    """
     from maskframe.operators.audit import keyed_hash
 
-    rows = vault.withColumn("value_hmac", keyed_hash(key, "maskframe-vault-value-v1")(F.concat_ws("\0", "type", nfc(F.col("value")))))
+    rows = vault if "value_hmac" in vault.columns else vault.withColumn("value_hmac", keyed_hash(key, "maskframe-vault-value-v1")(F.concat_ws("\0", "type", nfc(F.col("value")))))
     return wanted.join(rows.select(*SCOPE, "type", "value_hmac", "placeholder"), [*SCOPE, "type", "value_hmac"])
 
 

@@ -159,6 +159,29 @@ def request_segments(spark, sf_dir):
     return chat.request_segments(_requests(spark, sf_dir))
 
 
+@query("""WITH c AS (SELECT conv_id || '/' || turn AS req_id, * FROM conversations WHERE text IS NOT NULL AND length(text) > 1)
+SELECT req_id, 'messages.0.content.part.0' AS path, text FROM c UNION ALL SELECT req_id, 'messages.0.content.part.3', 'tail' FROM c UNION ALL SELECT req_id, 'messages.0.name', 'n' || turn FROM c
+UNION ALL SELECT req_id, 'messages.0.tool.0.q', role FROM c UNION ALL SELECT req_id, 'system', 'be kind' FROM c UNION ALL SELECT req_id, 'request.metadata.id', 'u' || conv_id FROM c""")
+def request_segments_blocks(spark, sf_dir):
+    """The same requests in the shape of blocks, of which other fields are text."""
+    return chat.request_segments(_requests(spark, sf_dir), shape="anthropic")
+
+
+@query("SELECT conv_id || '/' || turn AS resp_id, 'response.content.part.0' AS path, coalesce(text, '') || ' and more' AS text FROM conversations UNION ALL SELECT conv_id || '/' || turn, 'response.content.part.3', role FROM conversations")
+def response_segments_blocks(spark, sf_dir):
+    """Segments of whole responses in the shape of blocks; neighbouring text parts are one."""
+    part = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    content = F.array(part("text", F.coalesce("text", F.lit(""))), part("text", F.lit(" and more")), part("image", F.lit(None).cast("string")), part("text", F.col("role")))
+    rows = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("resp_id"), F.to_json(F.struct(content.alias("content"))).alias("body"))
+    return chat.response_segments(rows, shape="anthropic")
+
+
+@query("SELECT doc_id, sha256(CAST(json_object('lang', lang, 'text', text) AS VARCHAR)) AS fingerprint FROM documents")
+def content_fingerprint(spark, sf_dir):
+    """The digest of what a model sees of each document."""
+    return table(spark, sf_dir, "documents").select("doc_id", corpus.fingerprint("text", "lang").alias("fingerprint"))
+
+
 @query("""WITH c AS (SELECT conv_id || '/' || turn AS resp_id, * FROM conversations WHERE text IS NOT NULL)
 SELECT resp_id, text || ' Ali ' || conv_id AS content, 'Ali ' || conv_id AS argument, 'keep [KISI_1]' AS other FROM c""")
 def response_restore(spark, sf_dir):
