@@ -158,8 +158,15 @@ def suites(gold: DataFrame, predicted: DataFrame, suite: str, types: list[str] |
     return with_scores(strict(keep(gold), keep(predicted), doc, [suite]))
 
 
-def pilot_gate(runs: DataFrame, steps: int = 500, most_bytes: int = 78 << 30) -> DataFrame:
-    """Why each bounded pilot run may not be followed by a full one: (run, pass, reasons)."""
+# The steps, memory, precisions and device of a pilot run.
+PILOT_STEPS, PILOT_BYTES, PILOT_AMP, PILOT_DEVICE = 500, 78 << 30, ("bf16", "fp16"), "A100"
+
+
+def pilot_gate(runs: DataFrame, steps: int = PILOT_STEPS, most_bytes: int = PILOT_BYTES, device: str = PILOT_DEVICE) -> DataFrame:
+    """Why each bounded pilot run may not be followed by a full one: (run, pass, reasons).
+
+    The device is judged where runs name it (gpu_name).
+    """
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) != float("inf"))
     sure = lambda c: F.coalesce(c, F.lit(False))
     rules = [
@@ -170,8 +177,10 @@ def pilot_gate(runs: DataFrame, steps: int = 500, most_bytes: int = 78 << 30) ->
         ("mean loss", finite("mean_loss")),
         ("final loss", finite("final_loss")),
         ("memory", (F.col("peak_bytes") > 0) & (F.col("peak_bytes") < most_bytes)),
-        ("precision", F.col("amp").isin("bf16", "fp16")),
+        ("precision", F.col("amp").isin(*PILOT_AMP)),
         ("development gate", F.col("development_gate_pass")),
     ]
+    if "gpu_name" in runs.columns:
+        rules.append(("device", F.contains(F.col("gpu_name"), F.lit(device))))
     reasons = F.filter(F.array(*[F.when(~sure(good), F.lit(name)) for name, good in rules]), lambda r: r.isNotNull())
     return runs.withColumn("reasons", reasons).select("run", (F.size("reasons") == 0).alias("pass"), "reasons")

@@ -159,3 +159,12 @@ def test_the_taxonomy_is_closed_and_health_is_told(spark):
     with pytest.raises(Exception, match="unknown type"):
         detect.analyze(rows, model=detect.lexicon_model({"Ayşe": "HUMAN"})).collect()
     assert benchmark.health(spark).first().ready and not benchmark.health(spark, False).first().ready
+
+
+def test_pilot_runs_on_the_right_device(spark):
+    from maskframe.operators import evaluate
+
+    good = ("pilot", False, False, 500, 500, "max-steps", 0.5, 0.4, 1 << 30, "bf16", True)
+    rows = spark.createDataFrame([("a", *good, "NVIDIA A100-SXM4"), ("b", *good, "other"), ("c", *good, None)], "run string, run_kind string, complete boolean, adoption_eligible boolean, max_steps int, optimizer_steps int, stop_reason string, mean_loss double, final_loss double, peak_bytes long, amp string, development_gate_pass boolean, gpu_name string")
+    assert {r.run: r.reasons for r in evaluate.pilot_gate(rows).collect()} == {"a": [], "b": ["device"], "c": ["device"]}
+    assert {r["pass"] for r in evaluate.pilot_gate(rows.drop("gpu_name")).collect()} == {True}
