@@ -6,7 +6,8 @@ changing a policy, or asking what each rule costs (ablation), never reads the te
 
 Null and empty texts have no words and fail ``too_few_words``. Repeated rows are judged one by
 one. The rules of v1 are for scripts that part words by blanks: a text without blanks is one long
-word and fails ``too_few_words`` and ``word_length``. Existing columns stay; the ledger's columns carry a prefix so that names cannot clash.
+word and fails ``too_few_words`` and ``word_length``. Existing columns stay.
+A table with columns of the ledger's names needs a ``prefix``; without one it would have them twice.
 """
 
 from __future__ import annotations

@@ -508,3 +508,9 @@ def test_national_and_tax_numbers_among_columns_of_any_name(spark):
     old, new = made[0][5], made[0][0]
     left, right = feistel("k", "tckn", int(old[0]) - 1, int(old[1:9]), 9, 10**8)
     assert new[:9] == f"{left + 1}{right:08d}"
+
+
+def test_a_prefix_keeps_the_ledger_apart(spark):
+    df = spark.createDataFrame([(1, "a b c", 5, "x")], "doc_id int, text string, n_words int, failed string")
+    row = quality_rules.ledger(df, prefix="q_").first()
+    assert (row.n_words, row.failed, row.q_n_words) == (5, "x", 3) and row.q_failed > 0
