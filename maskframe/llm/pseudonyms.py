@@ -294,8 +294,8 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text", count: str | Non
     at = docs.columns.index(text)
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     body = F.col(f"c{at}")
-    # Every form has a digit or an @, so most texts pass at the cost of one cheap search.
-    maybe = body.rlike("[0-9@]")
+    # Every form has a digit, an @ or the prefix of a key, so most texts pass at the cost of one cheap search.
+    maybe = body.rlike("[0-9@]|[spr]k[-_]|gh[opsu]_|AKIA")
     found = plain.withColumn("found", F.when(maybe, F.regexp_extract_all(body, F.lit(FORM), F.lit(0))))
     found = found.withColumn("new", _pseudonyms(key, docs.sparkSession.sparkContext.applicationId))
     woven = F.array_join(F.flatten(F.zip_with(F.split(body, FORM, -1), "new", lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
