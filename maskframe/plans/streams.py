@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskframe.operators import vault
 from maskframe.plans.tables import table
+from maskframe.sources.scratch import folder as _folder
 from maskframe.streaming import jobs
 
 REGISTERED: dict = {}
@@ -24,15 +21,6 @@ def query(sql: str | None = None):
     return add
 
 
-def _folder(spark: SparkSession) -> str:
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        known = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    return f"{known.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def drained(stream: DataFrame, folder: str) -> DataFrame:
     """Everything a stream gives until its input ends."""
     q = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()

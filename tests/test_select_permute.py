@@ -81,3 +81,9 @@ def test_each_point_falls_into_one_stretch(spark):
         assert not {300, 301, 302} & set(count) and count[303] > 100
     wide = spark.createDataFrame([(1, 1e6), (2, 1.0)], "id long, weight double")
     assert corpus.draw(wide, 200_000, "s", "id").count() == 200_000
+
+
+def test_stretches_follow_the_order_of_keys_in_any_number_of_buckets(spark):
+    rows = spark.createDataFrame([((i * 37) % 400, 1.0 + i % 3) for i in range(400)], "id long, weight double")
+    one, many = (sorted((r.draw, r.id) for r in corpus.draw(rows, 300, "s", "id", most=most).collect()) for most in (200_000, 30))
+    assert one == many
