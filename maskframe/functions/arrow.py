@@ -1,4 +1,4 @@
-"""A pass over Arrow batches that adds columns."""
+"""Passes over Arrow batches."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -23,3 +24,13 @@ def add_columns(df: DataFrame, inputs: list[Column], work: Callable[..., list[li
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *[pa.array(c, k) for c, k in zip(made, kinds, strict=True)]], names=out.names)
 
     return rows.mapInArrow(run, out).toDF(*df.columns, *new.names)
+
+
+def walked(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """``df`` for a pass that walks each key's rows in order: all of a key in one task.
+
+    Spark leaves out a shuffle by the very columns that a join below has dealt by. Should that join
+    then become a broadcast, its rows are read as they lie, and a key's rows are in several tasks.
+    No join deals by the hash of the key, so this shuffle stays.
+    """
+    return df.repartition(F.xxhash64(key)).sortWithinPartitions(key, *order)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskframe.functions import placeholders as P
+from maskframe.functions.arrow import walked
 from maskframe.operators.mask import nfc
 
 SCOPE = ["tenant_id", "session_id"]
@@ -165,7 +166,7 @@ def rate_limited(hits: DataFrame, key: str, at: str, tie: str, limit: int, windo
     import pandas as pd
 
     span = pd.Timedelta(window).value // 1000
-    ordered = hits.repartition(key).sortWithinPartitions(key, at, tie)
+    ordered = walked(hits, key, at, tie)
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in hits.schema)}, allowed boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

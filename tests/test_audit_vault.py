@@ -218,3 +218,21 @@ def test_null_payloads_and_plans_with_checkpoints(spark):
     for df in (state, one):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Join" not in plan
+
+
+def test_appends_stay_in_order_where_a_join_becomes_a_broadcast(spark):
+    """The plan begins with a sorted join of records and heads, which the first stages' sizes turn into a broadcast."""
+    how = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in how.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(0, 400, 1, 4).select((F.col("id") % 7).cast("string").alias("log"), F.col("id").alias("seq"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("payload"))
+        held = spark.createDataFrame([(str(i), 5, "h") for i in range(7)], "log string, seq long, hash string")
+        got = audit.append(rows, KEY, "log", stored=held).collect()
+    finally:
+        for k in how:
+            spark.conf.unset(k)
+    assert len(got) == 400
+    for name in "0123456":
+        own = sorted((r for r in got if r.log == name), key=lambda r: int(r.payload[1:]))
+        assert [r.seq for r in own] == list(range(6, 6 + len(own))) and [r.prev_hash for r in own] == ["h", *[r.hash for r in own[:-1]]]
