@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,19 +20,34 @@ SPANS = f"array<{S.SPAN}>"
 PREFILTER = r"\p{Nd}|@|BEGIN|eyJ|sk-"
 
 
-def _finder(types: frozenset[str]) -> Callable[[Column], Column]:
-    def find(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+#: Texts that are worked on at once: what Python holds of a batch does not grow with the batch.
+TEXTS = 256
+_TOKEN = pa.struct([("token", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+_SPAN = pa.struct([("type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("confidence", pa.float64()), ("layer", pa.string())])
+
+
+def _lists(rows: list[list[tuple]], kind: pa.StructType) -> pa.ListArray:
+    """Lists of tuples as an array of structs."""
+    flat = [x for row in rows for x in row]
+    columns = list(zip(*flat, strict=True)) if flat else [()] * kind.num_fields
+    items = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], fields=list(kind))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), items)
+
+
+def _finder(types: frozenset[str], alone: bool = False) -> Callable[[Column], Column]:
+    def find(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            yield pd.Series([[] if t is None else [{"type": k, "start": a, "end": b, "confidence": c, "layer": "deterministic"} for k, a, b, c in recognizers.detect(t, types)] for t in batch], dtype=object)
+            for at in range(0, len(batch), TEXTS):
+                yield _lists([[] if t is None else [(*h, "deterministic") for h in recognizers.detect(t, types, alone)] for t in batch.slice(at, TEXTS).to_pylist()], _SPAN)
 
-    find.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(find, SPANS)
+    find.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(find, SPANS)
 
 
-def candidates(text: Column, types: list[str] | None = None) -> Column:
-    """All hits of the recognizers, overlapping ones too."""
+def candidates(text: Column, types: list[str] | None = None, alone: bool = False) -> Column:
+    """All hits of the recognizers, overlapping ones too; with ``alone``, cards and phones only where they stand alone."""
     # Marked as not deterministic, so that no filter drawn from it makes the optimizer run it twice.
-    return _finder(frozenset(types or DETERMINISTIC)).asNondeterministic()(F.when(text.rlike(PREFILTER), text))
+    return _finder(frozenset(types or DETERMINISTIC), alone).asNondeterministic()(F.when(text.rlike(PREFILTER), text))
 
 
 def analyze(df: DataFrame, text: str = "text", types: list[str] | None = None, model: Callable[[DataFrame], DataFrame] | None = None, thresholds: dict[str, float] | None = None, out: str = "spans") -> DataFrame:
@@ -129,12 +146,13 @@ def exploded(df: DataFrame, key: str, text: str = "text", spans: str = "spans")
 def tokens(text: Column) -> Column:
     """Words and marks with their offsets: array of (token, start, end)."""
 
-    def find(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def find(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            yield pd.Series([[] if t is None else [{"token": m[0], "start": m.start(), "end": m.end()} for m in recognizers.TOKEN.finditer(t)] for t in batch], dtype=object)
+            for at in range(0, len(batch), TEXTS):
+                yield _lists([[] if t is None else [(m[0], m.start(), m.end()) for m in recognizers.TOKEN.finditer(t)] for t in batch.slice(at, TEXTS).to_pylist()], _TOKEN)
 
-    find.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(find, "array<struct<token:string,start:int,end:int>>").asNondeterministic()(text)
+    find.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(find, "array<struct<token:string,start:int,end:int>>").asNondeterministic()(text)
 
 
 LANGUAGES = ("tr", "en")

@@ -223,3 +223,20 @@ def test_a_pinned_model_scores_each_text_once(spark, tmp_path):
     assert sum(int(c.split()[0]) for c in calls) <= 3 * 4  # a batch's different texts
     with pytest.raises(Exception, match="pinned"):
         detect.analyze(df, model=detect.loaded_model(_marker, [(str(path), 8, "0" * 64)])).collect()
+
+
+def test_numbers_within_words_stand_not_alone(spark):
+    card, phone, hex_ = "4111111111111111", "2849086689", "068c4111111111111111d354"
+    texts = [f"a {card} b", hex_, f"{card}_x", f"a12 {card}", f"{card}@x.com", f"b14d{phone}e09", f"tel {phone}.", "٤111111111111111"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    found = {r.id: sorted((s["type"], r.text[s["start"] : s["end"]]) for s in r.s) for r in rows.select("id", "text", detect.candidates(F.col("text"), ["EMAIL", "CREDIT_CARD", "TR_PHONE"], alone=True).alias("s")).collect()}
+    c = ("CREDIT_CARD", card)
+    assert found == {0: [c], 1: [], 2: [], 3: [c], 4: [c, ("EMAIL", f"{card}@x.com")], 5: [], 6: [("TR_PHONE", phone)], 7: []}
+    assert R.detect(hex_, frozenset(["CREDIT_CARD"]))  # the rule itself finds them there
+
+
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 3000])
+def test_batches_are_worked_on_in_parts(spark, n):
+    rows = spark.range(0, n, 1, 1).select("id", F.when(F.col("id") % 3 > 0, F.concat(F.lit("a1@x.com "), F.col("id").cast("string"))).alias("text"))
+    got = rows.select("id", detect.candidates(F.col("text"), ["EMAIL"]).alias("s"), detect.tokens(F.col("text")).alias("t")).collect()
+    assert len(got) == n and all((len(r.s), len(r.t)) == ((1, 6) if r.id % 3 else (0, 0)) and (not r.t or r.t[-1]["token"] == str(r.id)) for r in got)
