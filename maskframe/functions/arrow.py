@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,19 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 
+#: Rows that are worked on at once: what Python holds of a batch does not grow with the batch.
+ROWS = 256
+
+
+def lists(rows: list[list[tuple] | None], kind: pa.StructType) -> pa.ListArray:
+    """Lists of tuples as an array of structs; None gives null."""
+    flat = [x for row in rows if row is not None for x in row]
+    columns = list(zip(*flat, strict=True)) if flat else [()] * kind.num_fields
+    items = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], fields=list(kind))
+    ends = np.cumsum([0, *(len(row or ()) for row in rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32(), mask=np.array([*(row is None for row in rows), False])), items)
+
+
 def add_columns(df: DataFrame, inputs: list[Column], work: Callable[..., list[list]], new: T.StructType) -> DataFrame:
     """``df`` with the columns ``new`` that ``work`` makes from lists of the input values; any column name is allowed."""
     n = len(df.columns)
@@ -19,7 +33,7 @@ def add_columns(df: DataFrame, inputs: list[Column], work: Callable[..., list[li
     kinds = [to_arrow_type(f.dataType) for f in new.fields]
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             made = work(*[c.to_pylist() for c in batch.columns[n:]])
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *[pa.array(c, k) for c, k in zip(made, kinds, strict=True)]], names=out.names)
 

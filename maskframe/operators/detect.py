@@ -5,13 +5,13 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskframe.functions import recognizers
+from maskframe.functions.arrow import ROWS, lists
 from maskframe.operators import spans as S
 from maskframe.taxonomy import DETERMINISTIC, LAYERS, TYPES
 
@@ -20,25 +20,15 @@ SPANS = f"array<{S.SPAN}>"
 PREFILTER = r"\p{Nd}|@|BEGIN|eyJ|sk-"
 
 
-#: Texts that are worked on at once: what Python holds of a batch does not grow with the batch.
-TEXTS = 256
 _TOKEN = pa.struct([("token", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 _SPAN = pa.struct([("type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("confidence", pa.float64()), ("layer", pa.string())])
 
 
-def _lists(rows: list[list[tuple]], kind: pa.StructType) -> pa.ListArray:
-    """Lists of tuples as an array of structs."""
-    flat = [x for row in rows for x in row]
-    columns = list(zip(*flat, strict=True)) if flat else [()] * kind.num_fields
-    items = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], fields=list(kind))
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), items)
-
-
 def _finder(types: frozenset[str], alone: bool = False) -> Callable[[Column], Column]:
     def find(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            for at in range(0, len(batch), TEXTS):
-                yield _lists([[] if t is None else [(*h, "deterministic") for h in recognizers.detect(t, types, alone)] for t in batch.slice(at, TEXTS).to_pylist()], _SPAN)
+            for at in range(0, len(batch), ROWS):
+                yield lists([[] if t is None else [(*h, "deterministic") for h in recognizers.detect(t, types, alone)] for t in batch.slice(at, ROWS).to_pylist()], _SPAN)
 
     find.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(find, SPANS)
@@ -148,8 +138,8 @@ def tokens(text: Column) -> Column:
 
     def find(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            for at in range(0, len(batch), TEXTS):
-                yield _lists([[] if t is None else [(m[0], m.start(), m.end()) for m in recognizers.TOKEN.finditer(t)] for t in batch.slice(at, TEXTS).to_pylist()], _TOKEN)
+            for at in range(0, len(batch), ROWS):
+                yield lists([[] if t is None else [(m[0], m.start(), m.end()) for m in recognizers.TOKEN.finditer(t)] for t in batch.slice(at, ROWS).to_pylist()], _TOKEN)
 
     find.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(find, "array<struct<token:string,start:int,end:int>>").asNondeterministic()(text)
