@@ -7,9 +7,12 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from maskframe.functions.arrow import ROWS, lists
+
 PARTS = ("text", "image_url", "tool_use", "tool_result", "input_audio", "file", "refusal")
 #: Top-level keys of a request that are understood.
 REQUEST_KEYS = ["model", "messages", "stream", "system", "max_tokens", "temperature", "tools", "user", "metadata"]
@@ -38,6 +41,9 @@ def unknown_keys(body: Column, allowed: list[str] | None = None) -> Column:
     return F.array_except(F.json_object_keys(body), F.array(*[F.lit(k) for k in allowed or REQUEST_KEYS]))
 
 
+_LEAF = pa.struct([("path", pa.string()), ("text", pa.string())])
+
+
 def _walk(value, path: str, out: list[tuple[str, str]]) -> None:
     if isinstance(value, str):
         out.append((path, value))
@@ -52,19 +58,21 @@ def _walk(value, path: str, out: list[tuple[str, str]]) -> None:
 def json_strings(document: Column) -> Column:
     """Every string of a JSON document with its path; null for invalid JSON."""
 
-    def run(texts: pd.Series) -> pd.Series:
-        rows = []
-        for t in texts:
-            try:
-                found: list[tuple[str, str]] = []
-                _walk(json.loads(t), "", found)
-                rows.append([{"path": p, "text": s} for p, s in found])
-            except (TypeError, ValueError):
-                rows.append(None)
-        return pd.Series(rows, dtype=object)
-
-    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "array<struct<path:string,text:string>>")(document)
+    def found(text: str | None) -> list[tuple[str, str]] | None:
+        try:
+            out: list[tuple[str, str]] = []
+            _walk(json.loads(text), "", out)
+            return out
+        except (TypeError, ValueError):
+            return None
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for at in range(0, len(texts), ROWS):
+                yield lists([found(t) for t in texts.slice(at, ROWS).to_pylist()], _LEAF)
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "array<struct<path:string,text:string>>")(document)
 
 
 def _replace(value, change: Callable[[str], str]):
