@@ -45,23 +45,20 @@ class Splitter(StatefulProcessor):
         self.pending = handle.getValueState("pending", "body binary, due bigint, n bigint, waiting bigint, ended boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        body, due, n, waiting, ended = self.pending.get() if self.pending.exists() else (b"", 0, 0, 0, False)
-        body, out, fresh = bytearray(body), [], {}
+        known = self.pending.exists()
+        body, due, n, waiting, ended = self.pending.get() if known else (b"", 0, 0, 0, False)
+        # Early chunks are read once; a new response has none, and costs the store one question and one answer.
+        early = {int(k[0]): (bytes(v[0]), bool(v[1])) for k, v in self.early.iterator()} if known and not ended else {}
+        stored, body, out = set(early), bytearray(body), []
         for part in rows:
             for r in part.itertuples(index=False):
                 seq = int(r.seq)
-                if not ended and seq >= due and seq not in fresh and not self.early.containsKey((seq,)):
-                    fresh[seq] = (bytes(r.body or b""), bool(r.final))
-                    waiting += len(fresh[seq][0])
+                if not ended and seq >= due and seq not in early:
+                    early[seq] = (bytes(r.body or b""), bool(r.final))
+                    waiting += len(early[seq][0])
         at = 0
-        while not ended:
-            if due in fresh:
-                more, final = fresh.pop(due)
-            elif self.early.containsKey((due,)):
-                more, final = self.early.getValue((due,))
-                self.early.removeKey((due,))
-            else:
-                break
+        while not ended and due in early:
+            more, final = early.pop(due)
             due, waiting = due + 1, waiting - len(more)
             body += more
             while True:
@@ -81,12 +78,11 @@ class Splitter(StatefulProcessor):
             out.append((key[0], n, None, None, None, None, "BUFFER_LIMIT"))
             body, ended = bytearray(), True
         if ended:
-            for held in [k for k, _ in self.early.iterator()]:
-                self.early.removeKey(held)
-            waiting = 0
-        else:
-            for seq, chunk in fresh.items():
-                self.early.updateValue((seq,), chunk)
+            early, waiting = {}, 0
+        for seq in stored - set(early):
+            self.early.removeKey((seq,))
+        for seq in set(early) - stored:
+            self.early.updateValue((seq,), early[seq])
         self.pending.update((bytes(body), due, n, waiting, ended))
         made = pd.DataFrame(out, columns=["resp_id", "n", "event", "data", "frame", "separator", "error_code"])
         yield made.astype({"n": "int64"})
