@@ -33,12 +33,56 @@ def use_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
 
 
-def _ms(t) -> int:
-    return int(pd.Timestamp(t).value // 1_000_000)
+#: Keys of a map that are held at once.
+HELD = 50_000
 
 
-def _order(r) -> tuple[int, int]:
-    return pd.Timestamp(r.at).value, int(r.seq)
+class Held:
+    """A map of the state store through a batch of events: a key is read once and written once.
+
+    ``fresh`` says that the map is empty so far, so nothing is read. Past ``HELD`` keys all are written and dropped.
+    """
+
+    def __init__(self, state, fresh: bool):
+        self.state, self.fresh = state, fresh
+        self.known: dict[tuple, tuple | None] = {}
+        self.stored: dict[tuple, tuple | None] = {}
+
+    def get(self, key: tuple) -> tuple | None:
+        if key not in self.known:
+            if len(self.known) >= HELD:
+                self.flush()
+                self.known, self.stored, self.fresh = {}, {}, False
+            found = None if self.fresh else self.state.getValue(key) if self.state.containsKey(key) else None
+            self.known[key] = self.stored[key] = None if found is None else tuple(found)
+        return self.known[key]
+
+    def put(self, key: tuple, value: tuple | None) -> None:
+        self.get(key)
+        self.known[key] = value
+
+    def flush(self) -> None:
+        for key, value in self.known.items():
+            if value != self.stored[key]:
+                if value is None:
+                    self.state.removeKey(key)
+                else:
+                    self.state.updateValue(key, value)
+                self.stored[key] = value
+
+    def items(self) -> list[tuple[tuple, tuple]]:
+        self.flush()
+        return [(tuple(k), tuple(v)) for k, v in self.state.iterator()]
+
+
+def _in_order(rows: Iterator[pd.DataFrame]) -> Iterator:
+    """The rows of a key by time and seq, one at a time; they are held as columns."""
+    parts = list(rows)
+    both = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
+    both = both.sort_values(["at", "seq"], kind="stable")
+    # As integers of nanoseconds, whatever unit they come in.
+    times = both["at"].astype("datetime64[ns]").astype("int64") // 1_000_000
+    return zip(times, both.itertuples(index=False), strict=True)
 
 
 class Vault(StatefulProcessor):
@@ -56,13 +100,13 @@ class Vault(StatefulProcessor):
         self.totals = handle.getValueState("totals", "size bigint, clock bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = [r for part in rows for r in part.itertuples(index=False)]
-        events.sort(key=_order)
-        self.size, self.clock = self.totals.get() if self.totals.exists() else (0, 0)
+        new = not self.totals.exists()
+        self.size, self.clock = (0, 0) if new else self.totals.get()
+        self._hold(new)
         self.oldest: list | None = None
         out, ticks = [], set()
-        for r in events:
-            now, seq = _ms(r.at), int(r.seq)
+        for now, r in _in_order(rows):
+            now, seq = int(now), int(r.seq)
             self.clock += 1
             if r.op == "intern":
                 placeholder, state = self._intern(r, now, ticks)
@@ -73,6 +117,7 @@ class Vault(StatefulProcessor):
                 out.append((seq, r.op, r.placeholder, value, "RESOLVED" if value is not None else "UNRESOLVED"))
             else:
                 out.append((seq, r.op, r.placeholder, None, "UNKNOWN_OP"))
+        self._flush()
         self.totals.update((self.size, self.clock))
         for tick in ticks if self.clock_kind == "event" else ():
             self.handle.registerTimer(tick)
@@ -81,9 +126,11 @@ class Vault(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = int(expiredTimerInfo.getExpiryTimeInMs())
         self.size, self.clock = self.totals.get() if self.totals.exists() else (0, 0)
-        gone = [(p[0], e) for p, e in self.entries.iterator() if e[3] <= now]
+        self._hold(False)
+        gone = [(p[0], e) for p, e in self.held_entries.items() if e[3] <= now]
         for placeholder, entry in gone:
             self._drop(placeholder, entry)
+        self._flush()
         self.totals.update((self.size, self.clock))
         yield self._rows(key, [(None, "sweep", p, None, "EXPIRED") for p, _ in sorted(gone, key=lambda g: (g[1][3], g[0]))])
 
@@ -95,27 +142,34 @@ class Vault(StatefulProcessor):
         made = pd.DataFrame([(key[0], key[1], *o) for o in out], columns=["tenant_id", "session_id", "seq", "op", "placeholder", "value", "state"])
         return made.astype({"seq": "Int64"})
 
+    def _hold(self, fresh: bool) -> None:
+        self.held_entries, self.held_values, self.held_last = (Held(m, fresh) for m in (self.entries, self.by_value, self.last))
+
+    def _flush(self) -> None:
+        for held in (self.held_entries, self.held_values, self.held_last):
+            held.flush()
+
     def _entry(self, placeholder: str):
-        return self.entries.getValue((placeholder,)) if self.entries.containsKey((placeholder,)) else None
+        return self.held_entries.get((placeholder,))
 
     def _put(self, placeholder: str, entry: tuple) -> None:
-        self.entries.updateValue((placeholder,), entry)
+        self.held_entries.put((placeholder,), entry)
         if self.oldest is not None:
             heapq.heappush(self.oldest, (entry[4], placeholder))
 
     def _drop(self, placeholder: str, entry: tuple) -> None:
-        self.entries.removeKey((placeholder,))
+        self.held_entries.put((placeholder,), None)
         self.size -= 1
         named = (entry[0], entry[1])
-        if self.by_value.containsKey(named) and self.by_value.getValue(named)[0] == placeholder:
-            self.by_value.removeKey(named)
+        if self.held_values.get(named) == (placeholder,):
+            self.held_values.put(named, None)
 
     def _intern(self, r, now: int, ticks: set) -> tuple[str | None, str]:
         if r.value is None or r.type is None:
             return None, "NO_VALUE"
         named = (r.type, unicodedata.normalize("NFC", r.value))
-        if self.by_value.containsKey(named):
-            held = self.by_value.getValue(named)[0]
+        if (found := self.held_values.get(named)) is not None:
+            held = found[0]
             entry = self._entry(held)
             if entry is not None and entry[3] > now:
                 self._put(held, (*entry[:4], self.clock))
@@ -123,15 +177,15 @@ class Vault(StatefulProcessor):
         wanted = r.placeholder if isinstance(r.placeholder, str) else None
         label, suffix, number = (wanted and P.parts_of(wanted)) or (r.label, "", 0)
         family = (label + suffix,)
-        last = self.last.getValue(family)[0] if self.last.containsKey(family) else 0
+        last = (self.held_last.get(family) or (0,))[0]
         placeholder = wanted if number and self._entry(wanted) is None else P.spell(label, max(last, number) + 1 if number else last + 1, suffix)
         if placeholder is None:
             return None, "NO_NUMBER_LEFT"
-        self.last.updateValue(family, (max(last, P.parts_of(placeholder)[2]),))
+        self.held_last.put(family, (max(last, P.parts_of(placeholder)[2]),))
         expires = now + self.ttl_ms
         self.size += 1
         self._put(placeholder, (*named, r.value, expires, self.clock))
-        self.by_value.updateValue(named, (placeholder,))
+        self.held_values.put(named, (placeholder,))
         ticks.add(-(-expires // TICK_MS) * TICK_MS)
         return placeholder, "NEW"
 
@@ -150,7 +204,7 @@ class Vault(StatefulProcessor):
         if self.size <= self.capacity:
             return []
         if self.oldest is None:
-            held = [(e[4], p[0]) for p, e in self.entries.iterator()]
+            held = [(e[4], p[0]) for p, e in self.held_entries.items()]
             self.size = len(held)  # the store's own expiry is not counted as it happens
             self.oldest = held
             heapq.heapify(self.oldest)
@@ -192,28 +246,28 @@ class Windows(StatefulProcessor):
         self.totals = handle.getValueState("totals", "size bigint, born bigint, fresh bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        hits = [r for part in rows for r in part.itertuples(index=False)]
-        hits.sort(key=_order)
-        size, born, fresh = self.totals.get() if self.totals.exists() else (0, 0, 0)
+        known = self.totals.exists()
+        size, born, fresh = self.totals.get() if known else (0, 0, 0)
+        windows = Held(self.windows, not known)
         heap, out = None, []
-        for r in hits:
-            now, name = _ms(r.at), (r.key,)
-            held = self.windows.getValue(name) if self.windows.containsKey(name) else None
+        for now, r in _in_order(rows):
+            now, name = int(now), (r.key,)
+            held = windows.get(name)
             if held is None:
                 fresh += 1
                 if fresh >= self.sweep_every:
                     fresh = 0
-                    for other, window in list(self.windows.iterator()):
+                    for other, window in windows.items():
                         if window[1] <= now:
-                            self.windows.removeKey(other)
+                            windows.put(other, None)
                             size -= 1
                 if size >= self.capacity and heap is None:
-                    heap = [(w[0], k[0]) for k, w in self.windows.iterator()]
+                    heap = [(w[0], k[0]) for k, w in windows.items()]
                     heapq.heapify(heap)
                 while size >= self.capacity and heap:
                     age, other = heapq.heappop(heap)
-                    if self.windows.containsKey((other,)) and self.windows.getValue((other,))[0] == age:
-                        self.windows.removeKey((other,))
+                    if (found := windows.get((other,))) is not None and found[0] == age:
+                        windows.put((other,), None)
                         size -= 1
                 size, born = size + 1, born + 1
                 held = (born, now + self.window_ms, 1)
@@ -223,8 +277,12 @@ class Windows(StatefulProcessor):
                 held = (held[0], now + self.window_ms, 1)
             else:
                 held = (held[0], held[1], held[2] + 1)
-            self.windows.updateValue(name, held)
+            windows.put(name, held)
             out.append((r.key, int(r.seq), r.at, held[2] <= self.limit))
+            if len(out) >= HELD:
+                yield pd.DataFrame(out, columns=["key", "seq", "at", "allowed"])
+                out = []
+        windows.flush()
         self.totals.update((size, born, fresh))
         yield pd.DataFrame(out, columns=["key", "seq", "at", "allowed"])
 
