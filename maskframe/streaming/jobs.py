@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from maskframe.functions.placeholders import OPEN, PLACEHOLDER
+from maskframe.streaming.vault import use_store
 
 CHUNKS = "resp_id string, field_key string, seq bigint, text string, fmt string, terminal boolean"
 MAX_BUFFER = 1 << 20
@@ -54,7 +55,7 @@ def restore_stream(chunks: DataFrame, grants: DataFrame, budget: int = MAX_RESTO
             return
         rows = []
         for batch in batches:
-            rows += batch.itertuples()
+            rows += batch.itertuples(index=False)
         out = []
         if left >= 0:  # else the response has ended in an error
             for r in rows:
@@ -115,8 +116,9 @@ def restore_stream(chunks: DataFrame, grants: DataFrame, budget: int = MAX_RESTO
         yield pd.DataFrame(out, columns=columns)
 
     timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    first = chunks.withColumn("__first", F.when(F.col("seq") == 0, F.col("resp_id")))
-    met = first.join(values.withColumnRenamed("resp_id", "__first"), "__first", "left").drop("__first")
+    # By seq too: chunks that get no grants are dealt like the others, not to one task as nulls would be.
+    met = chunks.join(values.withColumn("seq", F.lit(0).cast("long")), ["resp_id", "seq"], "left")
+    use_store(chunks.sparkSession)  # the state is on disk, not in the heap
     return met.groupBy("resp_id").applyInPandasWithState(step, "resp_id string, field_key string, seq bigint, text string, error_code string", "fields string, budget bigint", "append", timeout)
 
 
