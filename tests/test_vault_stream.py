@@ -164,3 +164,50 @@ def test_limits_with_capacity(spark, tmp_path):
         held[key][1] += 1
         want[seq] = held[key][1] <= limit
     assert got == want
+
+
+class Counted(dict):
+    """A map of a state store that counts what it is asked."""
+
+    asked = 0
+
+    def containsKey(self, key):
+        self.asked += 1
+        return key in self
+
+    def getValue(self, key):
+        self.asked += 1
+        return self[key]
+
+    def updateValue(self, key, value):
+        self.asked += 1
+        self[key] = value
+
+    def removeKey(self, key):
+        self.asked += 1
+        del self[key]
+
+    def iterator(self):
+        return iter(self.items())
+
+
+def test_a_key_is_read_and_written_once_a_batch(monkeypatch):
+    from maskframe.streaming import vault as streamed
+
+    state = Counted()
+    held = streamed.Held(state, fresh=True)
+    for i in range(1000):
+        held.put((i % 3,), (i,))
+    assert held.get((9,)) is None and state.asked == 0
+    held.put((2,), None)
+    held.flush()
+    assert state == {(0,): (999,), (1,): (997,)} and state.asked == 2
+    again = streamed.Held(state, fresh=False)
+    assert [again.get((1,)) for _ in range(50)] == [(997,)] * 50 and state.asked == 4
+    again.put((0,), None)
+    assert again.items() == [((1,), (997,))]
+    monkeypatch.setattr(streamed, "HELD", 2)
+    few = streamed.Held(state, fresh=False)
+    for i in range(10):
+        few.put((i,), (i,))
+    assert len(few.known) <= 2 and few.get((0,)) == (0,) and len(few.items()) == 10
